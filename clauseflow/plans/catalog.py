@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from clauseflow.plans import text_checks  # noqa: F401
+from clauseflow.plans import ingest_checks, retrieval_checks, text_checks  # noqa: F401
 from clauseflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
