@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from clauseflow.plans import ingest_checks, retrieval_checks, text_checks  # noqa: F401
+from clauseflow.plans import (  # noqa: F401
+    ingest_checks,
+    retrieval_checks,
+    run_checks,
+    selection_checks,
+    text_checks,
+)
 from clauseflow.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

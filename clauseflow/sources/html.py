@@ -25,6 +25,12 @@ _VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
     "track", "wbr",
 }
+# Common character references; the ampersand comes last, so that none is read twice.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
+    ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"),
+)
 # ------------------------------------------------------------ end fixed values
 
 
@@ -128,7 +134,7 @@ def element_text(html: Column, tag: str) -> Column:
     text = F.regexp_replace(inner, r"(?is)<(script|style)\b.*?</(?:script|style)>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?i)<(?:br|/?(?:p|div|li|ul|h[1-6]|article|nav|footer))\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return strip(F.regexp_replace(text, r" ?\n[ \n]*", "\n"))
