@@ -13,7 +13,9 @@ from clauseflow import vocab as V
 
 # A word boundary spelled out, so that it does not depend on the JVM's ``\b``.
 _EDGE = f"(?:(?<={V.WORD})(?!{V.WORD})|(?<!{V.WORD})(?={V.WORD}))"
-_DOUBLED_LABEL = f"{_EDGE}({V.NON_WS}{{2,10}})\\1{_EDGE}"
+# The class names printable ASCII first, which decides most characters at once.
+_INK = f"[!-~{V.NON_WS}]"
+_DOUBLED_LABEL = f"{_EDGE}({_INK}{{2,10}})\\1{_EDGE}"
 
 
 def strip(text: Column) -> Column:
@@ -21,6 +23,10 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(V.WHITESPACE))
 
 
+def without_whitespace(text: Column) -> Column:
+    return F.translate(text, V.WHITESPACE, "")
+
+
 def is_blank(text: Column) -> Column:
     return text.isNull() | (strip(text) == "")
 
@@ -47,7 +53,7 @@ def clean_text(text: Column) -> Column:
 
 def document_hash(text: Column) -> Column:
     """MD5 of the text without any white space."""
-    return F.md5(F.regexp_replace(text, V.WS + "+", ""))
+    return F.md5(without_whitespace(text))
 
 
 def chunk_id(source: Column, index: Column, chunk: Column) -> Column:

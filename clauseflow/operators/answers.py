@@ -70,9 +70,8 @@ def grounding(evidence: DataFrame, hits: DataFrame) -> DataFrame:
     retrieval ranked, so the join fans out by that small number; its result is folded
     by a partial aggregate at once.
     """
-    flat = lambda c: F.regexp_replace(c, V.WS + "+", "")
-    pairs = evidence.withColumn("_sentence", flat(F.col("sentence"))).join(
-        hits.select("run_id", flat(F.col("document")).alias("_text")), "run_id", "left"
+    pairs = evidence.withColumn("_sentence", tx.without_whitespace(F.col("sentence"))).join(
+        hits.select("run_id", tx.without_whitespace(F.col("document")).alias("_text")), "run_id", "left"
     )
     occurs = F.coalesce(F.contains("_text", "_sentence"), F.lit(False))
     return pairs.groupBy("run_id", "sentence_no").agg(F.bool_or(occurs).alias("grounded"))

@@ -17,10 +17,10 @@ DOC_KEYS = ("source", "service_name", "document_hash", "ingest_schema_version")
 
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """Adds cleaned ``body``, ``document_hash`` and ``scope``.  Blank texts keep a null hash."""
+    """Adds cleaned ``body``, ``document_hash`` and ``scope`` to documents that have text."""
     return (
         docs.withColumn("body", tx.clean_text(F.col("text")))
-        .withColumn("document_hash", F.when(~tx.is_blank(F.col("text")), tx.document_hash(F.col("body"))))
+        .withColumn("document_hash", tx.document_hash(F.col("body")))
         .withColumn("scope", tx.scope(F.col("body")))
         .drop("text")
     )
@@ -64,21 +64,18 @@ def winners(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(old, keys, "left").select(*keys, winner.alias("source")).where(F.col("source").isNotNull())
 
 
-def judge(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def judge(batch: DataFrame, stored: DataFrame, version: int = V.INGEST_SCHEMA_VERSION) -> DataFrame:
     """Adds ``outcome``: new, unchanged, duplicate or empty.
 
-    ``batch`` has one row per source with ``document_hash`` (null for blank text).
-    All joins are on the unique source, so none is skewed by copies.
+    ``batch`` has one narrow row per source: source, service_name and document_hash
+    (null for blank text).  It is read twice, so it should be a written table and not
+    the hashing itself.  All joins include the unique source, so copies skew none.
     """
-    narrow = batch.select("source", "service_name", "document_hash").where(
-        F.col("document_hash").isNotNull()
-    )
-    same = unchanged(narrow, stored).select("source", F.lit(True).alias("_same"))
-    best = winners(narrow, stored).withColumn("_wins", F.lit(True))
-    flags = (
-        narrow.join(best, ["source", "service_name", "document_hash"], "left")
-        .join(same, "source", "left")
-        .select("source", "_wins", "_same")
+    hashed = batch.where(F.col("document_hash").isNotNull())
+    best = winners(hashed, stored).withColumn("_wins", F.lit(True))
+    same = (
+        stored.where(F.col("ingest_schema_version") == version)
+        .select("source", "document_hash", F.lit(True).alias("_same")).distinct()
     )
     outcome = (
         F.when(F.col("document_hash").isNull(), "empty")
@@ -86,12 +83,24 @@ def judge(batch: DataFrame, stored: DataFrame) -> DataFrame:
         .when(F.col("_wins"), "new")
         .otherwise("duplicate")
     )
-    return batch.join(flags, "source", "left").withColumn("outcome", outcome).drop("_wins", "_same")
+    return (
+        batch.join(same, ["source", "document_hash"], "left")
+        .join(best, ["source", "service_name", "document_hash"], "left")
+        .withColumn("outcome", outcome)
+        .drop("_wins", "_same")
+    )
+
+
+def hashes(docs: DataFrame) -> DataFrame:
+    """The narrow rows that ``judge`` takes."""
+    blank = tx.is_blank(F.col("text"))
+    digest = F.when(~blank, tx.document_hash(tx.clean_text(F.col("text"))))
+    return docs.select("source", "service_name", digest.alias("document_hash"))
 
 
 def chunk_rows(docs: DataFrame, mode: str = "recursive") -> DataFrame:
-    """Chunk rows with all metadata for the documents that go into the store."""
-    parts = chunking.with_parts(docs, "body", "doc_type", mode).drop("body", "strategy", "outcome")
+    """Chunk rows with all metadata for the prepared documents that go into the store."""
+    parts = chunking.with_parts(docs, "body", "doc_type", mode).drop("body", "strategy")
     return (
         chunking.number_parts(parts)
         .withColumn("ingest_schema_version", F.lit(V.INGEST_SCHEMA_VERSION))
@@ -106,9 +115,9 @@ def outcomes(judged: DataFrame, chunks: DataFrame) -> DataFrame:
     final = F.when(F.col("outcome") != "new", F.col("outcome")).otherwise(
         F.when(n > 0, "done").otherwise("no_chunks")
     )
-    return judged.select("source", "service_name", "doc_type", "outcome").join(
-        counts, "source", "left"
-    ).select("source", "service_name", "doc_type", final.alias("outcome"), n.alias("n_chunks"))
+    return judged.join(counts, "source", "left").select(
+        "source", "service_name", final.alias("outcome"), n.alias("n_chunks")
+    )
 
 
 def upsert(store: DataFrame, new_chunks: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -219,10 +219,8 @@ def nearest(
     Filters belong before this: a pool that is filtered afterwards is another result.
     """
     schema = _hit_schema(questions, chunks)
-    first = questions.select(F.size("vector").alias("d")).first()
-    rows = broadcast_cells // max(first["d"], 1) if first else 0
-    small = first is not None and questions.select("question_id").limit(rows + 1).count() <= rows
-    if small or first is None:
+    cells = questions.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0
+    if cells <= broadcast_cells:
         found = _pool_with_sent_questions(questions, chunks, pool, schema)
     else:
         found = _pool_with_blocks(questions, chunks, pool, schema, block_questions, block_chunks)
@@ -243,7 +241,7 @@ def rerank(pool: DataFrame, questions: DataFrame, chunks: DataFrame, n: int,
     Text and metadata are fetched here, for pool rows only.  Equal scores keep
     distance order.
     """
-    asked = questions.select("question_id", "keywords").distinct()
+    asked = questions.select("question_id", "keywords")
     scored = (
         pool.drop("rank").join(asked, "question_id").join(chunks.drop("scope", "vector"), "chunk_id")
         .withColumn("keyword_match", tx.keyword_matches(F.col("document"), F.col("keywords")))
@@ -253,9 +251,16 @@ def rerank(pool: DataFrame, questions: DataFrame, chunks: DataFrame, n: int,
     return top(scored, n, "score", "distance", "chunk_id")
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, n: int = 3, pool: int = 15, **limits: int) -> DataFrame:
-    """Ranked hits.  questions also carry ``keywords``, chunks ``document`` and metadata."""
-    return rerank(nearest(questions, chunks, pool, **limits), questions, chunks, n)
+def hybrid_search(questions: DataFrame, scopes: DataFrame, chunks: DataFrame, n: int = 3,
+                  pool: int = 15, **limits: int) -> DataFrame:
+    """Ranked hits.
+
+    questions(question_id, vector, keywords) has one row per question and
+    scopes(question_id, scope) says where to look; chunks also carry ``scope``,
+    ``document`` and metadata.
+    """
+    asked = questions.select("question_id", "vector").join(scopes, "question_id")
+    return rerank(nearest(asked, chunks, pool, **limits), questions, chunks, n)
 
 
 def with_query(questions: DataFrame, keywords: Iterable[str] = V.DOMAIN_KEYWORDS) -> DataFrame:
@@ -268,19 +273,17 @@ def with_query(questions: DataFrame, keywords: Iterable[str] = V.DOMAIN_KEYWORDS
 def search_terms(questions: DataFrame, chunks: DataFrame, n: int = V.TERMS_HITS, pool: int = V.TERMS_POOL,
                  doc_types: Sequence[str] = ("terms",)) -> DataFrame:
     """Hits among the terms of the question's own service, under either spelling."""
-    scoped = questions.join(service_scopes(questions), "question_id")
     held = by_type(chunks, doc_types).withColumn("scope", F.col("service_name"))
-    return hybrid_search(scoped, held, n, pool)
+    return hybrid_search(questions, service_scopes(questions), held, n, pool)
 
 
 def search_reference(questions: DataFrame, chunks: DataFrame, n: int = V.REFERENCE_HITS,
                      pool: int = V.REFERENCE_POOL, doc_types: Sequence[str] = V.REFERENCE_TYPES) -> DataFrame:
     """Hits among laws and guidelines, whatever the service."""
     everything = F.lit("reference")
-    return hybrid_search(
-        questions.withColumn("scope", everything),
-        by_type(chunks, doc_types).withColumn("scope", everything), n, pool,
-    )
+    asked = questions.withColumn("scope", everything)
+    held = by_type(chunks, doc_types).withColumn("scope", everything)
+    return rerank(nearest(asked, held, pool), questions, held, n)
 
 
 def drop_other_services(hits: DataFrame, known: Sequence[str] = V.KNOWN_SERVICE_NAMES,
@@ -308,7 +311,7 @@ def render(hits: DataFrame, questions: DataFrame, score_format: str | None = Non
     texts = hits.groupBy("question_id").agg(
         F.array_join(F.transform(ordered, lambda r: r["block"]), "\n\n").alias("context")
     )
-    return questions.select("question_id").distinct().join(texts, "question_id", "left").withColumn(
+    return questions.select("question_id").join(texts, "question_id", "left").withColumn(
         "context", F.coalesce("context", F.lit(V.NO_HITS_TEXT))
     )
 

@@ -9,9 +9,9 @@ from clauseflow import vocab as V
 from clauseflow.functions import text as tx
 from clauseflow.operators import ingest, readiness
 from clauseflow.plans import shapes as S
-from clauseflow.plans.registry import checked, table
+from clauseflow.plans.registry import checked, table, texts
 from clauseflow.plans.text_checks import sql_cascade
-from clauseflow.session import scratch_dir
+from clauseflow.session import scratch_dir, written
 from clauseflow.sources import crawl, faq, files, policies, requests
 from clauseflow.sources.store import ChunkStore
 
@@ -104,7 +104,7 @@ def faq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     Some files are an object instead of an array, some have an item without an answer.
     """
     i = F.col("doc_id")
-    lines = F.split("text", "\n")
+    lines = F.col("lines")
 
     def item(x, n):
         answer = F.coalesce(F.try_element_at(lines, (n + 2).cast("int")), F.lit(" "))
@@ -116,7 +116,8 @@ def faq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     array = F.concat(F.lit("["), F.array_join(F.transform(lines, item), ","), F.lit("]"))
     content = F.when(i % 11 == 10, F.lit('{"question":"q","answer":"a"}')).otherwise(array)
-    return table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return docs.withColumn("lines", F.split("text", "\n")).select(
         F.concat(F.lit("/corpus/faq/"), "source", F.lit("/"), i.cast("string"), F.lit(".json")).alias("path"),
         content.alias("text"),
     )
@@ -236,13 +237,13 @@ def policy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents of an earlier run, and a batch with new, changed, repeated and blank ones."""
     i = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "text").select(
         "doc_id", F.concat(F.lit("/d/"), F.lpad(i.cast("string"), 12, "0")).alias("source"),
         F.concat(F.lit("s"), (F.length("source") % 2).cast("string")).alias("service_name"), "text",
     )
-    stored = ingest.prepare(docs.where(i % 10 < 5)).select(
-        "source", "service_name", "document_hash",
-        F.when(i % 10 == 2, 4).otherwise(V.INGEST_SCHEMA_VERSION).alias("ingest_schema_version"),
+    number = F.substring("source", 4, 12).cast("long")
+    stored = written(ingest.hashes(docs.where(i % 10 < 5)), "stored").withColumn(
+        "ingest_schema_version", F.when(number % 10 == 2, 4).otherwise(V.INGEST_SCHEMA_VERSION)
     )
     batch = docs.where(i % 10 >= 2).withColumn(
         "text",
@@ -274,10 +275,14 @@ judged AS (
   FROM batch b)"""
 
 
+def _judged(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    return ingest.judge(written(ingest.hashes(batch), "hashes"), stored)
+
+
 @checked(f"WITH {_STORE_AND_BATCH} SELECT source, outcome FROM judged")
 def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, batch = store_and_batch(spark, sf_dir)
-    return ingest.judge(ingest.prepare(batch), stored).select("source", "outcome")
+    return _judged(stored, batch).select("source", "outcome")
 
 
 @checked(f"""
@@ -285,7 +290,7 @@ WITH {_STORE_AND_BATCH}
 SELECT source FROM batch b WHERE EXISTS (SELECT 1 FROM stored s WHERE s.source = b.source AND s.h = b.h AND s.ver = 5)""")
 def unchanged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, batch = store_and_batch(spark, sf_dir)
-    return ingest.unchanged(ingest.prepare(batch), stored).select("source")
+    return ingest.unchanged(ingest.hashes(batch), stored).select("source")
 
 
 @checked(f"""
@@ -295,7 +300,7 @@ SELECT count(*) FILTER (outcome <> 'empty') AS succeeded, count(*) FILTER (outco
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With one chunk per new document, so that the SQL need not chunk."""
     stored, batch = store_and_batch(spark, sf_dir)
-    judged = ingest.judge(ingest.prepare(batch), stored)
+    judged = _judged(stored, batch)
     one_each = judged.where(F.col("outcome") == "new").select("source")
     return ingest.summary(ingest.outcomes(judged, one_each))
 
@@ -310,8 +315,9 @@ FROM parts JOIN fresh ON id = doc_id""")
 def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole batch: clean, hash, judge against the store, chunk what is new."""
     stored, batch = store_and_batch(spark, sf_dir)
-    judged = ingest.judge(ingest.prepare(batch), stored)
-    return ingest.chunk_rows(judged.where(F.col("outcome") == "new")).select(
+    new = _judged(stored, batch).where(F.col("outcome") == "new").select("source")
+    docs = ingest.prepare(batch.drop("doc_id").join(new, "source", "left_semi"))
+    return ingest.chunk_rows(docs).select(
         "source", "service_name", "document_hash", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id"
     )
 
@@ -488,7 +494,7 @@ WITH {_STORE_AND_BATCH}
 SELECT service_name, count(*) FILTER (outcome <> 'empty') AS succeeded FROM judged GROUP BY service_name""")
 def local_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, batch = store_and_batch(spark, sf_dir)
-    judged = ingest.judge(ingest.prepare(batch), stored).withColumn(
+    judged = _judged(stored, batch).withColumn(
         "outcome", F.when(F.col("outcome") == "new", "done").otherwise(F.col("outcome"))
     )
     return readiness.local_successes(judged)

@@ -112,7 +112,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filtered pool, keyword bonus, top three, for every question."""
     asked = questions_v(spark, sf_dir).withColumn("scope", F.col("label").cast("string"))
     held = chunks_v(spark, sf_dir).withColumn("scope", F.col("label").cast("string"))
-    return _hits(R.hybrid_search(asked, held))
+    return _hits(R.rerank(R.nearest(asked, held, 15), asked, held, 3))
 
 
 @checked(f"""

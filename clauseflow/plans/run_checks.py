@@ -327,12 +327,12 @@ def deleted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @checked(f"""
-WITH {HISTORY}, gone AS (SELECT user_id AS item_id FROM events WHERE event_type = 'signup')
+WITH {HISTORY}, gone AS (SELECT user_id AS item_id FROM events WHERE event_type = 'signup' AND value > 60)
 SELECT item_id, 'item' AS what FROM items WHERE item_id NOT IN (SELECT item_id FROM gone)
 UNION ALL SELECT qa_id, 'question' FROM questions WHERE item_id NOT IN (SELECT item_id FROM gone)""")
 def deleted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, asked, _ = history_tables(spark, sf_dir)
-    gone = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").alias("item_id"))
+    gone = table(spark, sf_dir, "events").where("event_type = 'signup' AND value > 60").select(F.col("user_id").alias("item_id"))
     items, asked = history.delete_items(gone, items, asked)
     return items.select("item_id", F.lit("item").alias("what")).union(asked.select("qa_id", F.lit("question")))
 

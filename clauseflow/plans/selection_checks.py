@@ -9,7 +9,7 @@ from clauseflow import vocab as V
 from clauseflow.functions import names, urls
 from clauseflow.operators import selection
 from clauseflow.plans import shapes as S
-from clauseflow.plans.registry import checked, table
+from clauseflow.plans.registry import checked, table, texts
 from clauseflow.sources import html
 
 WORDS = {"terms": ("queque", "onth", "terms of use"), "privacy": ("erer", "ciónción", "privacy policy")}
@@ -161,7 +161,7 @@ def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages with their text; every seventh was redirected away, every ninth is short."""
     i = F.col("page_id")
     text = html.element_text(F.col("html"), "article")
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages", "page_id", "url", "html").select(
         "page_id", "url",
         F.when(i % 7 == 0, F.concat(F.lit("https://elsewhere.net/"), i.cast("string"))).otherwise(F.col("url")).alias("final_url"),
         F.lit("").alias("title"),
@@ -277,7 +277,7 @@ def preferred_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, CASE WHEN length(a) >= 200 THEN a WHEN length(m) >= 200 THEN m WHEN length(b) >= 200 THEN b ELSE '' END AS text
 FROM (SELECT page_id, {sql_element_text('article')} AS a, {sql_element_text('main')} AS m, {sql_element_text('body')} AS b FROM pages)""")
 def builtin_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.builtin_main_text(F.col("html")).alias("text"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", html.builtin_main_text(F.col("html")).alias("text"))
 
 
 @checked(f"""
@@ -287,4 +287,4 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parser's choice; the SQL counts its visible characters."""
     text = html.main_text(F.col("html"))
     ink = F.length(F.regexp_replace(text, V.WS, "")).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", ink.alias("ink"))
+    return texts(spark, sf_dir, "pages", "page_id", "html").select("page_id", ink.alias("ink"))

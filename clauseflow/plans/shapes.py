@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
-from clauseflow.plans.registry import table
+from clauseflow.plans.registry import table, texts
 
 STEMS = ("terms_of_use", "privacy", "refund", "billing", "notice", "이용약관", "개인정보처리방침")
 FOLDERS = ("law", "guideline", "terms", "terms", "misc")
@@ -77,7 +77,7 @@ def shaped_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 4 == 2, headed)
         .otherwise(text)
     )
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", pick(("law", "guideline", "terms", "terms", "misc"), F.floor(i / 4)).alias("doc_type"),
         body.alias("text"),
     )

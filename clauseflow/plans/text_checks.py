@@ -9,7 +9,7 @@ from clauseflow import vocab as V
 from clauseflow.functions import articles, chunks, names, paths, text as tx
 from clauseflow.operators import chunking
 from clauseflow.plans import shapes as S
-from clauseflow.plans.registry import checked, table
+from clauseflow.plans.registry import checked, table, texts
 
 
 # ---------------------------------------------------------------- cleaning, ids
@@ -18,7 +18,7 @@ WITH {S.sql_clean('documents', 'doc_id')}
 SELECT id AS doc_id, length(body) AS n, md5(body) AS body_md5 FROM cleaned""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = tx.clean_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.length(body).cast("long").alias("n"), F.md5(body).alias("body_md5")
     )
 
@@ -27,14 +27,14 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{2,}', chr(10), 'g')) AS squeezed_md5
 FROM documents""")
 def squeeze_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", F.md5(tx.squeeze_spaces(F.col("text"))).alias("squeezed_md5")
     )
 
 
 @checked(f"SELECT doc_id, {S.sql_hash('text')} AS document_hash FROM documents")
 def document_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.document_hash(F.col("text")).alias("document_hash"))
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", tx.document_hash(F.col("text")).alias("document_hash"))
 
 
 @checked("""
@@ -261,7 +261,7 @@ SELECT doc_id,
 FROM m""")
 def article_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunk = F.concat(S.pick(_HEADS, F.col("doc_id")), "text")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", articles.article_label(chunk).alias("article"), articles.article_number(chunk).alias("article_no")
     )
 
@@ -323,7 +323,7 @@ WITH w AS (SELECT doc_id, list_filter(list_transform(range(0, greatest(length(te
              lambda s: {S.sql_strip('substr(text, s + 1, 1000)')}), lambda p: p <> '') AS parts FROM documents)
 {_sql_exploded('w', 'parts')}""")
 def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(table(spark, sf_dir, "documents"), chunks.fixed_windows(F.col("text")), "doc_id")
+    return _exploded(texts(spark, sf_dir, "documents", "doc_id", "text"), chunks.fixed_windows(F.col("text")), "doc_id")
 
 
 @checked(f"""
@@ -331,7 +331,7 @@ WITH RECURSIVE src AS (SELECT doc_id AS pid, {S.sql_strip('text')} AS part FROM
 {S.sql_windows('src')}
 SELECT pid AS doc_id, row_number() OVER (PARTITION BY pid ORDER BY pos) - 1 AS n, md5(piece) AS part_md5 FROM windows""")
 def recursive_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(table(spark, sf_dir, "documents"), chunks.recursive_windows(F.col("text")), "doc_id")
+    return _exploded(texts(spark, sf_dir, "documents", "doc_id", "text"), chunks.recursive_windows(F.col("text")), "doc_id")
 
 
 @checked(f"""
@@ -345,7 +345,7 @@ pieces AS (
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, pos) - 1 AS n, md5(piece) AS part_md5 FROM pieces""")
 def long_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chunks.split_long(F.split("text", "\n"))
-    return _exploded(table(spark, sf_dir, "documents"), parts, "doc_id")
+    return _exploded(texts(spark, sf_dir, "documents", "doc_id", "text"), parts, "doc_id")
 
 
 @checked(f"""
@@ -354,7 +354,7 @@ WITH p AS (SELECT doc_id AS id, list_filter(string_split(text, chr(10)), lambda
 {_sql_exploded('merged', 'chunks', 'id').replace('SELECT id, n', 'SELECT id AS doc_id, n', 1)}""")
 def short_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    return _exploded(table(spark, sf_dir, "documents"), chunks.merge_short(lines), "doc_id")
+    return _exploded(texts(spark, sf_dir, "documents", "doc_id", "text"), chunks.merge_short(lines), "doc_id")
 
 
 def sql_cascade(rel: str, key: str, text: str, name: str = "chunked") -> str:

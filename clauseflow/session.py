@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "clauseflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,6 +32,27 @@ def build_session(app: str = "clauseflow", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where the scan gives fewer splits than there are.
+
+    Meant for wide per-row work on few large files.  A table with many files, which is
+    what a cluster reads, has splits enough and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared scratch location and read back.
+
+    Cuts the lineage: what follows reads a table instead of computing the rows again,
+    also after an executor was lost.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
