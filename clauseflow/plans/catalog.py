@@ -5,6 +5,7 @@ from clauseflow.plans import (  # noqa: F401
     retrieval_checks,
     run_checks,
     selection_checks,
+    stream_checks,
     text_checks,
 )
 from clauseflow.plans.registry import ORACLES, QUERIES

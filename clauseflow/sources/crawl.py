@@ -14,12 +14,12 @@ LINE_SCHEMA = (
 )
 
 
-def read_lines(spark: SparkSession, root: str, stream: bool = False) -> DataFrame:
+def read_lines(spark: SparkSession, root: str, stream: bool = False, glob: str = "*.jsonl") -> DataFrame:
     """Lines with their path and a position that orders them within each file."""
     reader = spark.readStream if stream else spark.read
     lines = (
         reader.format("text").schema("value string")
-        .option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob).option("recursiveFileLookup", True)
         .load(root)
         .select("value", F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("_block"))
@@ -28,9 +28,9 @@ def read_lines(spark: SparkSession, root: str, stream: bool = False) -> DataFram
 
 
 def with_positions(lines: DataFrame) -> DataFrame:
-    """Rows of one file split arrive in order; splits are ordered by their offset."""
+    """Rows of one file split arrive in order; splits are ordered by file and offset."""
     return lines.withColumn(
-        "position", F.struct(F.col("_block"), F.monotonically_increasing_id().alias("row"))
+        "position", F.struct("path", "_block", F.monotonically_increasing_id().alias("row"))
     ).drop("_block")
 
 

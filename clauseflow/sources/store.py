@@ -64,6 +64,10 @@ class ChunkStore:
         )
         return kept.drop("_gone", "v")
 
+    def added(self, version: int) -> DataFrame:
+        """The rows that one version brought in; reads that version only."""
+        return self.spark.read.schema(CHUNK_SCHEMA).parquet(self._path("chunks", version))
+
     def commit(self, added: DataFrame, removed: DataFrame, txn: str = "") -> int:
         """Removes all chunks of the ``removed`` sources, then adds rows; returns the version."""
         version = self.version() + 1
