@@ -11,6 +11,7 @@ from clauseflow.functions import text as tx, vectors
 from clauseflow.operators import retrieval as R
 from clauseflow.plans import shapes as S
 from clauseflow.plans.registry import checked, table
+from clauseflow.session import written
 
 KEYWORDS = ("license", "the on", "queque", "erer", "zu ver", "de la", "that")
 REFERENCE = ("de", "fr", "es")
@@ -188,7 +189,7 @@ SELECT question_id, md5(tc.context) AS terms_context, md5(rc.context) AS referen
 def dual_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both rendered contexts of every question."""
     both = R.retrieve(
-        questions_v(spark, sf_dir), chunks_v(spark, sf_dir), known=NAMES, reference_types=REFERENCE,
+        written(questions_v(spark, sf_dir), "questions"), chunks_v(spark, sf_dir), known=NAMES, reference_types=REFERENCE,
         terms_types=("en",), score_format="%.4f",
     )
     return both.select(
