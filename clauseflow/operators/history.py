@@ -100,7 +100,7 @@ def active_questions(items: DataFrame, questions: DataFrame, follow_ups: int | N
 def totals(items: DataFrame, questions: DataFrame) -> DataFrame:
     """Number of analyses and of questions."""
     asked = questions.join(items.select("item_id"), "item_id", "left_semi").agg(F.count("*").alias("questions"))
-    return items.agg(F.count("*").alias("analyses")).join(F.broadcast(asked))
+    return items.agg(F.count("*").alias("analyses")).withColumn("questions", asked.scalar())
 
 
 def most_active(items: DataFrame, questions: DataFrame, order: str = "item_id") -> DataFrame:

@@ -26,9 +26,9 @@ def prepare(docs: DataFrame) -> DataFrame:
     )
 
 
-def stored_documents(chunks: DataFrame) -> DataFrame:
-    """One row per stored document; reads four narrow columns of the store."""
-    return chunks.select(*DOC_KEYS).distinct()
+def stored_documents(rows: DataFrame) -> DataFrame:
+    """One row per stored document, from the store's documents or from its chunks."""
+    return rows.select(*DOC_KEYS).distinct()
 
 
 def documents_exist(

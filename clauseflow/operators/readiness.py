@@ -57,8 +57,7 @@ def readiness(services: DataFrame, chunks: DataFrame, kinds: Mapping[str, str] =
         status.withColumn("missing", missing)
         .withColumn("requires_input", F.size("missing") > 0)
         .withColumn("service_ready", ready)
-        # One row of aggregates: the smallest broadcast there is.
-        .join(F.broadcast(reference_status(chunks)))
+        .withColumn("reference_ready", reference_status(chunks).scalar())
     )
 
 

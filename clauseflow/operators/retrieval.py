@@ -239,11 +239,15 @@ def rerank(pool: DataFrame, questions: DataFrame, chunks: DataFrame, n: int,
     """Hybrid score of the pool and its first ``n`` per question.
 
     Text and metadata are fetched here, for pool rows only.  Equal scores keep
-    distance order.
+    distance order.  A pool row is a few bytes but costs the scan of a text once it is
+    joined, so its shuffle is given full width: by size alone AQE would merge it into a
+    handful of tasks.  One chunk is at most one row in ``pool`` of each question.
     """
+    width = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = questions.select("question_id", "keywords")
     scored = (
-        pool.drop("rank").join(asked, "question_id").join(chunks.drop("scope", "vector"), "chunk_id")
+        pool.drop("rank").join(asked, "question_id").repartition(width, "chunk_id")
+        .join(chunks.drop("scope", "vector"), "chunk_id")
         .withColumn("keyword_match", tx.keyword_matches(F.col("document"), F.col("keywords")))
         .withColumn("score", F.col("distance") - F.col("keyword_match") * F.lit(bonus))
         .drop("keywords")

@@ -15,7 +15,16 @@ from clauseflow.sources import crawl, faq, files, policies
 from clauseflow.sources.store import ChunkStore
 
 
-def ingest_documents(store: ChunkStore, docs: DataFrame, txn: str = "", mode: str = "recursive") -> DataFrame:
+Embed = Callable[[Column], Column]
+
+
+def _embedded(chunks: DataFrame, embed: Embed | None) -> DataFrame:
+    return chunks if embed is None else chunks.withColumn("vector", embed(F.col("document")))
+
+
+def ingest_documents(
+    store: ChunkStore, docs: DataFrame, txn: str = "", mode: str = "recursive", embed: Embed | None = None
+) -> DataFrame:
     """Cleans, judges, chunks and commits a batch; returns the outcome of every source.
 
     docs(source, source_label, doc_type, service_name, doc_subtype, source_kind, text),
@@ -24,21 +33,21 @@ def ingest_documents(store: ChunkStore, docs: DataFrame, txn: str = "", mode: st
     of narrow rows.
     """
     docs = spread(docs)
-    stored = ingest.stored_documents(store.read())
+    stored = ingest.stored_documents(store.documents())
     judged = written(ingest.judge(written(ingest.hashes(docs), "hashes"), stored), "judged")
     new = judged.where(F.col("outcome") == "new").select("source")
     chunks = ingest.chunk_rows(ingest.prepare(docs.join(new, "source", "left_semi")), mode)
     replaced = stored.select("source").distinct().join(new, "source", "left_semi")
-    version = store.commit(chunks, replaced, txn)
+    version = store.commit(_embedded(chunks, embed), replaced, txn)
     return ingest.outcomes(judged, store.added(version).select("source"))
 
 
-def ingest_faq(store: ChunkStore, faq_files: DataFrame, txn: str = "") -> DataFrame:
+def ingest_faq(store: ChunkStore, faq_files: DataFrame, txn: str = "", embed: Embed | None = None) -> DataFrame:
     """Replaces the chunks of every readable FAQ file (path, text); returns file outcomes."""
     parsed = written(faq.parse_files(faq_files), "faq")
     readable = parsed.where(F.col("items").isNotNull())
     chunks = faq.faq_chunks(faq.explode_items(readable)).withColumn("updated_at", F.current_timestamp())
-    store.commit(chunks, readable.select(F.col("path").alias("source")), txn)
+    store.commit(_embedded(chunks, embed), readable.select(F.col("path").alias("source")), txn)
     return parsed.select(
         F.col("path").alias("source"),
         F.when(F.col("items").isNotNull(), "done").otherwise("rejected").alias("outcome"),
@@ -53,26 +62,25 @@ def sweep_files(store: ChunkStore, *listings: DataFrame) -> int:
     current = listings[0].select("path")
     for more in listings[1:]:
         current = current.union(more.select("path"))
-    held = store.read()
-    stale = ingest.stale_sources(held, current.withColumnRenamed("path", "source"))
-    return store.commit(held.limit(0), written(stale, "stale"))
+    stale = ingest.stale_sources(store.documents(), current.withColumnRenamed("path", "source"))
+    return store.commit(store.read().limit(0), written(stale, "stale"))
 
 
-def ingest_folder(store: ChunkStore, root: str, *other_roots: str) -> DataFrame:
+def ingest_folder(store: ChunkStore, root: str, *other_roots: str, embed: Embed | None = None) -> DataFrame:
     """Everything below ``root``: texts, crawl lines and FAQ files, then a sweep.
 
     Returns one row of counts over files.  PDF text layers and recognised pages come in
     as tables (see ``ingest.needs_ocr``); the files themselves are not parsed here.
     """
     spark = store.spark
-    texts = ingest_documents(store, files.read_documents(spark, root)).select(
+    texts = ingest_documents(store, files.read_documents(spark, root), embed=embed).select(
         F.col("source").alias("path"), "outcome"
     )
     lines = crawl.read_lines(spark, root)
-    crawled = ingest_documents(store, crawl.last_per_source(crawl.parse_lines(lines)))
+    crawled = ingest_documents(store, crawl.last_per_source(crawl.parse_lines(lines)), embed=embed)
     faqs = ingest_faq(store, files.list_files(spark, root, ("json",)).select(
         "path", F.decode("content", "UTF-8").alias("text")
-    ))
+    ), embed=embed)
     sweep_files(store, *[files.list_files(spark, r) for r in (root, *other_roots)])
     good = F.col("outcome").isin("done", "unchanged", "duplicate")
     rows = [df.select(good.alias("good")) for df in (texts, crawled, faqs)]
@@ -103,19 +111,13 @@ def collect_policies(
 
 def prepare_services(store: ChunkStore, services: DataFrame) -> DataFrame:
     """Readiness of every asked service."""
-    return readiness.readiness(services, store.read())
+    return readiness.readiness(services, store.documents())
 
 
-def answer_contexts(
-    store: ChunkStore, questions: DataFrame, embed: Callable[[Column], Column],
-    vectors: DataFrame | None = None,
-) -> DataFrame:
+def answer_contexts(store: ChunkStore, questions: DataFrame, embed: Embed) -> DataFrame:
     """Both contexts for questions(question_id, service_name, question, instruction).
 
-    ``vectors`` (chunk_id, vector) are the stored chunk vectors; without them the
-    chunks are embedded here with the same function as the questions.
+    ``embed`` must be the function the chunks were ingested with.
     """
     asked = retrieval.with_query(questions).withColumn("vector", embed(F.col("query")))
-    held = store.read()
-    held = held.join(vectors, "chunk_id") if vectors is not None else held.withColumn("vector", embed(F.col("document")))
-    return retrieval.retrieve(written(asked, "questions"), held)
+    return retrieval.retrieve(written(asked, "questions"), store.read())

@@ -10,7 +10,7 @@ from clauseflow import vocab as V
 from clauseflow.functions import text as tx, vectors
 from clauseflow.operators import retrieval as R
 from clauseflow.plans import shapes as S
-from clauseflow.plans.registry import checked, table
+from clauseflow.plans.registry import checked, table, texts
 from clauseflow.session import written
 
 KEYWORDS = ("license", "the on", "queque", "erer", "zu ver", "de la", "that")
@@ -20,7 +20,8 @@ NAMES = ("thth", "queque", "enen", "src1")
 
 def chunks_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with their stored vectors: publisher as service, language as type."""
-    docs, vec = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    vec = table(spark, sf_dir, "embeddings")
     return docs.join(vec, docs.doc_id == vec.vec_id).select(
         F.col("doc_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("text").alias("document"),
         F.col("lang").alias("doc_type"), F.col("source").alias("service_name"),

@@ -192,25 +192,30 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lines of every turn against the turns of the conversation; every third is altered."""
-    turns = table(spark, sf_dir, "conversations")
-    lines = turns.select(
-        F.col("conv_id").alias("run_id"), "turn", F.posexplode(F.split("text", "\n")).alias("n", "line")
-    )
-    altered = (F.col("turn") + F.col("n")) % 3 == 2
+    """A turn is a run: its lines are evidence, its two halves are the hits.
+
+    Every third line is altered, and one line may fall between the halves.
+    """
+    run, text = F.col("conv_id") * 1000 + F.col("turn"), F.col("text")
+    turns = table(spark, sf_dir, "conversations").withColumn("run_id", run)
+    lines = turns.select("run_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     evidence = lines.select(
-        "run_id", (F.col("turn") * 1000 + F.col("n")).alias("sentence_no"),
-        F.when(altered, F.concat(F.lit("Not said: "), "line")).otherwise(F.concat(F.lit(" "), "line")).alias("sentence"),
+        "run_id", F.col("n").cast("long").alias("sentence_no"),
+        F.when((F.col("run_id") + F.col("n")) % 3 == 2, F.concat(F.lit("Not said: "), "line"))
+        .otherwise(F.concat(F.lit(" "), "line")).alias("sentence"),
     )
-    return evidence, turns.select(F.col("conv_id").alias("run_id"), F.col("text").alias("document"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    halves = F.array(F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length("text")))
+    return evidence, turns.select("run_id", F.explode(halves).alias("document"))
 
 
 _EVIDENCE = """
-lines AS (SELECT conv_id AS run_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM (SELECT *, string_split(text, chr(10)) AS ls FROM conversations)),
-evidence AS (SELECT run_id, turn * 1000 + n AS sentence_no, CASE WHEN (turn + n) % 3 = 2 THEN 'Not said: ' || line ELSE ' ' || line END AS sentence FROM lines),
+turns AS (SELECT conv_id * 1000 + turn AS run_id, text, string_split(text, chr(10)) AS ls FROM conversations),
+lines AS (SELECT run_id, text, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS sentence_no FROM turns),
+evidence AS (SELECT run_id, sentence_no, text, regexp_replace(CASE WHEN (run_id + sentence_no) % 3 = 2 THEN 'Not said: ' || line ELSE ' ' || line END, '\\s', '', 'g') AS flat FROM lines),
 grounding AS (
-  SELECT run_id, sentence_no, EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = run_id
-    AND contains(regexp_replace(c.text, '\\s', '', 'g'), regexp_replace(sentence, '\\s', '', 'g'))) AS grounded FROM evidence)"""
+  SELECT run_id, sentence_no, contains(regexp_replace(left(text, length(text) // 2), '\\s', '', 'g'), flat)
+    OR contains(regexp_replace(substr(text, length(text) // 2 + 1), '\\s', '', 'g'), flat) AS grounded FROM evidence)"""
 
 
 @checked(f"WITH {_EVIDENCE} SELECT * FROM grounding")

@@ -20,9 +20,13 @@ def policy_files(pages: DataFrame) -> DataFrame:
 
 
 def write_policies(pages: DataFrame, root: str) -> None:
-    """Replaces the partitions of the given services and kinds, and no others."""
+    """Replaces the partitions of the given services and kinds, and no others.
+
+    The rebalance gathers each partition's rows into few files and still splits a
+    partition that is large.
+    """
     (
-        policy_files(pages).write.mode("overwrite")
+        policy_files(pages).hint("rebalance", "service", "kind").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("service", "kind")
         .parquet(root)

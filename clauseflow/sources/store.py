@@ -1,9 +1,11 @@
 """The chunk store: append-only Parquet with removals, read as of the last commit.
 
-A commit adds ``chunks/v=N`` and ``removed/v=N`` and, last of all, the marker
-``commits/v=N``.  Its cost follows the batch, not the store: no row of an earlier
+A commit adds ``chunks/v=N`` (sorted by type and service within each file, so that a
+filter on them skips row groups), ``documents/v=N`` (the few columns that tell stored
+documents apart), ``removed/v=N`` and, last of all, the marker ``commits/v=N``.  Its cost follows the batch, not the store: no row of an earlier
 version is rewritten.  A job that dies before the marker leaves a version no reader
-looks at and the next commit overwrites.
+looks at and the next commit overwrites.  Removals are meant to stay few next to the
+chunks; ``compact`` folds them in.
 """
 
 from __future__ import annotations
@@ -16,7 +18,11 @@ CHUNK_SCHEMA = (
     "service_name string, source string, source_label string, source_kind string, "
     "scope string, chunk_index int, article string, article_no string, "
     "question string, answer string, content_hash string, document_hash string, "
-    "ingest_schema_version int, updated_at timestamp"
+    "ingest_schema_version int, updated_at timestamp, vector array<float>"
+)
+DOCUMENT_SCHEMA = (
+    "source string, service_name string, doc_type string, doc_subtype string, "
+    "source_kind string, document_hash string, ingest_schema_version int"
 )
 
 
@@ -51,15 +57,23 @@ class ChunkStore:
         return rows.where(F.col("v") <= version)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """Chunks of the last committed version: those whose source was not removed later."""
+        """Chunks as of the last committed version."""
+        return self._current("chunks", CHUNK_SCHEMA, version)
+
+    def documents(self, version: int | None = None) -> DataFrame:
+        """The stored documents, without reading any chunk."""
+        return self._current("documents", DOCUMENT_SCHEMA, version)
+
+    def _current(self, kind: str, schema: str, version: int | None) -> DataFrame:
+        """Rows whose source was not removed by a later version."""
         version = self.version() if version is None else version
-        chunks = self._versions("chunks", CHUNK_SCHEMA, version)
+        rows = self._versions(kind, schema, version)
         removed = (
             self._versions("removed", "source string", version)
             .groupBy("source").agg(F.max("v").alias("_gone"))
         )
         # A version removes before it adds, so its own rows stay.
-        kept = chunks.join(removed, "source", "left").where(
+        kept = rows.join(removed, "source", "left").where(
             F.col("_gone").isNull() | (F.col("v") >= F.col("_gone"))
         )
         return kept.drop("_gone", "v")
@@ -73,19 +87,26 @@ class ChunkStore:
         version = self.version() + 1
         schema = self.spark.createDataFrame([], CHUNK_SCHEMA)
         aligned = schema.unionByName(added, allowMissingColumns=True).select(*schema.columns)
-        aligned.write.mode("overwrite").parquet(self._path("chunks", version))
+        laid_out = aligned.sortWithinPartitions("doc_type", "service_name", "source", "chunk_index")
+        laid_out.write.mode("overwrite").parquet(self._path("chunks", version))
+        columns = self.spark.createDataFrame([], DOCUMENT_SCHEMA).columns
+        self.added(version).select(*columns).distinct().write.mode("overwrite").parquet(
+            self._path("documents", version)
+        )
         removed.select("source").distinct().write.mode("overwrite").parquet(self._path("removed", version))
         marker = self.spark.range(1).select(F.lit(txn).alias("txn"))
         marker.coalesce(1).write.mode("overwrite").parquet(self._path("commits", version))
         return version
 
     def compact(self, target_root: str) -> "ChunkStore":
-        """The current rows as version 1 of a new store, laid out by type for pruning."""
+        """The current rows as version 1 of a new store, in files of one service or a few.
+
+        A range partitioning by (type, service, source) splits a large service over
+        several files by itself.
+        """
         fresh = ChunkStore(self.spark, target_root)
         rows = self.read()
         fresh.commit(
-            rows.repartition("doc_type", "service_name", F.pmod(F.xxhash64("source"), F.lit(64)))
-            .sortWithinPartitions("doc_type", "service_name", "source", "chunk_index"),
-            rows.select("source").limit(0),
+            rows.repartitionByRange("doc_type", "service_name", "source"), rows.select("source").limit(0)
         )
         return fresh

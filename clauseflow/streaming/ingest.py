@@ -11,7 +11,8 @@ from clauseflow.sources.store import ChunkStore
 
 
 def start(
-    store: ChunkStore, root: str, checkpoint: str, name: str = "crawl", glob: str = "*.jsonl", **trigger
+    store: ChunkStore, root: str, checkpoint: str, name: str = "crawl", glob: str = "*.jsonl",
+    embed: jobs.Embed | None = None, **trigger,
 ) -> StreamingQuery:
     """Starts the stream; by default it takes what is there and stops.
 
@@ -23,7 +24,7 @@ def start(
         txn = f"{name}:{number}"
         if not store.has_transaction(txn):
             docs = crawl.parse_lines(crawl.with_positions(lines))
-            jobs.ingest_documents(store, crawl.last_per_source(docs), txn)
+            jobs.ingest_documents(store, crawl.last_per_source(docs), txn, embed=embed)
 
     return (
         crawl.read_lines(store.spark, root, stream=True, glob=glob)

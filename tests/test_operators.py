@@ -177,7 +177,8 @@ def test_folder_job(spark, tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text, encoding="utf-8")
     store = ChunkStore(spark, scratch_dir(spark, "store"))
-    counts = jobs.ingest_folder(store, str(root)).first()
+    embed = vectors.embedder(letter_counts)
+    counts = jobs.ingest_folder(store, str(root), embed=embed).first()
     assert (counts.succeeded, counts.failed, counts.sources) == (4, 1, 5)
     held = store.read()
     assert {(r.doc_type, r.service_name) for r in held.collect()} == {("terms", "tving"), ("law", "none"), ("faq", "none"), ("terms", "s")}
@@ -187,7 +188,7 @@ def test_folder_job(spark, tmp_path):
         "티빙": (True, False, False), "s": (False, True, False),
     }
     asked = spark.createDataFrame([(1, "티빙", "조항?", "")], "question_id long, service_name string, question string, instruction string")
-    contexts = jobs.answer_contexts(store, asked, vectors.embedder(letter_counts)).first()
+    contexts = jobs.answer_contexts(store, asked, embed).first()
     assert "제1조" in contexts.terms_context and "법률" in contexts.reference_context
     assert files.list_files(spark, str(root / "missing")).count() == 0
 
