@@ -9,7 +9,7 @@ from clauseflow import vocab as V
 from clauseflow.functions.text import strip
 
 ARTICLE = rf"제{V.WS}*(\p{{Nd}}+{V.WS}*조(?:{V.WS}*의{V.WS}*\p{{Nd}}+)?)"
-SECTION = rf"(?md)^{V.WS}*(\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}+)*\.){V.WS}+"
+SECTION = rf"(?md)^{V.WS}*({V.SECTION_NUMBER}){V.WS}+"
 BRACKET = rf"^{V.WS}*\[([^\]\r\n]{{1,100}})\]"
 
 

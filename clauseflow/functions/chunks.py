@@ -20,7 +20,7 @@ from clauseflow.functions.text import strip
 _WS, _D = V.WS, r"\p{Nd}"
 # (?m) line anchors, (?d) only \n ends a line.
 BEFORE_ARTICLE = f"(?=제{_WS}*{_D}+{_WS}*조)"
-BEFORE_OUTLINE = rf"(?md)(?=^{_D}{{1,3}}(?:\.{_D}+)*\.{_WS}+.+$)"
+BEFORE_OUTLINE = rf"(?md)(?=^{V.SECTION_NUMBER}{_WS}+.+$)"
 BEFORE_GUIDELINE = rf"(?md)(?=^{_WS}*{_D}+\.{_WS}+.+$)"
 
 _BLANK = V.WS_IN_LINE

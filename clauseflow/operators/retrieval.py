@@ -108,6 +108,17 @@ def _best(questions: np.ndarray, ids: np.ndarray, chunks: np.ndarray, pool: int)
     return _join(out)
 
 
+def _places(column: pa.Array | pa.ChunkedArray) -> dict[str, np.ndarray]:
+    """Row numbers per value, by one sort."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    coded = column.dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    bounds = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    return {v: order[lo:hi] for v, lo, hi in zip(coded.dictionary.to_pylist(), bounds, bounds[1:])}
+
+
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     out = np.asarray(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy())
     return out.astype(str) if out.dtype == object else out
@@ -136,12 +147,9 @@ def _pool_with_sent_questions(questions: DataFrame, chunks: DataFrame, pool: int
     sent = questions.select("question_id", "scope", "vector").toArrow()
     arrow = to_arrow_schema(schema)
     by_scope: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    scopes = np.asarray(sent.column("scope").to_pylist(), dtype=object)
     if len(sent):
         ids, vectors = _ids(sent.column("question_id")), _matrix(sent.column("vector")).astype(np.float32)
-        for scope in set(scopes.tolist()):
-            at = np.flatnonzero(scopes == scope)
-            by_scope[scope] = (ids[at], vectors[at])
+        by_scope = {scope: (ids[at], vectors[at]) for scope, at in _places(sent.column("scope")).items()}
     shared = chunks.sparkSession.sparkContext.broadcast(by_scope)
     wanted = list(by_scope)
 
@@ -149,10 +157,12 @@ def _pool_with_sent_questions(questions: DataFrame, chunks: DataFrame, pool: int
         # What is kept between batches is ``pool`` ids per question, not vectors.
         best: dict[str, Hits] = {}
         for batch in batches:
-            scope_of = np.asarray(batch.column("scope").to_pylist(), dtype=object)
+            if not batch.num_rows:
+                continue
             ids, vectors = _ids(batch.column("chunk_id")), _matrix(batch.column("vector"))
-            for scope in set(scope_of.tolist()) & shared.value.keys():
-                at = np.flatnonzero(scope_of == scope)
+            for scope, at in _places(batch.column("scope")).items():
+                if scope not in shared.value:
+                    continue
                 found = _best(shared.value[scope][1], ids[at], vectors[at], pool)
                 best[scope] = _cut(_join([best[scope], found]), pool) if scope in best else found
         for scope, hits in best.items():

@@ -42,6 +42,12 @@ def ingest_documents(
     return ingest.outcomes(judged, store.added(version).select("source"))
 
 
+def ingest_crawl(store: ChunkStore, lines: DataFrame, txn: str = "", embed: Embed | None = None) -> DataFrame:
+    """Crawl lines (path, value, position), parsed once and written, then ingested."""
+    docs = written(crawl.last_per_source(crawl.parse_lines(lines)), "crawled")
+    return ingest_documents(store, docs, txn, embed=embed)
+
+
 def ingest_faq(store: ChunkStore, faq_files: DataFrame, txn: str = "", embed: Embed | None = None) -> DataFrame:
     """Replaces the chunks of every readable FAQ file (path, text); returns file outcomes."""
     parsed = written(faq.parse_files(faq_files), "faq")
@@ -76,8 +82,7 @@ def ingest_folder(store: ChunkStore, root: str, *other_roots: str, embed: Embed
     texts = ingest_documents(store, files.read_documents(spark, root), embed=embed).select(
         F.col("source").alias("path"), "outcome"
     )
-    lines = crawl.read_lines(spark, root)
-    crawled = ingest_documents(store, crawl.last_per_source(crawl.parse_lines(lines)), embed=embed)
+    crawled = ingest_crawl(store, crawl.read_lines(spark, root), embed=embed)
     faqs = ingest_faq(store, files.list_files(spark, root, ("json",)).select(
         "path", F.decode("content", "UTF-8").alias("text")
     ), embed=embed)

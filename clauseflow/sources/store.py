@@ -5,7 +5,7 @@ filter on them skips row groups), ``documents/v=N`` (the few columns that tell s
 documents apart), ``removed/v=N`` and, last of all, the marker ``commits/v=N``.  Its cost follows the batch, not the store: no row of an earlier
 version is rewritten.  A job that dies before the marker leaves a version no reader
 looks at and the next commit overwrites.  Removals are meant to stay few next to the
-chunks; ``compact`` folds them in.
+chunks; ``compact`` folds them in.  One job writes at a time.
 """
 
 from __future__ import annotations

@@ -23,8 +23,7 @@ def start(
     def apply(lines: DataFrame, number: int) -> None:
         txn = f"{name}:{number}"
         if not store.has_transaction(txn):
-            docs = crawl.parse_lines(crawl.with_positions(lines))
-            jobs.ingest_documents(store, crawl.last_per_source(docs), txn, embed=embed)
+            jobs.ingest_crawl(store, crawl.with_positions(lines), txn, embed)
 
     return (
         crawl.read_lines(store.spark, root, stream=True, glob=glob)

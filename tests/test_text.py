@@ -235,3 +235,9 @@ def test_pattern_splits_equal_python(spark):
     ):
         want = [[p.strip() for p in re.split(python, s) if p.strip()] for s in samples]
         assert column(spark, samples, chunks.split_before(X(), pattern)) == want
+
+
+def test_long_outline_numbers_do_not_overflow(spark):
+    number = "1" + ".1" * 20000 + "."
+    assert column(spark, [number + " title", "1..2. x"], articles.article_label(X())) == [number, "unknown"]
+    assert column(spark, [number + " a\n2. b\n3. c"], F.size(chunks.split_before(X(), chunks.BEFORE_OUTLINE))) == [3]
