@@ -38,7 +38,8 @@ def documents_exist(
     stored = chunks.where(F.col("doc_type") == "terms")
     if subtype is not None:
         stored = stored.where(F.col("doc_subtype") == subtype)
-    return services.join(stored.select("service_name"), "service_name", "left_semi")
+    # Distinct first: a service may hold a large share of the store.
+    return services.join(stored.select("service_name").distinct(), "service_name", "left_semi")
 
 
 def unchanged(batch: DataFrame, stored: DataFrame, version: int = V.INGEST_SCHEMA_VERSION) -> DataFrame:

@@ -133,6 +133,9 @@ def choose_pages(
     candidates(service_name, kind, domain, priority, rank, url), pages(url, final_url,
     title, text).  An explicit URL only has to give text; where one was given, known
     URLs are not tried, but search results are.
+
+    Acceptance is a column that sorts first and is tested after the cut.  As a filter
+    it would be pushed below the join and evaluate the page text once per keyword.
     """
     keys = ["service_name", "kind"]
     explicit = candidates.where(F.col("priority") == EXPLICIT).select(*keys).distinct()
@@ -144,4 +147,6 @@ def choose_pages(
     found = (F.col("priority") != EXPLICIT) & page_accepted(
         *[F.col(c) for c in ("final_url", "title", "text", "domain", "kind")], keywords
     )
-    return _first(fetched.where(given | found), keys, "priority", "rank", "url")
+    judged = fetched.withColumn("_fits", F.coalesce(given | found, F.lit(False)))
+    best = _first(judged, keys, F.desc("_fits"), "priority", "rank", "url")
+    return best.where("_fits").drop("_fits")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
-from clauseflow.functions import text as tx
+from clauseflow.functions import names, paths, text as tx
 from clauseflow.operators import ingest, readiness, retrieval, selection
 from clauseflow.session import spread, written
 from clauseflow.sources import crawl, faq, files, policies
@@ -32,7 +32,7 @@ def ingest_documents(
     once, for the new ones only, to be chunked.  Between the two lies a written table
     of narrow rows.
     """
-    docs = spread(docs)
+    docs = spread(docs.withColumn("service_name", F.coalesce("service_name", F.lit("unknown"))))
     stored = ingest.stored_documents(store.documents())
     judged = written(ingest.judge(written(ingest.hashes(docs), "hashes"), stored), "judged")
     new = judged.where(F.col("outcome") == "new").select("source")
@@ -94,14 +94,44 @@ def ingest_folder(store: ChunkStore, root: str, *other_roots: str, embed: Embed
     ).withColumn("chunks", F.lit(store.read().count()))
 
 
+def _one_per_source(docs: DataFrame) -> DataFrame:
+    """Equal ids mean equal text up to white space; the choice among them is fixed."""
+    rest = [c for c in docs.columns if c not in ("source", "text")]
+    kept = docs.groupBy("source").agg(F.max(F.struct("text", *rest)).alias("_r"))
+    return kept.select("source", "_r.*")
+
+
 def pasted_documents(pasted: DataFrame) -> DataFrame:
-    """(service_name, text, doc_type, doc_subtype) as source documents."""
+    """Accepted pasted texts (service_name, text, doc_type, doc_subtype) as source documents."""
     service = tx.strip(F.col("service_name"))
-    return pasted.select(
+    return _one_per_source(pasted.select(
         tx.pasted_source_id(service, F.col("text")).alias("source"),
-        F.concat(service, F.lit(" (사용자 직접입력)")).alias("source_label"),
+        F.concat(service, F.lit(V.PASTED_LABEL)).alias("source_label"),
         "doc_type", service.alias("service_name"), "doc_subtype", F.lit("pasted").alias("source_kind"), "text",
-    ).dropDuplicates(["source"])
+    ))
+
+
+def uploaded_documents(uploads: DataFrame) -> DataFrame:
+    """Accepted uploads (service_name, file_name, text, doc_type, doc_subtype) as source documents.
+
+    Services go under their canonical name; a missing subtype is read off the file name.
+    """
+    service, name = names.canonical_name(F.col("service_name")), F.col("file_name")
+    return _one_per_source(uploads.select(
+        tx.upload_source_id(service, name, F.col("text")).alias("source"),
+        name.alias("source_label"), "doc_type", service.alias("service_name"),
+        paths.upload_subtype(name, F.col("doc_subtype"), F.col("doc_type")).alias("doc_subtype"),
+        F.lit("upload").alias("source_kind"), "text",
+    ))
+
+
+def url_documents(extracted: DataFrame) -> DataFrame:
+    """Texts of user URLs (service_name, url, text, doc_type, doc_subtype), one row per URL."""
+    return extracted.select(
+        F.col("url").alias("source"), F.col("url").alias("source_label"), "doc_type",
+        tx.strip(F.col("service_name")).alias("service_name"), "doc_subtype",
+        F.lit("url").alias("source_kind"), "text",
+    )
 
 
 def collect_policies(

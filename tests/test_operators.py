@@ -148,6 +148,23 @@ def test_ingest_job_is_idempotent_and_replaces(spark):
     assert packed.read().count() == store.read().count() == 6
 
 
+def test_user_documents(spark):
+    store = ChunkStore(spark, scratch_dir(spark, "store"))
+    pasted = spark.createDataFrame([(" s ", LONG, "terms", "terms_of_use")] * 2, "service_name string, text string, doc_type string, doc_subtype string")
+    uploads = spark.createDataFrame(
+        [("tving", "환불 안내.pdf", LONG + "x", "terms", None), ("tving", "a.txt", LONG + "y", "terms", None), ("tving", "a.txt", LONG + " y", "terms", None)],
+        "service_name string, file_name string, text string, doc_type string, doc_subtype string",
+    )
+    pages = spark.createDataFrame([("s", "https://s.com", LONG, "terms", "privacy_policy"), ("t", "https://t.com", LONG, "law", "unknown")], "service_name string, url string, text string, doc_type string, doc_subtype string")
+    first = jobs.ingest_documents(store, jobs.pasted_documents(pasted)).collect()
+    assert [r.outcome for r in first] == ["done"] and first[0].source.startswith("pasted::s::")
+    jobs.ingest_documents(store, jobs.uploaded_documents(uploads)).collect()
+    held = {(r.service_name, r.doc_subtype, r.source_kind) for r in store.documents().collect()}
+    assert held == {("s", "terms_of_use", "pasted"), ("티빙", "refund_policy", "upload"), ("티빙", "terms_of_use", "upload")}
+    got = {r.source: r.outcome for r in jobs.ingest_documents(store, jobs.url_documents(pages)).collect()}
+    assert got == {"https://s.com": "duplicate", "https://t.com": "done"}
+
+
 def test_uncommitted_version_is_not_read(spark):
     store = ChunkStore(spark, scratch_dir(spark, "store"))
     jobs.ingest_documents(store, _docs(spark, [("/a", "s", LONG)]))
