@@ -174,6 +174,7 @@ def sql_element_text(tag: str) -> str:
     text = f"regexp_replace({text}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
     text = f"regexp_replace({text}, '(?i)<br[^>]*>|</?(p|div|li|ul|h[1-6]|article|nav|footer)(\\s[^>]*)?>', chr(10), 'g')"
     text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    text = f"regexp_replace({text}, '{html.OPEN_ENTITIES}', '&\\1;', 'g')"
     for entity, char in html.ENTITIES:
         quoted = char.replace("'", "''")
         text = f"replace({text}, '{entity}', '{quoted}')"

@@ -25,6 +25,8 @@ _VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
     "track", "wbr",
 }
+# These references also count without their semicolon.
+OPEN_ENTITIES = "&(lt|gt|quot|nbsp|copy|reg|middot|amp);?"
 # Common character references; the ampersand comes last, so that none is read twice.
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -134,6 +136,7 @@ def element_text(html: Column, tag: str) -> Column:
     text = F.regexp_replace(inner, r"(?is)<(script|style)\b.*?</(?:script|style)>|<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?i)<(?:br|/?(?:p|div|li|ul|h[1-6]|article|nav|footer))\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
+    text = F.regexp_replace(text, OPEN_ENTITIES, "&$1;")
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     text = F.regexp_replace(text, r"[ \t]+", " ")
