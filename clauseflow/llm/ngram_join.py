@@ -94,27 +94,31 @@ def tree_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return setjoin.spanning(found(), len(small))
 
 
-def _signer(size: int, percent: int):
+def _reader(size: int) -> setjoin.Reader:
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[bytes | None, np.ndarray]]:
+        return shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], size)
+
+    return sets
+
+
+def _namer(reader: setjoin.Reader):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            signed = [setjoin.signature(k, s, percent) for k, s in shingle_sets(texts, size)]
-            columns = zip(*signed) if signed else ((), (), (), ())
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            named = [(k, k and setjoin.short_name(k), len(s)) for k, s in reader(batch)]
+            columns = zip(*named) if named else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("ref"), *(pa.array(list(c), t) for c, t in zip(columns, kinds))],
-                ["doc", "ref", "key", "fp", "n", "prefix"],
+                [batch.column("doc"), batch.column("ref")]
+                + [pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int32()))],
+                ["doc", "ref", "key", "fp", "n"],
             )
 
     return rows
 
 
-def _ordering(size: int, percent: int, common):
+def _orderer(reader: setjoin.Reader, percent: int, order):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, rank = common.value
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            data = [(k, setjoin.ordered(s, token, rank)) for k, s in shingle_sets(texts, size) if k is not None]
+            data = [(k, setjoin.relabelled(s, order.value)) for k, s in reader(batch) if k is not None]
             first = [s[: setjoin.prefix_length(len(s), percent)].view(np.int64) for _, s in data]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -145,24 +149,27 @@ def ngram_components(
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("ref", text_key("text"))
     id_type = rows.schema["doc"].dataType.simpleString()
-    signed, _ = saved(
-        rows.mapInArrow(_signer(size, percent), f"doc {id_type}, ref string, {setjoin.SIGNATURE}"), "signatures"
+    reader = _reader(size)
+    names, _ = saved(
+        rows.mapInArrow(_namer(reader), f"doc {id_type}, ref string, key binary, fp long, n int"), "named"
     )
-    names = signed.select("doc", "key", "n")
-    meeting, token, rank = setjoin.meeting_sets(signed)
-    one = signed.join(meeting, "fp", "left_semi").groupBy("key").agg(F.min(F.struct("ref", "doc")).alias("one"))
-    one = one.select(F.col("one.ref").alias("ref"), F.col("one.doc").alias("one"))
-    texts = rows.join(one, (rows["ref"] == one["ref"]) & rows["doc"].eqNullSafe(one["one"])).select("text")
-    common = spark.sparkContext.broadcast((token, rank))
+    one = names.where("key is not null").groupBy("key", "fp", "n").agg(F.min(F.struct("ref", "doc")).alias("one"))
+    left, order = setjoin.candidates(rows.select("text"), reader, one, percent)
+    left = left.select(F.col("one.ref").alias("ref"), F.col("one.doc").alias("one"))
+    texts = rows.join(left, (rows["ref"] == left["ref"]) & rows["doc"].eqNullSafe(left["one"])).select("text")
     sets, _ = saved(
-        texts.mapInArrow(_ordering(size, percent, common), "key binary, n int, tokens binary, prefix array<long>"), "sets"
+        texts.mapInArrow(
+            _orderer(reader, percent, spark.sparkContext.broadcast(order)),
+            "key binary, n int, tokens binary, prefix array<long>",
+        ),
+        "sets",
     )
     roots = components(setjoin.links(sets, match, percent))
     keys = names.where("key is not null").groupBy("key").agg(F.min("doc").alias("first"))
     keys = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = keys.groupBy("root").agg(F.min("first").alias("component_id"))
     named = keys.join(least, "root").select("key", "component_id")
-    return names.join(named, "key", "left").select(
+    return names.select("doc", "key", "n").join(named, "key", "left").select(
         F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc").alias("component_id"),
     )

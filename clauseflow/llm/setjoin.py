@@ -1,16 +1,20 @@
 """Exact joins of token sets by Jaccard similarity: candidates for the operators' own checks.
 
-A set's prefix holds so many of its first tokens, in one order of all tokens, that two
-similar sets share one there.  Frequent tokens come last in that order: they are the ones
-that at least ``COMMON_SHARE`` of all prefix entries hold, so their number is bounded and
-their list may travel.  All other tokens go by their hash.  Any order gives the same links;
-this one keeps passages that many texts share out of most prefixes.
-
-A first pass over prefixes in plain hash order finds the sets that share anything; only
-their tokens are ordered, cut and joined.  Sets that meet in a token are gathered around the
-token's smallest set, in chunks of bounded size that each hold it.  Where several chunks
-belong to one such group and links have not made all of it one component, chunks meet each
-other too, those of a single component excepted.
+A set of n tokens can have a similar one only if at most n - ceil(percent * n / 100) of its
+tokens are its alone.  The tokens with a hash in the lowest ``SAMPLED`` part are counted over
+all sets, packed into blocks rather than rows; sets with too many of their own among these
+are done.  This drops no link, as it counts real tokens of their own, only not all of them.
+
+For the rest, a set's prefix holds so many of its first tokens, in one order of all tokens,
+that two similar sets share one there.  Frequent tokens come last in that order: the counted
+ones held by at least a ``COMMON_SHARE`` of all entries, so their number is bounded and their
+list may travel.  All other tokens go by their hash.  Any order gives the same links; this
+one keeps passages that many texts share out of most prefixes.
+
+Sets that meet in a prefix token are gathered around the token's smallest set, in chunks of
+bounded size that each hold it.  Where several chunks belong to one such group and links have
+not made all of it one component, chunks meet each other too, those of a single component
+excepted.
 """
 
 from __future__ import annotations
@@ -24,19 +28,21 @@ from pyspark.sql import functions as F
 
 from clauseflow.llm.base import components, remove, saved
 
+SAMPLED = 0.4
 COMMON_SHARE = 1 / 400_000
 COMMON_LEAST = 64
-BUCKET_TOKENS = 400_000
+BUCKET_TOKENS = 1_500_000
 CHUNK_SETS = 192
 CHUNK_TOKENS = 400_000
 FLUSH_TOKENS = 1 << 20
 
+_LOW = np.uint64((1 << 40) - 1)
+
+# (key of a set or None, its tokens: sorted distinct hashes) for every row of a batch.
+Reader = Callable[[pa.RecordBatch], Iterator[tuple[bytes | None, np.ndarray]]]
 # A chunk's sets (sizes, tokens in order) to the positions of sets that are to be linked.
 Match = Callable[[list[np.ndarray], int], list[tuple[int, int]]]
 
-SIGNATURE = "key binary, fp long, n int, prefix binary"
-
-
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -46,56 +52,66 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def signature(key: bytes | None, tokens: np.ndarray, percent: int) -> tuple:
-    """(key, short key, size, first tokens in hash order); a set without tokens has no key."""
-    if key is None:
-        return None, None, 0, b""
-    prefix = tokens[: prefix_length(len(tokens), percent)]
-    return key, int.from_bytes(key[:8], "little", signed=True), len(tokens), prefix.tobytes()
+def short_name(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
-def _grouped(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts, starts of equal runs)."""
-    order = np.argsort(tokens, kind="stable")
-    run = tokens[order]
-    return order, np.flatnonzero(np.append(True, run[1:] != run[:-1]) if len(run) else [])
+def _short(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and low bits of a token; a rare clash only makes a token seem shared."""
+    return ((tokens >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40)) | (tokens & _LOW)
 
 
-def _dealer(buckets: int):
-    """Prefix entries by bucket, at most one for each token from each block of sets.
+def _packed(short: np.ndarray) -> bytes:
+    return np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
-    Sets that meet a token already within a block are named at once, in bucket -1.
-    """
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+def _dealer(reader: Reader, buckets: int):
+    """Sampled tokens by bucket, from blocks of sets: those of one set in the block with its
+    short name, and those of several without."""
+    top = np.uint64(int(SAMPLED * 2**64) - 1)
+    kinds = (pa.int64(), *[pa.binary()] * 5)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: dict[int, np.ndarray] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            names = np.fromiter(block, np.int64, len(block))
-            tokens = np.concatenate(list(block.values()))
-            owner = np.repeat(names, [len(t) for t in block.values()])
-            order, start = _grouped(tokens)
-            count = np.diff(np.append(start, len(tokens)))
-            met = np.unique(owner[order][np.repeat(count > 1, count)])
-            first = order[start]
-            token, name = tokens[first], owner[first]
-            home = (token % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(home, kind="stable")
-            cut = np.flatnonzero(np.diff(home[by])) + 1
-            parts = np.split(by, cut)
-            data = [(int(home[p[0]]), token[p].tobytes(), name[p].tobytes(), count[p].astype(np.int32).tobytes()) for p in parts if len(p)]
-            data.append((-1, b"", met.tobytes(), b""))
+            short = _short(np.concatenate(list(block.values())), buckets)
+            owner = np.repeat(np.fromiter(block, np.int64, len(block)), [len(t) for t in block.values()])
+            order = np.argsort(short, kind="stable")
+            short, owner = short[order], owner[order]
+            start = np.flatnonzero(np.append(True, short[1:] != short[:-1])) if len(short) else np.empty(0, np.int64)
+            held = np.diff(np.append(start, len(short)))
+            one, many = start[held == 1], start[held > 1]
+            limits = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40)
+            cut_one, cut_many = np.searchsorted(short[one], limits), np.searchsorted(short[many], limits)
+            data = []
+            for k in range(buckets):
+                mine, shared = one[cut_one[k] : cut_one[k + 1]], many[cut_many[k] : cut_many[k + 1]]
+                if len(mine) or len(shared):
+                    by = np.argsort(owner[mine], kind="stable")
+                    names, count = np.unique(owner[mine], return_counts=True)
+                    data.append((
+                        k, names.tobytes(), count.astype(np.int32).tobytes(), _packed(short[mine][by]),
+                        _packed(short[shared]), held[held > 1][cut_many[k] : cut_many[k + 1]].astype(np.int32).tobytes(),
+                    ))
+            columns = zip(*data) if data else [()] * len(kinds)
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(zip(*data), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                ["bucket", "tokens", "names", "counts"],
+                [pa.array(list(c), t) for c, t in zip(columns, kinds)],
+                ["bucket", "names", "counts", "single", "shared", "held"],
             )
 
         for batch in batches:
-            for name, prefix in zip(batch.column("fp").to_pylist(), batch.column("prefix").to_pylist()):
-                if name is not None and name not in block:
-                    block[name] = np.frombuffer(prefix, np.uint64)
-                    size += len(block[name])
+            for key, tokens in reader(batch):
+                if key is not None and (name := short_name(key)) not in block:
+                    block[name] = tokens[: np.searchsorted(tokens, top, "right")]
+                    size += len(block[name]) + 1
                     if size >= FLUSH_TOKENS:
                         yield flush()
                         block, size = {}, 0
@@ -105,41 +121,57 @@ def _dealer(buckets: int):
     return rows
 
 
-def _meeting(common: int):
-    """Of one bucket: the sets that share a token, and the tokens held by many."""
+def _counting(common: int):
+    """Of one bucket: how many tokens each set has alone, and the tokens held by many."""
 
     def rows(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() < 0:
-            token = np.empty(0, np.uint64)
-            count = np.empty(0, np.int64)
-            met = np.unique(np.frombuffer(b"".join(group.column("names").to_pylist()), np.int64))
-        else:
-            tokens, names, counts = (
-                np.frombuffer(b"".join(group.column(c).to_pylist()), t)
-                for c, t in (("tokens", np.uint64), ("names", np.int64), ("counts", np.int32))
-            )
-            order, start = _grouped(tokens)
-            rows_of = np.diff(np.append(start, len(tokens)))
-            total = np.add.reduceat(counts[order].astype(np.int64), start)
-            met = np.unique(names[order][np.repeat(rows_of > 1, rows_of)])
-            token, count = tokens[order][start][total >= common], total[total >= common]
-        none = len(met)
+        names, counts, single, shared, held = (
+            b"".join(group.column(c).to_pylist()) for c in ("names", "counts", "single", "shared", "held")
+        )
+        owner = np.repeat(np.frombuffer(names, np.int64), np.frombuffer(counts, np.int32))
+        single, shared = _unpacked(single), _unpacked(shared)
+        tokens = np.concatenate([single, shared])
+        count = np.concatenate([np.ones(len(single), np.int64), np.frombuffer(held, np.int32)])
+        owner = np.concatenate([owner, np.zeros(len(shared), np.int64)])
+        order = np.argsort(tokens, kind="stable")
+        tokens, count, owner = tokens[order], count[order], owner[order]
+        start = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        total, most = np.add.reduceat(count, start), np.maximum.reduceat(count, start)
+        alone = (most == 1) & (np.minimum.reduceat(owner, start) == np.maximum.reduceat(owner, start))
+        name, own = np.unique(owner[start[alone]], return_counts=True)
+        often = total >= common
+        short = tokens[start[often]] | np.uint64(group.column("bucket")[0].as_py() << 40)
+        m, k = len(name), len(short)
         return pa.table({
-            "fp": pa.concat_arrays([pa.array(met, pa.int64()), pa.nulls(len(token), pa.int64())]),
-            "token": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(token.view(np.int64))]),
-            "df": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(count, pa.int64())]),
+            "fp": pa.concat_arrays([pa.array(name, pa.int64()), pa.nulls(k, pa.int64())]),
+            "token": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(short.view(np.int64))]),
+            "m": pa.concat_arrays([pa.array(own, pa.int64()), pa.array(total[often], pa.int64())]),
         })
 
     return rows
 
 
-def ordered(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The tokens relabelled so that their numbers sort as the common order of all tokens."""
+# Buckets, the common tokens' short names in order, and the rank of each.
+Order = tuple[int, np.ndarray, np.ndarray]
+
+
+def _order(buckets: int, token: np.ndarray, held: np.ndarray) -> Order:
+    rank = np.empty(len(token), np.uint64)
+    rank[np.lexsort((token, held))] = np.arange(len(token), dtype=np.uint64)
+    by = np.argsort(token)
+    return buckets, token[by], rank[by]
+
+
+def relabelled(tokens: np.ndarray, order: Order) -> np.ndarray:
+    """The tokens as numbers that sort in the common order."""
+    buckets, common, rank = order
     out = tokens >> np.uint64(1)
     if len(common):
-        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        hit = common[at] == tokens
-        out[hit] = rank[at[hit]] | np.uint64(1 << 63)
+        short = _short(tokens, buckets)
+        at = np.minimum(np.searchsorted(common, short), len(common) - 1)
+        hit = (common[at] == short) & (tokens < np.uint64(int(SAMPLED * 2**64)))
+        # The low bits keep two tokens of one short name apart.
+        out[hit] = (rank[at[hit]] << np.uint64(40)) | (tokens[hit] >> np.uint64(24)) | np.uint64(1 << 63)
     out.sort()
     return out
 
@@ -187,29 +219,26 @@ def _matched(where: DataFrame, sets: DataFrame, match: Match, percent: int) -> D
     )
 
 
-def meeting_sets(signatures: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(fp of sets that share a prefix token with another, common tokens sorted, their ranks)."""
-    total = signatures.agg(F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0.0))).first()[0]
-    least = max(COMMON_LEAST, int(total * COMMON_SHARE))
-    buckets = int(total // BUCKET_TOKENS) + 1
-    dealt = signatures.select("fp", "prefix").mapInArrow(
-        _dealer(buckets), "bucket long, tokens binary, names binary, counts binary"
-    )
-    # Local finds need no meeting; they only spread over tasks by what they hold.
-    home = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("names"), F.lit(4 * buckets))).otherwise(F.col("bucket"))
-    hits, _ = saved(
-        dealt.withColumn("bucket", home).groupBy("bucket").applyInArrow(
-            _meeting(least), "fp long, token long, df long"
-        ),
-        "meetings",
+def candidates(rows: DataFrame, reader: Reader, names: DataFrame, percent: int) -> tuple[DataFrame, Order]:
+    """(the sets that may have a similar one, the order of tokens).
+
+    ``rows`` is what ``reader`` reads; ``names`` has a row (key, fp, n, ...) per set.
+    """
+    total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(COMMON_LEAST, int(total * SAMPLED * COMMON_SHARE))
+    buckets = int(total * SAMPLED // BUCKET_TOKENS) + 1
+    dealt = rows.mapInArrow(
+        _dealer(reader, buckets), "bucket long, names binary, counts binary, single binary, shared binary, held binary"
     )
+    counted, path = saved(dealt.groupBy("bucket").applyInArrow(_counting(least), "fp long, token long, m long"), "counted")
     # Bounded: a common token has COMMON_SHARE of all entries at least.
-    common = hits.where("token is not null").select("token", "df").toArrow()
-    token = common.column("token").to_numpy().view(np.uint64)
-    rank = np.empty(len(token), np.uint64)
-    rank[np.lexsort((token, common.column("df").to_numpy()))] = np.arange(len(token), dtype=np.uint64)
-    by = np.argsort(token)
-    return hits.where("fp is not null").select("fp").distinct(), token[by], rank[by]
+    common = counted.where("token is not null").select("token", "m").toArrow()
+    order = _order(buckets, common.column("token").to_numpy().view(np.uint64), common.column("m").to_numpy())
+    alone = counted.where("fp is not null").groupBy("fp").agg(F.sum("m").alias("alone"))
+    spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
+    left, _ = saved(names.join(alone, "fp", "left").where(F.coalesce("alone", F.lit(0)) <= spare).drop("alone", "fp"), "candidates")
+    remove(rows.sparkSession, path)
+    return left, order
 
 
 def links(sets: DataFrame, match: Match, percent: int) -> DataFrame:
