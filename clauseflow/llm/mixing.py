@@ -2,8 +2,8 @@
 
 Each source's words are to be multiplied by one factor.  Its whole part is copies that every
 document gets; for the rest, documents are ranked by the odds of a random number divided by
-the odds of their inclusion, and those ranked first are taken until their words come nearest
-to what is missing.  Inclusion leans to longer documents, by a tilt that leaves the expected
+the odds of their inclusion, and those ranked first are taken while their words stay within
+what is missing; one more, the one that fits best, fills the rest.  Inclusion leans to longer documents, by a tilt that leaves the expected
 words as they are.
 """
 
@@ -76,7 +76,7 @@ def place_in_order(size: str, chance_col: str) -> Column:
 
 
 def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Per source: its words and target, the copies all get, and the place up to which one more is due.
+    """Per source: its words and target, the copies all get, and the places to which one more is due.
 
     ``rows`` are (source, size, chance).  A source's cut is found from words summed by place
     in steps, and row by row only within the step that holds it.
@@ -107,17 +107,20 @@ def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     held = sums.select(F.col("source").alias("_s"), F.col("step").alias("_t"), (F.col("upto") - F.col("words")).alias("before"))
     near = placed.join(held, F.col("source").eqNullSafe(F.col("_s")) & (F.col("step") == F.col("_t")))
     inside = Window.partitionBy("source", "step").orderBy("place", "size")
-    near = near.withColumn("upto", F.col("before") + F.sum("size").over(inside)).withColumn(
-        "gap", F.abs(F.col("upto") - F.col("missing"))
-    )
-    stop = F.least("gap", F.abs(F.col("before") - F.col("missing")))
+    near = near.withColumn("upto", F.col("before") + F.sum("size").over(inside))
+    fits = F.when(F.col("upto") <= F.col("missing"), F.struct("upto", "place"))
     cuts = near.groupBy("source").agg(
-        F.min(F.struct("gap", "place")).alias("best"), F.min(F.abs(F.col("before") - F.col("missing"))).alias("none"),
-        F.min("step").alias("step"), F.min(stop).alias("least"),
+        F.max(fits).alias("last"), F.min("before").alias("before"), F.min("step").alias("step")
     ).select(
-        "source",
-        F.when(F.col("best.gap") <= F.col("none"), F.col("best.place")).otherwise(F.col("step") / F.lit(float(steps))).alias("cut"),
+        "source", F.coalesce("last.place", F.col("step") / F.lit(float(steps))).alias("cut"),
+        F.coalesce("last.upto", "before").alias("have"),
     )
+    # One more document: of those behind the cut the one that comes nearest, if any does.
+    behind = with_source(placed, cuts).where(F.col("place") > F.col("cut"))
+    left = F.col("missing") - F.col("have")
+    off = F.abs(F.col("size") - left)
+    extra = behind.where(off < left).groupBy("source").agg(F.min(F.struct(off.alias("off"), "place")).alias("best"))
+    cuts = with_source(cuts, extra.select("source", F.col("best.place").alias("extra")), "left")
     return with_source(base, cuts, "left")
 
 
@@ -128,7 +131,9 @@ def with_source(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFr
 
 def copies(size: str, chance_col: str) -> Column:
     """How often a document comes, given its source's plan."""
-    one = F.coalesce((F.col("cut") >= place_in_order(size, chance_col)) & (F.col(size) > 0), F.lit(False))
+    place = place_in_order(size, chance_col)
+    due = (place <= F.col("cut")) | F.coalesce(place == F.col("extra"), F.lit(False))
+    one = F.coalesce(due & (F.col(size) > 0), F.lit(False))
     return (F.col("whole") + one.cast("int")).cast("int")
 
 
@@ -157,7 +162,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"),
     ).withColumn("chance", chance("doc", "size", seed))
     narrow, _ = saved(rows.select("source", "size", "chance"), "sized")
-    chosen = with_source(rows, mix_plan(narrow).select("source", "mean", "whole", "rest", "lean", "cut"))
+    chosen = with_source(rows, mix_plan(narrow).select("source", "mean", "whole", "rest", "lean", "cut", "extra"))
     chosen = chosen.select("_row", copies("size", "chance").alias("copies")).where("copies > 0")
     return chosen.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 

@@ -1,6 +1,17 @@
 """All registered training-data queries."""
 
-from clauseflow.llm import ngram_join  # noqa: F401
+from clauseflow.llm import (  # noqa: F401
+    chat,
+    decontaminate,
+    line_dedup,
+    mixing,
+    ngram_join,
+    passage_dedup,
+    personal,
+    quality,
+    sharding,
+    toxicity,
+)
 from clauseflow.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

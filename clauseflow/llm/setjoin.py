@@ -11,10 +11,10 @@ ones held by at least a ``COMMON_SHARE`` of all entries, so their number is boun
 list may travel.  All other tokens go by their hash.  Any order gives the same links; this
 one keeps passages that many texts share out of most prefixes.
 
-Sets that meet in a prefix token are gathered around the token's smallest set, in chunks of
-bounded size that each hold it.  Where several chunks belong to one such group and links have
-not made all of it one component, chunks meet each other too, those of a single component
-excepted.
+A prefix token's sets gather around the smallest of them.  Each set is matched around its
+smallest such centre first, in chunks of bounded size.  Where links have not made all the
+sets around one centre a single component, they meet in blocks of bounded size, every block
+with every other, those of one and the same component excepted.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ SAMPLED = 0.4
 COMMON_SHARE = 1 / 400_000
 COMMON_LEAST = 64
 BUCKET_TOKENS = 1_500_000
+PART_SETS = 50_000
 CHUNK_SETS = 192
 CHUNK_TOKENS = 400_000
 FLUSH_TOKENS = 1 << 20
@@ -121,7 +122,19 @@ def _dealer(reader: Reader, buckets: int):
     return rows
 
 
-def _counting(common: int):
+def _summed(group: pa.Table) -> pa.Table:
+    """Of one part of the sets: how many tokens each has alone, over all buckets."""
+    names = np.frombuffer(b"".join(group.column("names").to_pylist()), np.int64)
+    alone = np.frombuffer(b"".join(group.column("alone").to_pylist()), np.int32)
+    order = np.argsort(names, kind="stable")
+    start = np.flatnonzero(np.append(True, names[order][1:] != names[order][:-1]))
+    return pa.table({
+        "fp": pa.array(names[order][start], pa.int64()),
+        "alone": pa.array(np.add.reduceat(alone[order].astype(np.int64), start), pa.int64()),
+    })
+
+
+def _counting(common: int, parts: int):
     """Of one bucket: how many tokens each set has alone, and the tokens held by many."""
 
     def rows(group: pa.Table) -> pa.Table:
@@ -141,11 +154,16 @@ def _counting(common: int):
         name, own = np.unique(owner[start[alone]], return_counts=True)
         often = total >= common
         short = tokens[start[often]] | np.uint64(group.column("bucket")[0].as_py() << 40)
-        m, k = len(name), len(short)
+        part = (name.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        each = [x for x in np.split(by, np.flatnonzero(np.diff(part[by])) + 1) if len(x)]
+        m, k = len(each), len(short)
         return pa.table({
-            "fp": pa.concat_arrays([pa.array(name, pa.int64()), pa.nulls(k, pa.int64())]),
+            "part": pa.concat_arrays([pa.array([int(part[x[0]]) for x in each], pa.int64()), pa.nulls(k, pa.int64())]),
+            "names": pa.array([name[x].tobytes() for x in each] + [None] * k, pa.binary()),
+            "alone": pa.array([own[x].astype(np.int32).tobytes() for x in each] + [None] * k, pa.binary()),
             "token": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(short.view(np.int64))]),
-            "m": pa.concat_arrays([pa.array(own, pa.int64()), pa.array(total[often], pa.int64())]),
+            "m": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(total[often], pa.int64())]),
         })
 
     return rows
@@ -224,17 +242,24 @@ def candidates(rows: DataFrame, reader: Reader, names: DataFrame, percent: int)
 
     ``rows`` is what ``reader`` reads; ``names`` has a row (key, fp, n, ...) per set.
     """
-    total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, sets = names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(COMMON_LEAST, int(total * SAMPLED * COMMON_SHARE))
     buckets = int(total * SAMPLED // BUCKET_TOKENS) + 1
     dealt = rows.mapInArrow(
         _dealer(reader, buckets), "bucket long, names binary, counts binary, single binary, shared binary, held binary"
     )
-    counted, path = saved(dealt.groupBy("bucket").applyInArrow(_counting(least), "fp long, token long, m long"), "counted")
+    counted, path = saved(
+        dealt.groupBy("bucket").applyInArrow(
+            _counting(least, sets // PART_SETS + 1), "part long, names binary, alone binary, token long, m long"
+        ),
+        "counted",
+    )
     # Bounded: a common token has COMMON_SHARE of all entries at least.
     common = counted.where("token is not null").select("token", "m").toArrow()
     order = _order(buckets, common.column("token").to_numpy().view(np.uint64), common.column("m").to_numpy())
-    alone = counted.where("fp is not null").groupBy("fp").agg(F.sum("m").alias("alone"))
+    alone = counted.where("part is not null").select("part", "names", "alone").groupBy("part").applyInArrow(
+        _summed, "fp long, alone long"
+    )
     spare = F.col("n") - F.ceil(F.col("n") * percent / 100)
     left, _ = saved(names.join(alone, "fp", "left").where(F.coalesce("alone", F.lit(0)) <= spare).drop("alone", "fp"), "candidates")
     remove(rows.sparkSession, path)
@@ -251,37 +276,43 @@ def links(sets: DataFrame, match: Match, percent: int) -> DataFrame:
     pivots = entries.groupBy("token").agg(F.min("key").alias("pivot"), F.max("key").alias("last"))
     pivots = pivots.where(F.col("pivot") != F.col("last")).select("token", "pivot")
     members, at_members = saved(entries.join(pivots, "token").select("pivot", "key", "n").distinct(), "members")
-    width = members.groupBy("pivot").agg(
-        F.greatest(
-            F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_TOKENS)
-        ).cast("int").alias("width")
-    )
-    chunked = members.join(width, "pivot").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("width")))
+    # Each set meets its smallest pivot first, which connects most copies of a text.
+    nearest = members.groupBy("key").agg(F.min("pivot").alias("pivot"), F.first("n").alias("n")).where("key != pivot")
+    first, _ = saved(_matched(_chunks(nearest), sets, match, percent), "links")
+    labels = components(first).withColumnRenamed("node", "key")
+    named = members.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    apart = named.groupBy("pivot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("pivot")
+    rest, at_rest = saved(named.join(apart, "pivot", "left_semi"), "unresolved")
+    if rest.limit(1).count():
+        more, _ = saved(_matched(_blocks(rest, percent), sets, match, percent), "links")
+        first = first.union(more)
+    remove(spark, at_members, at_rest)
+    return first
+
+
+def _width(count, tokens):
+    return F.greatest(F.ceil(count / CHUNK_SETS), F.ceil(tokens / CHUNK_TOKENS)).cast("int")
+
+
+def _chunks(members: DataFrame) -> DataFrame:
+    """(pivot, chunk, key): a pivot's sets in chunks of bounded size, each with the pivot."""
+    width = members.groupBy("pivot").agg(_width(F.count("*"), F.sum("n")).alias("width"))
+    placed = members.join(width, "pivot").select("pivot", F.pmod(F.xxhash64("key"), F.col("width")).alias("chunk"), "key")
     centres = width.select(
         "pivot", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("chunk"), F.col("pivot").alias("key")
     )
-    where = chunked.select("pivot", "chunk", "key").union(centres)
-    first, _ = saved(_matched(where, sets, match, percent), "links")
+    return placed.union(centres)
 
-    wide, at_wide = saved(chunked.where("width > 1").select("pivot", "key", "n"), "wide")
-    if wide.limit(1).count():
-        rest = _unresolved(wide, components(first), percent)
-        more, _ = saved(_matched(rest, sets, match, percent), "links")
-        first = first.union(more)
-    remove(spark, at_members, at_wide)
-    return first
 
+def _blocks(named: DataFrame, percent: int) -> DataFrame:
+    """(pivot, chunk, key): in each pivot's sets (pivot, key, n, root), block against block.
 
-def _unresolved(wide: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(pivot, chunk, key): groups of several chunks and components, chunk against chunk."""
-    named = wide.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_groups = named.groupBy("pivot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("pivot")
-    named = named.join(open_groups, "pivot", "left_semi")
-    share = F.greatest(F.ceil(F.sum("m") / CHUNK_SETS), F.ceil(F.sum("t") / CHUNK_TOKENS)).cast("int")
+    Large components have blocks of their own, which do not meet each other or themselves.
+    """
     by_root = named.groupBy("pivot", "root").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     large = (F.col("m") >= CHUNK_SETS) | (F.col("t") >= CHUNK_TOKENS)
     by_root = by_root.withColumn("own", F.when(large, F.hex("root")).otherwise(""))
-    sizes = by_root.groupBy("pivot", "own").agg(share.alias("width"))
+    sizes = by_root.groupBy("pivot", "own").agg(_width(F.sum("m"), F.sum("t")).alias("width"))
     owns = by_root.select("pivot", "root", "own").join(sizes, ["pivot", "own"])
     part = F.pmod(F.xxhash64("key"), F.col("width"))
     placed, _ = saved(

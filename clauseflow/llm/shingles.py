@@ -87,6 +87,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), counts
 
 
+def windows_of(texts: list[bytes], size: int = WORDS_PER_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, words of each text, hashes of ``size`` words from every word on)."""
+    words, counts = word_hashes(texts)
+    flat = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size):
+        flat += words[k : len(flat) + k] * _FACTORS[k]
+    return words, counts, mixed(flat)
+
+
+def sequence_key(words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+
+
 def shingle_sets(
     texts: list[bytes], size: int = WORDS_PER_SHINGLE
 ) -> Iterator[tuple[bytes | None, np.ndarray]]:
@@ -95,19 +108,15 @@ def shingle_sets(
     A text of fewer than ``size`` words has its whole sequence as one shingle; without a
     word it has the key None and no shingle.
     """
-    words, counts = word_hashes(texts)
-    ends = np.cumsum(counts)
-    flat = np.zeros(max(0, len(words) - size + 1), np.uint64)
-    for k in range(size):
-        flat += words[k : len(flat) + k] * _FACTORS[k]
-    flat = mixed(flat)
-    for n, end in zip(counts.tolist(), ends.tolist()):
+    words, counts, flat = windows_of(texts, size)
+    for n, end in zip(counts.tolist(), np.cumsum(counts).tolist()):
         if not n:
-            yield None, np.empty(0, np.uint64)
+            yield None, flat[:0]
             continue
         own = words[end - n : end]
-        key = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
         if n < size:
-            yield key, mixed((own * _FACTORS[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
+            yield sequence_key(own), mixed((own * _FACTORS[:n]).sum(keepdims=True, dtype=np.uint64) + np.uint64(n))
         else:
-            yield key, np.unique(flat[end - n : end - size + 1])
+            found = np.sort(flat[end - n : end - size + 1])
+            new = found[1:] != found[:-1]
+            yield sequence_key(own), found if new.all() else found[np.append(True, new)]

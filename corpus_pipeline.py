@@ -1,4 +1,8 @@
-"""A training corpus from ``documents``: five stages, each a table that the next one reads."""
+"""A training corpus from ``documents``: five stages, each a table that the next one reads.
+
+Every stage works on all that its predecessor kept and gives back the columns of the
+documents; the last adds each row's shard.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +10,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clauseflow.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from clauseflow.llm.base import saved, table
-from clauseflow.llm.ngram_join import keep_one
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.civil(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return keep_one(docs)
+    return ngram_join.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come in their target weights; a document comes as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ``shard``; equal texts share one."""
+    items, parcels = sharding.packing(docs)
+    return sharding.place(docs, items, parcels)
 
 
-STAGES: list[tuple[str, Stage]] = [("ngram_jaccard_join", near_duplicates)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
-ORACLE_SQL = None  # near copies and trained scores have no SQL
+ORACLE_SQL = None  # a trained score and transitive near copies are beyond one SQL statement
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
