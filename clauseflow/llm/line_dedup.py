@@ -54,7 +54,7 @@ def prefix_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             for at, token in enumerate(prefix):
                 index[token].append((i, at))
 
-    return setjoin.spanning(found(), len(sets))
+    return setjoin.stars(found(), len(sets))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

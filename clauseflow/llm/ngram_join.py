@@ -91,7 +91,7 @@ def tree_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                 yield i, j
             tree.add(small[i], i)
 
-    return setjoin.spanning(found(), len(small))
+    return setjoin.stars(found(), len(small))
 
 
 def _reader(size: int) -> setjoin.Reader:
@@ -115,19 +115,22 @@ def _namer(reader: setjoin.Reader):
     return rows
 
 
-def _orderer(reader: setjoin.Reader, percent: int, order):
+def _orderer(reader: setjoin.Reader, percent: int, shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, bits = shared.value
         for batch in batches:
-            data = [(k, setjoin.relabelled(s, order.value)) for k, s in reader(batch) if k is not None]
+            batch = setjoin.passing(batch, bits)
+            data = [(k, setjoin.relabelled(s, order)) for k, s in reader(batch)]
             first = [s[: setjoin.prefix_length(len(s), percent)].view(np.int64) for _, s in data]
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("doc"),
                     pa.array([k for k, _ in data], pa.binary()),
                     pa.array([len(s) for _, s in data], pa.int32()),
                     pa.array([s.tobytes() for _, s in data], pa.binary()),
                     pa.array(first, pa.list_(pa.int64())),
                 ],
-                ["key", "n", "tokens", "prefix"],
+                ["doc", "key", "n", "tokens", "prefix"],
             )
 
     return rows
@@ -158,15 +161,14 @@ def ngram_components(
     )
     one = names.where("key is not null").groupBy("key", "fp", "n").agg(F.min(F.struct("ref", "doc")).alias("one"))
     left, order = setjoin.candidates(rows.select("text"), reader, one, percent)
-    left = left.select(F.col("one.ref").alias("ref"), F.col("one.doc").alias("one"))
-    texts = rows.join(left, (rows["ref"] == left["ref"]) & rows["doc"].eqNullSafe(left["one"])).select("text")
-    sets, _ = saved(
-        texts.mapInArrow(
-            _orderer(reader, percent, spark.sparkContext.broadcast(order)),
-            "key binary, n int, tokens binary, prefix array<long>",
-        ),
-        "sets",
+    left = left.select(F.col("key").alias("of"), F.col("one.doc").alias("one"), F.col("one.ref").alias("ref"))
+    bits = setjoin.sieve(left.select(setjoin.spot("ref", "one").alias("spot")))
+    made = rows.select("doc", "text", setjoin.spot("ref", "doc").alias("spot")).mapInArrow(
+        _orderer(reader, percent, spark.sparkContext.broadcast((order, bits))),  # both of bounded size
+        f"doc {id_type}, key binary, n int, tokens binary, prefix array<long>",
     )
+    chosen = (F.col("key") == F.col("of")) & F.col("doc").eqNullSafe(F.col("one"))
+    sets, _ = saved(made.join(left, chosen, "left_semi").drop("doc"), "sets")
     roots = components(setjoin.links(sets, match, percent))
     keys = names.where("key is not null").groupBy("key").agg(F.min("doc").alias("first"))
     keys = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

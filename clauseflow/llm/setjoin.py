@@ -19,11 +19,12 @@ with every other, those of one and the same component excepted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseflow.llm.base import components, remove, saved
@@ -36,12 +37,14 @@ PART_SETS = 50_000
 CHUNK_SETS = 192
 CHUNK_TOKENS = 400_000
 FLUSH_TOKENS = 1 << 20
+SIEVE_BITS = 1 << 26  # 8 MB
+SEGMENT_BITS = 1 << 20
 
 _LOW = np.uint64((1 << 40) - 1)
 
 # (key of a set or None, its tokens: sorted distinct hashes) for every row of a batch.
 Reader = Callable[[pa.RecordBatch], Iterator[tuple[bytes | None, np.ndarray]]]
-# A chunk's sets (sizes, tokens in order) to the positions of sets that are to be linked.
+# A chunk's sets (tokens in order) and the percent to pairs of positions that connect what is similar.
 Match = Callable[[list[np.ndarray], int], list[tuple[int, int]]]
 
 def prefix_length(n: int, percent: int) -> int:
@@ -209,8 +212,8 @@ def _chunk_links(match: Match, percent: int):
     return rows
 
 
-def spanning(links: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """Of links among n things, those that join two components when they come."""
+def stars(links: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """Links among n things as (smallest, other) of each component, so that no chain is left."""
     parent = list(range(n))
 
     def top(x: int) -> int:
@@ -219,13 +222,10 @@ def spanning(links: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    out = []
     for i, j in links:
-        a, b = top(i), top(j)
-        if a != b:
-            parent[a] = b
-            out.append((i, j))
-    return out
+        a, b = sorted((top(i), top(j)))
+        parent[b] = a
+    return [(top(i), i) for i in range(n) if top(i) != i]
 
 
 def _matched(where: DataFrame, sets: DataFrame, match: Match, percent: int) -> DataFrame:
@@ -266,8 +266,37 @@ def candidates(rows: DataFrame, reader: Reader, names: DataFrame, percent: int)
     return left, order
 
 
+def spot(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SIEVE_BITS))
+
+
+def sieve(chosen: DataFrame) -> bytes:
+    """A bitmap of the ``spot`` of chosen rows: of fixed size, made in segments.
+
+    What it lets pass is a superset of the chosen rows; it only saves shuffling the rest.
+    """
+
+    def segment(group: pa.Table) -> pa.Table:
+        bits = np.zeros(SEGMENT_BITS, np.uint8)
+        bits[group.column("spot").to_numpy() % SEGMENT_BITS] = 1
+        at = group.column("segment")[0].as_py()
+        return pa.table({"segment": pa.array([at], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    placed = chosen.select("spot", F.floor(F.col("spot") / SEGMENT_BITS).alias("segment")).distinct()
+    parts = placed.groupBy("segment").applyInArrow(segment, "segment long, bits binary").collect()
+    whole = bytearray(SIEVE_BITS // 8)
+    for r in parts:
+        whole[r["segment"] * SEGMENT_BITS // 8 : (r["segment"] + 1) * SEGMENT_BITS // 8] = r["bits"]
+    return bytes(whole)
+
+
+def passing(batch: pa.RecordBatch, bits: bytes) -> pa.RecordBatch:
+    at = batch.column("spot").to_numpy()
+    return batch.filter(pa.array((np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+
 def links(sets: DataFrame, match: Match, percent: int) -> DataFrame:
-    """Spanning links (a, b) of the sets (key, n, tokens, prefix): all similar sets are connected.
+    """Pairs (a, b) of the sets (key, n, tokens, prefix) that connect all similar ones and no others.
 
     ``tokens`` are numbers in the common order, ``prefix`` the first of them as an array.
     """
@@ -307,19 +336,22 @@ def _chunks(members: DataFrame) -> DataFrame:
 def _blocks(named: DataFrame, percent: int) -> DataFrame:
     """(pivot, chunk, key): in each pivot's sets (pivot, key, n, root), block against block.
 
-    Large components have blocks of their own, which do not meet each other or themselves.
+    Blocks hold sets of similar size, so that few of them are worth meeting; large
+    components have blocks of their own, which do not meet themselves.
     """
-    by_root = named.groupBy("pivot", "root").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100)))
+    named = named.withColumn("band", band)
+    by_root = named.groupBy("pivot", "root", "band").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     large = (F.col("m") >= CHUNK_SETS) | (F.col("t") >= CHUNK_TOKENS)
     by_root = by_root.withColumn("own", F.when(large, F.hex("root")).otherwise(""))
-    sizes = by_root.groupBy("pivot", "own").agg(_width(F.sum("m"), F.sum("t")).alias("width"))
-    owns = by_root.select("pivot", "root", "own").join(sizes, ["pivot", "own"])
+    sizes = by_root.groupBy("pivot", "own", "band").agg(_width(F.sum("m"), F.sum("t")).alias("width"))
+    owns = by_root.select("pivot", "root", "own", "band").join(sizes, ["pivot", "own", "band"])
     part = F.pmod(F.xxhash64("key"), F.col("width"))
     placed, _ = saved(
-        named.join(owns, ["pivot", "root"]).select("pivot", "key", "n", "own", part.alias("part")), "placed"
+        named.join(owns, ["pivot", "root", "band"]).select("pivot", "key", "n", "own", "band", part.alias("part")), "placed"
     )
-    blocks = placed.groupBy("pivot", "own", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    blocks = blocks.withColumn("block", F.xxhash64("pivot", "own", "part"))
+    blocks = placed.groupBy("pivot", "own", "band", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    blocks = blocks.withColumn("block", F.xxhash64("pivot", "own", "band", "part"))
     other = blocks.select("pivot", *(F.col(c).alias(f"{c}_2") for c in ("own", "least", "most", "block")))
     pairs = blocks.join(other, "pivot").where(
         (F.col("block") <= F.col("block_2"))
@@ -328,4 +360,4 @@ def _blocks(named: DataFrame, percent: int) -> DataFrame:
         & (100 * F.col("most_2") >= percent * F.col("least"))
     ).select("pivot", "block", "block_2", F.xxhash64("block", "block_2").alias("chunk"))
     sides = pairs.select("pivot", "chunk", "block").union(pairs.select("pivot", "chunk", "block_2")).distinct()
-    return placed.withColumn("block", F.xxhash64("pivot", "own", "part")).join(sides, ["pivot", "block"]).select("pivot", "chunk", "key")
+    return placed.withColumn("block", F.xxhash64("pivot", "own", "band", "part")).join(sides, ["pivot", "block"]).select("pivot", "chunk", "key")

@@ -1,0 +1,431 @@
+"""Training-data operators on small inputs: against brute force, round trips and odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from clauseflow.llm import (
+    chat, decontaminate, line_dedup, mixing, ngram_join, passage_dedup, personal, quality, setjoin, sharding, toxicity,
+)
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+DOCS = "doc_id long, text string, source string, extra string, key string, n int, shard string, size string"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n))
+
+
+def odd_docs(spark, texts):
+    """Texts with awkward rows around them and columns whose names the operators use themselves."""
+    rows = [(k, t, f"src{k % 3}" if k % 5 else None, "x", "k", 1, "s", "z") for k, t in enumerate(texts)]
+    rows += [(None, texts[0], None, None, None, None, None, None), (rows[1][0], texts[1], rows[1][2], "x", "k", 1, "s", "z")]
+    rows += [(900, None, "src0", "x", "k", 1, "s", "z"), (901, "", "src0", None, "k", 1, "s", "z"), (902, " \n\t", None, "x", "k", 1, "s", "z")]
+    return spark.createDataFrame(rows, DOCS), rows
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    out = [prose(rng, rng.randrange(6, 90)) for _ in range(25)]
+    for base in list(out[:8]):
+        words = base.split()
+        for _ in range(3):
+            copy = list(words)
+            copy[rng.randrange(len(copy))] = "changed"
+            out.append(" ".join(copy))
+    return [*out, out[3].upper(), "three short words", "Three  short words", "a" * 5000, prose(rng, 6000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return odd_docs(spark, texts)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+
+
+def brute_components(sets):
+    """Names of components of similar sets, {position: smallest position}."""
+    root = list(range(len(sets)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= 75 * (len(a) + len(sets[j]) - both):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return [top(i) for i in range(len(sets))]
+
+
+# ------------------------------------------------------------------ 7 and 8
+def test_ngram_components_equal_brute_force(docs):
+    df, rows = docs
+    roots = brute_components([shingles(r[1]) for r in rows])
+    members = {}
+    for k, r in enumerate(roots):
+        members.setdefault(r, []).append(rows[k][0])
+    want = sorted(
+        (str(rows[k][0]), len(shingles(rows[k][1])), str(min((x for x in members[r] if x is not None), default=None)))
+        for k, r in enumerate(roots)
+    )
+    got = sorted((str(r[0]), r[1], str(r[2])) for r in ngram_join.ngram_components(df).collect())
+    assert got == want
+
+
+def test_ngram_components_by_wide_groups(spark, monkeypatch):
+    """Small chunks, so that groups need several and meet block by block."""
+    monkeypatch.setattr(setjoin, "CHUNK_SETS", 4)
+    monkeypatch.setattr(setjoin, "COMMON_LEAST", 3)
+    rng = random.Random(9)
+    passage = prose(rng, 40).split()
+    texts = []
+    for k in range(60):
+        words = passage[: rng.randrange(25, 41)] + [f"own{k}x{i}" for i in range(rng.randrange(0, 14))]
+        texts.append(" ".join(words))
+    roots = brute_components([shingles(t) for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: r[2] for r in ngram_join.ngram_components(df).collect()}
+    assert got == dict(enumerate(roots))
+
+
+def test_keep_one_keeps_clean_rows_and_columns(docs):
+    df, rows = docs
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert {900, 901, 902} <= set(ids) and None not in ids and ids.count(1) == 2
+
+
+def test_repeated_lines_equal_brute_force(spark, texts):
+    docs = [(k, "\n".join([texts[k], "", texts[(k * 7) % 20], "short line"])) for k in range(20)] + [(20, None), (21, "")]
+    lines = [(d, i, x) for d, t in docs if t for i, x in enumerate(t.split("\n")) if x.strip()]
+    roots = brute_components([shingles(x) for _, _, x in lines])
+    want = sorted((*lines[k][:2], *lines[r][:2]) for k, r in enumerate(roots) if k != r)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.repeated_lines(df).collect())) == want
+
+
+@pytest.mark.parametrize("match", [ngram_join.tree_links, line_dedup.prefix_links, passage_dedup.jaccard_links])
+def test_matchers_connect_what_is_similar(match):
+    import numpy as np
+
+    rng = random.Random(3)
+    base = [sorted(rng.sample(range(400), 40)) for _ in range(6)]
+    sets = [np.array(sorted(set(b) - set(rng.sample(b, k)) | set(rng.sample(range(400), k))), np.uint64) for b in base for k in (0, 0, 1, 3, 5, 9)]
+    want = brute_components([frozenset(s.tolist()) for s in sets])
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, j in match(sets, 75):
+            root[i] = root[j] = min(root[i], root[j])
+    assert root == want
+
+
+# ------------------------------------------------------------------------ 2
+def test_repeated_passages(spark, texts):
+    rng = random.Random(11)
+    passage = prose(rng, 60)
+    near = passage.replace(passage.split()[30], "other", 1)
+    rows = [(0, f"{texts[0]}\n{passage}"), (1, f"{passage}\n{prose(rng, 40)}"), (2, near), (3, prose(rng, 60)), (4, None), (5, "short line\nshort line")]
+    got = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.paragraph, r.removed) for r in got) == [(0, 1, False), (1, 0, True), (2, 0, True)]
+    assert {(r.kept_doc_id, r.kept_paragraph) for r in got} == {(0, 1)}
+
+
+# ------------------------------------------------------------------------ 1
+def test_best_fit_takes_the_tightest_shard():
+    assert sharding.best_fit_decreasing([6, 5, 4, 3, 2], 10) == [0, 1, 0, 1, 1]
+    assert sharding.best_fit_decreasing([25, 5], 10) == [0, 1]
+    rng = random.Random(1)
+    sizes = sorted((rng.randrange(1, 90) for _ in range(800)), reverse=True)
+    room: dict[int, int] = {}
+    for size, shard in zip(sizes, sharding.best_fit_decreasing(sizes, 100)):
+        fits = [r for r in room.values() if r >= size]
+        assert room.get(shard, 100) == (min(fits) if fits else 100)
+        room[shard] = room.get(shard, 100) - size
+
+
+def test_shards_are_even_gapless_and_keep_copies_together(docs):
+    df, rows = docs
+    got = sharding.shard(df, shards=3).collect()
+    assert len(got) == len(rows)
+    shards = {}
+    for r in got:
+        shards.setdefault(r["shard"], []).append(r)
+    assert all(sorted(r["slot"] for r in s) == list(range(len(s))) for s in shards.values())
+    home = {}
+    for r in got:
+        assert home.setdefault((r["size"], r["text_crc32"]), r["shard"]) == r["shard"]
+    by_id = {r[0]: r for r in rows}
+    for r in got:
+        data = (by_id[r["doc_id"]][1] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+
+
+def test_place_keeps_columns(docs):
+    df, rows = docs
+    items, parcels = sharding.packing(df, shards=4)
+    out = sharding.place(df, items, parcels, out="bin")
+    assert out.columns == [*df.columns, "bin"] and out.where("bin is null").count() == 0 and out.count() == len(rows)
+
+
+# ----------------------------------------------------------------------- 10
+def test_mix_meets_targets(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(["w"] * rng.randrange(0, 40)), None if k % 11 == 0 else f"s{k % 4}") for k in range(900)]
+    df = spark.createDataFrame([*rows, (900, None, "s1"), rows[5], rows[5]], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()), key=str)
+    by = {}
+    for r in got:
+        assert r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"]
+        by.setdefault(r["source"], []).append(r)
+    names = sorted((s for s in by if s is not None)) + [None]
+    sizes = {s: sum(r["size"] for r in by[s]) for s in names}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    free, level, left = set(names), 0.0, 1.5 * sum(sizes.values())
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            break
+        left -= sum(2 * sizes[s] for s in over)
+        free -= over
+    for s in names:
+        want = level * weight[s] if s in free else 2 * sizes[s]
+        assert by[s][0]["target"] == pytest.approx(want) and by[s][0]["source_size"] == sizes[s]
+        assert abs(sum(r["taken"] for r in by[s]) - want) <= 3
+
+
+def test_mixed_rows_are_whole_copies(docs):
+    df, rows = docs
+    counts = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix(df).collect()}
+    out = mixing.mixed_rows(df)
+    assert out.columns == df.columns
+    assert out.count() == sum(counts[r[0], len((r[1] or "").split())] for r in rows)
+
+
+# ------------------------------------------------------------------------ 4
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def edited(rng, text, n):
+    for _ in range(n):
+        at = rng.randrange(len(text))
+        text = rng.choice([text[:at] + text[at + 1 :], text[:at] + "q" + text[at:], text[:at] + "z" + text[at + 1 :]])
+    return text
+
+
+def test_leaks_with_edits_are_found_and_clean_texts_are_not(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 12 + 8 * k)) for k in range(4)] + [(9, "tiny"), (10, None), (11, "")]
+    docs = [(k, prose(rng, 150)) for k in range(6)]
+    want = set()
+    for item, text in items[:4]:
+        for n in (0, 3, decontaminate.budget(min(len(text), 120))):
+            docs.append((100 * item + n + 10, f"{prose(rng, 30)}\n{edited(rng, text.upper(), n)} {prose(rng, 20)}"))
+            want.add((100 * item + n + 10, item))
+    docs += [(5000, None), (5001, ""), (None, items[2][1]), (5002, " ".join([prose(rng, 400_00), items[1][1], prose(rng, 9)]))]
+    want |= {(None, 2), (5002, 1)}
+    found = decontaminate.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+
+
+def test_banded_alignment_equals_the_full_one():
+    rng = random.Random(4)
+    for _ in range(60):
+        pattern = "".join(rng.choice("abcd") for _ in range(rng.randrange(16, 60)))
+        copy = edited(rng, pattern, rng.randrange(0, 4))
+        text = f"{'x' * rng.randrange(9)}{copy}{'y' * rng.randrange(9)}"
+        low = text.index(copy[:3]) if copy[:3] in text else 0
+        best = min(edit_distance(pattern, text[i:j]) for i in range(len(text)) for j in range(i, len(text) + 1) if abs(j - i - len(pattern)) <= 4)
+        got = decontaminate.banded(pattern.encode(), text.encode(), low - 4, low + 4, 4)
+        assert got == best if best <= 4 else got > 4
+
+
+# ------------------------------------------------------------------------ 6
+def test_automaton_equals_edit_distance():
+    terms = ["idiot", "pathetic", "worthless", "scum", "disgusting"]
+    automaton = toxicity.TermAutomaton(terms, ["lowei"])
+    rng = random.Random(6)
+
+    def near(word, term):
+        k = toxicity.edits_of(term)
+        if edit_distance(word, term) <= k:
+            return True
+        swaps = (word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1))
+        return k > 0 and any(edit_distance(s, term) <= k - 1 for s in swaps)
+
+    for _ in range(3000):
+        word = edited(rng, rng.choice(terms), rng.randrange(0, 4))
+        found = automaton.match(word)
+        assert (found is not None) == any(near(word, t) for t in terms), word
+        if word in terms:
+            assert found == (word, "exact")
+    assert automaton.match("loweitum") == ("lowei", "stem") and automaton.match("lowed") is None
+
+
+def test_quotation_is_told_from_abuse():
+    hits = toxicity.Hits(toxicity.TermAutomaton(["idiot"], []))
+    assert dict(hits.of('she said "what an idiot" and left')) == {("idiot", "exact", "quoted"): 1}
+    assert dict(hits.of("you are an idiot")) == {("idiot", "exact", "aimed"): 1}
+    assert dict(hits.of("what an IDIOT!")) == {("idiot", "exact", "open"): 1}
+    assert not hits.of(None) and not hits.of("")
+
+
+def test_toxicity_learns_terms_and_scores_held_out_texts(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for k in range(400):
+        toxic = k % 4 == 0
+        words = prose(rng, 30).split()
+        if toxic:
+            for at in (3, 17):
+                words[at] = rng.choice(["grumbak", "vexol" + rng.choice(["a", "en", "ito", "urs"])])
+        rows.append((k, " ".join(words), "x"))
+        labels.append((k, 0, int(toxic)))
+    rows += [(1000, None, "x"), (1001, "", "x"), (None, rows[0][1], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    for r in got:
+        if r["doc_id"] is not None and r["doc_id"] < 400:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+            assert r["predicted"] == int(r["doc_id"] % 4 == 0)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["predicted"] for r in toxicity.toxicity(docs.limit(3), none).collect()} == {0}
+
+
+# ------------------------------------------------------------------------ 9
+def test_base_patterns_equal_plain_regular_expressions():
+    rng = random.Random(7)
+    alphabet = ["1", "23", "4539 1488 0343 6467", ".", "@", "a", "b.c", "-", "+", " ", "(", ")", "255", "300", "é", "_", "%"]
+
+    def plain(text):
+        out = [("email", m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+            if all(int(p) <= 255 for p in m[0].split(".")):
+                out.append(("ip", m.span()))
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if 12 <= len(digits) <= 19 and personal.luhn(digits):
+                out.append(("card", m.span()))
+        for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+            if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+                out.append(("phone", m.span()))
+        return sorted(out, key=lambda s: (s[1][0], personal.KINDS.index(s[0])))
+
+    for _ in range(4000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 24)))
+        assert [(personal.KINDS[k], (a, b)) for a, b, k in personal.base_spans(text)] == plain(text), text
+
+
+def test_field_adds_what_patterns_run_together():
+    samples = []
+    for text in ("a 4539148803436467 b", "c +1 (017) 555-7713 d", "e 10.20.30.40 f", "g john@example.com h", 'token = "04dbebab91ab85687d33eeaaf9ac699e"'):
+        for start, region, before in personal.regions(text):
+            gold = [(a - start, b - start, k) for a, b, k in personal.gold_spans(text) if a >= start]
+            samples.append((region, before, gold))
+    weights = personal.train(samples * 3)
+    text = "4539148803436467 4539148803436467 and +1 (826) 555-4081 190.137.223.204"
+    base = personal.base_spans(text)
+    assert [k for _, _, k in base] == [1]
+    assert [(text[a:b], k) for a, b, k in personal.added_spans(text, base, weights)] == [
+        ("4539148803436467", 2), ("4539148803436467", 2), ("+1 (826) 555-4081", 3)
+    ]
+    assert personal.added_spans("version 2.0 of 1999 and 3.14159", [], weights) == []
+
+
+def test_personal_data_of_odd_rows(docs):
+    df, rows = docs
+    got = personal.personal_data(df).collect()
+    assert len(got) == len(rows)
+    assert {r["base_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
+
+
+# ------------------------------------------------------------------------ 3
+@pytest.mark.parametrize("text", ["", "plain", chat.CONTROL, "\\", "\\\\[INST]", "[\\INST]", "<</SYS>>\\</s>", "é 漢字 \U0001f600", "[[INST]]"])
+def test_escape_round_trip(text):
+    assert chat.unescape(chat.escape(text)) == text
+    assert not any(m in chat.escape(text) for m in chat.MARKS)
+
+
+def test_chat_digests_equal_plain_ones(spark):
+    turns = [
+        (1, 0, "system", "be \\ nice"), (1, 1, "user", chat.CONTROL), (1, 2, "assistant", chat.CONTROL), (1, 3, "assistant", "two"),
+        (2, 0, "critic", "a [ROLE] b"), (2, 1, None, None), (3, 0, "assistant", ""), (None, 0, "user", "x"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(df)).collect()}
+    assert set(got) == {1, 2, 3, None}
+    for conv, r in got.items():
+        own = [(role or "", text or "") for c, _, role, text in turns if c == conv]
+        said = "".join(t for role, t in own if role == "assistant")
+        assert r["n_turns"] == len(own)
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    starts = {(r["conv_id"], r["turn"]): r for r in chat.format_chats(df).collect()}
+    assert starts[1, 3]["start"] == sum(starts[1, t]["n_tokens"] for t in range(3))
+    assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
+
+
+# ------------------------------------------------------------------------ 5
+def test_quality_counts_equal_brute_force(spark, texts):
+    rng = random.Random(13)
+    rows = [(k, t, "h") for k, t in enumerate(texts)]
+    rows += [(100, "a b c d e a b c d e\na b\na b\n \nA b", "h"), (101, None, "h"), (102, "", None), (103, "x#*$ % | <y>&", "h")]
+    rows += [(200 + k, f"{prose(rng, 12)}\nCommon  line {k} here", "g") for k in range(30)]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(got) == len(rows)
+    for doc, text, _ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        repeated = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)} if len(windows) < 500 else set()
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        r = got[doc]
+        assert (r["n_words"], r["word_chars"]) == (len(words), sum(map(len, words)))
+        assert r["n_repeat_words"] == len(repeated), text
+        assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in text or "")
+        assert r["n_removed_words"] == (4 if doc >= 200 else 0)
+
+
+# ------------------------------------------------------------- empty tables
+def test_empty_tables_give_no_rows(spark):
+    none = empty(spark)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for df in (
+        ngram_join.ngram_components(none), line_dedup.repeated_lines(none), passage_dedup.repeated_passages(none),
+        sharding.shard(none), mixing.mix(none), mixing.mixed_rows(none), decontaminate.leaks(none, bench),
+        decontaminate.without_leaks(none, bench), toxicity.toxicity(none, labels), toxicity.civil(none, labels),
+        personal.personal_data(none), quality.quality(none), ngram_join.keep_one(none),
+    ):
+        assert df.count() == 0
