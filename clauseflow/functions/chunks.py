@@ -21,9 +21,11 @@ _WS, _D = V.WS, r"\p{Nd}"
 # (?m) line anchors, (?d) only \n ends a line.
 BEFORE_ARTICLE = f"(?=제{_WS}*{_D}+{_WS}*조)"
 BEFORE_OUTLINE = rf"(?md)(?=^{V.SECTION_NUMBER}{_WS}+.+$)"
-BEFORE_GUIDELINE = rf"(?md)(?=^{_WS}*{_D}+\.{_WS}+.+$)"
-
 _BLANK = V.WS_IN_LINE
+# White space before the number stays in its line: blank lines above it belong to the cut
+# part's end and are stripped there, and are not tried again from each of them.
+BEFORE_GUIDELINE = rf"(?md)(?=^{_BLANK}*{_D}+\.{_WS}+.+$)"
+
 _INK = V.NON_WS
 
 
@@ -35,7 +37,7 @@ def split_before(text: Column, pattern: str) -> Column:
     return _kept(F.split(text, pattern))
 
 
-def split_headings(text: Column) -> Column:
+def split_headings(text: Column, min_chars: int = V.HEADING_MIN_CHARS, max_chars: int = V.HEADING_MAX_CHARS) -> Column:
     """Sections opened by heading lines, each as ``[heading]`` newline body.
 
     A heading is a short line without a sentence ending.  The newline in front of it
@@ -43,7 +45,7 @@ def split_headings(text: Column) -> Column:
     in the body, where it is read back as the label.
     """
     endings = "".join(re.escape(e) for e in V.HEADING_ENDINGS)
-    low, high = V.HEADING_MIN_CHARS - 2, V.HEADING_MAX_CHARS - 2
+    low, high = min_chars - 2, max_chars - 2
     cut = (
         rf"\n(?={_BLANK}*{_INK}[^\n]{{{low},{high}}}(?![{endings}]){_INK}{_BLANK}*(?:\n|\z))"
     )
@@ -68,10 +70,19 @@ def enough(parts: Column, min_parts: int = V.MIN_PARTS) -> Column:
 
 
 def fixed_windows(text: Column, size: int = V.WINDOW_CHARS, overlap: int = V.WINDOW_OVERLAP) -> Column:
-    """Windows of a fixed width that ignore word and line ends."""
-    last = F.greatest(F.length(text) - (overlap + 1), F.lit(0))
-    starts = F.sequence(F.lit(0), last, F.lit(size - overlap))
-    return _kept(F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size))))
+    """Windows of a fixed width that ignore word and line ends.
+
+    The text is cut once into pieces of the step between windows; a window is a piece and
+    the opening of those behind it, so the cost follows the length.
+    """
+    step = size - overlap
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    count = F.floor(F.greatest(F.length(text) - (overlap + 1), F.lit(0)) / step).cast("int") + 1
+    joined = pieces
+    for k in range(1, -(-overlap // step) + 1):
+        behind = F.slice(pieces, F.lit(k + 1), F.greatest(F.size(pieces), F.lit(0)))
+        joined = F.zip_with(joined, behind, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return _kept(F.slice(F.transform(joined, lambda p: F.substring(p, 1, size)), F.lit(1), count))
 
 
 def _runs(text: str, lo: int, hi: int, separators: Sequence[str], size: int) -> Iterator[list[int]]:
@@ -174,43 +185,48 @@ def split_long(parts: Column, mode: str = "recursive", max_chars: int = V.LONG_C
     ))
 
 
+def _merged(parts: Sequence[str], min_chars: int) -> list[str]:
+    done: list[str] = []
+    waiting: list[str] = []
+    size = 0
+    for part in parts:
+        grown = size + len(part) + (1 if waiting else 0)
+        if len(part) >= min_chars:
+            if waiting:
+                done.append("\n".join(waiting))
+            done.append(part)
+            waiting, size = [], 0
+        elif grown >= min_chars:
+            done.append("\n".join([*waiting, part]))
+            waiting, size = [], 0
+        else:
+            waiting.append(part)
+            size = grown
+    if waiting:
+        rest = "\n".join(waiting)
+        if done:
+            done[-1] = f"{done[-1]}\n{rest}"
+        else:
+            done.append(rest)
+    return done
+
+
+def _merge_udf(min_chars: int):
+    @F.pandas_udf("array<string>")
+    def merge(lists: pd.Series) -> pd.Series:
+        out = [None if parts is None else _merged(parts, min_chars) for parts in lists]
+        return pd.Series(out, index=lists.index, dtype=object)
+
+    return merge
+
+
 def merge_short(parts: Column, min_chars: int = V.SHORT_CHUNK_CHARS) -> Column:
     """Fold short parts together until they reach ``min_chars``.
 
     A part that is long enough closes the open buffer and stands alone; what is left
-    at the end joins the last chunk, or stands alone if there is none.
+    at the end joins the last chunk, or stands alone if there is none.  A fold in the
+    JVM copies what it has at every part; arrays with a short part go to Python, which
+    passes over them once, and all others never leave the JVM.
     """
-    none = F.array().cast("array<string>")
-
-    def joined(buffer, part):
-        return F.when(buffer == "", part).otherwise(F.concat(buffer, F.lit("\n"), part))
-
-    def step(state, part):
-        open_, done = state["open"], state["done"]
-        grown = joined(open_, part)
-        closed = F.when(open_ == "", done).otherwise(F.concat(done, F.array(open_)))
-        return (
-            F.when(
-                F.length(part) >= min_chars,
-                F.struct(F.concat(closed, F.array(part)).alias("done"), F.lit("").alias("open")),
-            )
-            .when(
-                F.length(grown) >= min_chars,
-                F.struct(F.concat(done, F.array(grown)).alias("done"), F.lit("").alias("open")),
-            )
-            .otherwise(F.struct(done.alias("done"), grown.alias("open")))
-        )
-
-    def finish(state):
-        open_, done = state["open"], state["done"]
-        return (
-            F.when(open_ == "", done)
-            .when(F.size(done) == 0, F.array(open_))
-            .otherwise(F.concat(
-                F.slice(done, F.lit(1), F.size(done) - 1),
-                F.array(F.concat(F.try_element_at(done, F.lit(-1)), F.lit("\n"), open_)),
-            ))
-        )
-
-    start = F.struct(none.alias("done"), F.lit("").alias("open"))
-    return F.aggregate(parts, start, step, finish)
+    touched = F.exists(parts, lambda p: F.length(p) < min_chars)
+    return F.coalesce(_merge_udf(min_chars)(F.when(touched, parts)), parts)

@@ -61,11 +61,18 @@ def is_usable_url(
     return is_web_url(url) & ~hit
 
 
-def is_policy_page(final_url: Column, title: Column, text: Column, keywords: Iterable[str]) -> Column:
-    """A policy keyword in URL, title or the opening text, and a body of some length."""
+def is_policy_page(
+    final_url: Column, title: Column, text: Column, keywords: Iterable[str],
+    evidence_chars: int | None = None, min_chars: int = V.MIN_BODY_CHARS,
+) -> Column:
+    """A policy keyword in URL, title or text, and a body of some length.
+
+    ``evidence_chars`` looks at the opening of the text only; ``EVIDENCE_TEXT_CHARS`` is
+    the value that a page check with a bounded cost per page uses.
+    """
+    opening = text if evidence_chars is None else F.substring(text, 1, evidence_chars)
     evidence = F.lower(F.concat_ws(
-        "\n", final_url, F.coalesce(title, F.lit("")),
-        F.substring(text, 1, V.EVIDENCE_TEXT_CHARS),
+        "\n", final_url, F.coalesce(title, F.lit("")), opening,
     ))
-    long_enough = F.length(strip(text)) >= V.MIN_BODY_CHARS
+    long_enough = F.length(strip(text)) >= min_chars
     return long_enough & contains_any(evidence, [k.lower() for k in keywords])

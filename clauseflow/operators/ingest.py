@@ -51,14 +51,17 @@ def unchanged(batch: DataFrame, stored: DataFrame, version: int = V.INGEST_SCHEM
 def winners(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """For each (service, hash) of the batch the one source that may be stored, if any.
 
-    With no stored copy that is the first of the batch; with one stored copy only that
+    With no stored copy that is the first of the batch, by ``position`` where it has one and
+    else by source; with one stored copy only that
     source itself; with several, none.  Both sides are partial aggregates, so a text
     that was copied a billion times shuffles as one row per task, and a later join
     can use the unique ``source``.
     """
     keys = ["service_name", "document_hash"]
-    new = batch.groupBy(*keys).agg(F.min("source").alias("_first"))
-    old = stored.groupBy(*keys).agg(F.min("source").alias("_low"), F.max("source").alias("_high"))
+    first = F.min("source") if "position" not in batch.columns else F.min_by("source", F.struct("position", "source"))
+    new = batch.groupBy(*keys).agg(first.alias("_first"))
+    # Only what the batch asks for is gathered, however large the store is.
+    old = stored.join(new.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("source").alias("_low"), F.max("source").alias("_high"))
     winner = F.when(F.col("_low").isNull(), F.col("_first")).when(
         F.col("_low") == F.col("_high"), F.col("_low")
     )
@@ -69,13 +72,14 @@ def judge(batch: DataFrame, stored: DataFrame, version: int = V.INGEST_SCHEMA_VE
     """Adds ``outcome``: new, unchanged, duplicate or empty.
 
     ``batch`` has one narrow row per source: source, service_name and document_hash
-    (null for blank text).  It is read twice, so it should be a written table and not
+    (null for blank text), and optionally ``position``.  It is read twice, so it should be a written table and not
     the hashing itself.  All joins include the unique source, so copies skew none.
     """
     hashed = batch.where(F.col("document_hash").isNotNull())
     best = winners(hashed, stored).withColumn("_wins", F.lit(True))
     same = (
         stored.where(F.col("ingest_schema_version") == version)
+        .join(hashed.select("source", "document_hash"), ["source", "document_hash"], "left_semi")
         .select("source", "document_hash", F.lit(True).alias("_same")).distinct()
     )
     outcome = (
@@ -96,7 +100,8 @@ def hashes(docs: DataFrame) -> DataFrame:
     """The narrow rows that ``judge`` takes."""
     blank = tx.is_blank(F.col("text"))
     digest = F.when(~blank, tx.document_hash(tx.clean_text(F.col("text"))))
-    return docs.select("source", "service_name", digest.alias("document_hash"))
+    order = [c for c in ("position",) if c in docs.columns]
+    return docs.select("source", "service_name", digest.alias("document_hash"), *order)
 
 
 def chunk_rows(docs: DataFrame, mode: str = "recursive") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -20,7 +20,8 @@ from clauseflow import vocab as V
 from clauseflow.functions import names, text as tx
 
 # Up to this many vector cells the questions travel to every task; 16 million
-# floats are 64 MB.  Beyond it both sides are cut into blocks and shuffled.
+# numbers are 128 MB.  Beyond it both sides are cut into blocks and shuffled; both ways
+# compute every distance alike, so the rows are the same.
 BROADCAST_CELLS = 16_000_000
 BLOCK_CHUNKS = 100_000
 BLOCK_QUESTIONS = 20_000
@@ -34,29 +35,38 @@ def by_type(chunks: DataFrame, doc_types: Sequence[str] | None) -> DataFrame:
 
 
 def by_service(chunks: DataFrame, service: str | None) -> DataFrame:
-    """One service under either of its spellings."""
+    """One service under any of its spellings; letter case of a known one does not matter."""
     if not service:
         return chunks
-    alias = V.SERVICE_ALIASES.get(service.lower())
-    return chunks.where(F.col("service_name").isin(*[n for n in (service, alias) if n]))
+    alias = V.SERVICE_ALIASES.get(service.strip().lower())
+    spellings = {service, alias, V.SERVICE_ALIASES.get(alias or "")}
+    return chunks.where(F.col("service_name").isin(*sorted(n for n in spellings if n)))
 
 
 def service_scopes(questions: DataFrame) -> DataFrame:
     """(question_id, scope) for every spelling of the question's service.
 
-    A question without a service gets no scope and so sees no service's terms.
+    A known service is looked up under its canonical name and that name's alias, however
+    the question spells it.  A question without a service gets no scope and so sees no
+    service's terms.
     """
-    return questions.select(
-        "question_id", F.explode(names.alias_names(F.col("service_name"))).alias("scope")
-    )
+    asked = F.col("service_name")
+    spellings = F.array_distinct(F.concat(
+        names.alias_names(names.canonical_name(asked)), names.alias_names(asked)
+    ))
+    return questions.select("question_id", F.explode(spellings).alias("scope"))
 
 
 # ------------------------------------------------------- exact nearest pool
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows; all must have the width of the first and no null cell."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if len(widths) and (flat.null_count or (widths != widths[0]).any()):
+        raise ValueError("vectors of different widths or with null cells cannot be compared")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]  # question row, chunk id, distance
@@ -148,10 +158,9 @@ def _pool_with_sent_questions(questions: DataFrame, chunks: DataFrame, pool: int
     arrow = to_arrow_schema(schema)
     by_scope: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     if len(sent):
-        ids, vectors = _ids(sent.column("question_id")), _matrix(sent.column("vector")).astype(np.float32)
+        ids, vectors = _ids(sent.column("question_id")), _matrix(sent.column("vector"))
         by_scope = {scope: (ids[at], vectors[at]) for scope, at in _places(sent.column("scope")).items()}
     shared = chunks.sparkSession.sparkContext.broadcast(by_scope)
-    wanted = list(by_scope)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What is kept between batches is ``pool`` ids per question, not vectors.
@@ -168,7 +177,8 @@ def _pool_with_sent_questions(questions: DataFrame, chunks: DataFrame, pool: int
         for scope, hits in best.items():
             yield from _table(shared.value[scope][0], hits, arrow).to_batches()
 
-    narrow = chunks.where(F.col("scope").isin(*wanted)) if len(wanted) <= 200 else chunks
+    wanted = questions.select("scope").distinct()
+    narrow = chunks.select("chunk_id", "scope", "vector").join(wanted, "scope", "left_semi")
     return narrow.select("chunk_id", "scope", "vector").mapInArrow(search, schema)
 
 
@@ -226,9 +236,12 @@ def nearest(
 
     questions(question_id, scope, vector), chunks(chunk_id, scope, vector); a question
     with several scopes has several rows.  ``distance`` is the squared Euclidean one.
+    Rows without a vector or scope are found by no question and find nothing.
     Filters belong before this: a pool that is filtered afterwards is another result.
     """
     schema = _hit_schema(questions, chunks)
+    questions = questions.where("scope is not null and vector is not null")
+    chunks = chunks.where("scope is not null and vector is not null")
     cells = questions.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0
     if cells <= broadcast_cells:
         found = _pool_with_sent_questions(questions, chunks, pool, schema)
@@ -309,9 +322,16 @@ def drop_other_services(hits: DataFrame, known: Sequence[str] = V.KNOWN_SERVICE_
 
 
 # ------------------------------------------------------------------- render
+def plain_number(value: Column) -> Column:
+    """A number in plain decimal form down to 0.0001 and below 1e16, as it is read by people."""
+    size = F.abs(value)
+    plain = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when((size >= 1e-4) & (size < 1e16) | (size == 0), plain).otherwise(F.lower(value.cast("string")))
+
+
 def render(hits: DataFrame, questions: DataFrame, score_format: str | None = None) -> DataFrame:
     """One text block per question; at most the top-n rows of a question are gathered."""
-    score = F.col("score").cast("string") if score_format is None else F.format_string(score_format, "score")
+    score = plain_number(F.col("score")) if score_format is None else F.format_string(score_format, "score")
     block = F.concat(
         F.lit("[근거 "), F.col("rank").cast("string"),
         F.lit("]\n내용: "), F.coalesce("document", F.lit("")),
@@ -347,7 +367,7 @@ def reference_context(questions: DataFrame, chunks: DataFrame, n: int = V.REFERE
                       doc_types: Sequence[str] = V.REFERENCE_TYPES) -> DataFrame:
     """Reference hits without other services' examples, ranked anew."""
     hits = search_reference(questions, chunks, n, doc_types=doc_types).join(
-        questions.select("question_id", F.col("service_name").alias("asked_service")), "question_id"
+        questions.select("question_id", names.canonical_name(F.col("service_name")).alias("asked_service")), "question_id"
     )
     return top(drop_other_services(hits, known).drop("rank"), n, "score", "distance", "chunk_id")
 

@@ -39,10 +39,10 @@ def apply_improvement(runs: DataFrame, instructions: DataFrame) -> DataFrame:
     )
 
 
-def log_rows(runs: DataFrame, stage: str, *details: str) -> DataFrame:
+def log_rows(runs: DataFrame, stage: str, *details: str, preview_chars: int = V.PREVIEW_CHARS) -> DataFrame:
     """Round-log rows of one stage; contexts are kept as a preview."""
     wide = [
-        F.substring(c, 1, V.PREVIEW_CHARS).alias(f"{c}_preview") if c.endswith("_context") else F.col(c)
+        F.substring(c, 1, preview_chars).alias(f"{c}_preview") if c.endswith("_context") else F.col(c)
         for c in details
     ]
     return runs.select("run_id", F.lit(stage).alias("stage"), "retry_count", *wide)

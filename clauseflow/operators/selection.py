@@ -86,15 +86,19 @@ def resolve_domains(services: DataFrame, discovered: DataFrame | None = None) ->
     )).drop("_found")
 
 
-def search_candidates(results: DataFrame, limit: int = V.MAX_SEARCH_URLS) -> DataFrame:
-    """(service_name, kind, domain, url, rank): distinct in-domain URLs in rank order."""
+def search_candidates(results: DataFrame, limit: int | None = None) -> DataFrame:
+    """(service_name, kind, domain, url, rank): distinct in-domain URLs in rank order.
+
+    All of them, unless a ``limit`` per service and kind is asked for.
+    """
     keys = ["service_name", "kind"]
     first = (
         results.where(urls.in_domain(F.col("url"), F.col("domain")))
         .groupBy(*keys, "domain", "url").agg(F.min("rank").alias("rank"))
     )
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "url"))
-    return first.withColumn("place", place).where(F.col("place") <= limit)
+    placed = first.withColumn("place", place)
+    return placed if limit is None else placed.where(F.col("place") <= limit)
 
 
 def known_candidates(services: DataFrame) -> DataFrame:
@@ -110,10 +114,11 @@ def rendered_or_static(rendered: Column, static: Column) -> Column:
 
 def page_accepted(
     final_url: Column, title: Column, text: Column, domain: Column, kind: Column,
-    keywords: Mapping[str, Iterable[str]] = V.POLICY_KEYWORDS,
+    keywords: Mapping[str, Iterable[str]] = V.POLICY_KEYWORDS, evidence_chars: int | None = None,
+    min_chars: int = V.MIN_BODY_CHARS,
 ) -> Column:
     """Still on the domain after redirects, and a policy of the requested kind."""
-    tests = [(kind == k) & urls.is_policy_page(final_url, title, text, words) for k, words in keywords.items()]
+    tests = [(kind == k) & urls.is_policy_page(final_url, title, text, words, evidence_chars, min_chars) for k, words in keywords.items()]
     right_kind = tests[0]
     for test in tests[1:]:
         right_kind = right_kind | test
@@ -126,12 +131,13 @@ EXPLICIT, KNOWN, SEARCHED = 0, 1, 2
 
 def choose_pages(
     candidates: DataFrame, pages: DataFrame,
-    keywords: Mapping[str, Iterable[str]] = V.POLICY_KEYWORDS,
+    keywords: Mapping[str, Iterable[str]] = V.POLICY_KEYWORDS, evidence_chars: int | None = None,
+    min_chars: int = V.MIN_BODY_CHARS,
 ) -> DataFrame:
     """First acceptable page per service and kind.
 
     candidates(service_name, kind, domain, priority, rank, url), pages(url, final_url,
-    title, text).  An explicit URL only has to give text; where one was given, known
+    title, text) with one row per URL.  An explicit URL only has to give text; where one was given, known
     URLs are not tried, but search results are.
 
     Acceptance is a column that sorts first and is tested after the cut.  As a filter
@@ -145,8 +151,9 @@ def choose_pages(
     fetched = tried.join(pages, "url")
     given = (F.col("priority") == EXPLICIT) & urls.is_web_url(F.col("url")) & ~tx.is_blank(F.col("text"))
     found = (F.col("priority") != EXPLICIT) & page_accepted(
-        *[F.col(c) for c in ("final_url", "title", "text", "domain", "kind")], keywords
+        *[F.col(c) for c in ("final_url", "title", "text", "domain", "kind")], keywords, evidence_chars, min_chars
     )
     judged = fetched.withColumn("_fits", F.coalesce(given | found, F.lit(False)))
-    best = _first(judged, keys, F.desc("_fits"), "priority", "rank", "url")
-    return best.where("_fits").drop("_fits")
+    # Only narrow rows are sorted; the winners' texts are looked up again.
+    best = _first(judged.drop("title", "text"), keys, F.desc("_fits"), "priority", "rank", "url").where("_fits")
+    return best.drop("_fits").join(pages.select("url", "title", "text"), "url")

@@ -165,7 +165,7 @@ FROM pages WHERE page_id % 5 <> 0""")
 def explicit_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     registry = table(spark, sf_dir, "pages").select(
-        "page_id", S.pick(("terms", "privacy", "cookies"), i).alias("kind"),
+        "page_id", F.nullif(S.pick(("terms", "privacy", "none", "terms", "privacy", "cookies"), i), F.lit("none")).alias("kind"),
         F.when(i % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "url", F.lit("\n"))).alias("url"),
     )
     return requests.explicit_urls(registry).select("page_id", "url", "reject_reason")
@@ -181,9 +181,9 @@ def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     uploads = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(i % 10 == 9, F.lit("")).when(i % 10 == 8, F.repeat(F.col("source"), 60)).when(i % 10 == 7, F.lit("  ")).otherwise(F.col("source")).alias("service_name"),
-        S.pick(("terms", "privacy", "law"), i).alias("document_type"),
-        F.concat(F.lit("a."), S.pick(("PDF", "txt", "pdf", "docx"), i)).alias("file_name"),
-        F.when(F.col("n_chars") % 5 == 0, 0).when(F.col("n_chars") > 5000, V.UPLOAD_MAX_BYTES + 1).otherwise(F.col("n_chars")).alias("n_bytes"),
+        F.nullif(S.pick(("terms", "privacy", "law", "terms", "privacy", "none"), i), F.lit("none")).alias("document_type"),
+        F.when(i % 8 != 7, F.concat(F.lit("a."), S.pick(("PDF", "txt", "pdf", "docx"), i))).alias("file_name"),
+        F.when(F.col("n_chars") % 10 == 0, 0).when(F.col("n_chars") % 10 == 5, None).when(F.col("n_chars") > 5000, V.UPLOAD_MAX_BYTES + 1).otherwise(F.col("n_chars")).alias("n_bytes"),
     )
     return requests.check_uploads(uploads).select("doc_id", "reject_reason")
 

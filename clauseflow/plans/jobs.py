@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clauseflow import vocab as V
 from clauseflow.functions import names, paths, text as tx
 from clauseflow.operators import ingest, readiness, retrieval, selection
-from clauseflow.session import spread, written
+from clauseflow.session import written
 from clauseflow.sources import crawl, faq, files, policies
 from clauseflow.sources.store import ChunkStore
 
@@ -28,23 +28,24 @@ def ingest_documents(
     """Cleans, judges, chunks and commits a batch; returns the outcome of every source.
 
     docs(source, source_label, doc_type, service_name, doc_subtype, source_kind, text),
-    one row per source.  Texts are read twice: once for the hash of each document, and
+    one row per source, and ``position`` where equal texts are taken in another order
+    than that of their sources.  Texts are read twice: once for the hash of each document, and
     once, for the new ones only, to be chunked.  Between the two lies a written table
     of narrow rows.
     """
-    docs = spread(docs.withColumn("service_name", F.coalesce("service_name", F.lit("unknown"))))
+    docs = docs.withColumn("service_name", F.coalesce("service_name", F.lit("unknown")))
     stored = ingest.stored_documents(store.documents())
     judged = written(ingest.judge(written(ingest.hashes(docs), "hashes"), stored), "judged")
     new = judged.where(F.col("outcome") == "new").select("source")
-    chunks = ingest.chunk_rows(ingest.prepare(docs.join(new, "source", "left_semi")), mode)
+    chunks = ingest.chunk_rows(ingest.prepare(docs.drop("position").join(new, "source", "left_semi")), mode)
     replaced = stored.select("source").distinct().join(new, "source", "left_semi")
     version = store.commit(_embedded(chunks, embed), replaced, txn)
     return ingest.outcomes(judged, store.added(version).select("source"))
 
 
 def ingest_crawl(store: ChunkStore, lines: DataFrame, txn: str = "", embed: Embed | None = None) -> DataFrame:
-    """Crawl lines (path, value, position), parsed once and written, then ingested."""
-    docs = written(crawl.last_per_source(crawl.parse_lines(lines)), "crawled")
+    """Crawl lines (path, value, position), parsed once and written, then ingested in their order."""
+    docs = crawl.last_per_source(written(crawl.parse_lines(lines), "crawled"))
     return ingest_documents(store, docs, txn, embed=embed)
 
 
@@ -82,12 +83,21 @@ def ingest_folder(store: ChunkStore, root: str, *other_roots: str, embed: Embed
     texts = ingest_documents(store, files.read_documents(spark, root), embed=embed).select(
         F.col("source").alias("path"), "outcome"
     )
-    crawled = ingest_crawl(store, crawl.read_lines(spark, root), embed=embed)
+    good = F.col("outcome").isin("done", "unchanged", "duplicate")
+    lines = crawl.read_lines(spark, root)
+    parsed = written(crawl.parse_lines(lines), "crawled")
+    judged = ingest_documents(store, crawl.last_per_source(parsed), embed=embed)
+    # A crawl file succeeds if any of its lines does.
+    of_file = parsed.select("source", F.col("position.path").alias("path")).distinct().join(
+        judged.where(good).select("source"), "source", "left_semi"
+    ).select("path").distinct()
+    crawled = lines.select("path").distinct().join(of_file.withColumn("outcome", F.lit("done")), "path", "left").select(
+        F.coalesce("outcome", F.lit("rejected")).alias("outcome")
+    )
     faqs = ingest_faq(store, files.list_files(spark, root, ("json",)).select(
-        "path", F.decode("content", "UTF-8").alias("text")
+        "path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("text")
     ), embed=embed)
     sweep_files(store, *[files.list_files(spark, r) for r in (root, *other_roots)])
-    good = F.col("outcome").isin("done", "unchanged", "duplicate")
     rows = [df.select(good.alias("good")) for df in (texts, crawled, faqs)]
     return rows[0].union(rows[1]).union(rows[2]).agg(
         F.count_if("good").alias("succeeded"), F.count_if(~F.col("good")).alias("failed"), F.count("*").alias("sources"),

@@ -129,6 +129,40 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(R.search_terms(questions_v(spark, sf_dir), chunks_v(spark, sf_dir), doc_types=("en",)))
 
 
+def _spelled(rows: DataFrame, key: str, *spellings: str) -> DataFrame:
+    """One service under several spellings, vectors of doubles, every eleventh missing."""
+    i = F.col(key)
+    return rows.withColumn("service_name", S.pick(spellings, i)).withColumn(
+        "vector", F.when(i % 11 != 0, F.col("vector").cast("array<double>"))
+    )
+
+
+_SPELLED = "doc_type = 'en' AND chunk_id % 11 <> 0 AND question_id % 11 <> 0"
+
+
+@checked(f"WITH {CHUNKS_V}, {QUESTIONS_V}, {sql_hits('h', _SPELLED, 20, 6)} SELECT {_HITS} FROM h")
+def search_terms_by_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service asked for under three spellings and stored under two; rows without vectors stay out."""
+    asked = _spelled(questions_v(spark, sf_dir), "question_id", "Netflix", "netflix", "넷플릭스")
+    held = _spelled(chunks_v(spark, sf_dir), "chunk_id", "netflix", "넷플릭스")
+    return _hits(R.search_terms(asked, held, doc_types=("en",)))
+
+
+@checked(f"""
+WITH {CHUNKS_V}, {QUESTIONS_V}, d AS (SELECT question_id, chunk_id, {_DIST} AS distance FROM qs JOIN ch ON {_SPELLED})
+SELECT question_id, chunk_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank
+FROM d QUALIFY rank <= 20""")
+def nearest_of_doubles_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of the same search by the other plan."""
+    asked = _spelled(questions_v(spark, sf_dir), "question_id", "Netflix", "netflix", "넷플릭스")
+    held = R.by_type(_spelled(chunks_v(spark, sf_dir), "chunk_id", "netflix", "넷플릭스"), ("en",))
+    scopes = asked.drop("scope").join(R.service_scopes(asked), "question_id")
+    found = R.nearest(
+        scopes, held.withColumn("scope", F.col("service_name")), 20, broadcast_cells=0, block_questions=100, block_chunks=100
+    )
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @checked(f"""
 WITH {CHUNKS_V}, {QUESTIONS_V}, {sql_hits('h', "doc_type IN ('de', 'fr', 'es')", 15, 3)},
 pairs AS (SELECT question_id, chunk_id, len(kws) AS n_keywords, keyword_match FROM h_m)

@@ -12,6 +12,7 @@ from clauseflow.plans import shapes as S
 from clauseflow.plans.registry import checked, table, texts
 from clauseflow.sources import html
 
+MIN_CHARS = 700  # some pages are shorter
 WORDS = {"terms": ("queque", "onth", "terms of use"), "privacy": ("erer", "ciónción", "privacy policy")}
 
 _HOST = "regexp_extract(url, '://([^/]+)', 1)"
@@ -158,14 +159,14 @@ def resolved_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------------ pages
 def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages with their text; every seventh was redirected away, every ninth is short."""
+    """pages with their whole text; every seventh was redirected away."""
     i = F.col("page_id")
     text = html.element_text(F.col("html"), "article")
     return texts(spark, sf_dir, "pages", "page_id", "url", "html").select(
         "page_id", "url",
         F.when(i % 7 == 0, F.concat(F.lit("https://elsewhere.net/"), i.cast("string"))).otherwise(F.col("url")).alias("final_url"),
         F.lit("").alias("title"),
-        F.when(i % 9 == 0, F.substring(text, 1, 150)).otherwise(text).alias("text"),
+        text.alias("text"),
     )
 
 
@@ -186,19 +187,19 @@ _FETCHED = f"""
 fetched AS (
   SELECT page_id, url, {_LABEL} AS service_name, {_DOMAIN} AS domain, ['terms', 'privacy'][page_id % 2 + 1] AS kind,
     CASE WHEN page_id % 7 = 0 THEN 'https://elsewhere.net/' || page_id ELSE url END AS final_url,
-    CASE WHEN page_id % 9 = 0 THEN left(t, 150) ELSE t END AS text
+    t AS text
   FROM (SELECT *, {sql_element_text('article')} AS t FROM pages)),
 tested AS (
-  SELECT *, page_id % 7 <> 0 AS inside, length({S.sql_strip('text')}) >= 200
-    AND CASE kind WHEN 'terms' THEN {S.sql_any("lower(final_url || chr(10) || chr(10) || left(text, 8000))", WORDS['terms'])}
-                  ELSE {S.sql_any("lower(final_url || chr(10) || chr(10) || left(text, 8000))", WORDS['privacy'])} END AS policy
+  SELECT *, page_id % 7 <> 0 AS inside, length({S.sql_strip('text')}) >= {MIN_CHARS}
+    AND CASE kind WHEN 'terms' THEN {S.sql_any("lower(final_url || chr(10) || chr(10) || text)", WORDS['terms'])}
+                  ELSE {S.sql_any("lower(final_url || chr(10) || chr(10) || text)", WORDS['privacy'])} END AS policy
   FROM fetched)"""
 
 
 @checked(f"WITH {_FETCHED} SELECT page_id, policy FROM tested")
 def policy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _fetched(spark, sf_dir)
-    test = {k: urls.is_policy_page(F.col("final_url"), F.col("title"), F.col("text"), w) for k, w in WORDS.items()}
+    test = {k: urls.is_policy_page(F.col("final_url"), F.col("title"), F.col("text"), w, min_chars=MIN_CHARS) for k, w in WORDS.items()}
     return pages.select("page_id", F.when(F.col("page_id") % 2 == 0, test["terms"]).otherwise(test["privacy"]).alias("policy"))
 
 
@@ -206,7 +207,7 @@ def policy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = S.pick(("terms", "privacy"), F.col("page_id"))
     return _fetched(spark, sf_dir).select("page_id", selection.page_accepted(
-        F.col("final_url"), F.col("title"), F.col("text"), _domain(), kind, WORDS
+        F.col("final_url"), F.col("title"), F.col("text"), _domain(), kind, WORDS, min_chars=MIN_CHARS
     ).alias("accepted"))
 
 
@@ -220,7 +221,7 @@ def _with_keys(pages: DataFrame) -> DataFrame:
 @checked(f"""
 WITH {_FETCHED}, u AS (SELECT service_name, kind, CASE WHEN page_id % 6 = 5 THEN final_url ELSE url END AS url, min(page_id) AS rank
   FROM fetched WHERE NOT (page_id % 6 = 5 AND page_id % 7 = 0) GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY service_name, kind ORDER BY rank, url) AS place FROM u QUALIFY place <= 10""")
+SELECT *, row_number() OVER (PARTITION BY service_name, kind ORDER BY rank, url) AS place FROM u""")
 def search_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page twice in the results; some were found under an address off the domain."""
     listed = _with_keys(_fetched(spark, sf_dir)).withColumn(
@@ -241,7 +242,7 @@ def chosen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = _with_keys(pages).select(
         "service_name", "kind", "domain", "rank", "url", (F.col("page_id") % 3).alias("priority")
     )
-    return selection.choose_pages(candidates, pages, WORDS).select("service_name", "kind", "page_id", "final_url")
+    return selection.choose_pages(candidates, pages, WORDS, min_chars=MIN_CHARS).select("service_name", "kind", "page_id", "final_url")
 
 
 _PROFILE_URLS = ", ".join(

@@ -19,19 +19,22 @@ WITH RECURSIVE inputs AS (
   FROM documents WHERE doc_id % 17 <> 16 AND length({S.sql_strip('text')}) >= 200),
 {S.sql_clean('inputs', 'doc_id')},
 docs AS (SELECT doc_id, drop_no, source, service_name, body, {S.sql_hash('body')} AS h FROM inputs JOIN cleaned ON id = doc_id),
-first_drop AS (SELECT * FROM docs WHERE drop_no = 0 QUALIFY row_number() OVER (PARTITION BY service_name, h ORDER BY source) = 1),
+first_drop AS (SELECT * FROM docs WHERE drop_no = 0 QUALIFY row_number() OVER (PARTITION BY service_name, h ORDER BY doc_id) = 1),
 second_drop AS (
   SELECT * FROM docs d WHERE drop_no = 1
     AND NOT EXISTS (SELECT 1 FROM first_drop f WHERE f.service_name = d.service_name AND f.h = d.h AND f.source <> d.source)
     AND NOT EXISTS (SELECT 1 FROM first_drop f WHERE f.source = d.source AND f.h = d.h)
-  QUALIFY row_number() OVER (PARTITION BY service_name, h ORDER BY source) = 1),
+  QUALIFY row_number() OVER (PARTITION BY service_name, h ORDER BY doc_id) = 1),
 kept AS (SELECT *, 'terms' AS doc_type FROM first_drop WHERE source NOT IN (SELECT source FROM second_drop)
          UNION ALL SELECT *, 'terms' FROM second_drop),
 {sql_cascade('kept', 'doc_id', 'body')},
 parts AS (SELECT id, unnest(chunks) AS part, generate_subscripts(chunks, 1) - 1 AS n FROM chunked)
 SELECT source, service_name, h AS document_hash, n AS chunk_index, md5(part) AS content_hash FROM parts JOIN kept ON id = doc_id""")
 def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents arrive as crawl files in two drops; the second replaces and repeats sources."""
+    """documents arrive as crawl files in two drops; the second replaces and repeats sources.
+
+    Two streams with checkpoints of their own feed one store, each one drop.
+    """
     i = F.col("doc_id")
     record = F.to_json(F.struct(
         F.col("source").alias("service_name"), F.lit("terms").alias("document_type"),
@@ -40,11 +43,14 @@ def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = texts(spark, sf_dir, "documents", "doc_id", "source", "text").select(
         "doc_id", F.when(i % 17 == 16, F.substring(record, 1, 30)).otherwise(record).alias("value")
     )
-    inbox, state = scratch_dir(spark, "inbox"), scratch_dir(spark, "stream")
+    inbox = scratch_dir(spark, "inbox")
     store = ChunkStore(spark, scratch_dir(spark, "store"))
+    width = spark.sparkContext.defaultParallelism
     for drop in (0, 1):
-        lines.where(i % 2 == drop).select("value").write.mode("append").format("text").save(f"{inbox}/drop-{drop}")
-        ingest.start(store, inbox, state, name=f"crawl-{state[-32:]}", glob="*.txt").awaitTermination()
+        # Files and lines in the order of the ids, which decides among equal texts.
+        ordered = lines.where(i % 2 == drop).repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id")
+        ordered.select("value").write.format("text").save(f"{inbox}-{drop}/lines")
+        ingest.start(store, f"{inbox}-{drop}", scratch_dir(spark, "stream"), glob="*.txt").awaitTermination()
     return store.read().select(
         "source", "service_name", "document_hash", F.col("chunk_index").cast("long").alias("chunk_index"), "content_hash"
     )

@@ -33,13 +33,12 @@ def build_session(app: str = "clauseflow", master: str | None = None, **conf: st
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out over all cores where the scan gives fewer splits than there are.
+    """Rows dealt out over all cores: one shuffle, whatever the size.
 
-    Meant for wide per-row work on few large files.  A table with many files, which is
-    what a cluster reads, has splits enough and is returned as it is, without a shuffle.
+    For wide per-row work on a table of few large files.  A table with many files has
+    splits enough and needs none of it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -56,10 +55,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests) a local temporary folder takes its place.
+    Where that is unset a local session gets a temporary folder of its own; on a cluster
+    it is an error, as each machine would write to its own disk.
     """
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _scratch_root(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="clauseflow-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, "clauseflow", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(base, "clauseflow", spark.sparkContext.applicationId)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; for the end of a job, when its results are stored."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(root, True)

@@ -34,10 +34,10 @@ def with_positions(lines: DataFrame) -> DataFrame:
     ).drop("_block")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, min_chars: int = V.MIN_BODY_CHARS) -> DataFrame:
     """(path, value, position) to source documents.
 
-    Malformed lines and texts under 200 characters are dropped.  The parsed fields come
+    Malformed lines and texts under ``min_chars`` characters are dropped.  The parsed fields come
     out of a generator, so the filter on them stays above it and no line is parsed twice.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
@@ -45,7 +45,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         "path", "position", F.inline_outer(F.array(F.from_json("value", LINE_SCHEMA, options)))
     )
     body = F.col("text")
-    long_enough = F.length(tx.strip(body)) >= V.MIN_BODY_CHARS
+    long_enough = F.length(tx.strip(body)) >= min_chars
     parsed = parsed.where(F.col("_corrupt").isNull() & long_enough)
     url = F.nullif(F.col("source_url"), F.lit(""))
     title = F.nullif(F.col("title"), F.lit(""))
@@ -72,8 +72,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def last_per_source(docs: DataFrame) -> DataFrame:
     """Of several lines with one source the last counts, as each replaces the one before.
 
+    ``docs`` is read twice, so it should be a written table and not the parsing itself.
     The last position per source is a small partial aggregate; joining it back on
     (source, position) is on a unique key, so a source with many lines does not skew.
     """
-    last = docs.groupBy("source").agg(F.max("position").alias("position"))
-    return docs.join(last, ["source", "position"], "left_semi").drop("position")
+    last = docs.select("source", "position").groupBy("source").agg(F.max("position").alias("position"))
+    return docs.join(last, ["source", "position"], "left_semi")

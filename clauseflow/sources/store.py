@@ -5,7 +5,8 @@ filter on them skips row groups), ``documents/v=N`` (the few columns that tell s
 documents apart), ``removed/v=N`` and, last of all, the marker ``commits/v=N``.  Its cost follows the batch, not the store: no row of an earlier
 version is rewritten.  A job that dies before the marker leaves a version no reader
 looks at and the next commit overwrites.  Removals are meant to stay few next to the
-chunks; ``compact`` folds them in.  One job writes at a time.
+chunks; ``compact`` folds them in.  One job writes at a time: a commit holds the file
+``lock`` while it runs, and a second writer fails; ``unlock`` frees a store whose job died.
 """
 
 from __future__ import annotations
@@ -82,8 +83,27 @@ class ChunkStore:
         """The rows that one version brought in; reads that version only."""
         return self.spark.read.schema(CHUNK_SCHEMA).parquet(self._path("chunks", version))
 
+    def _lock_file(self):
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("lock"))
+        return there, there.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def unlock(self) -> None:
+        """Frees the store after a writer died; no other writer may be running."""
+        path, system = self._lock_file()
+        system.delete(path, False)
+
     def commit(self, added: DataFrame, removed: DataFrame, txn: str = "") -> int:
         """Removes all chunks of the ``removed`` sources, then adds rows; returns the version."""
+        path, system = self._lock_file()
+        system.mkdirs(path.getParent())
+        if not system.createNewFile(path):
+            raise RuntimeError(f"another job writes to {self.root}; unlock() if it died")
+        try:
+            return self._commit(added, removed, txn)
+        finally:
+            self.unlock()
+
+    def _commit(self, added: DataFrame, removed: DataFrame, txn: str) -> int:
         version = self.version() + 1
         schema = self.spark.createDataFrame([], CHUNK_SCHEMA)
         aligned = schema.unionByName(added, allowMissingColumns=True).select(*schema.columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from clauseflow.plans import jobs
@@ -10,18 +12,24 @@ from clauseflow.sources import crawl
 from clauseflow.sources.store import ChunkStore
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark wrote into a checkpoint when its stream first started."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
 def start(
     store: ChunkStore, root: str, checkpoint: str, name: str = "crawl", glob: str = "*.jsonl",
     embed: jobs.Embed | None = None, **trigger,
 ) -> StreamingQuery:
     """Starts the stream; by default it takes what is there and stops.
 
-    A batch carries its number into the store's commit.  If the job dies between that
-    commit and the stream's checkpoint, the batch comes again and is skipped.
+    A batch carries the stream's own id, which its checkpoint keeps, and its number into the
+    store's commit.  If the job dies between that commit and the stream's checkpoint, the
+    batch comes again and is skipped.  Any number of streams may feed one store.
     """
 
     def apply(lines: DataFrame, number: int) -> None:
-        txn = f"{name}:{number}"
+        txn = f"{stream_id(store.spark, checkpoint)}:{number}"
         if not store.has_transaction(txn):
             jobs.ingest_crawl(store, crawl.with_positions(lines), txn, embed)
 

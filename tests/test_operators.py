@@ -5,15 +5,16 @@ import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
-from clauseflow.functions import vectors
+from clauseflow.functions import chunks, vectors
 from clauseflow.operators import answers, chunking, history, ingest, readiness, retrieval as R, runs, selection
 from clauseflow.plans import jobs
 from clauseflow.plans.retrieval_checks import letter_counts
 from clauseflow.session import scratch_dir
-from clauseflow.sources import crawl, faq, files, html, policies
+from clauseflow.sources import crawl, faq, files, html, policies, requests
 from clauseflow.sources.store import ChunkStore
 from clauseflow.streaming import ingest as stream
 
@@ -216,11 +217,104 @@ def test_stream_skips_a_replayed_batch(spark, tmp_path):
     line = json.dumps({"service_name": "s", "source_url": "https://s.com/p", "text": LONG}, ensure_ascii=False)
     (inbox / "a.jsonl").write_text(line + "\n", encoding="utf-8")
     store = ChunkStore(spark, scratch_dir(spark, "store"))
-    stream.start(store, str(inbox), str(tmp_path / "one"), name="again").awaitTermination()
+    stream.start(store, str(inbox), str(tmp_path / "one")).awaitTermination()
     assert store.read().count() == 5 and store.version() == 1
-    # The checkpoint is lost, the batch comes again under its number.
-    stream.start(store, str(inbox), str(tmp_path / "two"), name="again").awaitTermination()
+    # The job died before the stream noted the batch: it comes again under its number.
+    for mark in ("0", ".0.crc"):
+        (tmp_path / "one" / "commits" / mark).unlink()
+    stream.start(store, str(inbox), str(tmp_path / "one")).awaitTermination()
     assert store.version() == 1
+    # Another stream has numbers of its own, under whatever name.
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "b.jsonl").write_text(line.replace("s.com/p", "s.com/q").replace("조항", "규정") + "\n", encoding="utf-8")
+    stream.start(store, str(tmp_path / "other"), str(tmp_path / "two")).awaitTermination()
+    assert {r.source for r in store.read().select("source").distinct().collect()} == {"https://s.com/p", "https://s.com/q"}
+
+
+def test_a_second_writer_fails_until_the_store_is_unlocked(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    none = spark.createDataFrame([], "source string")
+    assert store.commit(none, none) == 1
+    (tmp_path / "store" / "lock").touch()
+    with pytest.raises(RuntimeError):
+        store.commit(none, none)
+    store.unlock()
+    assert store.commit(none, none) == 2
+
+
+def test_rows_without_vectors_are_not_searched(spark):
+    schema = "chunk_id long, scope string, vector array<double>"
+    held = spark.createDataFrame([(1, "s", [1.0, 1.0, 1.0, 1.0]), (2, "s", None), (3, None, [0.0] * 4)], schema)
+    asked = spark.createDataFrame([(7, "s", [0.0] * 4), (8, "s", None)], "question_id long, scope string, vector array<double>")
+    for cells in (0, 10**6):
+        got = R.nearest(asked, held, 5, broadcast_cells=cells).collect()
+        assert [(r.question_id, r.chunk_id, r.distance) for r in got] == [(7, 1, 4.0)]
+
+
+def test_both_plans_give_the_same_rows_on_doubles(spark):
+    held = spark.createDataFrame([(1, "s", [0.1, 0.2]), (2, "s", [0.10000000149, 0.2])], "chunk_id long, scope string, vector array<double>")
+    asked = spark.createDataFrame([(7, "s", [0.1, 0.2])], "question_id long, scope string, vector array<double>")
+    for cells in (0, 10**6):
+        assert [(r.chunk_id, r.rank) for r in R.nearest(asked, held, 2, broadcast_cells=cells).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+        assert R.nearest(asked, held, 2, broadcast_cells=cells).where("rank = 1").first().distance == 0.0
+
+
+def test_scores_are_written_in_plain_form(spark):
+    df = spark.createDataFrame([(0.0005,), (1234567890.5,), (0.0,), (-2.0,), (0.75,)], "x double")
+    assert [r[0] for r in df.select(R.plain_number(F.col("x"))).collect()] == ["0.0005", "1234567890.5", "0.0", "-2.0", "0.75"]
+
+
+def test_other_spellings_find_the_service(spark):
+    held = spark.createDataFrame([(k, n) for k, n in enumerate(("netflix", "넷플릭스", "other"))], "k long, service_name string")
+    for asked in ("Netflix", " netflix", "넷플릭스"):
+        question = spark.createDataFrame([(1, asked)], "question_id long, service_name string")
+        scopes = {r.scope for r in R.service_scopes(question).collect()}
+        assert {"netflix", "넷플릭스"} <= scopes
+        assert {r.k for r in R.by_service(held, asked).collect()} == {0, 1}
+
+
+def test_missing_request_fields_are_rejected(spark):
+    rows = [("s", None, "a.pdf", 1), ("s", "terms", None, 1), ("s", "terms", "a.pdf", None), ("s", "terms", "a.pdf", 1)]
+    checked = requests.check_uploads(spark.createDataFrame(rows, "service_name string, document_type string, file_name string, n_bytes long"))
+    assert [r.reject_reason for r in checked.collect()] == ["document_type", "suffix", "empty_file", None]
+    urls = requests.explicit_urls(spark.createDataFrame([("s", None, "https://a")], "service_name string, kind string, url string"))
+    assert urls.first().reject_reason == "kind"
+
+
+def test_equal_crawl_lines_are_taken_in_their_order(spark, tmp_path):
+    def line(url):
+        return json.dumps({"service_name": "s", "source_url": url, "text": LONG}, ensure_ascii=False) + "\n"
+
+    (tmp_path / "a.jsonl").write_text(line("https://z.com/1") + line("https://a.com/1"), encoding="utf-8")
+    store = ChunkStore(spark, scratch_dir(spark, "store"))
+    jobs.ingest_crawl(store, crawl.read_lines(spark, str(tmp_path)))
+    assert {r.source for r in store.read().collect()} == {"https://z.com/1"}
+
+
+def test_a_badly_encoded_faq_file_is_one_rejected_file(spark, tmp_path):
+    (tmp_path / "faq").mkdir()
+    (tmp_path / "faq" / "bad.json").write_bytes('[{"question": "환불"}]'.encode("cp949"))
+    (tmp_path / "faq" / "good.json").write_text('[{"question": "q", "answer": "a"}]', encoding="utf-8")
+    store = ChunkStore(spark, scratch_dir(spark, "store"))
+    counts = jobs.ingest_folder(store, str(tmp_path)).first()
+    assert (counts.succeeded, counts.failed) == (1, 1)
+
+
+@pytest.mark.parametrize("make", [
+    lambda: ("merge", ["ab"] * 40_000), lambda: ("windows", "x" * 2_000_000), lambda: ("guide", "\n" * 32_000 + "1. a"),
+])
+def test_chunking_is_linear(spark, make):
+    import time
+
+    kind, data = make()
+    df = spark.createDataFrame([(data,)], "d array<string>" if kind == "merge" else "d string")
+    parts = {
+        "merge": lambda: chunks.merge_short(F.col("d"), 10**9), "windows": lambda: chunks.fixed_windows(F.col("d")),
+        "guide": lambda: chunks.split_before(F.col("d"), chunks.BEFORE_GUIDELINE),
+    }[kind]()
+    start = time.time()
+    df.select(F.size(parts)).collect()
+    assert time.time() - start < 10
 
 
 # --------------------------------------------------------------------- sources
