@@ -170,3 +170,31 @@ def needs_ocr(pages: DataFrame, max_blank_share: float = 0.7) -> DataFrame:
         blank.alias("blank_pages"),
         ((blank == F.count("*")) | (blank / F.count("*") > max_blank_share)).alias("needs_ocr"),
     )
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, text) to one text per document: its pages that are not blank, in order.
+
+    A document's own pages are gathered, never those of several.
+    """
+    ordered = F.array_sort(F.collect_list(F.when(
+        ~tx.is_blank(F.col("text")), F.struct("page_no", F.concat("text", F.lit("\n")).alias("t"))
+    )))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["t"]), "").alias("text"))
+
+
+def paged_documents(
+    pages: DataFrame, recognised: DataFrame, script: str = V.HANGUL, min_chars: int = 100, min_share: float = 0.1
+) -> DataFrame:
+    """(doc_id, text, reject_reason) of documents that come as page rows.
+
+    The text layer counts unless most of its pages are blank; then the recognised pages
+    do, if they are readable; else the document is rejected.
+    """
+    layer = page_texts(pages).join(needs_ocr(pages).select("doc_id", "needs_ocr"), "doc_id")
+    seen = page_texts(recognised).withColumnRenamed("text", "_seen")
+    readable = F.coalesce(tx.is_readable(F.col("_seen"), script, min_chars, min_share), F.lit(False))
+    text = F.when(~F.col("needs_ocr"), F.col("text")).when(readable, F.col("_seen"))
+    return layer.join(seen, "doc_id", "left").select(
+        "doc_id", text.alias("text"), F.when(text.isNull(), "unreadable").alias("reject_reason")
+    )

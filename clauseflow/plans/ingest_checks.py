@@ -422,6 +422,23 @@ def ocr_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.needs_ocr(pages)
 
 
+@checked("""
+WITH p AS (SELECT conv_id AS doc_id, turn, text, conv_id % 5 + turn % 6 > 3 AS blank FROM conversations),
+d AS (SELECT doc_id, count(*) FILTER (blank) / count(*) > 0.7 AS ocr, string_agg(text || chr(10), '' ORDER BY turn) FILTER (NOT blank) AS layer,
+        string_agg(text || '!' || chr(10), '' ORDER BY turn) AS seen FROM p GROUP BY doc_id),
+t AS (SELECT doc_id, CASE WHEN NOT ocr THEN layer WHEN length(trim(seen, ' ' || chr(10))) >= 100
+        AND length(regexp_replace(seen, '[^a-m]', '', 'g')) / length(seen) >= 0.4 THEN seen END AS text FROM d)
+SELECT doc_id, md5(text) AS text, CASE WHEN text IS NULL THEN 'unreadable' END AS reject_reason FROM t""")
+def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as page rows; recognition adds a mark, and fails where few letters are from a to m."""
+    blank = F.col("conv_id") % 5 + F.col("turn") % 6 > 3
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text", blank.alias("blank"))
+    pages = rows.withColumn("text", F.when(~F.col("blank"), F.col("text")).when(F.col("page_no") % 2 == 0, F.lit(" \n")))
+    seen = rows.withColumn("text", F.concat("text", F.lit("!")))
+    found = ingest.paged_documents(pages, seen, script="[a-m]", min_share=0.4)
+    return found.select("doc_id", F.md5("text").alias("text"), "reject_reason")
+
+
 # ------------------------------------------------------------------- readiness
 @checked(f"""
 WITH {_STORE_ROWS}, canon AS (SELECT *, CASE service_name WHEN 'tving' THEN '티빙' WHEN 'Netflix' THEN '넷플릭스' ELSE service_name END AS svc FROM store)

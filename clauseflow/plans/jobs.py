@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
 from clauseflow.functions import names, paths, text as tx
-from clauseflow.operators import ingest, readiness, retrieval, selection
+from clauseflow.operators import answers, history, ingest, readiness, retrieval, runs, selection
 from clauseflow.session import written
-from clauseflow.sources import crawl, faq, files, policies
+from clauseflow.sources import crawl, faq, files, policies, requests
 from clauseflow.sources.store import ChunkStore
 
 
@@ -112,7 +112,8 @@ def _one_per_source(docs: DataFrame) -> DataFrame:
 
 
 def pasted_documents(pasted: DataFrame) -> DataFrame:
-    """Accepted pasted texts (service_name, text, doc_type, doc_subtype) as source documents."""
+    """Pasted texts (service_name, text, doc_type, doc_subtype) that pass the checks, as source documents."""
+    pasted = requests.accepted(requests.check_manual(pasted))
     service = tx.strip(F.col("service_name"))
     return _one_per_source(pasted.select(
         tx.pasted_source_id(service, F.col("text")).alias("source"),
@@ -136,7 +137,8 @@ def uploaded_documents(uploads: DataFrame) -> DataFrame:
 
 
 def url_documents(extracted: DataFrame) -> DataFrame:
-    """Texts of user URLs (service_name, url, text, doc_type, doc_subtype), one row per URL."""
+    """Texts of user URLs (service_name, url, text, doc_type, doc_subtype) that pass the checks, one row per URL."""
+    extracted = requests.accepted(requests.check_manual(extracted))
     return extracted.select(
         F.col("url").alias("source"), F.col("url").alias("source_label"), "doc_type",
         tx.strip(F.col("service_name")).alias("service_name"), "doc_subtype",
@@ -146,19 +148,85 @@ def url_documents(extracted: DataFrame) -> DataFrame:
 
 def collect_policies(
     candidates: DataFrame, pages: DataFrame, root: str,
-    keywords: Mapping[str, Iterable[str]] = V.POLICY_KEYWORDS,
+    keywords: Mapping[str, Iterable[str]] = V.POLICY_KEYWORDS, min_chars: int = V.MIN_BODY_CHARS,
 ) -> DataFrame:
     """Chooses a page per service and kind, writes the policy files, returns the choice."""
-    chosen = written(selection.choose_pages(candidates, pages, keywords), "chosen")
+    chosen = written(selection.choose_pages(candidates, pages, keywords, min_chars=min_chars), "chosen")
     policies.write_policies(chosen, root)
     return chosen
 
 
-def prepare_services(store: ChunkStore, services: DataFrame) -> DataFrame:
+def services_status(store: ChunkStore, services: DataFrame) -> DataFrame:
     """Readiness of every asked service."""
     return readiness.readiness(services, store.documents())
 
 
+def prepare_services(
+    store: ChunkStore, services: DataFrame, candidates: DataFrame, pages: DataFrame, root: str,
+    local: DataFrame | None = None, reference: DataFrame | None = None,
+    keywords: Mapping[str, Iterable[str]] = V.POLICY_KEYWORDS, min_chars: int = V.MIN_BODY_CHARS,
+    embed: Embed | None = None,
+) -> DataFrame:
+    """Brings the store up to what the asked services need; returns their readiness.
+
+    services(service_name); candidates and pages as for ``selection.choose_pages``, explicit
+    URLs among them with their priority; ``local`` and ``reference`` are source documents
+    of service folders and of laws and guidelines.  Reference data is taken if a kind of
+    it is missing, folders of services that lack a policy are taken next, and pages are
+    chosen for explicit URLs and for what is missing then.
+    """
+    asked = services.select(names.canonical_name(F.col("service_name")).alias("service_name")).distinct()
+    if reference is not None and not readiness.reference_status(store.documents()).first()[0]:
+        ingest_documents(store, reference, embed=embed)
+    short = written(services_status(store, asked).where("requires_input").select("service_name"), "short")
+    if local is not None:
+        folders = local.withColumn("_canonical", names.canonical_name(F.col("service_name")))
+        own = folders.join(short.withColumnRenamed("service_name", "_canonical"), "_canonical", "left_semi")
+        ingest_documents(store, own.drop("_canonical"), embed=embed)
+    missing = services_status(store, asked).select("service_name", F.explode("missing").alias("kind"))
+    known = candidates.withColumn("service_name", names.canonical_name(F.col("service_name")))
+    explicit = known.where(F.col("priority") == selection.EXPLICIT).select("service_name", "kind")
+    wanted = missing.union(explicit.join(asked, "service_name", "left_semi")).distinct()
+    chosen = collect_policies(
+        known.join(written(wanted, "wanted"), ["service_name", "kind"], "left_semi"), pages, root, keywords, min_chars
+    )
+    # Only the files of this run: those of other services are where they were.
+    places = chosen.select(names.folder_name(F.col("service_name")).alias("service_name"), "kind").distinct()
+    collected = policies.read_policies(store.spark, root).join(places, ["service_name", "kind"], "left_semi")
+    if chosen.limit(1).count():
+        ingest_documents(store, collected.drop("kind"), embed=embed)
+    return services_status(store, asked)
+
+
+def finish_runs(
+    questions: DataFrame, verdicts: DataFrame, raw_answers: DataFrame, hits: DataFrame,
+    items: DataFrame, asked_before: DataFrame, max_retries: int = V.MAX_RETRIES,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answer runs from their logs into the history: (items, questions, problems).
+
+    questions(run_id, item_id, qa_id, seq, question, in_scope), verdicts(run_id, ts, seq,
+    status, action), raw_answers(run_id, answer), hits(run_id, document).  Runs that end in
+    a passed answer are parsed and become question rows, with the share of their evidence
+    that a hit holds; runs out of scope become rows with the fixed message.  ``problems``
+    has a row per run that did not end well and per answer without full grounding.
+    """
+    ended = written(runs.replay(questions.select("run_id", "in_scope"), verdicts, max_retries), "ended")
+    passed = ended.where(F.col("final_node") == "generate_final_answer").select("run_id")
+    parsed = answers.parse_answers(raw_answers.join(passed, "run_id", "left_semi"))
+    outside = runs.out_of_scope_answers(questions.select("run_id", "in_scope")).select(
+        "run_id", F.to_json(F.struct("message")).alias("answer")
+    )
+    said = written(parsed.unionByName(answers.parse_answers(outside)), "answers")
+    rows = answers.history_rows(said.join(questions.select("run_id", "item_id", "qa_id", "seq", "question"), "run_id"))
+    rows = rows.join(questions.select("qa_id", "seq"), "qa_id")
+    sentences = said.select("run_id", F.posexplode("terms_evidence").alias("sentence_no", "sentence"))
+    share = answers.grounded_share(answers.grounding(sentences, hits))
+    problems = ended.where(~F.col("final_node").isin("generate_final_answer", "generate_out_of_scope_answer")).select(
+        "run_id", F.col("final_node").alias("problem")
+    ).union(share.where("grounded < sentences").select("run_id", F.lit("ungrounded")))
+    return *history.append_questions(items, asked_before, rows), problems
+
+
 def answer_contexts(store: ChunkStore, questions: DataFrame, embed: Embed) -> DataFrame:
     """Both contexts for questions(question_id, service_name, question, instruction).
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
 from clauseflow.operators import answers, history, runs
-from clauseflow.plans import shapes as S
+from clauseflow.plans import jobs, shapes as S
 from clauseflow.plans.registry import checked, table
 
 # ------------------------------------------------------------------------- runs
@@ -370,3 +370,35 @@ def most_active_service(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, _, _ = history_tables(spark, sf_dir)
     return history.counts_by_type(items)
+
+
+@checked(f"""
+WITH {VERDICTS}, {_ANSWERS},
+asked AS (SELECT conv_id AS run_id, conv_id % 10 <> 0 AS in_scope FROM conversations WHERE turn = 1),
+ends AS (SELECT a.run_id, in_scope, count(r.run_id) AS seen, coalesce(bool_or(status = 'PASS' AND retry_count <= 2), false) AS passed,
+                coalesce(max(retry_count), -1) AS logged FROM asked a LEFT JOIN rounds r USING (run_id) GROUP BY ALL),
+said AS (SELECT run_id, ls, off, problem_type, role FROM ends JOIN ans ON conv_id = run_id AND turn = 1 WHERE in_scope AND passed),
+held AS (SELECT c.conv_id AS run_id, regexp_replace(text, '[ \\n]', '', 'g') AS t FROM conversations c WHERE turn = (conv_id + 1) % 2),
+grounds AS (SELECT run_id, bool_and(contains(t, replace(s, ' ', ''))) AS whole FROM (SELECT run_id, unnest(ls) AS s FROM said WHERE NOT off) LEFT JOIN held USING (run_id) GROUP BY run_id)
+SELECT run_id, 'answer' AS kind, md5(CASE WHEN off THEN '{V.NO_EVIDENCE_TEXT}' ELSE array_to_string(ls, chr(10) || chr(10)) END) AS detail FROM said
+UNION ALL SELECT run_id, 'answer', md5('{V.NO_EVIDENCE_TEXT}') FROM ends WHERE NOT in_scope
+UNION ALL SELECT run_id, 'problem', CASE WHEN logged >= 2 THEN 'generate_insufficient_evidence_answer' ELSE 'unfinished' END FROM ends WHERE in_scope AND NOT passed
+UNION ALL SELECT run_id, 'problem', 'ungrounded' FROM grounds WHERE NOT coalesce(whole, false)""")
+def finished_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first answer of each conversation as a run, with the verdicts of the user of that number.
+
+    Odd runs have their own text among the hits, even ones only the question's.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    i = F.col("conv_id")
+    asked = turns.where("turn = 1").select(
+        i.alias("run_id"), (i % 7).alias("item_id"), i.alias("qa_id"), i.alias("seq"), F.col("role").alias("question"), (i % 10 != 0).alias("in_scope")
+    )
+    raw = raw_answers(spark, sf_dir).where("qa_id % 1000 = 1").select(F.col("item_id").alias("run_id"), "answer")
+    hits = turns.where((i + 1) % 2 == F.col("turn")).select(i.alias("run_id"), F.col("text").alias("document"))
+    items = asked.select("item_id").distinct().withColumn("selected_qa_id", F.lit(None).cast("long"))
+    none = spark.createDataFrame([], "item_id long, qa_id long, seq long")
+    _, rows, problems = jobs.finish_runs(asked, verdicts(spark, sf_dir), raw, hits, items, none)
+    return rows.select(F.col("qa_id").alias("run_id"), F.lit("answer").alias("kind"), F.md5("evidence").alias("detail")).union(
+        problems.select("run_id", F.lit("problem").alias("kind"), F.col("problem").alias("detail"))
+    )

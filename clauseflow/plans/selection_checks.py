@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from clauseflow import vocab as V
 from clauseflow.functions import names, urls
 from clauseflow.operators import selection
-from clauseflow.plans import shapes as S
+from clauseflow.plans import jobs, shapes as S
 from clauseflow.plans.registry import checked, table, texts
+from clauseflow.session import scratch_dir, written
 from clauseflow.sources import html
+from clauseflow.sources.store import ChunkStore
 
 MIN_CHARS = 700  # some pages are shorter
 WORDS = {"terms": ("queque", "onth", "terms of use"), "privacy": ("erer", "ciónción", "privacy policy")}
@@ -245,6 +247,27 @@ def chosen_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.choose_pages(candidates, pages, WORDS, min_chars=MIN_CHARS).select("service_name", "kind", "page_id", "final_url")
 
 
+@checked(f"""
+WITH {_FETCHED},
+tried AS (SELECT *, page_id % 3 AS priority, bool_or(page_id % 3 = 0) OVER (PARTITION BY service_name, kind) AS given FROM tested),
+good AS (SELECT service_name, kind, text, final_url FROM tried
+         WHERE CASE priority WHEN 0 THEN text <> '' WHEN 1 THEN NOT given AND inside AND policy ELSE inside AND policy END
+         QUALIFY row_number() OVER (PARTITION BY service_name, kind ORDER BY priority, page_id, url) = 1)
+SELECT service_name, coalesce(bool_or(kind = 'terms'), false) AS has_terms, coalesce(bool_or(kind = 'privacy'), false) AS has_privacy
+FROM (SELECT DISTINCT service_name FROM fetched) LEFT JOIN good USING (service_name) GROUP BY service_name""")
+def prepared_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an empty store: pages are chosen, written as policy files, read back, ingested; then the status."""
+    pages = written(_fetched(spark, sf_dir), "fetched")
+    candidates = _with_keys(pages).select(
+        "service_name", "kind", "domain", "rank", "url", (F.col("page_id") % 3).alias("priority")
+    )
+    store = ChunkStore(spark, scratch_dir(spark, "store"))
+    status = jobs.prepare_services(
+        store, candidates.select("service_name"), candidates, pages, scratch_dir(spark, "policies"), keywords=WORDS, min_chars=MIN_CHARS
+    )
+    return status.select("service_name", "has_terms", "has_privacy")
+
+
 _PROFILE_URLS = ", ".join(
     f"('{names._compact(a)}', '{k}', {n}, '{u}')"
     for p in V.SERVICE_PROFILES for a in dict.fromkeys(names._compact(x) for x in p["aliases"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
@@ -31,3 +31,15 @@ def write_policies(pages: DataFrame, root: str) -> None:
         .partitionBy("service", "kind")
         .parquet(root)
     )
+
+
+def read_policies(spark: SparkSession, root: str) -> DataFrame:
+    """The stored policy files below ``root`` as source documents; the header is part of the text."""
+    schema = "service string, kind string, file_name string, content string"
+    rows = spark.read.schema(schema).parquet(root)
+    path = F.concat_ws("/", F.lit(root.rstrip("/")), "service", "file_name")
+    return rows.select(
+        path.alias("source"), F.col("file_name").alias("source_label"), F.lit("terms").alias("doc_type"),
+        F.col("service").alias("service_name"), tx.lookup(F.col("kind"), V.POLICY_SUBTYPES).alias("doc_subtype"),
+        F.lit("file").alias("source_kind"), F.col("content").alias("text"), "kind",
+    )

@@ -201,7 +201,7 @@ def test_folder_job(spark, tmp_path):
     held = store.read()
     assert {(r.doc_type, r.service_name) for r in held.collect()} == {("terms", "tving"), ("law", "none"), ("faq", "none"), ("terms", "s")}
     assert held.where("doc_type = 'faq'").first().chunk_index == 0
-    status = jobs.prepare_services(store, spark.createDataFrame([("TVING",), ("s",)], "service_name string"))
+    status = jobs.services_status(store, spark.createDataFrame([("TVING",), ("s",)], "service_name string"))
     assert {r.service_name: (r.has_terms, r.has_privacy, r.reference_ready) for r in status.collect()} == {
         "티빙": (True, False, False), "s": (False, True, False),
     }
