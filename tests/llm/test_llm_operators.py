@@ -125,7 +125,7 @@ def test_repeated_lines_equal_brute_force(spark, texts):
     assert sorted(map(tuple, line_dedup.repeated_lines(df).collect())) == want
 
 
-@pytest.mark.parametrize("match", [ngram_join.tree_links, line_dedup.prefix_links, passage_dedup.jaccard_links])
+@pytest.mark.parametrize("match", [ngram_join.tree_links, line_dedup.prefix_links])
 def test_matchers_connect_what_is_similar(match):
     import numpy as np
 
@@ -141,14 +141,42 @@ def test_matchers_connect_what_is_similar(match):
 
 
 # ------------------------------------------------------------------------ 2
-def test_repeated_passages(spark, texts):
+def test_repeated_passages_inside_texts(spark, texts):
     rng = random.Random(11)
-    passage = prose(rng, 60)
-    near = passage.replace(passage.split()[30], "other", 1)
-    rows = [(0, f"{texts[0]}\n{passage}"), (1, f"{passage}\n{prose(rng, 40)}"), (2, near), (3, prose(rng, 60)), (4, None), (5, "short line\nshort line")]
+    passage = prose(rng, 58)
+    near = " ".join(["other" if k == 40 else w for k, w in enumerate(passage.split())])
+    gone = " ".join(w for k, w in enumerate(passage.split()) if k != 30)
+    rows = [
+        (0, f"{prose(rng, 70)} {passage} {prose(rng, 30)}"), (1, f"{passage}\n{prose(rng, 40)}"),
+        (2, f"{prose(rng, 11)}\n{near}"), (3, f"x {gone.replace(' ', chr(10), 9)} y"), (4, prose(rng, 400)), (5, None), (6, ""),
+        (7, f"{prose(rng, 60)} {' '.join(passage.split()[:25])} {prose(rng, 60)}"), (8, "w " * 300), (9, prose(rng, 45)),
+        (10, prose(rng, 90)), (None, None),
+    ]
+    rows += [(11, rows[10][1]), rows[4]]
+    got = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.removed) for r in got) == [(0, False), (1, True), (2, True), (3, True), (10, False), (11, True)]
+    at = {r.doc_id: r for r in got}
+    assert (at[0].start_word, at[0].n_words) == (70, 58) and (at[11].start_word, at[11].n_words) == (0, 90)
+    assert {(at[d].kept_doc_id, at[d].kept_start_word, at[d].members) for d in (0, 1, 2, 3)} == {(0, 70, 4)}
+
+
+def test_passages_equal_brute_force_on_exact_repeats(spark):
+    rng = random.Random(21)
+    pool = [prose(rng, 52 + 7 * k) for k in range(4)]
+    rows, want = [], set()
+    for k in range(40):
+        parts, own = [prose(rng, rng.randrange(5, 60))], rng.sample(range(4), rng.randrange(0, 3))
+        for p in own:
+            parts += [pool[p], prose(rng, rng.randrange(6, 60))]
+        rows.append((k, " ".join(parts)))
+        want |= {(k, p) for p in own}
     got = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.paragraph, r.removed) for r in got) == [(0, 1, False), (1, 0, True), (2, 0, True)]
-    assert {(r.kept_doc_id, r.kept_paragraph) for r in got} == {(0, 1)}
+    found = set()
+    for r in got:
+        said = " ".join(rows[r.doc_id][1].split()[r.start_word : r.start_word + r.n_words])
+        assert said in pool
+        found.add((r.doc_id, pool.index(said)))
+    assert found == want
 
 
 # ------------------------------------------------------------------------ 1
