@@ -12,14 +12,16 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow.llm import setjoin
-from clauseflow.llm.base import query, table
-from clauseflow.llm.ngram_join import PERCENT, ngram_components
+from clauseflow.llm.base import components, query, saved, table
+from clauseflow.llm.ngram_join import PERCENT
+from clauseflow.llm.shingles import shingle_sets
 
-BLANKS = " \t\n\x0b\x0c\r"
+STRIDE = 7919  # between the places of a document's lines in the bitmap
 
 
 def shared_tokens(one: np.ndarray, two: np.ndarray) -> int:
@@ -30,8 +32,10 @@ def shared_tokens(one: np.ndarray, two: np.ndarray) -> int:
 
 
 def prefix_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all similar sets of a chunk."""
+    """Links that connect all similar sets of a chunk; what is connected already is not compared."""
     index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    group = list(range(len(sets)))  # grows together as links come, like what ``stars`` makes of them
+    members = [[i] for i in group]
 
     def found() -> Iterator[tuple[int, int]]:
         for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
@@ -46,21 +50,74 @@ def prefix_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                     count = seen.get(j, 0) + 1
                     rest = min(size - at - 1, other - place - 1)
                     seen[j] = count if count + rest >= setjoin.least_overlap(size, other, percent) else -1
-            for j, count in seen.items():
-                if count > 0:
+            for j, count in sorted(seen.items(), key=lambda x: -x[1]):
+                if count > 0 and group[i] != group[j]:
                     both = shared_tokens(sets[i], sets[j])
                     if 100 * both >= percent * (size + len(sets[j]) - both):
                         yield i, j
+                        gone, into = sorted((group[i], group[j]), key=lambda g: len(members[g]))
+                        for k in members[gone]:
+                            group[k] = into
+                        members[into] += members[gone]
             for at, token in enumerate(prefix):
                 index[token].append((i, at))
 
     return setjoin.stars(found(), len(sets))
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(at: struct of document and line, text): every line with a word, from 0."""
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text"))
-    return lines.where(F.translate("text", BLANKS, "") != "").select(F.struct("doc", "line").alias("at"), "text")
+def _lines(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
+    """(row, number, bytes) of every line with a word in a batch of texts."""
+    rows, numbers, lines = [], [], []
+    for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+        for n, line in enumerate((text or b"").split(b"\n")):
+            if line.strip():  # the six ASCII spaces
+                rows.append(k)
+                numbers.append(n)
+                lines.append(line)
+    return rows, numbers, lines
+
+
+def _reader(batch: pa.RecordBatch) -> Iterator[tuple[bytes | None, np.ndarray]]:
+    return shingle_sets(_lines(batch)[2])
+
+
+def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, numbers, lines = _lines(batch)
+        named = [(k, setjoin.short_name(k), len(s)) for k, s in shingle_sets(lines)]
+        columns = zip(*named) if named else ((), (), ())
+        kinds = (pa.binary(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32())]
+            + [pa.array(list(c), t) for c, t in zip(columns, kinds)],
+            ["doc", "line", "key", "fp", "n"],
+        )
+
+
+def _orderer(percent: int, shared):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, bits = shared.value
+        held = np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            rows, numbers, lines = _lines(batch)
+            spots = batch.column("spot").to_numpy()[rows] if rows else np.empty(0, np.int64)
+            spots = (spots + STRIDE * np.array(numbers, np.int64)) % setjoin.SIEVE_BITS
+            mine = np.flatnonzero(held[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1).tolist()
+            data = [(k, setjoin.relabelled(s, order)) for k, s in shingle_sets([lines[i] for i in mine])]
+            first = [s[: setjoin.prefix_length(len(s), percent)].view(np.int64) for _, s in data]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc").take(pa.array([rows[i] for i in mine], pa.int64())),
+                    pa.array([numbers[i] for i in mine], pa.int32()),
+                    pa.array([k for k, _ in data], pa.binary()),
+                    pa.array([len(s) for _, s in data], pa.int32()),
+                    pa.array([s.tobytes() for _, s in data], pa.binary()),
+                    pa.array(first, pa.list_(pa.int64())),
+                ],
+                ["doc", "line", "key", "n", "tokens", "prefix"],
+            )
+
+    return rows
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -72,10 +129,34 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alone; rows without an id come first; rows that share an id share their line numbers.
     Other columns are not read.
     """
-    found = ngram_components(lines_of(docs, id_col, text_col), "at", "text", percent=percent, match=prefix_links, by_text=False)
-    return found.where(~F.col("at").eqNullSafe(F.col("component_id"))).select(
-        F.col("at.doc").alias(id_col), F.col("at.line").cast("long").alias("line"),
-        F.col("component_id.doc").alias(f"kept_{id_col}"), F.col("component_id.line").cast("long").alias("kept_line"),
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc"].dataType.simpleString()
+    names, _ = saved(rows.mapInArrow(_namer, f"doc {kind}, line int, key binary, fp long, n int"), "lines")
+    one = names.groupBy("key", "fp", "n").agg(F.min(F.struct("doc", "line")).alias("one"))
+    left, order = setjoin.candidates(rows.select("text"), _reader, one, percent)
+    left = left.select(F.col("key").alias("of"), "one")
+    place = F.pmod(setjoin.spot("one.doc") + STRIDE * F.col("one.line").cast("long"), F.lit(setjoin.SIEVE_BITS))
+    bits = setjoin.sieve(left.select(place.alias("spot")))
+    made = rows.select("doc", "text", setjoin.spot("doc").alias("spot")).mapInArrow(
+        _orderer(percent, spark.sparkContext.broadcast((order, bits))),  # both of bounded size
+        f"doc {kind}, line int, key binary, n int, tokens binary, prefix array<long>",
+    )
+    chosen = (
+        (F.col("key") == F.col("of")) & F.col("doc").eqNullSafe(F.col("one.doc")) & (F.col("line") == F.col("one.line"))
+    )
+    sets, _ = saved(made.join(left, chosen, "left_semi").drop("doc", "line"), "sets")
+    roots = components(setjoin.links(sets, prefix_links, percent)).withColumnRenamed("node", "key")
+    keys = names.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("m"))
+    keys = keys.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    classes = keys.groupBy("root").agg(F.min("first").alias("kept"), F.sum("m").alias("members")).where("members > 1")
+    kept = keys.join(classes, "root").select("key", "kept")
+    gone = names.select("key", "doc", "line").join(kept, "key").where(
+        ~(F.col("doc").eqNullSafe(F.col("kept.doc")) & (F.col("line") == F.col("kept.line")))
+    )
+    return gone.select(
+        F.col("doc").alias(id_col), F.col("line").cast("long").alias("line"),
+        F.col("kept.doc").alias(f"kept_{id_col}"), F.col("kept.line").cast("long").alias("kept_line"),
     )
 
 

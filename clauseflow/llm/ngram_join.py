@@ -139,7 +139,6 @@ def _orderer(reader: setjoin.Reader, percent: int, shared):
 def ngram_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size: int = WORDS_PER_SHINGLE, percent: int = PERCENT, match: setjoin.Match = tree_links,
-    by_text: bool = True,
 ) -> DataFrame:
     """One row per input row: the id, ``n_shingles`` and ``component_id``.
 
@@ -148,12 +147,11 @@ def ngram_components(
     component is named by the smallest id that links reach.  Texts that are null, empty
     or blank have no shingle and link with nothing.  Equal texts are one set, however
     often they come; repeated rows give repeated rows.  A null id is kept, and never names
-    a component that has another id.  Other columns are not read.  ``by_text`` false says
-    that ids are distinct, so that texts are looked up by id alone.
+    a component that has another id.  Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("ref", text_key("text") if by_text else F.lit(""))
+    rows = rows.withColumn("ref", text_key("text"))
     id_type = rows.schema["doc"].dataType.simpleString()
     reader = _reader(size)
     names, _ = saved(
