@@ -287,15 +287,22 @@ def test_leaks_with_edits_are_found_and_clean_texts_are_not(spark):
 
 
 def test_banded_alignment_equals_the_full_one():
+    import numpy as np
+
     rng = random.Random(4)
-    for _ in range(60):
-        pattern = "".join(rng.choice("abcd") for _ in range(rng.randrange(16, 60)))
-        copy = edited(rng, pattern, rng.randrange(0, 4))
-        text = f"{'x' * rng.randrange(9)}{copy}{'y' * rng.randrange(9)}"
-        low = text.index(copy[:3]) if copy[:3] in text else 0
-        best = min(edit_distance(pattern, text[i:j]) for i in range(len(text)) for j in range(i, len(text) + 1) if abs(j - i - len(pattern)) <= 4)
-        got = decontaminate.banded(pattern.encode(), text.encode(), low - 4, low + 4, 4)
-        assert got == best if best <= 4 else got > 4
+    edits, length, width = 4, 40, 19
+    patterns, texts = [], []
+    for _ in range(40):
+        pattern = "".join(rng.choice("abcd") for _ in range(length))
+        copy = edited(rng, pattern, rng.randrange(0, 6))
+        patterns.append(pattern)
+        texts.append(("x" * rng.randrange(4, 12) + copy + "y" * 60)[: length + width])
+    got = decontaminate.banded(
+        np.array([list(p.encode()) for p in patterns], np.uint8), np.array([list(x.encode()) for x in texts], np.uint8), edits
+    )
+    for pattern, text, found in zip(patterns, texts, got):
+        best = min(edit_distance(pattern, text[i:j]) for i in range(width) for j in range(i + length - edits, i + length + edits + 1))
+        assert found == best if best <= edits else found > edits
 
 
 # ------------------------------------------------------------------------ 6
