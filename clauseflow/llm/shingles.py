@@ -14,6 +14,7 @@ import numpy as np
 
 WORDS_PER_SHINGLE = 5
 SLICE_BYTES = 1 << 20  # work arrays stay small; a longer text is cut between words
+PORTION_BYTES = 4 << 20
 
 _ROOT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_ROOT, -1, 1 << 64)
@@ -108,10 +109,29 @@ def shingle_sets(
     A text of fewer than ``size`` words has its whole sequence as one shingle; without a
     word it has the key None and no shingle.
     """
+    for part in portions(texts):
+        yield from _sets(part, size)
+
+
+def portions(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, a few megabytes at a time or one alone: work arrays stay small."""
+    part: list[bytes] = []
+    held = 0
+    for text in texts:
+        if part and held + len(text) > PORTION_BYTES:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield part
+
+
+def _sets(texts: list[bytes], size: int) -> Iterator[tuple[bytes | None, np.ndarray]]:
     words, counts, flat = windows_of(texts, size)
     for n, end in zip(counts.tolist(), np.cumsum(counts).tolist()):
         if not n:
-            yield None, flat[:0]
+            yield None, np.empty(0, np.uint64)
             continue
         own = words[end - n : end]
         if n < size:

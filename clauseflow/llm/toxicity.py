@@ -30,7 +30,7 @@ LEAST_DOCS = 5  # toxic texts that must hold a learned term
 PURITY = 9  # toxic texts per clean text that hold it, at least
 TERMS_KEPT = 4_000
 STEM_LETTERS = range(4, 11)
-KNOWN_WORDS = 400_000  # results kept per task; a full store is emptied
+KNOWN_WORDS = 100_000  # results kept per task; a full store is emptied
 STATES_KEPT = 100_000
 
 # Mild insults of general English, for tables without labels.
