@@ -313,7 +313,7 @@ def links(sets: DataFrame, match: Match, percent: int) -> DataFrame:
     apart = named.groupBy("pivot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("pivot")
     rest, at_rest = saved(named.join(apart, "pivot", "left_semi"), "unresolved")
     if rest.limit(1).count():
-        more, _ = saved(_matched(_blocks(rest, percent), sets, match, percent), "links")
+        more, _ = saved(_matched(blocks(rest, percent), sets, match, percent), "links")
         first = first.union(more)
     remove(spark, at_members, at_rest)
     return first
@@ -333,7 +333,7 @@ def _chunks(members: DataFrame) -> DataFrame:
     return placed.union(centres)
 
 
-def _blocks(named: DataFrame, percent: int) -> DataFrame:
+def blocks(named: DataFrame, percent: int) -> DataFrame:
     """(pivot, chunk, key): in each pivot's sets (pivot, key, n, root), block against block.
 
     Blocks hold sets of similar size, so that few of them are worth meeting; large

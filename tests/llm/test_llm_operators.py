@@ -179,6 +179,44 @@ def test_passages_equal_brute_force_on_exact_repeats(spark):
     assert found == want
 
 
+def test_passages_behind_a_first_occurrence_that_differs(spark, monkeypatch):
+    """Every anchor of the passages has its first occurrence in a short quote, which none is similar to."""
+    rng = random.Random(31)
+    rows, want = [], {}
+    for k in range(6):
+        one, quote, two = prose(rng, 20), prose(rng, 24), prose(rng, 20)
+        other = f"{prose(rng, 20)} {quote} {prose(rng, 20)}"
+        rows.append((k, f"{prose(rng, 60)} {quote} {prose(rng, 60)}"))
+        for d, text in ((100, f"{one} {quote} {two}"), (200, f"{one} {quote} {two}"), (300, other), (400, other), (500, other)):
+            rows.append((d + k, f"{prose(rng, 50)} {text} {prose(rng, 50)}"))
+            want[d + k] = (100 + k if d < 300 else 300 + k, 2 if d < 300 else 3, 50, 64)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (192, 2):
+        monkeypatch.setattr(setjoin, "CHUNK_SETS", chunk)
+        got = passage_dedup.repeated_passages(df).collect()
+        assert {r.doc_id: (r.kept_doc_id, r.members, r.start_word, r.n_words) for r in got} == want
+
+
+def test_passages_with_a_word_changed_in_the_middle(spark):
+    rng = random.Random(32)
+    rows = []
+    for k in range(60):
+        words = prose(rng, 50).split()
+        for d in (0, 100):
+            rows.append((d + k, " ".join([prose(rng, 60), *words, prose(rng, 60)])))
+            words[24] = "changed"
+    got = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in got} == {(d, d % 100) for d, _ in rows}
+
+
+def test_scattered_shingles_are_no_passage(spark):
+    """Enough shingles of a paragraph, but in no single stretch of 50 words of the other text."""
+    rng = random.Random(33)
+    words = prose(rng, 50).split()
+    rows = [(0, " ".join([*words[:25], *words[25:]])), (1, " ".join([*words[:25], prose(rng, 25), *words[25:]]))]
+    assert not passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+
+
 # ------------------------------------------------------------------------ 1
 def test_best_fit_takes_the_tightest_shard():
     assert sharding.best_fit_decreasing([6, 5, 4, 3, 2], 10) == [0, 1, 0, 1, 1]
