@@ -240,7 +240,7 @@ def chosen_terms(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
     """(words, stems) from (term, toxic texts with it); whole words end in a space.
 
     A prefix is a stem if no single word makes up most of it; of prefixes held by the same
-    texts the longest counts, and words that begin with a stem are left to it.
+    texts the longest counts.  Words that begin with a stem stay words too, as stems have no edits.
     """
     words = {t[:-1]: m for t, m in rows if t.endswith(" ")}
     held = {t: m for t, m in rows if not t.endswith(" ")}
@@ -254,8 +254,7 @@ def chosen_terms(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
         longer[prefix[:-1]] = max(longer.get(prefix[:-1], 0), m)
     loose = {p for p, m in held.items() if main.get(p, 0) < 0.7 * m and longer.get(p, 0) < 0.95 * m}
     stems = [p for p in sorted(loose) if not any(p[:k] in loose for k in STEM_LETTERS if k < len(p))]
-    begun = set(stems)
-    return [w for w in sorted(words) if not any(w[:k] in begun for k in STEM_LETTERS)], stems
+    return sorted(words), stems
 
 
 def _hit_counts(words: list[str], stems: list[str]):

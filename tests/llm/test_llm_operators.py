@@ -373,6 +373,15 @@ def test_quotation_is_told_from_abuse():
     assert not hits.of(None) and not hits.of("")
 
 
+def test_misspelt_words_of_a_stem_are_found():
+    ends = ("ade", "enko", "itor", "urse")
+    held = {"vexol"[:k]: 40 for k in (4, 5)} | {f"vexol{e}"[:k]: 10 for e in ends for k in range(6, 11)}
+    words, stems = toxicity.chosen_terms([*held.items(), *((f"vexol{e} ", 10) for e in ends)])
+    automaton = toxicity.TermAutomaton(words, stems)
+    assert automaton.match("vexolitor") == ("vexol", "stem")
+    assert automaton.match("vxolitor") == ("vexolitor", "near") and automaton.match("vezolade") == ("vexolade", "near")
+
+
 def test_toxicity_learns_terms_and_scores_held_out_texts(spark):
     rng = random.Random(12)
     rows, labels = [], []
