@@ -27,7 +27,8 @@ FIT_ROWS = 20_000  # labelled texts that the lexicon and its weights are learned
 THRESHOLD = 0.7
 WINDOW = 8
 LEAST_DOCS = 5  # toxic texts that must hold a learned term
-PURITY = 9  # toxic texts per clean text that hold it, at least
+PURITY = 9  # toxic texts per clean text that hold it, or its share of their words over that in clean ones, at least
+DEVIATIONS = 2.0  # that such a share of words is taken to be too high by chance
 TERMS_KEPT = 4_000
 STEM_LETTERS = range(4, 11)
 KNOWN_WORDS = 100_000  # results kept per task; a full store is emptied
@@ -196,19 +197,30 @@ PRIOR = {
 }
 PRIOR_DOCS = 2.0  # texts that a prior counts as
 MOST_WEIGHT = 6.0
+LEVELS = 4  # of counts of a hit in a text: 1, 2 and 3, 4 to 7, more
+
+
+def level(count: int) -> int:
+    return min(LEVELS, count.bit_length()) - 1
+
+
+def prior(kind: str, where: str, at: int) -> float:
+    """Log odds without evidence of a hit that a text has 2**at times."""
+    return PRIOR[kind, where] * (1 + at * math.log(2))
 
 
 class Model:
     """Terms, weights and bias; plain values, so it travels with a query."""
 
-    def __init__(self, words: list[str], stems: list[str], weights: dict[tuple[str, str, str], float], bias: float):
+    def __init__(self, words: list[str], stems: list[str], weights: dict[tuple[str, str, str, int], float], bias: float):
         self.words, self.stems, self.weights, self.bias = words, stems, weights, bias
 
     def score(self, hits: Counter) -> float:
         total = self.bias
         for (term, kind, where), count in hits.items():
-            weight = self.weights.get((term, kind, where), PRIOR[kind, where])
-            total += weight * (1 + math.log(count)) if weight > 0 else weight
+            at = level(count)
+            weight = self.weights.get((term, kind, where, at))
+            total += prior(kind, where, at) if weight is None else weight
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
 
@@ -217,22 +229,33 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def _prefixes(toxic: int, text: str | None) -> Iterator[tuple[str, int]]:
-    seen = set()
-    for word in set((text or "").lower().split()):
-        word = word.strip(EDGE)
+def _prefixes(text: str | None) -> tuple[Counter, int]:
+    """(how often words and prefixes of words occur, words in all) of a text."""
+    words = (text or "").lower().split()
+    found: Counter = Counter()
+    for word, n in Counter(w.strip(EDGE) for w in words).items():
         if len(word) >= STEM_LETTERS[0]:
-            seen.add(word + " ")  # a whole word
-            seen.update(word[:k] for k in STEM_LETTERS if k <= len(word))
-    return ((term, toxic) for term in seen)
+            found[word + " "] += n  # a whole word
+            for k in STEM_LETTERS:
+                if k <= len(word):
+                    found[word[:k]] += n
+    return found, len(words)
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each term: toxic and clean texts with it, occurrences in both; of "", all words."""
     for batch in batches:
-        counts = Counter(x for t, text in zip(batch["toxic"], batch["text"]) for x in _prefixes(int(t), text))
-        terms = sorted({term for term, _ in counts})
+        docs: tuple[Counter, Counter] = (Counter(), Counter())
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for toxic, text in zip(batch["toxic"], batch["text"]):
+            found, n = _prefixes(text)
+            found[""] = n
+            counts[int(toxic)].update(found)
+            docs[int(toxic)].update(found.keys())
+        terms = sorted({*counts[0], *counts[1]})
         yield pd.DataFrame({
-            "term": terms, "bad": [counts[t, 1] for t in terms], "good": [counts[t, 0] for t in terms],
+            "term": terms, "docs": [docs[1][t] for t in terms], "clean": [docs[0][t] for t in terms],
+            "bad": [counts[1][t] for t in terms], "good": [counts[0][t] for t in terms],
         })
 
 
@@ -261,9 +284,11 @@ def _hit_counts(words: list[str], stems: list[str]):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hits = Hits(TermAutomaton(words, stems))
         for batch in batches:
-            counts = Counter((*key, int(t)) for t, text in zip(batch["toxic"], batch["text"]) for key in hits.of(text))
+            counts = Counter(
+                (*key, level(n), int(t)) for t, text in zip(batch["toxic"], batch["text"]) for key, n in hits.of(text).items()
+            )
             data = [(*key, n) for key, n in sorted(counts.items())]
-            yield pd.DataFrame(data, columns=["term", "kind", "place", "toxic", "n"])
+            yield pd.DataFrame(data, columns=["term", "kind", "place", "at", "toxic", "n"])
 
     return rows
 
@@ -278,35 +303,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if total > fit_rows:
         part = F.pmod(F.xxhash64("_id", F.lit("fit")), F.lit(1 << 30)) < int(fit_rows / total * (1 << 30))
         known = known.where(part)
-    # About fit_rows narrow rows: bounded, so the texts are not shuffled.
+    # About fit_rows narrow rows: bounded, so only their texts are shuffled, to count equal ones once.
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(
         F.broadcast(known), F.col("_doc") == F.col("_id")
-    ).select("text", "toxic")
+    ).select("text", "toxic").dropDuplicates()
     texts, _ = saved(texts, "labelled")
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     learned: list[tuple[str, int]] = []
     if bad and good:
-        counts = texts.mapInPandas(_term_counts, "term string, bad long, good long").groupBy("term").agg(
-            F.sum("bad").alias("bad"), F.sum("good").alias("good")
+        counts, _ = saved(
+            texts.mapInPandas(_term_counts, "term string, docs long, clean long, bad long, good long").groupBy("term").agg(
+                *(F.sum(c).alias(c) for c in ("docs", "clean", "bad", "good"))
+            ),
+            "terms",
         )
-        pure = counts.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") * good >= PURITY * F.col("good") * bad))
-        pure = pure.where(F.col("bad") >= PURITY * F.col("good"))
-        learned = [(r["term"], r["bad"]) for r in pure.orderBy(F.desc("bad"), "term").limit(TERMS_KEPT).collect()]
+        whole = counts.where("term = ''").first()
+        share = (F.col("bad") - DEVIATIONS * F.sqrt("bad")) * whole["good"] >= PURITY * (F.col("good") + 1.0) * whole["bad"]
+        present = (F.col("docs") >= PURITY * F.col("clean")) & (F.col("docs") * good >= PURITY * F.col("clean") * bad)
+        pure = counts.where((F.col("term") != "") & (F.col("docs") >= LEAST_DOCS) & (share | present))
+        learned = [(r["term"], r["docs"]) for r in pure.collect()]  # from about fit_rows texts
     words, stems = chosen_terms(learned)
+    held = dict(learned)
+    ranked = sorted([(-held[x], x, True) for x in stems] + [(-held[f"{x} "], x, False) for x in words])[:TERMS_KEPT]
+    words, stems = ([x for _, x, is_stem in ranked if is_stem == kind] for kind in (False, True))
     words = sorted({*words, *SEED_TERMS})
-    weights: dict[tuple[str, str, str], float] = {}
+    weights: dict[tuple[str, str, str, int], float] = {}
     if bad and good:
-        hits = texts.mapInPandas(_hit_counts(words, stems), "term string, kind string, place string, toxic int, n long")
-        rows = hits.groupBy("term", "kind", "place").agg(
+        hits = texts.mapInPandas(_hit_counts(words, stems), "term string, kind string, place string, at int, toxic int, n long")
+        rows = hits.groupBy("term", "kind", "place", "at").agg(
             F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
             F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"),
-        ).collect()  # at most nine rows a term
+        ).collect()  # at most nine rows a term and level
         for r in rows:
-            prior = PRIOR[r["kind"], r["place"]]
-            share = 1 / (1 + math.exp(-prior) * good / bad)  # of toxic texts among those with such a hit
+            share = 1 / (1 + math.exp(-prior(r["kind"], r["place"], r["at"])) * good / bad)  # of toxic texts among those with such a hit
             found = (r["bad"] + PRIOR_DOCS * share) / (r["good"] + PRIOR_DOCS * (1 - share)) * good / bad
-            weights[r["term"], r["kind"], r["place"]] = max(-1.0, min(MOST_WEIGHT, math.log(found)))
+            weights[r["term"], r["kind"], r["place"], r["at"]] = max(-1.0, min(MOST_WEIGHT, math.log(found)))
     bias = math.log((bad + 1) / (good + 10)) if bad and good else math.log(0.1)
     return Model(words, stems, weights, max(-4.0, min(-1.0, bias)))
 

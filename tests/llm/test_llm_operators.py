@@ -405,6 +405,22 @@ def test_toxicity_learns_terms_and_scores_held_out_texts(spark):
     assert {r["predicted"] for r in toxicity.toxicity(docs.limit(3), none).collect()} == {0}
 
 
+def test_terms_that_clean_texts_mention_once_are_learned(spark):
+    rng = random.Random(14)
+    rows, labels = [], []
+    for k in range(600):
+        words = prose(rng, 200).split()
+        if k % 10 == 0:
+            words[::40] = ["grumbak"] * 5
+        elif k % 10 == 1:
+            words[7] = "grumbak"
+        rows.append((k, " ".join(words)))
+        labels.append((k, 0, int(k % 10 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert {r["doc_id"]: r["predicted"] for r in got} == {k: int(k % 10 == 0) for k in range(600)}
+
+
 # ------------------------------------------------------------------------ 9
 def test_base_patterns_equal_plain_regular_expressions():
     rng = random.Random(7)
