@@ -10,7 +10,9 @@ two card numbers in a row, a phone number before an address, or a secret.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,6 +27,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 MOST_ATOMS = 16
 FIT_DOCS = 2_000  # documents the field is trained on, about
 FIT_REGIONS = 400
+PIECE = 4096  # letters of a region that are segmented at once, about
 ROUNDS = 6
 STEP = 0.05
 CUE_CHARS = 24
@@ -35,8 +38,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|password|api[_ ]?key)\b[\x20]*[=:][\x20]*[\"']?([A-Za-z0-9_-]{16,64})")
-_REGION = re.compile(r"(?:[^\s0-9@]{0,64}[0-9@]\S{0,256})(?:[\x20](?:[^\s0-9@]{0,3}[0-9@]\S{0,256}))*")
+_SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwort|clave|(?:api[_ ]?)?key)\b[\x20]*[=:][\x20]*[\"']?([A-Za-z0-9_-]{16,64})")
+_REGION = re.compile(r"(?:[^\s0-9@]{0,64}[0-9@]\S*)(?:[\x20](?:[^\s0-9@]{0,3}[0-9@]\S*))*")
+_RUN = re.compile(r"[^\W_]{16}")
 _ATOM = re.compile(r"[^\W_]+|.", re.S)
 
 # Words that announce a kind.
@@ -89,8 +93,23 @@ def regions(text: str) -> Iterator[tuple[int, str, str]]:
     """(start, region, what stands before it): words with digits or an @ in a row."""
     if _DIGIT.search(text) or "@" in text:
         for m in _REGION.finditer(text):
-            if sum(map(str.isdigit, m[0])) >= 7 or "@" in m[0]:
-                yield m.start(), m[0], text[max(0, m.start() - CUE_CHARS) : m.start()]
+            if "@" in m[0] or _RUN.search(m[0]) or sum(map(str.isdigit, m[0])) >= 7:
+                yield from pieces(m.start(), m[0], text)
+
+
+def pieces(start: int, region: str, text: str) -> Iterator[tuple[int, str, str]]:
+    """A region in pieces that overlap by more than ``MOST_ATOMS`` atoms, cut between atoms."""
+    ends = [m.end() for m in _ATOM.finditer(region)] if len(region) > PIECE else [len(region)]
+    first = 0
+    while True:
+        low = ends[first - 1] if first else 0
+        last = first
+        while last + 1 < len(ends) and (ends[last] - low < PIECE or last - first < 4 * MOST_ATOMS):
+            last += 1
+        yield start + low, region[low : ends[last]], text[max(0, start + low - CUE_CHARS) : start + low]
+        if last + 1 >= len(ends):
+            return
+        first = last + 1 - 2 * MOST_ATOMS
 
 
 N_FEATURES = 20
@@ -157,7 +176,7 @@ class Lattice:
                     continue
                 if "@" in span or sum(map(str.isdigit, span)) >= 7 or (len(span) >= 16 and span.isalnum()):
                     self.spans.append((i, j + 1))
-                    cue = (before + region[:start])[-CUE_CHARS:]
+                    cue = region[start - CUE_CHARS : start] if start >= CUE_CHARS else (before + region[:start])[-CUE_CHARS:]
                     rows.append(features(span, region[start - 1 : start], region[end : end + 1], cue))
         self.features = np.array(rows).reshape(-1, N_FEATURES)
 
@@ -273,13 +292,20 @@ def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> np
 
 
 def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
-    """What the field finds apart from the patterns' spans."""
-    out = []
+    """What the field finds apart from the patterns' spans, and assigned secrets."""
+    found = [(m.start(1), m.end(1), 4) for m in _SECRET.finditer(text)]
+    out: list[Span] = []
     for start, region, before in regions(text):
         for a, b, kind in Lattice(region, before).best(weights):
-            span = (start + a, start + b, kind)
-            if all(span[1] <= x or span[0] >= y for x, y, _ in base):
-                out.append(span)
+            found.append((start + a, start + b, kind))
+    end, taken = 0, sorted(base)
+    reach = list(itertools.accumulate((y for _, y, _ in taken), max))
+    # Overlapping pieces may cut a span short: of two that begin together the longer one counts.
+    for span in sorted(found, key=lambda s: (s[0], -s[1])):
+        before = bisect.bisect_left(taken, (span[1],))
+        if span[0] >= end and not (before and reach[before - 1] > span[0]):
+            out.append(span)
+            end = span[1]
     return out
 
 
