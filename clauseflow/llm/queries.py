@@ -3,7 +3,9 @@
 from clauseflow.llm import (  # noqa: F401
     chat,
     decontaminate,
+    licenses,
     line_dedup,
+    middle,
     mixing,
     ngram_join,
     passage_dedup,
@@ -11,6 +13,7 @@ from clauseflow.llm import (  # noqa: F401
     quality,
     sharding,
     toxicity,
+    vector_codes,
 )
 from clauseflow.llm.base import ORACLES, QUERIES
 
