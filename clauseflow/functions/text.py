@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from functools import reduce
+from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column
@@ -109,6 +110,23 @@ def keyword_matches(text: Column, keywords: Column) -> Column:
     return F.element_at(F.transform(F.array(without_spaces(text)), count), 1)
 
 
+def keyword_bits(text: Column, keywords: Iterable[str] = V.DOMAIN_KEYWORDS) -> Column:
+    """A bit for each keyword of the table that occurs in the text, 63 to a number."""
+    flat, table = without_spaces(text), list(keywords)
+
+    def number(some: list[str]) -> Column:
+        bits = [F.when(flat.contains(F.lit(k.replace(" ", ""))), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, k in enumerate(some)]
+        return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+    return F.array(*[number(table[at:at + 63]) for at in range(0, len(table), 63)]).cast("array<long>")
+
+
+def common_bits(a: Column, b: Column) -> Column:
+    """How many keywords two texts share, by their bits of one table."""
+    both = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    return F.aggregate(both, F.lit(0), lambda total, n: total + n)
+
+
 def first_label(text: Column, table: Mapping[str, Iterable[str]], default: str) -> Column:
     """The first label, in table order, with a word that occurs in the text."""
     picks = [F.when(contains_any(text, words), F.lit(label)) for label, words in table.items()]

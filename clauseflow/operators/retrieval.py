@@ -7,7 +7,7 @@ block of chunk vectors with the question vectors and passes on only its own best
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -257,60 +257,83 @@ def top(hits: DataFrame, n: int, *order: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------- rerank
+Find = Callable[[DataFrame, DataFrame, int], DataFrame]  # questions, chunks, pool
+
+
+def with_keyword_bits(chunks: DataFrame, keywords: Iterable[str] = V.DOMAIN_KEYWORDS) -> DataFrame:
+    """Adds ``keyword_bits`` of the text, to be stored; questions must use the same keywords."""
+    return chunks.withColumn("keyword_bits", tx.keyword_bits(F.col("document"), keywords))
+
+
 def rerank(pool: DataFrame, questions: DataFrame, chunks: DataFrame, n: int,
            bonus: float = V.KEYWORD_BONUS) -> DataFrame:
     """Hybrid score of the pool and its first ``n`` per question.
 
-    Text and metadata are fetched here, for pool rows only.  Equal scores keep
-    distance order.  A pool row is a few bytes but costs the scan of a text once it is
-    joined, so its shuffle is given full width: by size alone AQE would merge it into a
-    handful of tasks.  One chunk is at most one row in ``pool`` of each question.
+    ``pool`` has a ``rank`` by distance.  A row whose distance less the question's largest possible bonus lies
+    above the n-th distance cannot be among the first n and goes before anything is
+    looked up.  Where both sides carry ``keyword_bits``, the matches are the common
+    bits, and text and metadata are fetched for the first n only; else they are counted in the
+    texts of the rows left.  Equal scores keep distance order.  One chunk is at most one row in ``pool``
+    of each question; no shuffle has a width of its own, so a chunk near to very many
+    questions is a skewed join that Spark may split.
     """
-    width = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = questions.select("question_id", "keywords")
-    scored = (
-        pool.drop("rank").join(asked, "question_id").repartition(width, "chunk_id")
-        .join(chunks.drop("scope", "vector"), "chunk_id")
-        .withColumn("keyword_match", tx.keyword_matches(F.col("document"), F.col("keywords")))
-        .withColumn("score", F.col("distance") - F.col("keyword_match") * F.lit(bonus))
-        .drop("keywords")
+    by_bits = "keyword_bits" in questions.columns and "keyword_bits" in chunks.columns
+    asked = questions.select("question_id", "keywords", *([F.col("keyword_bits").alias("_bits")] if by_bits else []))
+    reach = F.max(F.when(F.col("rank") <= n, F.col("distance"))).over(Window.partitionBy("question_id"))
+    left = (
+        pool.withColumn("_reach", reach).join(asked, "question_id")
+        .where(F.col("distance") - F.size("keywords") * F.lit(bonus) <= F.col("_reach")).drop("rank", "_reach")
     )
-    return top(scored, n, "score", "distance", "chunk_id")
+    details = chunks.drop("scope", "vector", "keyword_bits", "cell", "cell_distance")
+    if by_bits:
+        matched = left.join(chunks.select("chunk_id", "keyword_bits"), "chunk_id").withColumn(
+            "keyword_match", tx.common_bits(F.col("_bits"), F.col("keyword_bits"))
+        ).drop("_bits", "keyword_bits")
+    else:
+        matched = left.join(details, "chunk_id").withColumn(
+            "keyword_match", tx.keyword_matches(F.col("document"), F.col("keywords"))
+        )
+    scored = matched.drop("keywords").withColumn("score", F.col("distance") - F.col("keyword_match") * F.lit(bonus))
+    best = top(scored, n, "score", "distance", "chunk_id")
+    return best.join(details, "chunk_id") if by_bits else best
 
 
 def hybrid_search(questions: DataFrame, scopes: DataFrame, chunks: DataFrame, n: int = 3,
-                  pool: int = 15, **limits: int) -> DataFrame:
+                  pool: int = 15, find: Find = nearest) -> DataFrame:
     """Ranked hits.
 
     questions(question_id, vector, keywords) has one row per question and
     scopes(question_id, scope) says where to look; chunks also carry ``scope``,
-    ``document`` and metadata.
+    ``document`` and metadata.  ``find`` makes the pool: ``nearest``, or ``cells.finder``.
     """
     asked = questions.select("question_id", "vector").join(scopes, "question_id")
-    return rerank(nearest(asked, chunks, pool, **limits), questions, chunks, n)
+    return rerank(find(asked, chunks, pool), questions, chunks, n)
 
 
 def with_query(questions: DataFrame, keywords: Iterable[str] = V.DOMAIN_KEYWORDS) -> DataFrame:
-    """Adds the search text and its keywords to (question, instruction)."""
+    """Adds the search text, its keywords and their bits to (question, instruction)."""
     return questions.withColumn(
         "query", tx.search_text(F.col("question"), F.col("instruction"))
-    ).withColumn("keywords", tx.keywords_in(F.col("query"), keywords))
+    ).withColumn("keywords", tx.keywords_in(F.col("query"), keywords)).withColumn(
+        "keyword_bits", tx.keyword_bits(F.col("query"), keywords)
+    )
 
 
 def search_terms(questions: DataFrame, chunks: DataFrame, n: int = V.TERMS_HITS, pool: int = V.TERMS_POOL,
-                 doc_types: Sequence[str] = ("terms",)) -> DataFrame:
+                 doc_types: Sequence[str] = ("terms",), find: Find = nearest) -> DataFrame:
     """Hits among the terms of the question's own service, under either spelling."""
     held = by_type(chunks, doc_types).withColumn("scope", F.col("service_name"))
-    return hybrid_search(questions, service_scopes(questions), held, n, pool)
+    return hybrid_search(questions, service_scopes(questions), held, n, pool, find)
 
 
 def search_reference(questions: DataFrame, chunks: DataFrame, n: int = V.REFERENCE_HITS,
-                     pool: int = V.REFERENCE_POOL, doc_types: Sequence[str] = V.REFERENCE_TYPES) -> DataFrame:
+                     pool: int = V.REFERENCE_POOL, doc_types: Sequence[str] = V.REFERENCE_TYPES,
+                     find: Find = nearest) -> DataFrame:
     """Hits among laws and guidelines, whatever the service."""
     everything = F.lit("reference")
     asked = questions.withColumn("scope", everything)
     held = by_type(chunks, doc_types).withColumn("scope", everything)
-    return rerank(nearest(asked, held, pool), questions, held, n)
+    return rerank(find(asked, held, pool), questions, held, n)
 
 
 def drop_other_services(hits: DataFrame, known: Sequence[str] = V.KNOWN_SERVICE_NAMES,
@@ -364,9 +387,9 @@ def preview(hits: DataFrame, chars: int = 250) -> DataFrame:
 
 def reference_context(questions: DataFrame, chunks: DataFrame, n: int = V.REFERENCE_HITS,
                       known: Sequence[str] = V.KNOWN_SERVICE_NAMES,
-                      doc_types: Sequence[str] = V.REFERENCE_TYPES) -> DataFrame:
+                      doc_types: Sequence[str] = V.REFERENCE_TYPES, find: Find = nearest) -> DataFrame:
     """Reference hits without other services' examples, ranked anew."""
-    hits = search_reference(questions, chunks, n, doc_types=doc_types).join(
+    hits = search_reference(questions, chunks, n, doc_types=doc_types, find=find).join(
         questions.select("question_id", names.canonical_name(F.col("service_name")).alias("asked_service")), "question_id"
     )
     return top(drop_other_services(hits, known).drop("rank"), n, "score", "distance", "chunk_id")
@@ -374,11 +397,11 @@ def reference_context(questions: DataFrame, chunks: DataFrame, n: int = V.REFERE
 
 def retrieve(questions: DataFrame, chunks: DataFrame, known: Sequence[str] = V.KNOWN_SERVICE_NAMES,
              reference_types: Sequence[str] = V.REFERENCE_TYPES, terms_types: Sequence[str] = ("terms",),
-             score_format: str | None = None) -> DataFrame:
+             score_format: str | None = None, find: Find = nearest) -> DataFrame:
     """Both contexts of every question, side by side."""
-    terms = render(search_terms(questions, chunks, doc_types=terms_types), questions, score_format)
+    terms = render(search_terms(questions, chunks, doc_types=terms_types, find=find), questions, score_format)
     reference = render(
-        reference_context(questions, chunks, known=known, doc_types=reference_types), questions, score_format
+        reference_context(questions, chunks, known=known, doc_types=reference_types, find=find), questions, score_format
     )
     return terms.withColumnRenamed("context", "terms_context").join(
         reference.withColumnRenamed("context", "reference_context"), "question_id"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
 from clauseflow.functions import vectors
-from clauseflow.operators import retrieval as R
+from clauseflow.operators import cells, retrieval as R
 from clauseflow.plans import shapes as S
 from clauseflow.plans.registry import checked, table, texts
 from clauseflow.session import written
@@ -22,12 +22,12 @@ def chunks_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with their stored vectors: publisher as service, language as type."""
     docs = texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     vec = table(spark, sf_dir, "embeddings")
-    return docs.join(vec, docs.doc_id == vec.vec_id).select(
+    return R.with_keyword_bits(docs.join(vec, docs.doc_id == vec.vec_id).select(
         F.col("doc_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("text").alias("document"),
         F.col("lang").alias("doc_type"), F.col("source").alias("service_name"),
         F.concat(F.lit("art "), F.col("label").cast("string")).alias("article"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), "label",
-    )
+    ), KEYWORDS)
 
 
 def questions_v(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,20 @@ def nearest_pool_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@checked(f"""
+WITH {CHUNKS_V}, {QUESTIONS_V},
+d AS (SELECT question_id, chunk_id, {_DIST} AS distance FROM qs JOIN ch ON label = qlabel)
+SELECT question_id, chunk_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank
+FROM d QUALIFY rank <= 15""")
+def nearest_pool_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by metric cells, the way of a store with indexed vectors."""
+    held = chunks_v(spark, sf_dir).select("chunk_id", "vector", F.col("label").cast("string").alias("scope"))
+    index = cells.fit_cells(held)
+    placed = written(cells.with_cells(held, index), "placed")
+    asked = questions_v(spark, sf_dir).withColumn("scope", F.col("label").cast("string"))
+    return cells.nearest_by_cells(asked, placed, 15, index).withColumn("distance", F.round("distance", 6))
+
+
 @checked(f"WITH {CHUNKS_V}, {QUESTIONS_V}, {sql_hits('h', 'label = qlabel', 15, 3)} SELECT {_HITS} FROM h")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filtered pool, keyword bonus, top three, for every question."""
@@ -123,6 +137,21 @@ def search_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(R.search_reference(questions_v(spark, sf_dir), chunks_v(spark, sf_dir), doc_types=REFERENCE))
 
 
+@checked(f"""
+WITH {CHUNKS_V}, {QUESTIONS_V}, {sql_hits('h', "doc_type IN ('de', 'fr', 'es')", 15, 3)} SELECT {_HITS} FROM h""")
+def search_reference_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some chunks have no cell, as if they had been stored before the centres."""
+    held = chunks_v(spark, sf_dir)
+    index = cells.fit_cells(held)
+    placed = cells.with_cells(held, index)
+    old = F.col("chunk_id") % 10 == 0
+    placed = placed.withColumns({c: F.when(~old, F.col(c)) for c in ("cell", "cell_distance")})
+    found = R.search_reference(
+        written(questions_v(spark, sf_dir), "questions"), written(placed, "placed"), doc_types=REFERENCE, find=cells.finder(index)
+    )
+    return _hits(found)
+
+
 @checked(f"""
 WITH {CHUNKS_V}, {QUESTIONS_V}, {sql_hits('h', "doc_type = 'en' AND service_name = asked", 20, 6)} SELECT {_HITS} FROM h""")
 def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
 from clauseflow.functions import chunks, vectors
-from clauseflow.operators import answers, chunking, history, ingest, readiness, retrieval as R, runs, selection
+from clauseflow.operators import answers, cells, chunking, history, ingest, readiness, retrieval as R, runs, selection
 from clauseflow.plans import jobs
 from clauseflow.plans.retrieval_checks import letter_counts
-from clauseflow.session import scratch_dir
+from clauseflow.session import scratch_dir, written
 from clauseflow.sources import crawl, faq, files, html, policies, requests
 from clauseflow.sources.store import ChunkStore
 from clauseflow.streaming import ingest as stream
@@ -53,6 +53,85 @@ def test_nearest_on_empty_sides(spark):
     assert R.nearest(q, c.limit(0), 3, broadcast_cells=0).count() == 0
 
 
+def _clustered(spark, seed=3):
+    """Chunks in clusters, a hot scope, repeated vectors; questions near the clusters."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 10, (24, 8))
+    vectors = centres[rng.integers(0, 24, 3000)] + rng.normal(0, 0.3, (3000, 8))
+    vectors[::9] = vectors[0]
+    chunks = [(f"c{n:05d}", "hot" if n % 3 else f"s{n % 5}", v.tolist()) for n, v in enumerate(vectors)]
+    asked = centres[rng.integers(0, 24, 90)] + rng.normal(0, 0.3, (90, 8))
+    asked[::7] = vectors[0]
+    questions = [(n, ("hot", "s0", "s1", "nowhere")[n % 4], v.tolist()) for n, v in enumerate(asked)]
+    questions += [(0, "s2", asked[0].tolist())]  # a question with two scopes
+    q = spark.createDataFrame(questions, "question_id long, scope string, vector array<double>").repartition(3)
+    c = spark.createDataFrame(chunks, "chunk_id string, scope string, vector array<double>").repartition(5)
+    return q, c
+
+
+def test_cells_find_the_rows_of_all_pairs_with_few_comparisons(spark):
+    q, c = _clustered(spark)
+    index = cells.fit_cells(c, k=48)
+    placed = written(cells.with_cells(c, index), "placed")
+    hits, met = cells.search_by_cells(q, placed, 7, index)
+    rows = lambda df: sorted((r.question_id, r.rank, r.chunk_id, r.distance) for r in df.collect())
+    assert rows(hits) == rows(R.nearest(q, c, 7))
+    pairs = q.groupBy("scope").count().join(c.groupBy("scope").agg(F.count("*").alias("n")), "scope").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    assert met.agg(F.sum("n")).first()[0] < 0.25 * pairs
+    assert met.groupBy("question_id", "scope", "cell").count().where("count > 1").count() == 0
+
+
+def test_cells_in_small_blocks_with_old_rows_and_another_scale(spark):
+    q, c = _clustered(spark, 5)
+    index = cells.fit_cells(c, k=9, sample_rows=400)
+    placed = cells.with_cells(c, index)
+    old = F.col("chunk_id") < "c00400"
+    placed = written(placed.withColumns({x: F.when(~old, F.col(x)) for x in ("cell", "cell_distance")}), "placed")
+    rows = lambda df: sorted((r.question_id, r.rank, r.chunk_id, r.distance) for r in df.collect())
+    assert rows(cells.nearest_by_cells(q, placed, 200, index, block_questions=11, block_chunks=40)) == rows(R.nearest(q, c, 200))
+    small = q.withColumn("vector", F.transform("vector", lambda x: x / 1e6))
+    assert rows(cells.nearest_by_cells(small, placed, 3, index)) == rows(R.nearest(small, c, 3))
+
+
+def test_cells_of_nothing(spark):
+    schema = "chunk_id long, scope string, vector array<double>"
+    none, one = spark.createDataFrame([], schema), spark.createDataFrame([(1, "s", [1.0, 2.0]), (2, "s", None), (3, None, [1.0, 2.0])], schema)
+    asked = spark.createDataFrame([(7, "s", [0.0, 0.0]), (8, "s", None), (9, "t", [0.0, 0.0])], "question_id long, scope string, vector array<double>")
+    assert cells.fit_cells(none).centres.size == 0
+    empty = cells.with_cells(none, cells.fit_cells(none))
+    assert cells.nearest_by_cells(asked, empty, 3, cells.fit_cells(none)).count() == 0
+    index = cells.fit_cells(one)
+    placed = cells.with_cells(one, index)
+    assert [(r.question_id, r.chunk_id, r.distance) for r in cells.nearest_by_cells(asked, placed, 3, index).collect()] == [(7, 1, 5.0)]
+    assert cells.nearest_by_cells(asked.limit(0), placed, 3, index).count() == 0
+    unplaced = cells.with_cells(one, cells.Cells(np.zeros((0, 0))))
+    assert cells.nearest_by_cells(asked, unplaced, 3, cells.Cells(np.zeros((0, 0)))).count() == 1
+
+
+def test_rerank_by_bits_equals_rerank_by_text(spark):
+    rng = random.Random(8)
+    words = [f"w{n}" for n in range(70)] + ["환불 조항"]
+    chunks = [(n, " ".join(rng.choices(words, k=6)), [float(rng.randint(0, 3)), 0.1 * rng.randint(0, 9)]) for n in range(200)]
+    held = spark.createDataFrame(chunks, "chunk_id long, document string, vector array<double>").withColumn("scope", F.lit("s"))
+    asked = spark.createDataFrame([(n, " ".join(rng.choices(words, k=rng.randint(0, 9))), "", [1.0, 0.2]) for n in range(30)],
+                                  "question_id long, question string, instruction string, vector array<double>")
+    asked = R.with_query(asked, words).withColumn("scope", F.lit("s"))
+    pool = written(R.nearest(asked, held, 40), "pool")
+    by_text = R.rerank(pool, asked, held, 5).select("question_id", "rank", "chunk_id", "keyword_match", "score", "document")
+    by_bits = R.rerank(pool, asked, R.with_keyword_bits(held, words), 5).select(*by_text.columns)
+    assert sorted(by_bits.collect()) == sorted(by_text.collect()) and by_bits.count() == 150
+    # Against the pool without the cut by bounds.
+    whole = {}
+    texts = {n: t.replace(" ", "") for n, t, _ in chunks}
+    kws = {r.question_id: [k.replace(" ", "") for k in r.keywords] for r in asked.collect()}
+    for r in pool.collect():
+        m = sum(k in texts[r.chunk_id] for k in kws[r.question_id])
+        whole.setdefault(r.question_id, []).append((r.distance - m * 0.15, r.distance, r.chunk_id))
+    want = sorted((q, k + 1, c) for q, rows in whole.items() for k, (_, _, c) in enumerate(sorted(rows)[:5]))
+    assert sorted((r.question_id, r.rank, r.chunk_id) for r in by_bits.collect()) == want
+    assert "repartition" not in by_bits._jdf.queryExecution().toString().lower()
+
+
 def _held(spark):
     rows = [
         ("a", "t1", [0.0, 0.1], "환불 조항", "terms", "netflix"), ("b", "t2", [0.0, 0.2], "다른 조항", "terms", "넷플릭스"),
