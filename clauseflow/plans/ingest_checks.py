@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
-from clauseflow.functions import text as tx
+from clauseflow.functions import names, text as tx
 from clauseflow.operators import ingest, readiness
-from clauseflow.plans import shapes as S
+from clauseflow.plans import jobs, shapes as S
 from clauseflow.plans.registry import checked, table, texts
 from clauseflow.plans.text_checks import sql_cascade
 from clauseflow.session import scratch_dir, written
@@ -410,6 +410,44 @@ def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("chunk_id", F.md5("document").alias("content"))
 
 
+@checked(f"""
+WITH {_STORE_ROWS},
+changed AS (SELECT source, doc_type, 'privacy_policy' AS doc_subtype, service_name, source_kind, conv_id FROM store WHERE conv_id % 4 = 1),
+all_rows AS (SELECT source, doc_type, doc_subtype, service_name, source_kind, conv_id FROM store WHERE conv_id % 4 <> 1 UNION ALL FROM changed
+             UNION ALL SELECT 'faq-' || conv_id, 'faq', 'unknown', 'none', 'file', 0 FROM store WHERE conv_id % 5 = 2 AND conv_id % 2 = 1),
+held AS (SELECT * EXCLUDE (service_name), CASE service_name WHEN 'tving' THEN '티빙' WHEN 'Netflix' THEN '넷플릭스' ELSE service_name END AS svc
+         FROM all_rows WHERE source_kind <> 'file' OR conv_id % 3 = 0 OR source LIKE 'faq-%'),
+asked AS (SELECT DISTINCT svc FROM held UNION SELECT source FROM documents)
+SELECT a.svc AS service_name, coalesce(bool_or(doc_type = 'terms' AND doc_subtype = 'terms_of_use'), false) AS has_terms,
+       coalesce(bool_or(doc_type = 'terms' AND doc_subtype = 'privacy_policy'), false) AS has_privacy,
+       (SELECT coalesce(bool_or(doc_type = 'law') AND bool_or(doc_type = 'guideline'), false) FROM held) AS reference_ready,
+       count(DISTINCT source) AS documents, count(source) AS chunks
+FROM asked a LEFT JOIN held h ON h.svc = a.svc GROUP BY a.svc""")
+def stored_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readiness and counts from what commits, replacements, a sweep and FAQ rows left of the counts; no document is read."""
+    # One hash a source: a document is one row however many chunks it has.
+    rows = written(_store_rows(spark, sf_dir).withColumn("document_hash", F.md5("source")), "rows")
+    number = F.regexp_extract("source", r"(\d+)", 1).cast("long")
+    store = ChunkStore(spark, scratch_dir(spark, "store"))
+    store.commit(rows, rows.select("source").limit(0))
+    changed = rows.where(number % 4 == 1).withColumn("doc_subtype", F.lit("privacy_policy"))
+    store.commit(changed, changed)
+    listed = rows.where(number % 3 == 0).select(F.col("source").alias("path"))
+    jobs.sweep_files(store, listed)
+    faq_rows = rows.where((number % 5 == 2) & (number % 2 == 1)).select(
+        F.concat(F.lit("faq-"), number.cast("string")).alias("source"), "chunk_id", F.lit("faq").alias("doc_type"),
+        F.lit("unknown").alias("doc_subtype"), F.lit("none").alias("service_name"), F.lit("file").alias("source_kind"),
+    )
+    store.commit(faq_rows, faq_rows)
+    status = store.status()
+    asked = status.select("service_name").union(table(spark, sf_dir, "documents").select("source"))
+    ready = readiness.readiness(asked, status).select("service_name", "has_terms", "has_privacy", "reference_ready")
+    counts = status.groupBy(names.canonical_name(F.col("service_name")).alias("service_name")).agg(
+        F.sum("documents").alias("documents"), F.sum("chunks").alias("chunks")
+    )
+    return ready.join(counts, "service_name", "left").na.fill(0, ["documents", "chunks"])
+
+
 @checked("""
 SELECT doc_id, count(*) AS pages, count(*) FILTER (blank) AS blank_pages,
        count(*) FILTER (blank) = count(*) OR count(*) FILTER (blank) / count(*) > 0.7 AS needs_ocr

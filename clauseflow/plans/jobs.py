@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
 from clauseflow.functions import names, paths, text as tx
-from clauseflow.operators import answers, history, ingest, readiness, retrieval, runs, selection
+from clauseflow.operators import answers, cells, history, ingest, readiness, retrieval, runs, selection
 from clauseflow.session import written
 from clauseflow.sources import crawl, faq, files, policies, requests
 from clauseflow.sources.store import ChunkStore
@@ -18,8 +18,14 @@ from clauseflow.sources.store import ChunkStore
 Embed = Callable[[Column], Column]
 
 
-def _embedded(chunks: DataFrame, embed: Embed | None) -> DataFrame:
-    return chunks if embed is None else chunks.withColumn("vector", embed(F.col("document")))
+def _searchable(store: ChunkStore, chunks: DataFrame, embed: Embed | None) -> DataFrame:
+    """Chunks with what a search reads beside their text: keyword bits, and with a model vector and cell."""
+    chunks = retrieval.with_keyword_bits(chunks)
+    if embed is None:
+        return chunks
+    index = store.cells()
+    chunks = chunks.withColumn("vector", embed(F.col("document")))
+    return chunks if index is None else cells.with_cells(chunks, index)
 
 
 def ingest_documents(
@@ -34,12 +40,13 @@ def ingest_documents(
     of narrow rows.
     """
     docs = docs.withColumn("service_name", F.coalesce("service_name", F.lit("unknown")))
-    stored = ingest.stored_documents(store.documents())
-    judged = written(ingest.judge(written(ingest.hashes(docs), "hashes"), stored), "judged")
+    narrow = written(ingest.hashes(docs), "hashes")
+    # Both tests of a source ask for its hash, so only documents with a hash of the batch are read.
+    stored = written(ingest.stored_documents(store.documents_with("hash", narrow)), "stored")
+    judged = written(ingest.judge(narrow, stored), "judged")
     new = judged.where(F.col("outcome") == "new").select("source")
     chunks = ingest.chunk_rows(ingest.prepare(docs.drop("position").join(new, "source", "left_semi")), mode)
-    replaced = stored.select("source").distinct().join(new, "source", "left_semi")
-    version = store.commit(_embedded(chunks, embed), replaced, txn)
+    version = store.commit(_searchable(store, chunks, embed), new, txn)
     return ingest.outcomes(judged, store.added(version).select("source"))
 
 
@@ -54,7 +61,7 @@ def ingest_faq(store: ChunkStore, faq_files: DataFrame, txn: str = "", embed: Em
     parsed = written(faq.parse_files(faq_files), "faq")
     readable = parsed.where(F.col("items").isNotNull())
     chunks = faq.faq_chunks(faq.explode_items(readable)).withColumn("updated_at", F.current_timestamp())
-    store.commit(_embedded(chunks, embed), readable.select(F.col("path").alias("source")), txn)
+    store.commit(_searchable(store, chunks, embed), readable.select(F.col("path").alias("source")), txn)
     return parsed.select(
         F.col("path").alias("source"),
         F.when(F.col("items").isNotNull(), "done").otherwise("rejected").alias("outcome"),
@@ -73,35 +80,60 @@ def sweep_files(store: ChunkStore, *listings: DataFrame) -> int:
     return store.commit(store.read().limit(0), written(stale, "stale"))
 
 
-def ingest_folder(store: ChunkStore, root: str, *other_roots: str, embed: Embed | None = None) -> DataFrame:
-    """Everything below ``root``: texts, crawl lines and FAQ files, then a sweep.
+def _in_path_order(path: Column) -> Column:
+    """A position before all lines of the file; a path has one form, however Spark wrote its scheme."""
+    return F.struct(path.alias("path"), F.lit(-1).cast("long").alias("_block"), F.lit(0).cast("long").alias("row"))
 
-    Returns one row of counts over files.  PDF text layers and recognised pages come in
-    as tables (see ``ingest.needs_ocr``); the files themselves are not parsed here.
+
+def _one_form(path: Column) -> Column:
+    return F.regexp_replace(path, "^([a-zA-Z0-9+.-]+:)/+(?=[^/])", "$1/")
+
+
+def ingest_folder(
+    store: ChunkStore, root: str, *other_roots: str, embed: Embed | None = None,
+    pages: DataFrame | None = None, recognised: DataFrame | None = None,
+) -> DataFrame:
+    """Everything below ``root``, then a sweep; returns one row of counts over files.
+
+    Texts, crawl lines and paged files are one batch in the order of their paths (lines in
+    that of their file), so of equal texts the first file wins whatever its kind.  The files
+    of page documents are not parsed here: ``pages`` and ``recognised`` are (path, page_no, text)
+    rows of their text layer and of what recognition saw.  A paged file without readable text
+    has failed, as has one that has no rows at all.
     """
     spark = store.spark
-    texts = ingest_documents(store, files.read_documents(spark, root), embed=embed).select(
-        F.col("source").alias("path"), "outcome"
-    )
-    good = F.col("outcome").isin("done", "unchanged", "duplicate")
+    texts = files.read_documents(spark, root)
+    paged = files.list_files(spark, root, ("pdf",)).select("path")
+    if pages is not None:
+        rows = [p.withColumn("doc_id", _one_form(F.col("path"))) for p in (pages, pages.limit(0) if recognised is None else recognised)]
+        read = ingest.paged_documents(*rows).select(F.col("doc_id").alias("_form"), "text")
+        found = paged.withColumn("_form", _one_form(F.col("path"))).join(read, "_form", "left").drop("_form")
+        # A file without text goes in as an empty one, which is a failure.
+        texts = texts.unionByName(files.with_path_metadata(found).withColumn("source", F.col("path")))
+    texts = texts.withColumn("position", _in_path_order(_one_form(F.col("path")))).drop("path")
     lines = crawl.read_lines(spark, root)
     parsed = written(crawl.parse_lines(lines), "crawled")
-    judged = ingest_documents(store, crawl.last_per_source(parsed), embed=embed)
+    place = F.col("position").withField("path", _one_form(F.col("position.path")))
+    crawled = crawl.last_per_source(parsed).withColumn("position", place)
+    judged = ingest_documents(store, texts.unionByName(crawled), embed=embed)
+    good = F.col("outcome").isin("done", "unchanged", "duplicate")
+    well = judged.where(good).select("source")
     # A crawl file succeeds if any of its lines does.
-    of_file = parsed.select("source", F.col("position.path").alias("path")).distinct().join(
-        judged.where(good).select("source"), "source", "left_semi"
-    ).select("path").distinct()
-    crawled = lines.select("path").distinct().join(of_file.withColumn("outcome", F.lit("done")), "path", "left").select(
-        F.coalesce("outcome", F.lit("rejected")).alias("outcome")
+    of_file = parsed.select("source", F.col("position.path").alias("path")).distinct().join(well, "source", "left_semi")
+    listed = files.list_files(spark, root, ("txt", "pdf")).select(F.col("path").alias("source"), "path").union(
+        lines.select(F.lit(None).cast("string"), "path").distinct()
     )
+    succeeded = well.select(F.col("source").alias("path")).union(of_file.select("path")).distinct().withColumn("good", F.lit(True))
+    of_texts = listed.join(succeeded, "path", "left").select(F.coalesce("good", F.lit(False)).alias("good"))
     faqs = ingest_faq(store, files.list_files(spark, root, ("json",)).select(
         "path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("text")
     ), embed=embed)
     sweep_files(store, *[files.list_files(spark, r) for r in (root, *other_roots)])
-    rows = [df.select(good.alias("good")) for df in (texts, crawled, faqs)]
-    return rows[0].union(rows[1]).union(rows[2]).agg(
+    counts = of_texts.union(faqs.select(good.alias("good"))).agg(
         F.count_if("good").alias("succeeded"), F.count_if(~F.col("good")).alias("failed"), F.count("*").alias("sources"),
-    ).withColumn("chunks", F.lit(store.read().count()))
+    )
+    chunks = store.status().agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+    return counts.withColumn("chunks", chunks.scalar())
 
 
 def _one_per_source(docs: DataFrame) -> DataFrame:
@@ -136,6 +168,17 @@ def uploaded_documents(uploads: DataFrame) -> DataFrame:
     ))
 
 
+def upload_batch(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Uploads (service_name, document_type, file_name, n_bytes, text) as source documents, and the rejected rows.
+
+    The document type is the policy kind that the user names; the text is what was read from the file.
+    """
+    checked = requests.check_uploads(uploads)
+    kind = tx.lookup(F.col("document_type"), V.POLICY_SUBTYPES)
+    docs = requests.accepted(checked).withColumn("doc_type", F.lit("terms")).withColumn("doc_subtype", kind)
+    return uploaded_documents(docs), checked.where(F.col("reject_reason").isNotNull())
+
+
 def url_documents(extracted: DataFrame) -> DataFrame:
     """Texts of user URLs (service_name, url, text, doc_type, doc_subtype) that pass the checks, one row per URL."""
     extracted = requests.accepted(requests.check_manual(extracted))
@@ -157,8 +200,8 @@ def collect_policies(
 
 
 def services_status(store: ChunkStore, services: DataFrame) -> DataFrame:
-    """Readiness of every asked service."""
-    return readiness.readiness(services, store.documents())
+    """Readiness of every asked service, from the counts that commits keep; no document is read."""
+    return readiness.readiness(services, store.status())
 
 
 def prepare_services(
@@ -176,7 +219,7 @@ def prepare_services(
     chosen for explicit URLs and for what is missing then.
     """
     asked = services.select(names.canonical_name(F.col("service_name")).alias("service_name")).distinct()
-    if reference is not None and not readiness.reference_status(store.documents()).first()[0]:
+    if reference is not None and not readiness.reference_status(store.status()).first()[0]:
         ingest_documents(store, reference, embed=embed)
     short = written(services_status(store, asked).where("requires_input").select("service_name"), "short")
     if local is not None:
@@ -227,10 +270,26 @@ def finish_runs(
     return *history.append_questions(items, asked_before, rows), problems
 
 
+def index_vectors(store: ChunkStore, k: int | None = None) -> None:
+    """Fits the cells of a store to what it holds; chunks stored from now on carry theirs."""
+    store.set_cells(cells.fit_cells(store.read(), k))
+
+
+def compact(store: ChunkStore, target_root: str, k: int | None = None, buckets: int | None = None) -> ChunkStore:
+    """The store's current rows in a new one, with cells fitted to all of them if the old one had any."""
+    if store.cells() is None:
+        return store.compact(target_root, buckets=buckets)
+    index = cells.fit_cells(store.read(), k)
+    fresh = store.compact(target_root, lambda rows: cells.with_cells(rows.drop("cell", "cell_distance"), index), buckets)
+    fresh.set_cells(index)
+    return fresh
+
+
 def answer_contexts(store: ChunkStore, questions: DataFrame, embed: Embed) -> DataFrame:
     """Both contexts for questions(question_id, service_name, question, instruction).
 
     ``embed`` must be the function the chunks were ingested with.
     """
-    asked = retrieval.with_query(questions).withColumn("vector", embed(F.col("query")))
-    return retrieval.retrieve(written(asked, "questions"), store.read())
+    asked = written(retrieval.with_query(questions).withColumn("vector", embed(F.col("query"))), "questions")
+    index = store.cells()
+    return retrieval.retrieve(asked, store.read(), find=retrieval.nearest if index is None else cells.finder(index))

@@ -11,7 +11,8 @@ from clauseflow.functions import vectors
 from clauseflow.operators import cells, retrieval as R
 from clauseflow.plans import shapes as S
 from clauseflow.plans.registry import checked, table, texts
-from clauseflow.session import written
+from clauseflow.session import scratch_dir, written
+from clauseflow.sources.store import ChunkStore
 
 KEYWORDS = ("license", "the on", "queque", "erer", "zu ver", "de la", "that")
 REFERENCE = ("de", "fr", "es")
@@ -219,6 +220,42 @@ def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.by_service(R.by_type(held, ("en", "de")), "Netflix").select("doc_id")
 
 
+_STORED = f"""
+ch AS (SELECT lpad(doc_id::VARCHAR, 12, '0') AS chunk_id, embedding, CASE WHEN doc_id % 5 = 1 THEN text || ' license queque' ELSE text END AS document,
+              lang AS doc_type, source AS service_name FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 7 <> 3),
+qs AS (SELECT doc_id AS question_id, embedding AS qv, source AS asked,
+              list_filter([{_K}], lambda k: contains(replace(text, ' ', ''), replace(k, ' ', ''))) AS kws
+       FROM documents JOIN embeddings ON vec_id = doc_id)"""
+
+
+def searched_store(spark: SparkSession, sf_dir: str) -> ChunkStore:
+    """chunks_v in three commits: all, replacements of a fifth, removal of a seventh; cells from the first on."""
+    rows = chunks_v(spark, sf_dir).withColumn("chunk_id", F.lpad(F.col("chunk_id").cast("string"), 12, "0")).drop("label")
+    rows = written(rows.withColumn("document_hash", F.md5("document")), "rows")
+    number = F.regexp_extract("source", r"(\d+)", 1).cast("long")
+    store = ChunkStore(spark, scratch_dir(spark, "store"))
+    index = cells.fit_cells(rows)
+    store.commit(rows, rows.select("source").limit(0))
+    store.set_cells(index)
+    changed = rows.where(number % 5 == 1).withColumn("document", F.concat("document", F.lit(" license queque")))
+    store.commit(cells.with_cells(R.with_keyword_bits(changed, KEYWORDS), store.cells()), changed)
+    store.commit(rows.limit(0), rows.where(number % 7 == 3))
+    return store
+
+
+@checked(f"""
+WITH {_STORED}, {sql_hits('t', "doc_type = 'en' AND service_name = asked", 20, 6)}, {sql_hits('r', "doc_type IN ('de', 'fr', 'es')", 15, 3)}
+SELECT 'terms' AS preset, {_HITS} FROM t UNION ALL SELECT 'reference', {_HITS} FROM r""")
+def stored_chunks_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both presets over a store with removals, its vectors found by their cells and reranked by their stored bits."""
+    store = searched_store(spark, sf_dir)
+    find = cells.finder(store.cells())
+    asked = written(questions_v(spark, sf_dir), "questions")
+    terms = _hits(R.search_terms(asked, store.read(), doc_types=("en",), find=find))
+    reference = _hits(R.search_reference(asked, store.read(), doc_types=REFERENCE, find=find))
+    return terms.select(F.lit("terms").alias("preset"), "*").union(reference.select(F.lit("reference"), "*"))
+
+
 _NAMED = " OR ".join(f"(contains(document, '{n}') AND asked_service <> '{n}')" for n in NAMES)
 
 

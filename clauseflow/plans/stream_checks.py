@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseflow.functions import text as tx
 from clauseflow.plans import shapes as S
 from clauseflow.plans.registry import checked, texts
 from clauseflow.plans.text_checks import sql_cascade
-from clauseflow.session import scratch_dir
+from clauseflow.session import scratch_dir, written
 from clauseflow.sources.store import ChunkStore
 from clauseflow.streaming import ingest
 
@@ -54,3 +55,40 @@ def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select(
         "source", "service_name", "document_hash", F.col("chunk_index").cast("long").alias("chunk_index"), "content_hash"
     )
+
+
+_ROUNDS = 4
+
+
+@checked(f"""
+WITH RECURSIVE kept AS (
+  SELECT doc_id, 'https://example.com/' || doc_id AS source, 's' || doc_id AS service_name, 'terms' AS doc_type,
+    CASE WHEN doc_id % 3 = 0 AND doc_id % {_ROUNDS} < {_ROUNDS - 1} THEN 'Amended. ' || text ELSE text END AS text
+  FROM documents WHERE length({S.sql_strip('text')}) >= 200),
+{S.sql_clean('kept', 'doc_id')},
+docs AS (SELECT kept.* EXCLUDE (text), body FROM kept JOIN cleaned ON id = doc_id),
+{sql_cascade('docs', 'doc_id', 'body')},
+parts AS (SELECT id, unnest(chunks) AS part, generate_subscripts(chunks, 1) - 1 AS n FROM chunked)
+SELECT source, n AS chunk_index, md5(part) AS content_hash FROM parts JOIN docs ON id = doc_id""")
+def streamed_in_small_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a batch, with a stop between; each batch amends some documents of the one before.
+
+    Small versions are folded as they come, so fewer hold the rows than there were batches.
+    """
+    i = F.col("doc_id")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    first = docs.withColumn("round", i % _ROUNDS)
+    again = first.where((i % 3 == 0) & (F.col("round") < _ROUNDS - 1)).withColumns(
+        {"text": F.concat(F.lit("Amended. "), "text"), "round": F.col("round") + 1}
+    ).where(F.length(tx.strip(F.substring("text", 10, 1 << 30))) >= 200)
+    lines = written(first.union(again).select("round", F.to_json(F.struct(
+        F.concat(F.lit("s"), i.cast("string")).alias("service_name"), F.lit("terms").alias("document_type"),
+        F.concat(F.lit("https://example.com/"), i.cast("string")).alias("source_url"), "text",
+    )).alias("value")), "lines")
+    inbox, checkpoint = scratch_dir(spark, "inbox"), scratch_dir(spark, "stream")
+    store = ChunkStore(spark, scratch_dir(spark, "store"))
+    for n in range(_ROUNDS):
+        lines.where(F.col("round") == n).select("value").coalesce(1).write.mode("append").format("text").save(inbox)
+        if n in (_ROUNDS // 2, _ROUNDS - 1):
+            ingest.start(store, inbox, checkpoint, glob="*.txt", files_per_batch=1, fold_above=2).awaitTermination()
+    return store.read().select("source", F.col("chunk_index").cast("long").alias("chunk_index"), "content_hash")

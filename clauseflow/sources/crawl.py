@@ -14,12 +14,12 @@ LINE_SCHEMA = (
 )
 
 
-def read_lines(spark: SparkSession, root: str, stream: bool = False, glob: str = "*.jsonl") -> DataFrame:
+def read_lines(spark: SparkSession, root: str, stream: bool = False, glob: str = "*.jsonl", **options: str) -> DataFrame:
     """Lines with their path and a position that orders them within each file."""
     reader = spark.readStream if stream else spark.read
     lines = (
         reader.format("text").schema("value string")
-        .option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob).option("recursiveFileLookup", True).options(**options)
         .load(root)
         .select("value", F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("_block"))

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clauseflow.plans import jobs
 from clauseflow.sources import crawl
-from clauseflow.sources.store import ChunkStore
+from clauseflow.sources.store import FOLD_ABOVE, ChunkStore
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -19,22 +19,32 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 def start(
     store: ChunkStore, root: str, checkpoint: str, name: str = "crawl", glob: str = "*.jsonl",
-    embed: jobs.Embed | None = None, **trigger,
+    embed: jobs.Embed | None = None, files_per_batch: int | None = None, clean: str | None = None,
+    fold_above: int = FOLD_ABOVE, **trigger,
 ) -> StreamingQuery:
     """Starts the stream; by default it takes what is there and stops.
 
     A batch carries the stream's own id, which its checkpoint keeps, and its number into the
     store's commit.  If the job dies between that commit and the stream's checkpoint, the
-    batch comes again and is skipped.  Any number of streams may feed one store.
+    batch comes again and is skipped.  Any number of streams may feed one store.  A batch takes
+    up to ``files_per_batch`` files; files that are done are deleted with ``clean="delete"``, or moved
+    below the folder ``clean``.  When more than ``fold_above`` versions hold the store's rows, the
+    small ones are written together, so a long stream does not leave a folder for each batch.
     """
+    options = {} if files_per_batch is None else {"maxFilesPerTrigger": str(files_per_batch)}
+    if clean == "delete":
+        options["cleanSource"] = "delete"
+    elif clean is not None:
+        options |= {"cleanSource": "archive", "sourceArchiveDir": clean}
 
     def apply(lines: DataFrame, number: int) -> None:
         txn = f"{stream_id(store.spark, checkpoint)}:{number}"
         if not store.has_transaction(txn):
             jobs.ingest_crawl(store, crawl.with_positions(lines), txn, embed)
+        store.fold(fold_above)
 
     return (
-        crawl.read_lines(store.spark, root, stream=True, glob=glob)
+        crawl.read_lines(store.spark, root, stream=True, glob=glob, **options)
         .writeStream.foreachBatch(apply)
         .queryName(name)
         .option("checkpointLocation", checkpoint)

@@ -254,6 +254,132 @@ def test_uncommitted_version_is_not_read(spark):
     assert store.version() == 2 and store.read().count() == 6
 
 
+STORED = "source string, chunk_id string, chunk_index int, document string, doc_type string, service_name string, document_hash string"
+
+
+def _stored(spark, numbers, version=0):
+    rows = [(f"s{n}", f"s{n}#{k}", k, f"text {n} {k} {version}", ("terms", "law", None)[n % 3], f"svc{n % 4}", f"h{n}.{version}")
+            for n in numbers for k in range(2)]
+    return spark.createDataFrame(rows, STORED)
+
+
+def test_removals_meet_chunks_without_a_shuffle_of_text(spark, monkeypatch):
+    from clauseflow.sources import store as module
+
+    held = ChunkStore(spark, scratch_dir(spark, "store"), buckets=4)
+    held.commit(_stored(spark, range(60)), _stored(spark, []))
+    held.commit(_stored(spark, range(0, 30), 1), _stored(spark, range(0, 40)))
+    monkeypatch.setattr(module, "SENT_REMOVALS", 0)
+    monkeypatch.setattr(module, "ONE_TASK_REMOVALS", 0)
+    held.commit(_stored(spark, []), _stored(spark, [1, 2, 3]))
+    rows = R.by_type(held.read(), ("terms",)).select("chunk_id", "document")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Exchange" not in plan and "PartitionFilters: [" in plan
+    assert "doc_type" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    want = {f"text {n} {k} {int(n < 30)}" for n in range(60) for k in range(2) if n % 3 == 0 and not 30 <= n < 40 and n not in (1, 2, 3)}
+    assert {r.document for r in rows.collect()} == want
+    assert held.read().where("doc_type is null").count() == 2 * sum(n % 3 == 2 and not 30 <= n < 40 and n != 2 for n in range(60))
+
+
+def test_documents_are_found_by_key_in_few_parts(spark, monkeypatch):
+    from clauseflow.sources import store as module
+
+    monkeypatch.setattr(module, "SMALL_VERSION", 0)
+    monkeypatch.setattr(module, "PART_DOCUMENTS", 10)
+    held = ChunkStore(spark, scratch_dir(spark, "store"), buckets=16)
+    held.commit(_stored(spark, range(200)), _stored(spark, []))
+    held.commit(_stored(spark, range(200, 230)), _stored(spark, [5]))
+    keys = spark.createDataFrame([("h7.0",), ("h5.0",), ("h210.0",), ("h7.9",), (None,)], "document_hash string")
+    assert {r.source for r in held.documents_with("hash", keys).collect()} == {"s7", "s210"}
+    assert {r.source for r in held.documents_with("source", spark.createDataFrame([("s5",), ("s6",), ("x",)], "source string")).collect()} == {"s6"}
+    parts = held._parts("hash", keys.select(F.col("document_hash").alias("key")).where("key is not null"), held._live())
+    assert 3 <= len(parts) <= 8 and sum(m.parts for m in held._live()) == 20
+    assert held.documents_with("hash", keys.limit(0)).count() == 0
+    # A batch judged by these rows is judged as by all.
+    batch = spark.createDataFrame([("s7", "svc3", "h7.0"), ("new", "svc3", "h7.0"), ("s8", "svc0", "h8.1"), ("e", "svc0", None)], "source string, service_name string, document_hash string")
+    some, every = (ingest.stored_documents(d) for d in (held.documents_with("hash", batch), held.documents()))
+    assert sorted(map(str, ingest.judge(batch, some).collect())) == sorted(map(str, ingest.judge(batch, every).collect()))
+
+
+def test_status_follows_the_commits(spark):
+    held = ChunkStore(spark, scratch_dir(spark, "store"), buckets=2)
+    assert held.status().count() == 0
+    held.commit(_stored(spark, range(12)), _stored(spark, []))
+    held.commit(_stored(spark, range(6), 1), _stored(spark, range(8)))
+    held.commit(_stored(spark, []), _stored(spark, [0, 99]))
+    held.commit(_stored(spark, []), _stored(spark, [0]))  # already gone: counted once
+    keys = ["service_name", "doc_type", "doc_subtype"]
+    want = held.documents().groupBy(*keys).agg(F.count("*").alias("documents"), F.sum("n_chunks").alias("chunks"))
+    assert sorted(map(tuple, held.status().collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert held.status().agg(F.sum("chunks")).first()[0] == held.read().count() == 18
+    services = spark.createDataFrame([("svc0",), ("svc1",)], "service_name string")
+    assert sorted(readiness.readiness(services, held.status()).collect()) == sorted(readiness.readiness(services, held.documents()).collect())
+
+
+def test_folding_keeps_the_rows_and_bounds_the_folders(spark, tmp_path):
+    held = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    live = {}
+    for n in range(14):
+        added, gone = [n, n + 1], [n - 1] if n % 3 == 0 else []
+        held.commit(_stored(spark, added, n), _stored(spark, added + gone), f"stream:{n}")
+        live |= {s: n for s in added}
+        for s in gone:
+            live.pop(s, None)
+        held.fold(3)
+        if n in (5, 13):
+            assert {r.document for r in held.read().collect()} == {f"text {s} {k} {v}" for s, v in live.items() for k in range(2)}
+            assert held.status().agg(F.sum("documents")).first()[0] == held.documents().count() == len(live)
+    assert len(held._live()) <= 3
+    for kind in ("chunks", "documents", "status", "commits"):
+        assert len([d for d in os.listdir(tmp_path / "store" / kind) if d.startswith("v=")]) <= 9
+    assert held.has_transaction("stream:13") and held.has_transaction("stream:2") and not held.has_transaction("stream:14")
+    assert not held.has_transaction("other:1") and held.fold(3) is None
+    packed = held.compact(str(tmp_path / "packed"), buckets=3)
+    assert packed.buckets() == 3 and packed.read().count() == 2 * len(live)
+
+
+def test_cells_of_a_store(spark):
+    held = ChunkStore(spark, scratch_dir(spark, "store"), buckets=2)
+    embed = vectors.embedder(letter_counts)
+    assert held.cells() is None
+    jobs.ingest_documents(held, _docs(spark, [(f"/{n}", "s", f"{LONG} {chr(97 + n) * 40}") for n in range(6)]), embed=embed)
+    jobs.index_vectors(held, 3)
+    jobs.ingest_documents(held, _docs(spark, [("/z", "s", LONG.replace("조항", "zz"))]), embed=embed)
+    assert held.read().where("cell is not null").count() == 5 and held.read().where("keyword_bits is null").count() == 0
+    asked = spark.createDataFrame([(1, "s", "zz?", "")], "question_id long, service_name string, question string, instruction string")
+    with_cells = jobs.answer_contexts(held, asked, embed).first()
+    fresh = jobs.compact(held, scratch_dir(spark, "fresh"), 4)
+    assert fresh.read().where("cell is null").count() == 0
+    plain = R.retrieve(R.with_query(asked).withColumn("vector", embed(F.col("query"))), held.read()).first()
+    assert with_cells == plain == jobs.answer_contexts(fresh, asked, embed).first()
+
+
+def test_one_order_over_kinds_of_files_and_paged_files(spark, tmp_path):
+    for name, text in {
+        "terms/s/b.txt": LONG, "terms/s/c.txt": LONG + " 더",
+        "a/kb.jsonl": json.dumps({"service_name": "s", "source_url": "https://s.com/p", "text": LONG}) + "\n",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    for name in ("x.pdf", "y.pdf", "z.pdf"):
+        (tmp_path / "terms" / "s" / name).write_bytes(b"%PDF")
+    at = f"file://{tmp_path}/terms/s/"
+    pages = spark.createDataFrame([(at + "x.pdf", 1, LONG + " 쪽"), (at + "x.pdf", 2, " "), (at + "y.pdf", 1, "")], "path string, page_no int, text string")
+    store = ChunkStore(spark, scratch_dir(spark, "store"))
+    counts = jobs.ingest_folder(store, str(tmp_path), pages=pages).first()
+    # The crawl line is first in path order, so the equal text file is the copy; y and z have no text.
+    held = {r.source.split("/")[-1] for r in store.documents().collect()}
+    assert held == {"p", "c.txt", "x.pdf"}
+    assert (counts.succeeded, counts.failed, counts.sources, counts.chunks) == (4, 2, 6, store.read().count())
+
+
+def test_upload_batch_is_checked(spark):
+    rows = [("tving", "terms", "a.txt", 9, LONG), ("tving", "law", "a.txt", 9, LONG), ("tving", "privacy", "b.exe", 9, LONG), (" ", "terms", "a.txt", 9, LONG)]
+    docs, rejected = jobs.upload_batch(spark.createDataFrame(rows, "service_name string, document_type string, file_name string, n_bytes long, text string"))
+    assert [(r.service_name, r.doc_subtype, r.source_kind) for r in docs.collect()] == [("티빙", "terms_of_use", "upload")]
+    assert sorted(r.reject_reason for r in rejected.collect()) == ["document_type", "service_blank", "suffix"]
+
+
 def test_cascade_strategies(spark):
     rows = [
         (1, "law", "제1조 a\n제2조 b\n제3조 c"), (2, "law", "1. a\n2. b\n3. c"), (3, "guideline", "1. a\n2. b\n3. c"),
