@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
 from clauseflow.functions import text as tx
+from clauseflow.session import written
+
+ANCHOR_GRAM = 12
+ANCHOR_WINDOW = 9  # neighbouring grams of which the least is an anchor; texts of 20 letters have one
 
 LISTS = (
     "terms_evidence", "source_references", "check_items", "next_actions",
@@ -77,6 +83,78 @@ def grounding(evidence: DataFrame, hits: DataFrame) -> DataFrame:
     return pairs.groupBy("run_id", "sentence_no").agg(F.bool_or(occurs).alias("grounded"))
 
 
+def anchors(rows: DataFrame, key: str, text: str, gram: int = ANCHOR_GRAM, window: int = ANCHOR_WINDOW) -> DataFrame:
+    """(run_id, key, anchor): the anchors of every text that is long enough to have one.
+
+    An anchor is the gram with the least hash of ``window`` neighbouring ones, so a text that
+    holds another, gap by gap, has all of its anchors.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, found = [], []
+            for k, said in enumerate(batch.column("text")):
+                letters = np.frombuffer((said.as_py() or "").encode("utf-32-le"), "<u4").astype(np.uint64)
+                if len(letters) < gram + window - 1:
+                    continue
+                hashes = np.zeros(len(letters) - gram + 1, np.uint64)
+                for i in range(gram):
+                    hashes = (hashes ^ letters[i : i + len(hashes)]) * np.uint64(0x9E3779B97F4A7C15)
+                    hashes ^= hashes >> np.uint64(29)
+                least = hashes[: len(hashes) - window + 1].copy()
+                for i in range(1, window):
+                    np.minimum(least, hashes[i : i + len(least)], out=least)
+                found.append(np.unique(least).astype(np.int64))
+                places.append(np.full(len(found[-1]), k))
+            at = pa.array(np.concatenate(places) if places else [], pa.int64())
+            columns = [batch.column(c).take(at) for c in ("run_id", "key")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.concatenate(found) if found else [], pa.int64())], ["run_id", "key", "anchor"]
+            )
+
+    narrow = rows.select("run_id", F.col(key).alias("key"), F.col(text).alias("text"))
+    return narrow.mapInArrow(cut, f"run_id {kinds['run_id']}, key {kinds[key]}, anchor long").withColumnRenamed("key", key)
+
+
+def anchored_pairs(evidence: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((run_id, sentence_no, hit_no), (run_id, sentence_no)): pairs to be verified, and sentences that were anchored.
+
+    evidence(run_id, sentence_no, _sentence), hits(run_id, hit_no, _text), both without white
+    space.  Of a sentence's anchors the one that fewest hits of the run have is met; if a hit has
+    none of some anchor, no hit holds the sentence.
+    """
+    of_hits = written(anchors(hits, "hit_no", "_text"), "anchors")
+    asked = written(anchors(evidence, "sentence_no", "_sentence"), "asked")
+    # Only what a sentence asks for is counted.
+    wanted = of_hits.join(asked.select("run_id", "anchor").distinct(), ["run_id", "anchor"], "left_semi")
+    counts = wanted.groupBy("run_id", "anchor").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, ["run_id", "anchor"], "left").groupBy("run_id", "sentence_no").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("least")
+    )
+    met = rarest.where("least.n > 0").select("run_id", "sentence_no", F.col("least.anchor").alias("anchor"))
+    return met.join(of_hits, ["run_id", "anchor"]).drop("anchor"), rarest.select("run_id", "sentence_no")
+
+
+def grounding_by_anchors(evidence: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of ``grounding`` for runs with many hits: a sentence meets only hits that share its rarest anchor.
+
+    Sentences too short for an anchor meet every hit of their run.  (run_id, sentence_no) is
+    unique, as it is for ``grounding``.
+    """
+    said = written(evidence.select("run_id", "sentence_no", tx.without_whitespace(F.col("sentence")).alias("_sentence")), "said")
+    texts = hits.select("run_id", tx.without_whitespace(F.col("document")).alias("_text"))
+    texts = written(texts.withColumn("hit_no", F.monotonically_increasing_id()), "texts")
+    pairs, anchored = anchored_pairs(said, texts)
+    anchored = written(anchored, "anchored")
+    holds = F.contains("_text", "_sentence")
+    keys = ["run_id", "sentence_no"]
+    verified = pairs.join(said, keys).join(texts, ["run_id", "hit_no"]).select(*keys, holds.alias("_holds"))
+    short = said.join(anchored, keys, "left_anti").join(texts, "run_id").select(*keys, holds.alias("_holds"))
+    found = verified.unionByName(short).where("_holds").select(*keys).distinct().withColumn("grounded", F.lit(True))
+    return said.select(*keys).join(found, keys, "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
+
+
 def grounded_share(checked: DataFrame) -> DataFrame:
     return checked.groupBy("run_id").agg(
         F.count("*").alias("sentences"),

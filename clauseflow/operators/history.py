@@ -83,6 +83,54 @@ def delete_items(deleted: DataFrame, *tables: DataFrame) -> tuple[DataFrame, ...
     return tuple(t.join(gone, "item_id", "left_anti") for t in tables)
 
 
+def apply_actions(
+    items: DataFrame, questions: DataFrame, todos: DataFrame, actions: DataFrame,
+    new_questions: DataFrame, new_todos: DataFrame,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An ordered log of edits, applied as if one by one: (items, questions, todos) afterwards.
+
+    actions(item_id, seq, action, qa_id, todo_id) in any interleaving; ``seq`` is unique within an
+    item and beyond that of its stored questions.  ``append`` adds the row of ``new_questions`` and its
+    ``new_todos`` at the end (a question that is there starts anew) and selects it;
+    ``delete`` removes a question, and if it was selected the first one left is; ``toggle`` flips a
+    todo of a question that is there; ``delete_item`` ends the item and whatever follows on it.
+    Edits of what is not there change nothing.
+
+    No log is folded row by row.  A question is there if its last append is later than its last
+    delete; a todo's flips count from its question's last append; and as nothing is added
+    after an item's last append, a selection that goes after it ends at the first question left.
+    All of these are partial aggregates by question or item, so a third of the log may be one item's.
+    """
+    keys = ["item_id", "qa_id"]
+    gone = actions.where("action = 'delete_item'").select("item_id").distinct()
+    items, questions, todos = (t.join(gone, "item_id", "left_anti") for t in (items, questions, todos))
+    log = actions.join(items.select("item_id"), "item_id", "left_semi")
+    at = lambda kind: F.max(F.when(F.col("action") == kind, F.col("seq")))
+    edited = log.where("action in ('append', 'delete')").groupBy(*keys).agg(at("append").alias("_added"), at("delete").alias("_deleted"))
+    alive = edited.where("_added is not null and (_deleted is null or _deleted < _added)").select(*keys, "_added")
+    added = new_questions.drop("seq").join(alive, keys).withColumnRenamed("_added", "seq")
+    left = questions.join(edited.select(*keys), keys, "left_anti").unionByName(added, allowMissingColumns=True)
+
+    old = todos.join(edited.select(*keys), keys, "left_anti").withColumn("_added", F.lit(None).cast("long"))
+    held = old.unionByName(new_todos.join(alive.withColumn("_added", F.col("_added").cast("long")), keys), allowMissingColumns=True)
+    flips = log.where("action = 'toggle'").join(alive, keys, "left").where("_added is null or seq > _added")
+    odd = flips.groupBy(*keys, "todo_id").agg((F.count("*") % 2 == 1).alias("_odd")).where("_odd")
+    # Flips of an old question that was deleted find no todo; those of a new one are counted above.
+    held = held.drop("_added").join(odd, [*keys, "todo_id"], "left").withColumn(
+        "checked", F.col("checked") != F.coalesce("_odd", F.lit(False))
+    ).drop("_odd")
+
+    newest = log.where("action = 'append'").groupBy("item_id").agg(F.max(F.struct("seq", "qa_id")).alias("_newest"))
+    first = left.groupBy("item_id").agg(F.min(F.struct("seq", "qa_id"))["qa_id"].alias("_first"))
+    chosen = items.join(newest, "item_id", "left").withColumn("_chosen", F.coalesce(F.col("_newest.qa_id"), F.col("selected_qa_id")))
+    chosen = chosen.join(edited.select("item_id", F.col("qa_id").alias("_chosen"), "_deleted"), ["item_id", "_chosen"], "left")
+    went = F.col("_deleted").isNotNull() & (F.col("_newest").isNull() | (F.col("_deleted") > F.col("_newest.seq")))
+    moved = chosen.join(first, "item_id", "left").withColumn(
+        "selected_qa_id", F.when(went, F.col("_first")).otherwise(F.col("_chosen"))
+    )
+    return moved.select(*items.columns), left, held
+
+
 def active_questions(items: DataFrame, questions: DataFrame, follow_ups: int | None = None) -> DataFrame:
     """The selected question of each item, else its last one."""
     chosen = F.col("qa_id") == F.col("selected_qa_id")

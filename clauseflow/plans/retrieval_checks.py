@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
 from clauseflow.functions import vectors
-from clauseflow.operators import cells, retrieval as R
+from clauseflow.operators import cells, mentions, retrieval as R
 from clauseflow.plans import shapes as S
 from clauseflow.plans.registry import checked, table, texts
 from clauseflow.session import scratch_dir, written
@@ -269,6 +269,36 @@ def other_services_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.drop_other_services(hits, NAMES).select("doc_id")
 
 
+_NAME_TABLE = """
+words AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS name FROM benchmark),
+named AS (SELECT name, row_number() OVER (ORDER BY md5(name)) AS place FROM words WHERE length(name) >= 8),
+rows AS (SELECT doc_id, text AS document, (SELECT name FROM named WHERE place = 1 + doc_id % (SELECT count(*) FROM named)) AS asked FROM documents)"""
+
+
+def _name_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All words of eight letters or more of the benchmark as names; every document asks for one of them."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("name")).where(F.length("name") >= 8).distinct()
+    names = written(words.withColumn("place", F.row_number().over(Window.orderBy(F.md5("name"))).cast("long")), "names")
+    turn = 1 + F.col("doc_id") % names.count()
+    asked = names.select("place", F.col("name").alias("asked"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.col("text").alias("document"), turn.alias("place"))
+    return names, docs.join(asked, "place").drop("place")
+
+
+@checked(f"WITH {_NAME_TABLE} SELECT doc_id FROM rows WHERE NOT EXISTS (SELECT 1 FROM named WHERE contains(document, name) AND name <> asked)")
+def other_names_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold no name but the one asked for, by one automaton over all names."""
+    names, docs = _name_table(spark, sf_dir)
+    return mentions.drop_rows_naming_others(docs, names, "asked").select("doc_id")
+
+
+@checked(f"WITH {_NAME_TABLE} SELECT doc_id, (SELECT upper(arg_min(name, place)) FROM named WHERE contains(document, name)) AS shown FROM rows")
+def first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first name, in table order, that each document holds."""
+    names, docs = _name_table(spark, sf_dir)
+    return mentions.with_first_name(docs, names.withColumn("value", F.upper("name")), "document").select("doc_id", "shown")
+
+
 def sql_render(hits: str, name: str) -> str:
     return f"""
 {name} AS (

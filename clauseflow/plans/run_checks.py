@@ -230,6 +230,24 @@ def grounded_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.grounded_share(answers.grounding(*_evidence(spark, sf_dir))).withColumn("share", F.round("share", 6))
 
 
+@checked(r"""
+WITH turns AS (SELECT conv_id AS run_id, conv_id * 1000 + turn AS qa_id, text, string_split(text, chr(10)) AS ls FROM conversations),
+lines AS (SELECT run_id, qa_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM turns),
+evidence AS (SELECT run_id, qa_id * 1000 + n AS sentence_no,
+               regexp_replace(CASE WHEN (qa_id + n) % 3 = 2 THEN line || line ELSE line END, '\s', '', 'g') AS flat FROM lines),
+hits AS (SELECT run_id, regexp_replace(text, '\s', '', 'g') AS t FROM turns)
+SELECT e.run_id, sentence_no, bool_or(contains(t, flat)) AS grounded FROM evidence e JOIN hits USING (run_id) GROUP BY ALL""")
+def grounded_by_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation is a run: every line of it is evidence, every third one doubled, and every turn a hit."""
+    turns = table(spark, sf_dir, "conversations").withColumn("qa_id", F.col("conv_id") * 1000 + F.col("turn"))
+    lines = turns.select(F.col("conv_id").alias("run_id"), "qa_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    evidence = lines.select(
+        "run_id", (F.col("qa_id") * 1000 + F.col("n")).alias("sentence_no"),
+        F.when((F.col("qa_id") + F.col("n")) % 3 == 2, F.concat("line", "line")).otherwise(F.col("line")).alias("sentence"),
+    )
+    return answers.grounding_by_anchors(evidence, turns.select(F.col("conv_id").alias("run_id"), F.col("text").alias("document")))
+
+
 # ---------------------------------------------------------------------- history
 _TYPES = ("name", "url", "document")
 
@@ -342,6 +360,64 @@ def deleted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", F.lit("item").alias("what")).union(asked.select("qa_id", F.lit("question")))
 
 
+_ACTIONS = ("toggle", "append", "delete", "toggle", "append", "toggle", "delete")
+_ACTION_LOG = f"""
+log AS (SELECT user_id AS item_id, event_id + 1000 AS seq, user_id * 1000 + event_id % 5 AS qa_id, event_id // 3 % 3 AS todo_id,
+          CASE WHEN event_id % 97 = 0 THEN 'delete_item' ELSE {S.sql_pick(_ACTIONS, '(event_id // 2 + user_id)')} END AS action,
+          row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events),
+starts AS (SELECT i.item_id, coalesce(list(qa_id ORDER BY seq) FILTER (qa_id IS NOT NULL), []) AS live, any_value(selected_qa_id) AS sel
+           FROM items i LEFT JOIN questions q USING (item_id) GROUP BY i.item_id),
+states AS (
+  SELECT item_id, 0 AS step, live, sel, []::VARCHAR[] AS flips, []::BIGINT[] AS fresh, false AS dead FROM starts
+  UNION ALL
+  SELECT s.item_id, l.step,
+    CASE action WHEN 'append' THEN list_append(list_filter(live, lambda x: x <> l.qa_id), l.qa_id)
+                WHEN 'delete' THEN list_filter(live, lambda x: x <> l.qa_id) ELSE live END,
+    CASE WHEN action = 'append' THEN l.qa_id WHEN action = 'delete' AND sel = l.qa_id THEN list_filter(live, lambda x: x <> l.qa_id)[1] ELSE sel END,
+    CASE WHEN action IN ('append', 'delete') THEN list_filter(flips, lambda x: NOT starts_with(x, l.qa_id || '/'))
+         WHEN action = 'toggle' AND list_contains(live, l.qa_id) THEN
+           CASE WHEN list_contains(flips, l.qa_id || '/' || l.todo_id) THEN list_filter(flips, lambda x: x <> l.qa_id || '/' || l.todo_id)
+                ELSE list_append(flips, l.qa_id || '/' || l.todo_id) END
+         ELSE flips END,
+    CASE WHEN action = 'append' THEN list_append(fresh, l.qa_id) ELSE fresh END,
+    dead OR action = 'delete_item'
+  FROM states s JOIN log l ON l.item_id = s.item_id AND l.step = s.step + 1 WHERE NOT dead),
+ended AS (SELECT * FROM states QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY step DESC) = 1),
+final AS (SELECT * FROM ended WHERE NOT dead),
+lived AS (SELECT item_id, flips, fresh, unnest(live) AS qa_id FROM final)"""
+
+
+@checked(f"""
+WITH RECURSIVE {HISTORY}, {_ACTION_LOG}
+SELECT 'item' AS what, item_id, sel AS qa_id, 0 AS todo_id, false AS checked FROM final
+UNION ALL SELECT 'question', item_id, qa_id, 0, false FROM lived
+UNION ALL SELECT 'todo', l.item_id, l.qa_id, t.todo_id, (t.todo_id % 2 = 1) <> list_contains(flips, l.qa_id || '/' || t.todo_id)
+  FROM lived l JOIN todos t ON t.item_id = l.item_id AND t.qa_id = l.qa_id WHERE NOT list_contains(fresh, l.qa_id)
+UNION ALL SELECT 'todo', item_id, qa_id, n, list_contains(flips, qa_id || '/' || n)
+  FROM lived, (SELECT unnest(range(2)) AS n) WHERE list_contains(fresh, qa_id)""")
+def applied_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a log of mixed edits to the history; an appended question has two open todos."""
+    items, asked, todos = history_tables(spark, sf_dir)
+    e, u = F.col("event_id"), F.col("user_id")
+    action = F.when(e % 97 == 0, "delete_item").otherwise(S.pick(_ACTIONS, F.floor(e / 2) + u))
+    log = table(spark, sf_dir, "events").select(
+        u.alias("item_id"), (e + 1000).alias("seq"), action.alias("action"), (u * 1000 + e % 5).alias("qa_id"),
+        (F.floor(e / 3) % 3).cast("int").alias("todo_id"),
+    )
+    new = log.where("action = 'append'").select("item_id", "qa_id").distinct()
+    new_todos = new.withColumn("todo_id", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("checked", F.lit(False))
+    items, asked, todos = history.apply_actions(
+        items, asked.select("item_id", "qa_id", "seq"), todos.select("item_id", "qa_id", "todo_id", "checked"), log, new, new_todos
+    )
+    row = lambda df, what, todo, checked: df.select(
+        F.lit(what).alias("what"), "item_id", "qa_id", todo.cast("long").alias("todo_id"), checked.alias("checked")
+    )
+    none, no = F.lit(0), F.lit(False)
+    return row(items.withColumnRenamed("selected_qa_id", "qa_id"), "item", none, no).union(row(asked, "question", none, no)).union(
+        row(todos, "todo", F.col("todo_id"), F.col("checked"))
+    )
+
+
 @checked(f"""
 WITH {HISTORY}, active AS (
   SELECT item_id, arg_max(qa_id, (coalesce(qa_id = selected_qa_id, false)::INT, seq)) AS qa_id FROM questions JOIN items USING (item_id) GROUP BY item_id)
@@ -374,31 +450,38 @@ def history_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @checked(f"""
 WITH {VERDICTS}, {_ANSWERS},
-asked AS (SELECT conv_id AS run_id, conv_id % 10 <> 0 AS in_scope FROM conversations WHERE turn = 1),
-ends AS (SELECT a.run_id, in_scope, count(r.run_id) AS seen, coalesce(bool_or(status = 'PASS' AND retry_count <= 2), false) AS passed,
-                coalesce(max(retry_count), -1) AS logged FROM asked a LEFT JOIN rounds r USING (run_id) GROUP BY ALL),
-said AS (SELECT run_id, ls, off, problem_type, role FROM ends JOIN ans ON conv_id = run_id AND turn = 1 WHERE in_scope AND passed),
-held AS (SELECT c.conv_id AS run_id, regexp_replace(text, '[ \\n]', '', 'g') AS t FROM conversations c WHERE turn = (conv_id + 1) % 2),
-grounds AS (SELECT run_id, bool_and(contains(t, replace(s, ' ', ''))) AS whole FROM (SELECT run_id, unnest(ls) AS s FROM said WHERE NOT off) LEFT JOIN held USING (run_id) GROUP BY run_id)
+asked AS (SELECT conv_id * 1000 + turn AS run_id, conv_id, turn, (conv_id + turn) % 10 <> 0 AS in_scope FROM conversations),
+ends AS (SELECT a.run_id, a.conv_id, a.turn, in_scope, coalesce(bool_or(status = 'PASS' AND retry_count <= 2), false) AS passed,
+                coalesce(max(retry_count), -1) AS logged FROM asked a LEFT JOIN rounds r ON r.run_id = a.conv_id GROUP BY ALL),
+said AS (SELECT run_id, e.conv_id, e.turn, ls, off FROM ends e JOIN ans USING (conv_id, turn) WHERE in_scope AND passed),
+held AS (SELECT conv_id * 1000 + turn AS run_id, regexp_replace(text, '[ \\n]', '', 'g') AS t FROM conversations WHERE (conv_id + turn) % 2 = 0
+         UNION ALL SELECT conv_id * 1000 + turn + 1, regexp_replace(text, '[ \\n]', '', 'g') FROM conversations),
+grounds AS (SELECT run_id, sentence_no, bool_or(coalesce(contains(t, replace(s, ' ', '')), false)) AS whole
+            FROM (SELECT run_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS sentence_no FROM said WHERE NOT off) LEFT JOIN held USING (run_id) GROUP BY ALL)
 SELECT run_id, 'answer' AS kind, md5(CASE WHEN off THEN '{V.NO_EVIDENCE_TEXT}' ELSE array_to_string(ls, chr(10) || chr(10)) END) AS detail FROM said
 UNION ALL SELECT run_id, 'answer', md5('{V.NO_EVIDENCE_TEXT}') FROM ends WHERE NOT in_scope
 UNION ALL SELECT run_id, 'problem', CASE WHEN logged >= 2 THEN 'generate_insufficient_evidence_answer' ELSE 'unfinished' END FROM ends WHERE in_scope AND NOT passed
-UNION ALL SELECT run_id, 'problem', 'ungrounded' FROM grounds WHERE NOT coalesce(whole, false)""")
+UNION ALL SELECT DISTINCT run_id, 'problem', 'ungrounded' FROM grounds WHERE NOT whole""")
 def finished_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first answer of each conversation as a run, with the verdicts of the user of that number.
+    """Every turn of every conversation as a run, with the verdicts of the user of the conversation's number.
 
-    Odd runs have their own text among the hits, even ones only the question's.
+    The hits of a run are the turn before it, and its own text if conversation and turn are both odd or both even.
     """
     turns = table(spark, sf_dir, "conversations")
-    i = F.col("conv_id")
-    asked = turns.where("turn = 1").select(
-        i.alias("run_id"), (i % 7).alias("item_id"), i.alias("qa_id"), i.alias("seq"), F.col("role").alias("question"), (i % 10 != 0).alias("in_scope")
+    i, turn = F.col("conv_id"), F.col("turn")
+    run = i * 1000 + turn
+    asked = turns.select(
+        run.alias("run_id"), (i % 7).alias("item_id"), run.alias("qa_id"), run.alias("seq"), F.col("role").alias("question"),
+        ((i + turn) % 10 != 0).alias("in_scope"),
     )
-    raw = raw_answers(spark, sf_dir).where("qa_id % 1000 = 1").select(F.col("item_id").alias("run_id"), "answer")
-    hits = turns.where((i + 1) % 2 == F.col("turn")).select(i.alias("run_id"), F.col("text").alias("document"))
+    log = turns.select(i.alias("_user"), run.alias("_run")).join(verdicts(spark, sf_dir), F.col("_user") == F.col("run_id"))
+    log = log.withColumn("run_id", F.col("_run")).drop("_user", "_run")
+    raw = raw_answers(spark, sf_dir).select(F.col("qa_id").alias("run_id"), "answer")
+    own = turns.where((i + turn) % 2 == 0).select(run.alias("run_id"), F.col("text").alias("document"))
+    hits = own.union(turns.select((run + 1).alias("run_id"), "text"))
     items = asked.select("item_id").distinct().withColumn("selected_qa_id", F.lit(None).cast("long"))
     none = spark.createDataFrame([], "item_id long, qa_id long, seq long")
-    _, rows, problems = jobs.finish_runs(asked, verdicts(spark, sf_dir), raw, hits, items, none)
+    _, rows, problems = jobs.finish_runs(asked, log, raw, hits, items, none)
     return rows.select(F.col("qa_id").alias("run_id"), F.lit("answer").alias("kind"), F.md5("evidence").alias("detail")).union(
         problems.select("run_id", F.lit("problem").alias("kind"), F.col("problem").alias("detail"))
     )

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from clauseflow.functions import text as tx
 from clauseflow.plans import shapes as S
 from clauseflow.plans.registry import checked, texts
+from clauseflow.plans.run_checks import VERDICTS, verdicts
 from clauseflow.plans.text_checks import sql_cascade
 from clauseflow.session import scratch_dir, written
 from clauseflow.sources.store import ChunkStore
-from clauseflow.streaming import ingest
+from clauseflow.streaming import ingest, runs
 
 
 @checked(f"""
@@ -92,3 +93,28 @@ def streamed_in_small_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         if n in (_ROUNDS // 2, _ROUNDS - 1):
             ingest.start(store, inbox, checkpoint, glob="*.txt", files_per_batch=1, fold_above=2).awaitTermination()
     return store.read().select("source", F.col("chunk_index").cast("long").alias("chunk_index"), "content_hash")
+
+
+@checked(f"""
+WITH {VERDICTS},
+ends AS (SELECT run_id, min(retry_count) FILTER (status = 'PASS' OR retry_count = 2) AS last,
+                arg_min(status, retry_count) FILTER (status = 'PASS' OR retry_count = 2) AS final FROM rounds GROUP BY run_id),
+steps AS (
+  SELECT r.run_id, r.retry_count, 'generate_answer,verify_answer,' || CASE
+      WHEN r.status = 'PASS' THEN 'generate_final_answer' WHEN r.retry_count = 2 THEN 'generate_insufficient_evidence_answer'
+      WHEN r.action = 'REGENERATE' THEN 'improve_strategy' ELSE 'improve_strategy,retrieve_context' END AS step,
+    (r.status <> 'PASS' AND r.retry_count < 2 AND r.action <> 'REGENERATE')::INT AS again
+  FROM rounds r JOIN ends e ON r.run_id = e.run_id AND r.retry_count <= e.last)
+SELECT run_id, CASE WHEN any_value(final) = 'PASS' THEN 'generate_final_answer' ELSE 'generate_insufficient_evidence_answer' END AS final_node,
+  (1 + sum(again))::INT AS retrievals, count(*)::INT AS verifications, 'retrieve_context,' || string_agg(step, ',' ORDER BY retry_count) AS path
+FROM steps JOIN ends USING (run_id) GROUP BY run_id""")
+def streamed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict log arrives in three drops by time; the stream stops and starts again between them."""
+    log = written(verdicts(spark, sf_dir), "verdicts")
+    later = [(F.col("ts") >= F.lit(day)).cast("int") for day in ("2024-01-11", "2024-01-21")]
+    drop = later[0] + later[1]
+    inbox, target, checkpoint = (scratch_dir(spark, n) for n in ("inbox", "ended", "runs"))
+    for n in range(3):
+        log.where(drop == n).coalesce(2).write.mode("append").json(inbox)
+        runs.start(spark, inbox, target, checkpoint).awaitTermination()
+    return spark.read.schema(runs.ENDED).parquet(target)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
 from clauseflow.functions import chunks, vectors
-from clauseflow.operators import answers, cells, chunking, history, ingest, readiness, retrieval as R, runs, selection
+from clauseflow.operators import answers, cells, chunking, history, ingest, mentions, readiness, retrieval as R, runs, selection
 from clauseflow.plans import jobs
 from clauseflow.plans.retrieval_checks import letter_counts
 from clauseflow.session import scratch_dir, written
@@ -132,6 +132,78 @@ def test_rerank_by_bits_equals_rerank_by_text(spark):
     assert "repartition" not in by_bits._jdf.queryExecution().toString().lower()
 
 
+def test_many_names_equal_few_literals(spark, monkeypatch):
+    rng = random.Random(4)
+    known = ["net", "netflix", "티빙", "", "flix tv", "abc"] + [f"name{n}" for n in range(300)]
+    rows = [(n, " ".join(rng.choices(known, k=rng.randint(0, 4))), rng.choice([*known, None])) for n in range(150)] + [(999, None, "net")]
+    hits = spark.createDataFrame(rows, "n long, document string, asked_service string")
+    table = spark.createDataFrame([(k,) for k in known] + [(None,), ("net",)], "name string")
+    want = sorted(r.n for r in R.drop_other_services(hits, [k for k in known if k]).collect())
+    assert sorted(r.n for r in mentions.drop_rows_naming_others(hits, table).collect()) == want
+    monkeypatch.setattr(mentions, "BLOCK_BYTES", 4000)  # many blocks
+    assert sorted(r.n for r in mentions.drop_rows_naming_others(hits, table).collect()) == want
+    ordered = spark.createDataFrame([(k, 1000 - n, k.upper()) for n, k in enumerate(known)], "name string, place int, value string")
+    first = {r.n: r.shown for r in mentions.with_first_name(hits, ordered, "document").collect()}
+    for n, text, _ in rows:
+        found = [k for k in known if k and k in (text or "")]
+        assert first[n] == (found[-1].upper() if found else None)
+    assert mentions.drop_rows_naming_others(hits, table.limit(0)).count() == len(rows)
+
+
+def test_grounding_by_anchors_equals_all_pairs(spark):
+    rng = random.Random(12)
+    words = "eins zwei drei vier fünf 육 일곱 여덟".split()
+    hits = [(n % 4, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for n in range(60)] + [(1, None), (1, "")]
+    evidence = []
+    for n in range(200):
+        run, text = rng.choice(hits[:60])
+        a = rng.randrange(len(text) + 1)
+        part = text[a : a + rng.randint(0, 80)]
+        evidence.append((run if n % 3 else (run + 1) % 5, n, part if n % 4 else part + "x"))
+    evidence += [(9, 900, "keine Treffer hier, kein einziger"), (1, 901, None), (1, 902, " ")]
+    e = spark.createDataFrame(evidence, "run_id long, sentence_no int, sentence string")
+    h = spark.createDataFrame(hits, "run_id long, document string")
+    assert sorted(answers.grounding_by_anchors(e, h).collect()) == sorted(answers.grounding(e, h).collect())
+    flat = lambda df, c, o: df.select("*", F.regexp_replace(c, r"\\s", "").alias(o))
+    pairs, _ = answers.anchored_pairs(flat(e, "sentence", "_sentence"), flat(h.withColumn("hit_no", F.monotonically_increasing_id()), "document", "_text"))
+    assert pairs.count() < 0.4 * e.join(h, "run_id").count()
+    assert answers.grounding_by_anchors(e.limit(0), h).count() == 0
+    assert not any(r.grounded for r in answers.grounding_by_anchors(e, h.limit(0)).collect())
+
+
+def test_runs_on_a_stream_equal_the_replay(spark, tmp_path):
+    from clauseflow.streaming import runs as run_stream
+
+    rng = random.Random(3)
+    log = [(n % 30, f"2024-01-01 00:00:{n // 30:02d}", n, rng.choice(["PASS", "FAIL", "FAIL"]), rng.choice(["REGENERATE", "RETRIEVE_AGAIN", "NONE"]))
+           for n in range(30 * 6)]
+    df = spark.createDataFrame(log, "run_id long, ts string, seq long, status string, action string").withColumn("ts", F.to_timestamp("ts"))
+    inbox, target, at = (str(tmp_path / n) for n in ("in", "out", "at"))
+    for low in (0, 60, 120):  # a stop after each drop; within one, rows are out of order
+        df.where((F.col("seq") >= low) & (F.col("seq") < low + 60)).orderBy(F.rand(1)).repartition(2).write.mode("append").json(inbox)
+        run_stream.start(spark, inbox, target, at).awaitTermination()
+    got = spark.read.schema(run_stream.ENDED).parquet(target)
+    want = runs.replay(df.select("run_id").distinct().withColumn("in_scope", F.lit(True)), df).drop("in_scope").where("final_node <> 'unfinished'")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 30
+
+
+def test_actions_on_nothing_and_on_one_hot_item(spark):
+    keys = "item_id long, seq long, action string, qa_id long, todo_id int"
+    items = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "item_id long, selected_qa_id long")
+    asked = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (3, 30, 0)], "item_id long, qa_id long, seq long")
+    todos = spark.createDataFrame([(1, 11, 0, True)], "item_id long, qa_id long, todo_id int, checked boolean")
+    new = spark.createDataFrame([(1, 10), (1, 12), (2, 20), (9, 90)], "item_id long, qa_id long")
+    new_todos = spark.createDataFrame([(1, 12, 0, False)], "item_id long, qa_id long, todo_id int, checked boolean")
+    apply = lambda log: [sorted(map(tuple, df.collect()), key=repr) for df in history.apply_actions(
+        items, asked, todos, spark.createDataFrame(log, keys), new, new_todos)]
+    same = apply([])
+    assert same == [[(1, 10), (2, None), (3, 30)], [(1, 10, 0), (1, 11, 1), (3, 30, 0)], [(1, 11, 0, True)]]
+    log = [(1, 5, "append", 12, None), (1, 6, "toggle", 12, 0), (1, 7, "toggle", 11, 0), (1, 8, "delete", 12, None), (1, 9, "append", 12, None),
+           (1, 10, "toggle", 12, 0), (1, 11, "delete", 12, None), (9, 1, "append", 90, None), (3, 4, "delete_item", None, None), (3, 5, "append", 31, None),
+           (2, 3, "append", 20, None), (2, 4, "delete", 99, None)]
+    assert apply(log) == [[(1, 10), (2, 20)], [(1, 10, 0), (1, 11, 1), (2, 20, 3)], [(1, 11, 0, False)]]
+
+
 def _held(spark):
     rows = [
         ("a", "t1", [0.0, 0.1], "환불 조항", "terms", "netflix"), ("b", "t2", [0.0, 0.2], "다른 조항", "terms", "넷플릭스"),
