@@ -175,6 +175,7 @@ def format_chats(
 def _digester(ranks):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value)
+        kind = None
         own: list = []  # of the conversation that is being read
         done: list[tuple] = []
 
@@ -184,6 +185,7 @@ def _digester(ranks):
                 done.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
 
         for batch in batches:
+            kind = batch.schema.field("conv").type
             convs, all_ids, masks = (batch.column(c).to_pylist() for c in ("conv", "ids", "mask"))
             for conv, ids, mask in zip(convs, all_ids, masks):
                 if not own or own[0] != conv:
@@ -198,16 +200,17 @@ def _digester(ranks):
                 own[4].update(trained.encode())
                 own[5] += len(codec.readable(ids))
             if done:
-                yield _digests(done, batch.schema.field("conv").type)
+                yield _digests(done, kind)
                 done.clear()
         close()
-        yield _digests(done, None)
+        if done:
+            yield _digests(done, kind)
 
     return rows
 
 
 def _digests(done: list[tuple], kind) -> pa.RecordBatch:
-    kinds = (kind or pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     columns = zip(*done) if done else [()] * len(kinds)
     return pa.RecordBatch.from_arrays(
         [pa.array(list(c), t) for c, t in zip(columns, kinds)],
@@ -218,15 +221,17 @@ def _digests(done: list[tuple], kind) -> pa.RecordBatch:
 def digests(formatted: DataFrame, vocabulary: str = VOCABULARY, conv_col: str = "conv_id") -> DataFrame:
     """One row per conversation, read back from its tokens and masks.
 
-    Turns pass in order, one at a time, through running digests; a task holds a batch.
+    Turns pass in order, one at a time, through running digests; a task holds a batch.  Ids keep
+    their type, and rows without one are one conversation; no rows give no rows.
     """
     spark = formatted.sparkSession
     ranks = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
-    ordered = formatted.select(F.col(conv_col).cast("long").alias("conv"), "place", "ids", "mask")
+    kind = formatted.schema[conv_col].dataType.simpleString()
+    ordered = formatted.select(F.col(conv_col).alias("conv"), "place", "ids", "mask")
     ordered = ordered.repartition("conv").sortWithinPartitions("conv", "place").select("conv", "ids", "mask")
     return ordered.mapInArrow(
         _digester(ranks),
-        "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+        f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
     ).withColumnRenamed("conv", conv_col)
 
 

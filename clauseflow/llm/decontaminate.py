@@ -191,7 +191,7 @@ def _finder(passages):
                     pa.array([v[0] for _, v in hits], pa.int32()),
                     pa.array([v[1] for _, v in hits], pa.int32()),
                 ],
-                ["doc", "ref", "item_id", "distance", "regions"],
+                ["doc", "ref", "number", "distance", "regions"],
             )
 
     return rows
@@ -236,40 +236,44 @@ def leaks(
 
     Columns: the id, ``text_ref``, ``item_id``, ``distance`` (fewest edits of a window) and
     ``regions`` (how many were verified).  Items shorter than ``Q`` bytes say too little and
-    match nothing; null or empty texts on either side match nothing; rows with one id and
-    text count as one.  Other columns are not read.  The benchmark is a stated query set: it is
-    read in blocks of ``BLOCK_BYTES``, each of which meets all texts.
+    match nothing; null or empty texts on either side match nothing; a null item is an item, whose
+    id is null; rows with one id and text count as one.  Ids may be of any type; other columns
+    are not read.  The benchmark is a stated query set: it is cut into blocks of about
+    ``BLOCK_BYTES``, each of which meets all texts and is gone before the next.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("ref", text_key("text"))
     id_type = rows.schema["doc"].dataType.simpleString()
-    passages = benchmark.select(F.col(item_col).cast("long"), F.col(passage_col).cast("binary")).where(
-        f"`{item_col}` is not null and `{passage_col}` is not null"
-    ).distinct()
-    found = spark.createDataFrame([], f"doc {id_type}, ref string, item_id long, distance int, regions int")
-    for block in _blocks(passages):
-        found = found.union(rows.mapInArrow(_finder(spark.sparkContext.broadcast(block)), found.schema))
-    best = found.groupBy("doc", "ref", "item_id").agg(F.min("distance").alias("distance"), F.sum("regions").alias("regions"))
-    return best.select(F.col("doc").alias(id_col), F.col("ref").alias("text_ref"), "item_id", "distance", "regions")
-
-
-def _blocks(passages: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The passages in blocks of bounded size; one longer than a block is one."""
-    block, size = [], 0
-    for item, text in passages.toLocalIterator():
-        if block and size + len(text) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((item, bytes(text)))
-        size += len(text)
-    if block:
-        yield block
+    passages = benchmark.select(F.col(item_col).alias("item"), F.col(passage_col).cast("binary").alias("passage"))
+    passages = passages.where("passage is not null").distinct().withColumn("number", F.xxhash64("item", "passage"))
+    passages, _ = saved(passages, "passages")
+    total = passages.agg(F.coalesce(F.sum(F.octet_length("passage")), F.lit(0))).first()[0]
+    blocks = 1 + 2 * total // BLOCK_BYTES
+    schema = f"doc {id_type}, ref string, number long, distance int, regions int"
+    found = spark.createDataFrame([], schema)
+    for k in range(blocks):
+        block = [tuple(r) for r in passages.where(F.pmod("number", F.lit(blocks)) == k).select("number", "passage").collect()]
+        shared = spark.sparkContext.broadcast([(n, bytes(p)) for n, p in block])
+        hits = rows.mapInArrow(_finder(shared), schema)
+        if blocks > 1:  # a block's hits are written before the next one is read
+            hits, _ = saved(hits, "hits")
+            shared.unpersist()
+        found = found.union(hits)
+    best = found.join(passages.select("number", "item"), "number").groupBy("doc", "ref", "item").agg(
+        F.min("distance").alias("distance"), F.sum("regions").alias("regions")
+    )
+    return best.select(F.col("doc").alias(id_col), F.col("ref").alias("text_ref"), F.col("item").alias(item_col), "distance", "regions")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose text holds no window of a benchmark item."""
-    found, _ = saved(leaks(docs, benchmark, id_col, text_col).select(F.col("text_ref").alias("_ref")).distinct(), "leaks")
-    return docs.withColumn("_key", text_key(text_col)).join(found, F.col("_key") == F.col("_ref"), "left_anti").drop("_key")
+    """The documents whose text holds no window of a benchmark item, null items included.
+
+    Texts decide, not ids: equal texts, repeated rows and rows without an id go or stay together;
+    null and empty texts stay.  All columns stay, whatever their names; no rows give no rows.
+    """
+    found, _ = saved(leaks(docs, benchmark, id_col, text_col).select(F.col("text_ref").alias("_leak")).distinct(), "leaks")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text_key(text_col).alias("_of"))
+    return whole.join(found, F.col("_of") == F.col("_leak"), "left_anti").select("_row.*")
 
 
 @query()

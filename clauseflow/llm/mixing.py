@@ -28,12 +28,50 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def chance(id_col: str, size: str, seed: str) -> Column:
-    """A number between 0 and 1 that depends on the document alone."""
-    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(size).cast("string"))
+def told_apart(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a whole row; rows that are not equal in all columns have others."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    nulls = F.concat(F.lit(""), *(c.isNull().cast("int").cast("string") for c in columns))
+    return F.xxhash64(F.lit(1), nulls, *columns), F.xxhash64(F.lit(2), nulls, *columns)
+
+
+def chance(seed: str) -> Column:
+    """A number between 0 and 1 that depends on the row and its number among equal ones alone."""
+    name = F.concat_ws(":", F.lit(seed), "one", "two", "number")
     return (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 48))
 
 
+def with_chance(rows: DataFrame, repeated: DataFrame, seed: str) -> DataFrame:
+    """Adds ``chance`` to rows (.., one, two); ``repeated`` are the (one, two) of several rows.
+
+    Equal rows are numbered from 1, so they do not all come or stay out together.  Which of
+    them has which number makes no difference; a group of very many is numbered where its
+    rows were read, part by part.
+    """
+    if not repeated.limit(1).count():
+        return rows.withColumn("number", F.lit(1)).withColumn("chance", chance(seed)).drop("number")
+    marked = rows.withColumn("_part", F.spark_partition_id()).join(repeated.withColumn("_many", F.lit(True)), ["one", "two"], "left")
+    more, _ = saved(marked.where("_many").drop("_many"), "repeated")
+    counts = more.groupBy("one", "two", "_part").agg(F.count("*").alias("m"))
+    before = Window.partitionBy("one", "two").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("one", "two", "_part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("one", "two", "_part").orderBy("size")
+    more = more.withColumn("number", F.row_number().over(inside)).join(starts, ["one", "two", "_part"])
+    more = more.withColumn("number", (F.col("number") + F.col("_start")).cast("int")).drop("_start", "_part")
+    once = marked.where("_many is null").drop("_many", "_part").withColumn("number", F.lit(1))
+    return once.unionByName(more).withColumn("chance", chance(seed)).drop("number")
+
+
+def _sized(docs: DataFrame, text_col: str, source_col: str) -> list[Column]:
+    one, two = told_apart(docs)
+    return [F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), one.alias("one"), two.alias("two")]
+
+
+def _repeated(narrow: DataFrame) -> DataFrame:
+    """(one, two) of rows that come more than once, as a written table."""
+    return saved(narrow.groupBy("one", "two").agg(F.count("*").alias("m")).where("m > 1").drop("m"), "repeated_keys")[0]
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Adds ``target`` to (source, source_size), one row per source.
 
@@ -115,13 +153,15 @@ def mix_plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         "source", F.coalesce("last.place", F.col("step") / F.lit(float(steps))).alias("cut"),
         F.coalesce("last.upto", "before").alias("have"),
     )
+    # Written, as all tables by source are: Spark sees that they are small, and no source's rows are gathered.
+    cuts, _ = saved(cuts, "cuts")
     # One more document: of those behind the cut the one that comes nearest, if any does.
     behind = with_source(placed, cuts).where(F.col("place") > F.col("cut"))
     left = F.col("missing") - F.col("have")
     off = F.abs(F.col("size") - left)
     extra = behind.where(off < left).groupBy("source").agg(F.min(F.struct(off.alias("off"), "place")).alias("best"))
     cuts = with_source(cuts, extra.select("source", F.col("best.place").alias("extra")), "left")
-    return with_source(base, cuts, "left")
+    return saved(with_source(base, cuts, "left"), "plan")[0]
 
 
 def with_source(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
@@ -141,11 +181,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per input row: id, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
 
     Size is the number of words; null and empty texts have none and take none.  Null is a
-    source of its own.  The random number comes from id, size and seed, so reruns agree and
-    repeated rows share their decision.  Other columns are not read; no rows give no rows.
+    source of its own.  The random number comes from the whole row, its number among
+    rows equal to it, and the seed: reruns agree, and rows that share an id, or have none,
+    are chosen apart.  Other columns only tell rows apart; no rows give no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
-    rows, _ = saved(rows.withColumn("chance", chance("doc", "size", seed)), "sized")
+    rows, _ = saved(docs.select(F.col(id_col).alias("doc"), *_sized(docs, text_col, source_col)), "sized")
+    rows = with_chance(rows, _repeated(rows), seed)
     plan = mix_plan(rows.select("source", "size", "chance"))
     out = with_source(rows, plan).withColumn("copies", copies("size", "chance"))
     return out.select(
@@ -155,14 +196,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """The documents, each as often as the mix takes it; all their columns stay."""
+    """The documents, each as often as the mix takes it; all their columns stay, whatever their names.
+
+    Decisions are those of ``mix``, also for nulls, ties and repeated rows.  The plan, a row per
+    source, is written and small, so it travels to the texts, which stay where they are read.
+    """
     names = docs.columns
-    rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(id_col).alias("doc"),
-        F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"),
-    ).withColumn("chance", chance("doc", "size", seed))
-    narrow, _ = saved(rows.select("source", "size", "chance"), "sized")
-    chosen = with_source(rows, mix_plan(narrow).select("source", "mean", "whole", "rest", "lean", "cut", "extra"))
+    narrow, _ = saved(docs.select(*_sized(docs, text_col, source_col)), "sized")
+    repeated = _repeated(narrow)
+    plan = mix_plan(with_chance(narrow, repeated, seed).select("source", "size", "chance"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), *_sized(docs, text_col, source_col))
+    rows = with_chance(rows, repeated, seed)
+    chosen = with_source(rows, plan.select("source", "mean", "whole", "rest", "lean", "cut", "extra"))
     chosen = chosen.select("_row", copies("size", "chance").alias("copies")).where("copies > 0")
     return chosen.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 

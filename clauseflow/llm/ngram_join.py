@@ -149,6 +149,23 @@ def ngram_components(
     often they come; repeated rows give repeated rows.  A null id is kept, and never names
     a component that has another id.  Other columns are not read.
     """
+    names, keys = linked_sets(docs, id_col, text_col, size, percent, match)
+    keys = keys.join(names.where("key is not null").groupBy("key").agg(F.min("doc").alias("first")), "key")
+    least = keys.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = keys.join(least, "root").select("key", "component_id")
+    return names.select("doc", "key", "n").join(named, "key", "left").select(
+        F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("component_id", "doc").alias("component_id"),
+    )
+
+
+def linked_sets(
+    docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, match: setjoin.Match
+) -> tuple[DataFrame, DataFrame]:
+    """((doc, ref, key, n) of every row, (key, root) of every set): sets of one component have one root.
+
+    ``ref`` tells texts apart, ``key`` names a text's set and is null without one.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     rows = rows.withColumn("ref", text_key("text"))
@@ -168,24 +185,29 @@ def ngram_components(
     chosen = (F.col("key") == F.col("of")) & F.col("doc").eqNullSafe(F.col("one"))
     sets, _ = saved(made.join(left, chosen, "left_semi").drop("doc"), "sets")
     roots = components(setjoin.links(sets, match, percent))
-    keys = names.where("key is not null").groupBy("key").agg(F.min("doc").alias("first"))
-    keys = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = keys.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = keys.join(least, "root").select("key", "component_id")
-    return names.select("doc", "key", "n").join(named, "key", "left").select(
-        F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("component_id", "doc").alias("component_id"),
-    )
+    keys = names.where("key is not null").select("key").distinct().join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return names, keys.withColumn("root", F.coalesce("root", "key"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose component another, smaller id names.
+    """The documents with one row of each component: of the smallest id (rows without one last) and text key.
 
-    Rows without an id stay unless their component has an id.
+    Rows are told apart by id and text, so a text of its own stays whatever row shares its id, and
+    of rows with equal id and text one stays.  Texts without a word are no component: all
+    their rows stay.  All columns stay, whatever their names; no rows give no rows.
     """
-    found = ngram_components(docs, id_col, text_col)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    names, keys = linked_sets(docs, id_col, text_col, WORDS_PER_SHINGLE, PERCENT, tree_links)
+    rows, _ = saved(names.where("key is not null").join(keys, "key").groupBy("root", "doc", "ref").agg(F.count("*").alias("m")), "members")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "ref")).alias("first"))
+    stays = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("ref") == F.col("first.ref"))
+    judged = rows.join(first, "root").select(F.col("doc").alias("_doc"), F.col("ref").alias("_of"), stays.alias("_stays"), "m")
+    judged, _ = saved(judged.where("not _stays or m > 1"), "judged")
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_ref") == F.col("_of"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col).alias("_id"), text_key(text_col).alias("_ref"))
+    once = whole.join(judged, same, "left_anti")
+    # Rows that are there several times: one of each, the least by all its columns.
+    again = whole.join(judged.where("_stays"), same, "left_semi").groupBy("_id", "_ref").agg(F.min("_row").alias("_row"))
+    return once.select("_row").union(again.select("_row")).select("_row.*")
 
 
 @query()

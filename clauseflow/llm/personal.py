@@ -41,6 +41,8 @@ _DIGIT = re.compile(r"[0-9]")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwort|clave|(?:api[_ ]?)?key)\b[\x20]*[=:][\x20]*[\"']?([A-Za-z0-9_-]{16,64})")
 _REGION = re.compile(r"(?:[^\s0-9@]{0,64}[0-9@]\S*)(?:[\x20](?:[^\s0-9@]{0,3}[0-9@]\S*))*")
 _RUN = re.compile(r"[^\W_]{16}")
+_TOKEN = re.compile(r"[A-Za-z0-9_-]{16,}")
+_LOCAL_PHONE = re.compile(r"\(?0[0-9]{1,4}\)?[\x20/-]?[0-9]{2,5}(?:[\x20-]?[0-9]{2,5})*|\([0-9]{3}\)[\x20-]?[0-9]{3}[\x20-]?[0-9]{4}")
 _ATOM = re.compile(r"[^\W_]+|.", re.S)
 
 # Words that announce a kind.
@@ -48,9 +50,12 @@ CUES = {
     "email": ("mail", "email", "e-mail", "contact"), "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "mastercard", "credit", "carte", "karte", "tarjeta"),
     "phone": ("tel", "phone", "call", "fax", "mobile", "telefon", "téléphone", "teléfono"),
-    "secret": ("token", "secret", "password", "key", "passwort", "clave"),
+    "secret": ("token", "secret", "password", "key", "passwort", "clave", "aws", "bearer", "credential"),
 }
 
+# How keys of widely used services begin.
+KEY_BEGINNINGS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_", "pk_", "rk_", "xoxb-", "xoxp-", "eyJ")
+
 Span = tuple[int, int, int]  # start, end, number of the kind
 
 
@@ -66,6 +71,12 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _small(part: str) -> bool:
+    """At most 255; leading zeros may be any number."""
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """What the patterns find, by start and kind; leftmost, not overlapping within a kind."""
     out: list[Span] = []
@@ -80,7 +91,7 @@ def base_spans(text: str) -> list[Span]:
         done = found.end() if found else at + 1
         at = text.find("@", done)
     if _DIGIT.search(text):
-        out += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(_small(p) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = _digits(m[0])
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -112,7 +123,7 @@ def pieces(start: int, region: str, text: str) -> Iterator[tuple[int, str, str]]
         first = last + 1 - 2 * MOST_ATOMS
 
 
-N_FEATURES = 20
+N_FEATURES = 23
 
 
 def features(span: str, left: str, right: str, before: str) -> np.ndarray:
@@ -125,6 +136,7 @@ def features(span: str, left: str, right: str, before: str) -> np.ndarray:
     cue = before.lower()
     letters = len(span) - n
     alnum = span.isalnum() and span.isascii()
+    token = _TOKEN.fullmatch(span) is not None
     return np.array([
         1.0,
         "@" in span and bool(local) and _DOMAIN.fullmatch(domain) is not None and set(local) <= _LOCAL,
@@ -135,13 +147,16 @@ def features(span: str, left: str, right: str, before: str) -> np.ndarray:
         span[0] == "+" and 9 <= n <= 15 and not span.strip("+0123456789().- "),
         9 <= n <= 12 and not span.strip("+0123456789().- ") and not plain,
         7 <= n <= 15 and not span.strip("+0123456789().- ") and ("-" in span or "(" in span),
-        alnum and len(span) >= 16 and n >= 4 and letters >= 4,
+        token and n >= 1 and letters >= 4,
         alnum and 32 <= len(span) <= 64 and not span.lower().strip("0123456789abcdef"),
         " " in span,
         left.isalnum() or left in ("@", ".", "-", "+", "_"),
         right.isalnum() or right in ("@", "-", "_"),
         span.count("(") != span.count(")"),
         *(any(w in cue for w in CUES[k]) for k in KINDS),
+        token and span.startswith(KEY_BEGINNINGS),
+        token and n >= 2 and span.lower() != span and span.upper() != span,
+        7 <= n <= 12 and _LOCAL_PHONE.fullmatch(span) is not None,
     ], np.float64)
 
 
@@ -154,11 +169,15 @@ def start_weights() -> np.ndarray:
     w[3, 6], w[3, 7], w[3, 8], w[4, 9], w[4, 10] = 7, 1, 3, 2, 4
     for k in range(len(KINDS)):
         w[k, 15 + k] = 2
+    w[4, 20], w[4, 21], w[3, 22] = 5, 2, 2
     w[2, 11] = -2
     w[4, 11] = -6
     return w
 
 
+_START = start_weights()
+
+
 class Lattice:
     """The candidate spans of a region and their features."""
 
@@ -174,7 +193,7 @@ class Lattice:
                 span = region[start:end]
                 if not region[end - 1].isalnum():
                     continue
-                if "@" in span or sum(map(str.isdigit, span)) >= 7 or (len(span) >= 16 and span.isalnum()):
+                if "@" in span or sum(map(str.isdigit, span)) >= 7 or _TOKEN.fullmatch(span):
                     self.spans.append((i, j + 1))
                     cue = region[start - CUE_CHARS : start] if start >= CUE_CHARS else (before + region[:start])[-CUE_CHARS:]
                     rows.append(features(span, region[start - 1 : start], region[end : end + 1], cue))
@@ -247,6 +266,23 @@ def gold_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def samples_of(text: str) -> list[tuple[str, str, list[Span]]]:
+    """The short regions of a text that can teach: (region, what stands before it, gold spans).
+
+    Where whole-span shapes stand that the patterns do not know, such as two cards in a row, the
+    patterns are no evidence against them, and the region is left out.
+    """
+    gold = gold_spans(text)
+    out = []
+    for start, region, before in regions(text):
+        own = [(a - start, b - start, k) for a, b, k in gold if a >= start and b <= start + len(region)]
+        if len(region) <= 160:
+            likely = Lattice(region, before).best(_START)
+            if all(any(a < y and x < b for x, y, _ in own) for a, b, _ in likely):
+                out.append((region, before, own))
+    return out
+
+
 def train(samples: list[tuple[str, str, list[Span]]], rounds: int = ROUNDS) -> np.ndarray:
     """Weights by ascent on the log likelihood of (region, before, gold spans), near the start."""
     weights = start = start_weights()
@@ -275,11 +311,7 @@ def fit(docs: DataFrame, text_col: str = "text", fit_docs: int = FIT_DOCS) -> np
         for batch in batches:
             data = []
             for text in batch.column("text").to_pylist():
-                gold = gold_spans(text)
-                for start, region, before in regions(text):
-                    own = [x for a, b, k in gold if a >= start and b <= start + len(region) for x in (a - start, b - start, k)]
-                    if len(region) <= 160:
-                        data.append((region, before, own))
+                data += [(region, before, [x for span in own for x in span]) for region, before, own in samples_of(text)]
             columns = zip(*data) if data else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.list_(pa.int32())))],
@@ -314,8 +346,8 @@ def _said(spans: list[Span]) -> str:
 
 
 def _finder(weights: np.ndarray):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_secret", "n_spans"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +357,7 @@ def _finder(weights: np.ndarray):
                 added = added_spans(text or "", base, weights)
                 count = [sum(k == kind for _, _, k in base) for kind in range(4)]
                 digest = hashlib.sha256(_said(base).encode()).hexdigest()
-                data.append((*count, digest, _said(base + added), len(added)))
+                data.append((*count, digest, _said(base + added), len(added), sum(k == 4 for _, _, k in added), len(base) + len(added)))
             columns = zip(*data) if data else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), *(pa.array(list(c), t) for c, t in zip(columns, kinds))], ["doc", *names]
@@ -336,7 +368,8 @@ def _finder(weights: np.ndarray):
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, the digest of
-    the patterns' spans, all ``spans`` (kind:start:end in code points) and ``n_added``.
+    the patterns' spans, all ``spans`` (kind:start:end in code points), ``n_added`` by the field,
+    ``n_secret`` of them secrets, and ``n_spans`` in all.
 
     A null text is empty and has no span; equal texts have equal spans; repeated rows repeat.
     Other columns are not read.
@@ -346,7 +379,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id_type = rows.schema["doc"].dataType.simpleString()
     return rows.mapInArrow(
         _finder(weights),
-        f"doc {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long",
+        f"doc {id_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, n_spans long",
     ).withColumnRenamed("doc", id_col)
 
 

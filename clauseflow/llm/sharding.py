@@ -117,15 +117,21 @@ def parcel(key, parcels: int):
 
 
 def place(docs: DataFrame, items: DataFrame, parcels: int, text_col: str = "text", out: str = "shard") -> DataFrame:
-    """The documents with their shard; both lookups are in at most 2 * ITEMS + 1 rows."""
+    """The documents with their shard; both lookups are in at most 2 * ITEMS + 1 rows.
+
+    Equal texts, null and empty ones among them, have one shard; repeated rows all stay.  All
+    columns stay, whatever their names: where one is called ``out``, the shard's own has
+    underscores behind that.  No rows give no rows.
+    """
+    while out in docs.columns:
+        out += "_"
     key, _ = measured(text_col)
     own = items.withColumnsRenamed({"_item": "_own", "_shard": "_own_shard"})
-    placed = docs.withColumn("_key", key).withColumn("_parcel", parcel(F.col("_key"), parcels))
-    placed = placed.join(F.broadcast(own), F.col("_key") == F.col("_own"), "left")
+    placed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), key.alias("_text_key"))
+    placed = placed.withColumn("_parcel", parcel(F.col("_text_key"), parcels))
+    placed = placed.join(F.broadcast(own), F.col("_text_key") == F.col("_own"), "left")
     placed = placed.join(F.broadcast(items), F.col("_parcel") == F.col("_item"), "left")
-    return placed.withColumn(out, F.coalesce("_own_shard", "_shard")).drop(
-        "_key", "_parcel", "_own", "_own_shard", "_item", "_shard"
-    )
+    return placed.select("_row.*", F.coalesce("_own_shard", "_shard").alias(out))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
