@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseflow.llm.base import query, saved, table, text_key
+from clauseflow.llm.base import given_back, query, saved, table, text_key
 from clauseflow.llm.shingles import SPACES
 
 Q = 8
@@ -254,7 +254,7 @@ def leaks(
     for k in range(blocks):
         block = [tuple(r) for r in passages.where(F.pmod("number", F.lit(blocks)) == k).select("number", "passage").collect()]
         shared = spark.sparkContext.broadcast([(n, bytes(p)) for n, p in block])
-        hits = rows.mapInArrow(_finder(shared), schema)
+        hits = rows.mapInArrow(given_back(_finder(shared)), schema)
         if blocks > 1:  # a block's hits are written before the next one is read
             hits, _ = saved(hits, "hits")
             shared.unpersist()

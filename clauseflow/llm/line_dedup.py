@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow.llm import setjoin
-from clauseflow.llm.base import components, query, saved, table
+from clauseflow.llm.base import components, given_back, query, saved, table
 from clauseflow.llm.ngram_join import PERCENT
-from clauseflow.llm.shingles import shingle_sets
+from clauseflow.llm.shingles import mixed, shingle_sets
 
 STRIDE = 7919  # between the places of a document's lines in the bitmap
 
@@ -77,8 +77,19 @@ def _lines(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
     return rows, numbers, lines
 
 
-def _reader(batch: pa.RecordBatch) -> Iterator[tuple[bytes | None, np.ndarray]]:
-    return shingle_sets(_lines(batch)[2])
+def _reader(percent: int) -> setjoin.Reader:
+    """The sets of lines that may have a similar one; what can only have an equal one is left out."""
+    least = setjoin.least_size(percent)
+
+    def sets(batch: pa.RecordBatch) -> Iterator[tuple[bytes | None, np.ndarray]]:
+        return ((k if len(s) >= least else None, s) for k, s in shingle_sets(_lines(batch)[2]))
+
+    return sets
+
+
+def _ids(spots: np.ndarray, rows: list[int], numbers: list[int]) -> np.ndarray:
+    """A number for every line, from its document's hash and its place."""
+    return mixed(spots.view(np.uint64)[rows] + np.array(numbers, np.uint64) * np.uint64(STRIDE))
 
 
 def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,10 +98,11 @@ def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = [(k, setjoin.short_name(k), len(s)) for k, s in shingle_sets(lines)]
         columns = zip(*named) if named else ((), (), ())
         kinds = (pa.binary(), pa.int64(), pa.int32())
+        ids = _ids(batch.column("spot").to_numpy(), rows, numbers) if rows else np.empty(0, np.uint64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32())]
-            + [pa.array(list(c), t) for c, t in zip(columns, kinds)],
-            ["doc", "line", "key", "fp", "n"],
+            + [pa.array(list(c), t) for c, t in zip(columns, kinds)] + [pa.array(ids.view(np.int64))],
+            ["doc", "line", "key", "fp", "n", "id"],
         )
 
 
@@ -100,21 +112,20 @@ def _orderer(percent: int, shared):
         held = np.frombuffer(bits, np.uint8)
         for batch in batches:
             rows, numbers, lines = _lines(batch)
-            spots = batch.column("spot").to_numpy()[rows] if rows else np.empty(0, np.int64)
-            spots = (spots + STRIDE * np.array(numbers, np.int64)) % setjoin.SIEVE_BITS
+            ids = _ids(batch.column("spot").to_numpy(), rows, numbers) if rows else np.empty(0, np.uint64)
+            spots = (ids % np.uint64(setjoin.SIEVE_BITS)).astype(np.int64)
             mine = np.flatnonzero(held[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1).tolist()
             data = [(k, setjoin.relabelled(s, order)) for k, s in shingle_sets([lines[i] for i in mine])]
             first = [s[: setjoin.prefix_length(len(s), percent)].view(np.int64) for _, s in data]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc").take(pa.array([rows[i] for i in mine], pa.int64())),
-                    pa.array([numbers[i] for i in mine], pa.int32()),
+                    pa.array(ids[mine].view(np.int64)),
                     pa.array([k for k, _ in data], pa.binary()),
                     pa.array([len(s) for _, s in data], pa.int32()),
                     pa.array([s.tobytes() for _, s in data], pa.binary()),
                     pa.array(first, pa.list_(pa.int64())),
                 ],
-                ["doc", "line", "key", "n", "tokens", "prefix"],
+                ["id", "key", "n", "tokens", "prefix"],
             )
 
     return rows
@@ -130,28 +141,27 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("spot", F.xxhash64("doc"))
     kind = rows.schema["doc"].dataType.simpleString()
-    names, _ = saved(rows.mapInArrow(_namer, f"doc {kind}, line int, key binary, fp long, n int"), "lines")
-    one = names.groupBy("key", "fp", "n").agg(F.min(F.struct("doc", "line")).alias("one"))
-    left, order = setjoin.candidates(rows.select("text"), _reader, one, percent)
-    left = left.select(F.col("key").alias("of"), "one")
-    place = F.pmod(setjoin.spot("one.doc") + STRIDE * F.col("one.line").cast("long"), F.lit(setjoin.SIEVE_BITS))
-    bits = setjoin.sieve(left.select(place.alias("spot")))
-    made = rows.select("doc", "text", setjoin.spot("doc").alias("spot")).mapInArrow(
-        _orderer(percent, spark.sparkContext.broadcast((order, bits))),  # both of bounded size
-        f"doc {kind}, line int, key binary, n int, tokens binary, prefix array<long>",
-    )
-    chosen = (
-        (F.col("key") == F.col("of")) & F.col("doc").eqNullSafe(F.col("one.doc")) & (F.col("line") == F.col("one.line"))
+    names, _ = saved(rows.mapInArrow(given_back(_namer), f"doc {kind}, line int, key binary, fp long, n int, id long"), "lines")
+    # One line of each set stands for it: that with the least number, so the aggregate needs no order of documents.
+    one = names.where(F.col("n") >= setjoin.least_size(percent)).groupBy("key", "fp", "n").agg(F.min("id").alias("one"))
+    left, order = setjoin.candidates(rows.select("text"), _reader(percent), one, percent)
+    left = left.select("one")
+    bits = setjoin.sieve(left.select(F.pmod("one", F.lit(setjoin.SIEVE_BITS)).alias("spot")))
+    made = rows.mapInArrow(
+        given_back(_orderer(percent, spark.sparkContext.broadcast((order, bits)))),  # both of bounded size
+        "id long, key binary, n int, tokens binary, prefix array<long>",
     )
-    sets, _ = saved(made.join(left, chosen, "left_semi").drop("doc", "line"), "sets")
+    # Rows that share an id share their lines' numbers: then more sets come along, none is lost.
+    sets, _ = saved(made.join(left, F.col("id") == F.col("one"), "left_semi").drop("id"), "sets")
     roots = components(setjoin.links(sets, prefix_links, percent)).withColumnRenamed("node", "key")
-    keys = names.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("m"))
-    keys = keys.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = keys.groupBy("root").agg(F.min("first").alias("kept"), F.sum("m").alias("members")).where("members > 1")
-    kept = keys.join(classes, "root").select("key", "kept")
-    gone = names.select("key", "doc", "line").join(kept, "key").where(
+    # Only sets that are linked or come twice are looked at again.
+    often = names.groupBy("key").agg(F.count("*").alias("m")).join(roots, "key", "left").where("m > 1 or root is not null")
+    often = often.select("key", F.coalesce("root", "key").alias("root"))
+    members, _ = saved(names.select("key", "doc", "line").join(often, "key").drop("key"), "members")
+    kept = members.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("kept"))
+    gone = members.join(kept, "root").where(
         ~(F.col("doc").eqNullSafe(F.col("kept.doc")) & (F.col("line") == F.col("kept.line")))
     )
     return gone.select(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow.llm import setjoin
-from clauseflow.llm.base import components, query, saved, table, text_key
+from clauseflow.llm.base import components, given_back, query, saved, table, text_key
 from clauseflow.llm.shingles import WORDS_PER_SHINGLE, shingle_sets
 
 PERCENT = 75
@@ -172,14 +172,14 @@ def linked_sets(
     id_type = rows.schema["doc"].dataType.simpleString()
     reader = _reader(size)
     names, _ = saved(
-        rows.mapInArrow(_namer(reader), f"doc {id_type}, ref string, key binary, fp long, n int"), "named"
+        rows.mapInArrow(given_back(_namer(reader)), f"doc {id_type}, ref string, key binary, fp long, n int"), "named"
     )
     one = names.where("key is not null").groupBy("key", "fp", "n").agg(F.min(F.struct("ref", "doc")).alias("one"))
     left, order = setjoin.candidates(rows.select("text"), reader, one, percent)
     left = left.select(F.col("key").alias("of"), F.col("one.doc").alias("one"), F.col("one.ref").alias("ref"))
     bits = setjoin.sieve(left.select(setjoin.spot("ref", "one").alias("spot")))
     made = rows.select("doc", "text", setjoin.spot("ref", "doc").alias("spot")).mapInArrow(
-        _orderer(reader, percent, spark.sparkContext.broadcast((order, bits))),  # both of bounded size
+        given_back(_orderer(reader, percent, spark.sparkContext.broadcast((order, bits)))),  # both of bounded size
         f"doc {id_type}, key binary, n int, tokens binary, prefix array<long>",
     )
     chosen = (F.col("key") == F.col("of")) & F.col("doc").eqNullSafe(F.col("one"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseflow.llm.base import components, remove, saved
+from clauseflow.llm.base import components, given_back, remove, saved
 
 SAMPLED = 0.4
 COMMON_SHARE = 1 / 400_000
@@ -198,16 +198,41 @@ def relabelled(tokens: np.ndarray, order: Order) -> np.ndarray:
 
 
 def _chunk_links(match: Match, percent: int):
-    def rows(group: pa.Table) -> pa.Table:
-        keys = group.column("key").to_pylist()
-        once = sorted({k: i for i, k in enumerate(keys)}.items())
-        tokens = group.column("tokens")
-        sets = [np.frombuffer(tokens[i].as_py(), np.uint64) for _, i in once]
-        found = match(sets, percent)
-        return pa.table({
-            "a": pa.array([once[i][0] for i, _ in found], pa.binary()),
-            "b": pa.array([once[j][0] for _, j in found], pa.binary()),
-        })
+    """Links of the chunks of a stream of rows (chunk, key, tokens) in which each chunk's rows stand together.
+
+    A task keeps one chunk at a time, and saves the round trip that a grouped function
+    takes for each.
+    """
+    def links_of(parts: list[pa.RecordBatch]) -> tuple[list[bytes], list[bytes]]:
+        found: dict[bytes, np.ndarray] = {}
+        for part in parts:
+            for key, tokens in zip(part.column("key").to_pylist(), part.column("tokens").to_pylist()):
+                found.setdefault(key, np.frombuffer(tokens, np.uint64))
+        if len(found) < 2:
+            return [], []
+        keys = sorted(found)
+        pairs = match([found[k] for k in keys], percent)
+        return [keys[i] for i, _ in pairs], [keys[j] for _, j in pairs]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            one: list[bytes] = []
+            two: list[bytes] = []
+            for start, end in zip(cuts, cuts[1:]):
+                if held and chunk[start] != last:
+                    a, b = links_of(held)
+                    one, two, held = one + a, two + b, []
+                held.append(batch.slice(start, end - start))
+                last = chunk[start]
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary())], ["a", "b"])
+        one, two = links_of(held)
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.binary()), pa.array(two, pa.binary())], ["a", "b"])
 
     return rows
 
@@ -230,11 +255,15 @@ def stars(links: Iterator[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 def _matched(where: DataFrame, sets: DataFrame, match: Match, percent: int) -> DataFrame:
     """Links within each chunk of (pivot, chunk, key)."""
-    return (
-        where.join(sets.select("key", "tokens"), "key")
-        .groupBy("pivot", "chunk")
-        .applyInArrow(_chunk_links(match, percent), "a binary, b binary")
-    )
+    chunk = F.xxhash64("pivot", "chunk")  # two chunks of one hash are one: no pair is lost or wrong
+    rows = where.select(chunk.alias("chunk"), "key").join(sets.select("key", "tokens"), "key")
+    rows = rows.select("chunk", "key", "tokens").repartition("chunk").sortWithinPartitions("chunk")
+    return rows.mapInArrow(given_back(_chunk_links(match, percent)), "a binary, b binary")
+
+
+def least_size(percent: int) -> int:
+    """Smaller sets are similar to equal ones only: of n and n + 1 tokens n would have to suffice."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
 
 
 def candidates(rows: DataFrame, reader: Reader, names: DataFrame, percent: int) -> tuple[DataFrame, Order]:
@@ -246,7 +275,7 @@ def candidates(rows: DataFrame, reader: Reader, names: DataFrame, percent: int)
     least = max(COMMON_LEAST, int(total * SAMPLED * COMMON_SHARE))
     buckets = int(total * SAMPLED // BUCKET_TOKENS) + 1
     dealt = rows.mapInArrow(
-        _dealer(reader, buckets), "bucket long, names binary, counts binary, single binary, shared binary, held binary"
+        given_back(_dealer(reader, buckets)), "bucket long, names binary, counts binary, single binary, shared binary, held binary"
     )
     counted, path = saved(
         dealt.groupBy("bucket").applyInArrow(

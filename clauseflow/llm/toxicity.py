@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseflow.llm.base import query, saved, table
+from clauseflow.llm.base import given_back, query, saved, table
 
 FIT_ROWS = 20_000  # labelled texts that the lexicon and its weights are learned from, about
 THRESHOLD = 0.7
@@ -29,7 +29,7 @@ WINDOW = 8
 LEAST_DOCS = 5  # toxic texts that must hold a learned term
 PURITY = 9  # toxic texts per clean text that hold it, or its share of their words over that in clean ones, at least
 DEVIATIONS = 2.0  # that such a share of words is taken to be too high by chance
-TERMS_KEPT = 4_000
+FLUSH_TERMS = 100_000
 STEM_LETTERS = range(4, 11)
 KNOWN_WORDS = 100_000  # results kept per task; a full store is emptied
 STATES_KEPT = 100_000
@@ -243,20 +243,33 @@ def _prefixes(text: str | None) -> tuple[Counter, int]:
 
 
 def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each term: toxic and clean texts with it, occurrences in both; of "", all words."""
+    """Of each term: toxic and clean texts with it, occurrences in both; of "", all words.
+
+    The counts of a part of the texts come out as soon as they hold ``FLUSH_TERMS`` terms.
+    """
+    docs: tuple[Counter, Counter] = (Counter(), Counter())
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def flush() -> pd.DataFrame:
+        terms = sorted({*counts[0], *counts[1]})
+        out = pd.DataFrame({
+            "term": terms, "docs": [docs[1][t] for t in terms], "clean": [docs[0][t] for t in terms],
+            "bad": [counts[1][t] for t in terms], "good": [counts[0][t] for t in terms],
+        })
+        for counter in (*docs, *counts):
+            counter.clear()
+        return out
+
     for batch in batches:
-        docs: tuple[Counter, Counter] = (Counter(), Counter())
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for toxic, text in zip(batch["toxic"], batch["text"]):
             found, n = _prefixes(text)
             found[""] = n
             counts[int(toxic)].update(found)
             docs[int(toxic)].update(found.keys())
-        terms = sorted({*counts[0], *counts[1]})
-        yield pd.DataFrame({
-            "term": terms, "docs": [docs[1][t] for t in terms], "clean": [docs[0][t] for t in terms],
-            "bad": [counts[1][t] for t in terms], "good": [counts[0][t] for t in terms],
-        })
+            if len(counts[0]) + len(counts[1]) >= FLUSH_TERMS:
+                yield flush()
+    if counts[0] or counts[1]:
+        yield flush()
 
 
 def chosen_terms(rows: list[tuple[str, int]]) -> tuple[list[str], list[str]]:
@@ -313,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learned: list[tuple[str, int]] = []
     if bad and good:
         counts, _ = saved(
-            texts.mapInPandas(_term_counts, "term string, docs long, clean long, bad long, good long").groupBy("term").agg(
+            texts.mapInPandas(given_back(_term_counts), "term string, docs long, clean long, bad long, good long").groupBy("term").agg(
                 *(F.sum(c).alias(c) for c in ("docs", "clean", "bad", "good"))
             ),
             "terms",
@@ -324,13 +337,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         pure = counts.where((F.col("term") != "") & (F.col("docs") >= LEAST_DOCS) & (share | present))
         learned = [(r["term"], r["docs"]) for r in pure.collect()]  # from about fit_rows texts
     words, stems = chosen_terms(learned)
-    held = dict(learned)
-    ranked = sorted([(-held[x], x, True) for x in stems] + [(-held[f"{x} "], x, False) for x in words])[:TERMS_KEPT]
-    words, stems = ([x for _, x, is_stem in ranked if is_stem == kind] for kind in (False, True))
     words = sorted({*words, *SEED_TERMS})
     weights: dict[tuple[str, str, str, int], float] = {}
     if bad and good:
-        hits = texts.mapInPandas(_hit_counts(words, stems), "term string, kind string, place string, at int, toxic int, n long")
+        hits = texts.mapInPandas(given_back(_hit_counts(words, stems)), "term string, kind string, place string, at int, toxic int, n long")
         rows = hits.groupBy("term", "kind", "place", "at").agg(
             F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
             F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"),
@@ -349,8 +359,12 @@ def score(text: str | Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hits = Hits(TermAutomaton(model.words, model.stems))
-        for texts in batches:
-            yield pd.Series(np.array([model.score(hits.of(t)) for t in texts], np.float64))
+
+        def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series(np.array([model.score(hits.of(t)) for t in texts], np.float64))
+
+        yield from given_back(scores)(batches)
 
     return scored(text)
 
