@@ -34,7 +34,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come in their target weights; a row comes as often as the mix takes it, one without words never."""
+    """Sources come in their target weights; a row comes as often as the mix takes it."""
     return mixing.mixed_rows(docs)
 
 
