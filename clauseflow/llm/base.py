@@ -32,7 +32,21 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+TEXTS_AT_ONCE = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts reach Python ``TEXTS_AT_ONCE`` at a time, unless the session asks for fewer.
+
+    Rows of Spark's own batch of 10,000 may be long; workers, and what Spark buffers for them, stay small.
+    """
+    if int(spark.conf.get(_BATCH)) > TEXTS_AT_ONCE:
+        spark.conf.set(_BATCH, str(TEXTS_AT_ONCE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +57,7 @@ def text_key(text: str | Column) -> Column:
 
 def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a table in the shared scratch folder, and its path."""
+    bounded_batches(df.sparkSession)
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -36,7 +36,7 @@ BUCKET_TOKENS = 1_500_000
 PART_SETS = 50_000
 CHUNK_SETS = 192
 CHUNK_TOKENS = 400_000
-FLUSH_TOKENS = 1 << 20
+FLUSH_TOKENS = 1 << 19
 SIEVE_BITS = 1 << 26  # 8 MB
 SEGMENT_BITS = 1 << 20
 
