@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,31 @@ def test_passages_with_a_word_changed_in_the_middle(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in got} == {(d, d % 100) for d, _ in rows}
 
 
+def test_fewest_bands_that_reach_the_recall():
+    assert passage_dedup.bands_for(75, 0.99) == 4 and 1 - 0.25**passage_dedup.bands_for(75) >= passage_dedup.RECALL
+
+
+def test_least_values_of_sliding_paragraphs_equal_brute_force():
+    rng = np.random.default_rng(41)
+    for n, width in ((9, 9), (60, 7), (200, 46)):
+        values = rng.integers(1, 40, n, np.uint64)
+        whole = rng.random(n - width + 1) < 0.8
+        want = {s + k for s in np.flatnonzero(whole) for k in range(width) if values[s + k] == values[s : s + width].min()}
+        assert passage_dedup.chosen(values, width, whole).tolist() == sorted(want)
+
+
+def test_similar_paragraphs_equal_brute_force():
+    rng = np.random.default_rng(42)
+    one = rng.integers(0, 30, (40, 20)).astype(np.uint64)
+    two = np.where(rng.random(one.shape) < 0.2, rng.integers(0, 30, one.shape).astype(np.uint64), one)
+    fits, held = passage_dedup.similar(one, two, 8, 75)
+    for i in range(40):
+        for s in range(13):
+            a, b = set(one[i, s : s + 8].tolist()), set(two[i, s : s + 8].tolist())
+            assert fits[i, s] == (0 not in a | b and 100 * len(a & b) >= 75 * len(a | b))
+            assert held[i, s].any() == fits[i, s]
+
+
 def test_scattered_shingles_are_no_passage(spark):
     """Enough shingles of a paragraph, but in no single stretch of 50 words of the other text."""
     rng = random.Random(33)
