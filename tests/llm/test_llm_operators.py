@@ -258,6 +258,22 @@ def test_passages_with_a_word_changed_in_the_middle(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in got} == {(d, d % 100) for d, _ in rows}
 
 
+def test_passages_of_odd_rows(spark):
+    """Ids of any type, clashing columns, repeated rows, null and empty texts, long and periodic ones."""
+    rng = random.Random(43)
+    passage = prose(rng, 60)
+    rows = [
+        ("a", f"{prose(rng, 30)} {passage}"), ("b", f"{passage} {prose(rng, 400)}"), (None, passage), (None, passage), ("c", None),
+        ("d", "x y " * 3000), ("e", "z " + "x y " * 2900), ("f", f"{prose(rng, 9000)} {passage}"), ("g", ""), ("a", prose(rng, 80)),
+    ]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id string, text string, name int, leader int, doc int")
+    got = {(r.doc_id, r.start_word, r.n_words, r.kept_doc_id, r.members, r.removed) for r in passage_dedup.repeated_passages(df).collect()}
+    assert got == {
+        (None, 0, 60, None, 4, False), ("a", 30, 60, None, 4, True), ("b", 0, 60, None, 4, True), ("f", 9000, 60, None, 4, True),
+        ("d", 0, 6000, "d", 2, False), ("e", 1, 5800, "d", 2, True),
+    }
+
+
 def test_fewest_bands_that_reach_the_recall():
     assert passage_dedup.bands_for(75, 0.99) == 4 and 1 - 0.25**passage_dedup.bands_for(75) >= passage_dedup.RECALL
 
