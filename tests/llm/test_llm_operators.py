@@ -337,6 +337,63 @@ def test_shards_are_even_gapless_and_keep_copies_together(docs):
         assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
 
 
+def plain_best_fit(sizes, capacity):
+    """Bytes in each shard, by looking at every shard for every group."""
+    used: list[int] = []
+    for size in sorted(sizes, reverse=True):
+        fits = [k for k, u in enumerate(used) if u + size <= capacity]
+        if fits:
+            used[max(fits, key=lambda k: used[k])] += size
+        else:
+            used.append(size)
+    return used
+
+
+def test_runs_are_best_fit_of_every_group():
+    rng = random.Random(11)
+    for top in (3, 12, 150):
+        sizes = [rng.randrange(1, top) for _ in range(600)] + [500]
+        classes = sorted(((s, sizes.count(s)) for s in set(sizes)), reverse=True)
+        capacity, runs = sharding.least_capacity(classes, 7)
+        used: dict[int, int] = {}
+        for size, first, last, shard in runs:
+            used[shard] = used.get(shard, 0) + size * (last - first + 1)
+        assert sum(last - first + 1 for _, first, last, _ in runs) == len(sizes) and len(used) <= 7
+        assert sorted(used.values()) == sorted(plain_best_fit(sizes, capacity))
+        assert sharding.best_fit_runs(classes, capacity, len(used) - 1) is None
+    assert sharding.least_capacity([], 7) == (1, [])
+
+
+@pytest.mark.parametrize("part_rows", [3, 5_000])
+def test_packing_is_best_fit_of_every_group(spark, docs, monkeypatch, part_rows):
+    """Small groups among them, whatever the parts in which groups of one size are numbered."""
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randrange(1, 6)) for _ in range(400)] + ["many copies"] * 150 + ["ab", "cd", "ef", "gh"] * 3
+    texts += [None, "", "x" * 4_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size = {}
+    for t in texts:
+        size[t or ""] = size.get(t or "", 0) + len(t or "") + 1
+    for shards, capacity in ((5, None), (None, 2_500)):
+        items, heavy = sharding.packing(df, shards=shards, capacity=capacity)
+        rows = sharding.place(df, items, heavy).collect()
+        assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+        home: dict[str, int] = {}
+        assert all(home.setdefault(r.text or "", r.shard) == r.shard for r in rows)
+        used: dict[int, int] = {}
+        for t, k in home.items():
+            used[k] = used.get(k, 0) + size[t]
+        if capacity is None:
+            classes = sorted(((s, [*size.values()].count(s)) for s in set(size.values())), reverse=True)
+            assert max(used) < shards
+            limit = sharding.least_capacity(classes, shards)[0]
+        else:
+            limit = capacity
+            assert sum(u > capacity for u in used.values()) == sum(s > capacity for s in size.values()) == 1
+        assert sorted(used.values()) == sorted(plain_best_fit(size.values(), limit))
+
+
 def test_place_keeps_columns(docs):
     df, rows = docs
     items, parcels = sharding.packing(df, shards=4)
