@@ -40,8 +40,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ``shard``; equal texts share one, null and empty ones too."""
-    items, parcels = sharding.packing(docs)
-    return sharding.place(docs, items, parcels)
+    items, heavy = sharding.packing(docs)
+    return sharding.place(docs, items, heavy)
 
 
 STAGES: list[tuple[str, Stage]] = [
