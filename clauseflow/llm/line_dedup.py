@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from clauseflow.llm import setjoin
 from clauseflow.llm.base import components, given_back, query, saved, table
 from clauseflow.llm.ngram_join import PERCENT
-from clauseflow.llm.shingles import mixed, shingle_sets
+from clauseflow.llm.shingles import mixed, sampled_shingles, sequence_names, shingle_sets
 
 STRIDE = 7919  # between the places of a document's lines in the bitmap
 
@@ -82,7 +82,7 @@ def _reader(percent: int) -> setjoin.Reader:
     least = setjoin.least_size(percent)
 
     def sets(batch: pa.RecordBatch) -> Iterator[tuple[bytes | None, np.ndarray]]:
-        return ((k if len(s) >= least else None, s) for k, s in shingle_sets(_lines(batch)[2]))
+        return sampled_shingles(_lines(batch)[2], least, setjoin.SAMPLED_TOP)
 
     return sets
 
@@ -92,18 +92,23 @@ def _ids(spots: np.ndarray, rows: list[int], numbers: list[int]) -> np.ndarray:
     return mixed(spots.view(np.uint64)[rows] + np.array(numbers, np.uint64) * np.uint64(STRIDE))
 
 
-def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, numbers, lines = _lines(batch)
-        named = [(k, setjoin.short_name(k), len(s)) for k, s in shingle_sets(lines)]
-        columns = zip(*named) if named else ((), (), ())
-        kinds = (pa.binary(), pa.int64(), pa.int32())
-        ids = _ids(batch.column("spot").to_numpy(), rows, numbers) if rows else np.empty(0, np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32())]
-            + [pa.array(list(c), t) for c, t in zip(columns, kinds)] + [pa.array(ids.view(np.int64))],
-            ["doc", "line", "key", "fp", "n", "id"],
-        )
+def _namer(percent: int):
+    least = setjoin.least_size(percent)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, numbers, lines = _lines(batch)
+            named = [(k, setjoin.short_name(k), n) for k, n in sequence_names(lines, least)]
+            columns = zip(*named) if named else ((), (), ())
+            kinds = (pa.binary(), pa.int64(), pa.int32())
+            ids = _ids(batch.column("spot").to_numpy(), places, numbers) if places else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pa.array(places, pa.int64())), pa.array(numbers, pa.int32())]
+                + [pa.array(list(c), t) for c, t in zip(columns, kinds)] + [pa.array(ids.view(np.int64))],
+                ["doc", "line", "key", "fp", "n", "id"],
+            )
+
+    return rows
 
 
 def _orderer(percent: int, shared):
@@ -143,10 +148,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).withColumn("spot", F.xxhash64("doc"))
     kind = rows.schema["doc"].dataType.simpleString()
-    names, _ = saved(rows.mapInArrow(given_back(_namer), f"doc {kind}, line int, key binary, fp long, n int, id long"), "lines")
+    names, _ = saved(rows.mapInArrow(given_back(_namer(percent)), f"doc {kind}, line int, key binary, fp long, n int, id long"), "lines")
     # One line of each set stands for it: that with the least number, so the aggregate needs no order of documents.
-    one = names.where(F.col("n") >= setjoin.least_size(percent)).groupBy("key", "fp", "n").agg(F.min("id").alias("one"))
-    left, order = setjoin.candidates(rows.select("text"), _reader(percent), one, percent)
+    long = names.where(F.col("n") >= setjoin.least_size(percent))
+    m, tokens, distinct = long.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.approx_count_distinct("fp")).first()
+    # Dealt by the name that the counts come by, so that the rows move once.
+    one = long.select("key", "fp", "n", "id").repartition("fp").groupBy("key", "fp", "n").agg(F.min("id").alias("one"))
+    counts = (tokens * distinct // max(m, 1), distinct)
+    left, order = setjoin.candidates(rows.select("text"), _reader(percent), one, percent, counts)
     left = left.select("one")
     bits = setjoin.sieve(left.select(F.pmod("one", F.lit(setjoin.SIEVE_BITS)).alias("spot")))
     made = rows.mapInArrow(

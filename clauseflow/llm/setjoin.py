@@ -40,9 +40,11 @@ FLUSH_TOKENS = 1 << 19
 SIEVE_BITS = 1 << 26  # 8 MB
 SEGMENT_BITS = 1 << 20
 
+SAMPLED_TOP = np.uint64(int(SAMPLED * 2**64) - 1)
 _LOW = np.uint64((1 << 40) - 1)
 
-# (key of a set or None, its tokens: sorted distinct hashes) for every row of a batch.
+# (key of a set or None, its tokens: distinct hashes, or at least those of the sampled part) for every row of a batch.
+# A token that comes twice only seems to be shared.
 Reader = Callable[[pa.RecordBatch], Iterator[tuple[bytes | None, np.ndarray]]]
 # A chunk's sets (tokens in order) and the percent to pairs of positions that connect what is similar.
 Match = Callable[[list[np.ndarray], int], list[tuple[int, int]]]
@@ -78,7 +80,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 def _dealer(reader: Reader, buckets: int):
     """Sampled tokens by bucket, from blocks of sets: those of one set in the block with its
     short name, and those of several without."""
-    top = np.uint64(int(SAMPLED * 2**64) - 1)
+    top = SAMPLED_TOP
     kinds = (pa.int64(), *[pa.binary()] * 5)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +116,7 @@ def _dealer(reader: Reader, buckets: int):
         for batch in batches:
             for key, tokens in reader(batch):
                 if key is not None and (name := short_name(key)) not in block:
-                    block[name] = tokens[: np.searchsorted(tokens, top, "right")]
+                    block[name] = tokens[tokens <= top]
                     size += len(block[name]) + 1
                     if size >= FLUSH_TOKENS:
                         yield flush()
@@ -266,12 +268,16 @@ def least_size(percent: int) -> int:
     return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
 
 
-def candidates(rows: DataFrame, reader: Reader, names: DataFrame, percent: int) -> tuple[DataFrame, Order]:
+def candidates(
+    rows: DataFrame, reader: Reader, names: DataFrame, percent: int, counts: tuple[int, int] | None = None
+) -> tuple[DataFrame, Order]:
     """(the sets that may have a similar one, the order of tokens).
 
-    ``rows`` is what ``reader`` reads; ``names`` has a row (key, fp, n, ...) per set.
+    ``rows`` is what ``reader`` reads; ``names`` has a row (key, fp, n, ...) per set, n its
+    tokens or more.  ``counts`` are about the sum of n and the number of sets; they choose the
+    sizes of blocks and the order only.
     """
-    total, sets = names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, sets = counts or names.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = max(COMMON_LEAST, int(total * SAMPLED * COMMON_SHARE))
     buckets = int(total * SAMPLED // BUCKET_TOKENS) + 1
     dealt = rows.mapInArrow(

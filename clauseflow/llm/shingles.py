@@ -91,10 +91,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def windows_of(texts: list[bytes], size: int = WORDS_PER_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, words of each text, hashes of ``size`` words from every word on)."""
     words, counts = word_hashes(texts)
+    return words, counts, windowed(words, size)
+
+
+def windowed(words: np.ndarray, size: int) -> np.ndarray:
     flat = np.zeros(max(0, len(words) - size + 1), np.uint64)
     for k in range(size):
         flat += words[k : len(flat) + k] * _FACTORS[k]
-    return words, counts, mixed(flat)
+    return mixed(flat)
 
 
 def sequence_key(words: np.ndarray) -> bytes:
@@ -113,6 +117,55 @@ def shingle_sets(
         yield from _sets(part, size)
 
 
+def sequence_names(texts: list[bytes], least: int, size: int = WORDS_PER_SHINGLE) -> Iterator[tuple[bytes | None, int]]:
+    """For each text (key, at least as many shingles as its set has), from its words alone.
+
+    The key is that of its word sequence.  Sets of fewer than ``least`` shingles may be equal
+    though the sequences differ; both then repeat all words but one of a shingle less than
+    ``least`` words later.  Such texts have the key of their set and their exact number.
+    """
+    every = least > 64  # so long repeats are not looked for
+    for part in portions(texts):
+        words, counts = word_hashes(part)
+        ends = np.cumsum(counts)
+        owner = np.repeat(np.arange(len(part)), counts)
+        again = np.zeros(len(part), np.int64)
+        for step in range(1, 1 if every else least):
+            same = (words[step:] == words[:-step]) & (owner[step:] == owner[:-step])
+            again += np.bincount(owner[step:][same], minlength=len(part))
+        for n, end, repeats in zip(counts.tolist(), ends.tolist(), again.tolist()):
+            own = words[end - n : end]
+            found = n - size + 1
+            if n < size:
+                yield (sequence_key(own), 1) if n else (None, 0)
+                continue
+            key = None
+            if every or repeats >= size - 1:
+                exact = np.unique(windowed(own, size))
+                if len(exact) < least:
+                    key, found = sequence_key(np.append(exact, np.uint64(size))), len(exact)
+            yield key or sequence_key(own), found
+
+
+def sampled_shingles(
+    texts: list[bytes], least: int, top: np.uint64, size: int = WORDS_PER_SHINGLE
+) -> Iterator[tuple[bytes, np.ndarray]]:
+    """(key of its word sequence, its shingle hashes up to ``top`` in the order of the text)
+    of each text of at least ``least`` windows; what a text says twice comes twice."""
+    for part in portions(texts):
+        words, counts, flat = windows_of(part, size)
+        owner = np.repeat(np.arange(len(part)), counts)
+        mine = owner[: len(flat)]
+        chosen = (flat <= top) & (mine == owner[size - 1 : size - 1 + len(flat)])
+        flat = flat[chosen]
+        cuts = np.cumsum(np.bincount(mine[chosen], minlength=len(part))).tolist()
+        last = 0
+        for n, end, cut in zip(counts.tolist(), np.cumsum(counts).tolist(), cuts):
+            if n - size + 1 >= least:
+                yield sequence_key(words[end - n : end]), flat[last:cut]
+            last = cut
+
+
 def portions(texts: list[bytes]) -> Iterator[list[bytes]]:
     """The texts in order, a few megabytes at a time or one alone: work arrays stay small."""
     part: list[bytes] = []

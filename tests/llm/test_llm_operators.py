@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from clauseflow.llm import (
     chat, decontaminate, line_dedup, mixing, ngram_join, passage_dedup, personal, quality, setjoin, sharding, toxicity,
 )
+from clauseflow.llm import shingles as shingling
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 DOCS = "doc_id long, text string, source string, extra string, key string, n int, shard string, size string"
@@ -174,6 +175,35 @@ def test_repeated_lines_equal_brute_force(spark, texts):
     assert sorted(map(tuple, line_dedup.repeated_lines(df).collect())) == want
 
 
+def test_lines_of_repeated_words_equal_brute_force(spark):
+    """Different sequences with one and the same set of shingles are linked."""
+    rng = random.Random(21)
+    docs = [(k, "\n".join(" ".join(rng.choice("aab") for _ in range(rng.randrange(1, 11))) for _ in range(6))) for k in range(12)]
+    lines = [(d, i, x) for d, t in docs for i, x in enumerate(t.split("\n"))]
+    roots = brute_components([shingles(x) for _, _, x in lines])
+    want = sorted((*lines[k][:2], *lines[r][:2]) for k, r in enumerate(roots) if k != r)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.repeated_lines(df).collect())) == want
+
+
+@pytest.mark.parametrize("least", [3, 9, 1 << 62])
+def test_names_and_sampled_shingles_of_sequences(least):
+    rng = random.Random(least)
+    lines = [" ".join(rng.choice("ab" if k % 3 else "abcdef") for _ in range(rng.randrange(0, 18))).encode() for k in range(4_000)]
+    exact = [(k, s.tolist()) for k, s in shingling.shingle_sets(lines)]
+    named = [*shingling.sequence_names(lines, least)]
+    same: dict = {}
+    for (key, s), (name, n) in zip(exact, named):
+        assert (name is None) == (not s) and n >= len(s)
+        if s and len(s) < least:
+            assert same.setdefault(tuple(s), name) == name  # equal sets have one name
+    assert len(set(same.values())) == len(same)
+    top = np.uint64(1 << 63)
+    want = {k: {x for x in s if x <= 1 << 63} for k, s in exact if s}
+    found = [*shingling.sampled_shingles(lines, 3, top)]
+    assert len(found) == sum(len(x.split()) >= 7 for x in lines) and all(set(s.tolist()) == want[k] for k, s in found)
+
+
 @pytest.mark.parametrize("match", [ngram_join.tree_links, line_dedup.prefix_links])
 def test_matchers_connect_what_is_similar(match):
     import numpy as np
