@@ -24,45 +24,58 @@ from clauseflow.llm.shingles import mixed, sampled_shingles, sequence_names, shi
 STRIDE = 7919  # between the places of a document's lines in the bitmap
 
 
-def shared_tokens(one: np.ndarray, two: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    at = np.searchsorted(two, one)
-    at[at == len(two)] = 0
-    return int((two[at] == one).sum())
+def shared_tokens(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with each of the others; none is empty."""
+    tokens = np.concatenate(others)
+    at = np.searchsorted(one, tokens)
+    at[at == len(one)] = 0
+    return np.add.reduceat(one[at] == tokens, np.cumsum([0, *(len(s) for s in others[:-1])]), dtype=np.int64)
 
 
 def prefix_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect all similar sets of a chunk; what is connected already is not compared."""
+    sizes = [len(s) for s in sets]
     index: dict[int, list[tuple[int, int]]] = defaultdict(list)
     group = list(range(len(sets)))  # grows together as links come, like what ``stars`` makes of them
     members = [[i] for i in group]
-
-    def found() -> Iterator[tuple[int, int]]:
-        for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-            size = len(sets[i])
-            seen: dict[int, int] = {}
-            prefix = sets[i][: setjoin.prefix_length(size, percent)].tolist()
-            for at, token in enumerate(prefix):
-                for j, place in index[token]:
-                    other = len(sets[j])
-                    if 100 * other < percent * size or seen.get(j, 0) < 0:
-                        continue
-                    count = seen.get(j, 0) + 1
-                    rest = min(size - at - 1, other - place - 1)
-                    seen[j] = count if count + rest >= setjoin.least_overlap(size, other, percent) else -1
-            for j, count in sorted(seen.items(), key=lambda x: -x[1]):
-                if count > 0 and group[i] != group[j]:
-                    both = shared_tokens(sets[i], sets[j])
-                    if 100 * both >= percent * (size + len(sets[j]) - both):
-                        yield i, j
-                        gone, into = sorted((group[i], group[j]), key=lambda g: len(members[g]))
-                        for k in members[gone]:
-                            group[k] = into
-                        members[into] += members[gone]
-            for at, token in enumerate(prefix):
-                index[token].append((i, at))
-
-    return setjoin.stars(found(), len(sets))
+    links: list[tuple[int, int]] = []
+
+    def link(i: int, others: list[int]) -> None:
+        if not others:
+            return
+        for j, both in zip(others, shared_tokens(sets[i], [sets[j] for j in others]).tolist()):
+            if group[i] != group[j] and 100 * both >= percent * (sizes[i] + sizes[j] - both):
+                links.append((i, j))
+                gone, into = sorted((group[i], group[j]), key=lambda g: len(members[g]))
+                for k in members[gone]:
+                    group[k] = into
+                members[into] += members[gone]
+
+    for i in sorted(range(len(sets)), key=sizes.__getitem__):
+        size, mine = sizes[i], group[i]
+        seen: dict[int, int] = {}
+        tried = False
+        prefix = sets[i][: setjoin.prefix_length(size, percent)].tolist()
+        for at, token in enumerate(prefix):
+            for j, place in index[token]:
+                if group[j] == mine or (count := seen.get(j, 0)) < 0:
+                    continue
+                other = sizes[j]
+                rest = min(size - at, other - place) - 1
+                # As setjoin.least_overlap, without a call for each shared token.
+                fits = 100 * other >= percent * size and (100 + percent) * (count + 1 + rest) >= percent * (size + other)
+                if fits and not tried:
+                    # The first that fits is compared at once: with it, most others are often connected already.
+                    link(i, [j])
+                    mine, seen[j], tried = group[i], -1, True
+                else:
+                    seen[j] = count + 1 if fits else -1
+        likely = sorted((j for j, count in seen.items() if count > 0), key=lambda j: -seen[j])
+        link(i, likely[:1])
+        link(i, [j for j in likely[1:] if group[j] != group[i]])
+        for at, token in enumerate(prefix):
+            index[token].append((i, at))
+    return setjoin.stars(iter(links), len(sets))
 
 
 def _lines(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes]]:
