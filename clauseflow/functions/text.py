@@ -42,6 +42,14 @@ def lookup(key: Column, table: Mapping[str, str]) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
+def upper_letters(text: Column) -> Column:
+    """Capitals letter by letter, so the length stays: ``ß`` becomes ``ẞ``; a letter without a capital of its own stays."""
+    letters = F.transform(
+        F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) > 1, F.translate(c, V.LONG_UPPER, V.LONG_UPPER_LETTERS)).otherwise(F.upper(c))
+    )
+    return F.when(text.rlike(r"^[\x00-\x7f]*$"), F.upper(text)).otherwise(F.array_join(letters, ""))
+
+
 def squeeze_spaces(text: Column) -> Column:
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return F.regexp_replace(text, r"\n{2,}", "\n")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
-from clauseflow.functions import vectors
+from clauseflow.functions import text as tx, vectors
 from clauseflow.operators import cells, mentions, retrieval as R
 from clauseflow.plans import shapes as S
 from clauseflow.plans.registry import checked, table, texts
@@ -296,7 +296,7 @@ def other_names_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first name, in table order, that each document holds."""
     names, docs = _name_table(spark, sf_dir)
-    return mentions.with_first_name(docs, names.withColumn("value", F.upper("name")), "document").select("doc_id", "shown")
+    return mentions.with_first_name(docs, names.withColumn("value", tx.upper_letters(F.col("name"))), "document").select("doc_id", "shown")
 
 
 def sql_render(hits: str, name: str) -> str:

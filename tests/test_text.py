@@ -69,6 +69,13 @@ def test_keywords_count_both_spellings(spark):
     assert column(spark, ["청약 철회는 7일"], tx.keyword_matches(X(), words)) == [2]
 
 
+def test_capitals_letter_by_letter(spark):
+    words = ["ungeheitß", "straße", "abc", "", None, "ŉa", "ﬁx", "ᾳ", "İi", "über", "제1조 é𐐨"]
+    got = column(spark, words, tx.upper_letters(X()))
+    want = ["UNGEHEITẞ", "STRAẞE", "ABC", "", None, "ŉA", "ﬁX", "ᾼ", "İI", "ÜBER", "제1조 É𐐀"]
+    assert [r[0] if isinstance(r, tuple) else r for r in got] == want
+
+
 def test_names(spark):
     asked = ["Netflix", "넷플릭스", "Spotify", " TVING ", "  "]
     assert column(spark, asked, names.canonical_name(X())) == ["넷플릭스", "넷플릭스", "Spotify", "티빙", None]
