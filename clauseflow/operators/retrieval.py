@@ -18,15 +18,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from clauseflow import vocab as V
 from clauseflow.functions import names, text as tx
+from clauseflow.operators import blocks
 
-# Up to this many vector cells the questions travel to every task; 16 million
-# numbers are 128 MB.  Beyond it both sides are cut into blocks and shuffled; both ways
-# compute every distance alike, so the rows are the same.
-BROADCAST_CELLS = 16_000_000
+# Up to this many vector cells the questions travel to every task, which keeps a pool for each
+# of them; two million numbers are 16 MB in each worker.  Beyond it both sides are cut into
+# blocks and shuffled; both ways compute every distance alike, so the rows are the same.
+BROADCAST_CELLS = 2_000_000
 BLOCK_CHUNKS = 100_000
 BLOCK_QUESTIONS = 20_000
-_TILE = 1_024
-_PAIRS = 200_000
+FEW_BLOCKS = 4  # of one side of a scope, unless they would be larger than the above
 
 
 # ------------------------------------------------------------------ filters
@@ -58,92 +58,6 @@ def service_scopes(questions: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------- exact nearest pool
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Vectors as rows; all must have the width of the first and no null cell."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    widths = column.value_lengths().to_numpy(zero_copy_only=False)
-    flat = column.flatten()
-    if len(widths) and (flat.null_count or (widths != widths[0]).any()):
-        raise ValueError("vectors of different widths or with null cells cannot be compared")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-Hits = tuple[np.ndarray, np.ndarray, np.ndarray]  # question row, chunk id, distance
-
-
-def _cut(hits: Hits, pool: int) -> Hits:
-    """The first ``pool`` of each question by distance, then chunk id."""
-    rows, ids, distances = hits
-    order = np.lexsort((ids, distances, rows))
-    rows = rows[order]
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.array([], int)
-    place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-    order, rows = order[place < pool], rows[place < pool]
-    return rows, ids[order], distances[order]
-
-
-def _join(parts: list[Hits]) -> Hits:
-    return tuple(np.concatenate(c) for c in zip(*parts))
-
-
-def _best(questions: np.ndarray, ids: np.ndarray, chunks: np.ndarray, pool: int) -> Hits:
-    """The ``pool`` nearest of some chunks for each question.
-
-    A matrix product gives a first cut with a margin for its rounding; the distances
-    of what is left are then computed term by term.  Work goes by tiles, so memory
-    does not follow the number of questions or of equal distances.
-    """
-    out: list[Hits] = []
-    for at in range(0, len(questions), _TILE):
-        block = questions[at:at + _TILE].astype(np.float64)
-        sizes = np.einsum("ij,ij->i", block, block)
-        best: list[Hits] = []
-        for lo in range(0, len(chunks), _TILE * 4):
-            held, held_ids = chunks[lo:lo + _TILE * 4], ids[lo:lo + _TILE * 4]
-            norms = np.einsum("ij,ij->i", held, held)
-            near = norms[None, :] - 2.0 * (block @ held.T)
-            if len(held) > pool:
-                margin = 1e-9 * (1.0 + norms.max() + sizes)
-                limit = np.partition(near, pool - 1, axis=1)[:, pool - 1] + margin
-                rows, columns = np.nonzero(near <= limit[:, None])
-            else:
-                rows, columns = (a.ravel() for a in np.indices(near.shape))
-            for some in range(0, len(rows), _PAIRS):
-                r, c = rows[some:some + _PAIRS], columns[some:some + _PAIRS]
-                exact = ((held[c] - block[r]) ** 2).sum(axis=1)
-                best.append(_cut((r + at, held_ids[c], exact), pool))
-            best = [_cut(_join(best), pool)]
-        out += best
-    return _join(out)
-
-
-def _places(column: pa.Array | pa.ChunkedArray) -> dict[str, np.ndarray]:
-    """Row numbers per value, by one sort."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    coded = column.dictionary_encode()
-    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    order = np.argsort(codes, kind="stable")
-    bounds = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
-    return {v: order[lo:hi] for v, lo, hi in zip(coded.dictionary.to_pylist(), bounds, bounds[1:])}
-
-
-def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    out = np.asarray(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy())
-    return out.astype(str) if out.dtype == object else out
-
-
-def _table(question_ids: np.ndarray, hits: Hits | None, schema: pa.Schema) -> pa.Table:
-    if hits is None:
-        return schema.empty_table()
-    columns = (question_ids[hits[0]], hits[1], hits[2])
-    return pa.table(
-        [pa.array(c.tolist() if c.dtype.kind == "U" else c, type=f.type) for c, f in zip(columns, schema)],
-        schema=schema,
-    )
-
-
 def _hit_schema(questions: DataFrame, chunks: DataFrame) -> StructType:
     return StructType([
         StructField("question_id", questions.schema["question_id"].dataType),
@@ -158,48 +72,58 @@ def _pool_with_sent_questions(questions: DataFrame, chunks: DataFrame, pool: int
     arrow = to_arrow_schema(schema)
     by_scope: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     if len(sent):
-        ids, vectors = _ids(sent.column("question_id")), _matrix(sent.column("vector"))
-        by_scope = {scope: (ids[at], vectors[at]) for scope, at in _places(sent.column("scope")).items()}
+        ids, vectors = blocks.ids(sent.column("question_id")), blocks.matrix(sent.column("vector"))
+        by_scope = {scope: (ids[at], vectors[at]) for scope, at in blocks.places(sent.column("scope")).items()}
     shared = chunks.sparkSession.sparkContext.broadcast(by_scope)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # What is kept between batches is ``pool`` ids per question, not vectors.
-        best: dict[str, Hits] = {}
+        best: dict[str, blocks.Hits] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, vectors = _ids(batch.column("chunk_id")), _matrix(batch.column("vector"))
-            for scope, at in _places(batch.column("scope")).items():
+            ids, vectors = blocks.ids(batch.column("chunk_id")), blocks.matrix(batch.column("vector"))
+            for scope, at in blocks.places(batch.column("scope")).items():
                 if scope not in shared.value:
                     continue
-                found = _best(shared.value[scope][1], ids[at], vectors[at], pool)
-                best[scope] = _cut(_join([best[scope], found]), pool) if scope in best else found
+                found = blocks.best(shared.value[scope][1], ids[at], vectors[at], pool)
+                best[scope] = blocks.cut(blocks.join([best[scope], found]), pool) if scope in best else found
         for scope, hits in best.items():
-            yield from _table(shared.value[scope][0], hits, arrow).to_batches()
+            yield from blocks.table(shared.value[scope][0], hits, arrow).to_batches()
 
     wanted = questions.select("scope").distinct()
     narrow = chunks.select("chunk_id", "scope", "vector").join(wanted, "scope", "left_semi")
     return narrow.select("chunk_id", "scope", "vector").mapInArrow(search, schema)
 
 
-def _pool_with_blocks(questions: DataFrame, chunks: DataFrame, pool: int, schema: StructType,
-                      block_questions: int, block_chunks: int) -> DataFrame:
-    """Both sides cut into blocks of bounded size, met by an equi-join on the block.
+def _block_counts(questions: DataFrame, chunks: DataFrame, block_questions: int, block_chunks: int) -> DataFrame:
+    """(scope, _cb, _qb): into how many blocks the chunks and the questions of a scope are cut."""
+    def count(rows: str, asked: int, most: int) -> Column:
+        grown = F.least(F.ceil(F.col(rows) / FEW_BLOCKS), F.lit(most))
+        return F.ceil(F.col(rows) / F.greatest(F.lit(asked), grown)).cast("int")
 
-    A scope with a third of all chunks becomes many blocks, so no group grows with
-    the data.  The block counts are one row per scope.
-    """
-    arrow = to_arrow_schema(schema)
-    sizes = (
+    return (
         chunks.groupBy("scope").agg(F.count("*").alias("_nc"))
         .join(questions.groupBy("scope").agg(F.count("*").alias("_nq")), "scope")
         .select(
             "scope",
-            F.ceil(F.col("_nc") / block_chunks).cast("int").alias("_cb"),
-            F.ceil(F.col("_nq") / block_questions).cast("int").alias("_qb"),
+            count("_nc", block_chunks, BLOCK_CHUNKS).alias("_cb"),
+            count("_nq", block_questions, BLOCK_QUESTIONS).alias("_qb"),
         )
     )
 
+
+def _pool_with_blocks(questions: DataFrame, chunks: DataFrame, pool: int, schema: StructType,
+                      block_questions: int, block_chunks: int) -> DataFrame:
+    """Both sides cut into blocks of bounded size, met by an equi-join on the block.
+
+    A scope with a third of all chunks becomes many blocks, so no group grows with
+    the data.  A row goes to every block of the other side: blocks start at the rows asked for
+    and grow with the scope up to ``BLOCK_QUESTIONS`` and ``BLOCK_CHUNKS``, so that they stay few.
+    """
+    arrow = to_arrow_schema(schema)
+    sizes = _block_counts(questions, chunks, block_questions, block_chunks)
+
     def place(df: DataFrame, key: str, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
         return (
             df.select(key, "scope", "vector").join(sizes, "scope")
@@ -213,12 +137,12 @@ def _pool_with_blocks(questions: DataFrame, chunks: DataFrame, pool: int, schema
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not asked.num_rows or not held.num_rows:
-            return _table(np.array([]), None, arrow)
-        hits = _best(
-            _matrix(asked.column("vector")), _ids(held.column("chunk_id")),
-            _matrix(held.column("vector")), pool,
+            return blocks.table(np.array([]), None, arrow)
+        hits = blocks.best(
+            blocks.matrix(asked.column("vector")), blocks.ids(held.column("chunk_id")),
+            blocks.matrix(held.column("vector")), pool,
         )
-        return _table(_ids(asked.column("question_id")), hits, arrow)
+        return blocks.table(blocks.ids(asked.column("question_id")), hits, arrow)
 
     groups = ("scope", "_q", "_c")
     return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(search, schema)

@@ -11,7 +11,7 @@ from clauseflow.functions import text as tx, vectors
 from clauseflow.operators import cells, mentions, retrieval as R
 from clauseflow.plans import shapes as S
 from clauseflow.plans.registry import checked, table, texts
-from clauseflow.session import scratch_dir, written
+from clauseflow.session import scratch_dir, spread, written
 from clauseflow.sources.store import ChunkStore
 
 KEYWORDS = ("license", "the on", "queque", "erer", "zu ver", "de la", "that")
@@ -21,9 +21,10 @@ NAMES = ("thth", "queque", "enen", "src1")
 
 def chunks_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with their stored vectors: publisher as service, language as type."""
-    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     vec = table(spark, sf_dir, "embeddings")
-    return R.with_keyword_bits(docs.join(vec, docs.doc_id == vec.vec_id).select(
+    # Dealt out after the join: a fraction of the texts has a vector.
+    return R.with_keyword_bits(spread(docs.join(vec, docs.doc_id == vec.vec_id)).select(
         F.col("doc_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("text").alias("document"),
         F.col("lang").alias("doc_type"), F.col("source").alias("service_name"),
         F.concat(F.lit("art "), F.col("label").cast("string")).alias("article"),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
-from clauseflow.functions import chunks, vectors
+from clauseflow.functions import chunks, names, vectors
 from clauseflow.operators import answers, cells, chunking, history, ingest, mentions, readiness, retrieval as R, runs, selection
 from clauseflow.plans import jobs
 from clauseflow.plans.retrieval_checks import letter_counts
@@ -93,6 +93,32 @@ def test_cells_in_small_blocks_with_old_rows_and_another_scale(spark):
     assert rows(cells.nearest_by_cells(small, placed, 3, index)) == rows(R.nearest(small, c, 3))
 
 
+def test_cells_after_a_name_function_was_used(spark):
+    # What travels with the search must not hold the name functions, whose handle stays in the driver.
+    spark.createDataFrame([("넷플릭스",)], "x string").select(names.folder_name(F.col("x"))).collect()
+    q, c = _clustered(spark, 8)
+    index = cells.fit_cells(c, k=5)
+    assert cells.nearest_by_cells(q, cells.with_cells(c, index), 3, index).count() == R.nearest(q, c, 3).count()
+
+
+def test_blocks_stay_few_and_vectors_travel_by_part(spark):
+    rng = np.random.default_rng(4)
+    c = spark.createDataFrame([(n, "s", v.tolist()) for n, v in enumerate(rng.normal(0, 1, (900, 8)))], "chunk_id long, scope string, vector array<double>")
+    q = written(c.withColumnRenamed("chunk_id", "question_id"), "q")
+    assert R._block_counts(q, c, 2, 3).first()[1:] == (R.FEW_BLOCKS, R.FEW_BLOCKS)
+    index = cells.fit_cells(c, k=30)
+    placed = written(cells.with_cells(c, index), "placed")
+    table = cells._in_parts(cells.cell_table(placed), index, 300)
+    # Without clusters nearly all cells are met; a vector goes to three parts, not to thirty cells.
+    bounded = q.withColumn("limit", F.lit(1e300))
+    assert cells.visits(bounded, table, index, 5, "cells").count() == 900 * 30
+    assert cells.visits(bounded, table, index, 5, "parts").count() == 900 * 3
+    rows = lambda df: sorted((r.question_id, r.rank, r.chunk_id, r.distance) for r in df.collect())
+    want = rows(R.nearest(q, c, 5))
+    assert rows(R.nearest(q, c, 5, broadcast_cells=0, block_questions=2, block_chunks=3)) == want
+    assert rows(cells.nearest_by_cells(q, placed, 5, index, block_questions=70, block_chunks=300)) == want
+
+
 def test_cells_of_nothing(spark):
     schema = "chunk_id long, scope string, vector array<double>"
     none, one = spark.createDataFrame([], schema), spark.createDataFrame([(1, "s", [1.0, 2.0]), (2, "s", None), (3, None, [1.0, 2.0])], schema)
