@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow.operators.cells import Cells
-from clauseflow.session import written
+from clauseflow.session import bounded_batches, written
 
 CHUNK_SCHEMA = (
     "chunk_id string, document string, doc_type string, doc_subtype string, "
@@ -100,6 +100,7 @@ class ChunkStore:
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark, self._buckets = spark, buckets
+        bounded_batches(spark)
         there, system = self._system(root)
         self.root = system.makeQualified(there).toString().rstrip("/")
 

@@ -19,6 +19,25 @@ from clauseflow.sources.store import ChunkStore
 from clauseflow.streaming import ingest as stream
 
 
+def test_python_sees_few_rows_and_bytes_at_once(spark):
+    sizes = F.pandas_udf(lambda x: x.map(lambda _: len(x)), "long")
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    was = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("10000", str(256 << 20))):
+            spark.conf.set(k, v)
+        rows = written(spark.range(5000).repartition(1), "rows")
+        assert rows.select(sizes("id").alias("n")).agg(F.max("n")).first()[0] <= 1000
+        long = rows.limit(100).withColumn("text", F.repeat(F.lit("x"), 1 << 17)).select(F.length("text"), sizes("text").alias("n"))
+        assert long.agg(F.max("n")).first()[0] <= 40
+        spark.conf.set(keys[0], "7")  # a smaller wish stays
+        ChunkStore(spark, scratch_dir(spark, "store"))
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for k, v in zip(keys, was):
+            spark.conf.set(k, v)
+
+
 # ------------------------------------------------------------------- retrieval
 def brute_nearest(questions, chunks, pool):
     out = set()
