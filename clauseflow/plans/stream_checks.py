@@ -59,6 +59,13 @@ def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROUNDS = 4
+_FILE_BYTES = 64 << 20  # of lines that one task writes
+
+
+def files_of_a_round(lines: DataFrame, most: int = _FILE_BYTES) -> int:
+    """Into how many files of at most about ``most`` bytes the largest round is cut."""
+    sizes = lines.groupBy("round").agg(F.sum(F.octet_length("value") + 1).alias("size"))
+    return 1 + (sizes.agg(F.max("size")).first()[0] or 0) // most
 
 
 @checked(f"""
@@ -72,9 +79,9 @@ docs AS (SELECT kept.* EXCLUDE (text), body FROM kept JOIN cleaned ON id = doc_i
 parts AS (SELECT id, unnest(chunks) AS part, generate_subscripts(chunks, 1) - 1 AS n FROM chunked)
 SELECT source, n AS chunk_index, md5(part) AS content_hash FROM parts JOIN docs ON id = doc_id""")
 def streamed_in_small_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file a batch, with a stop between; each batch amends some documents of the one before.
+    """A round of files a batch, with a stop between; each batch amends some documents of the one before.
 
-    Small versions are folded as they come, so fewer hold the rows than there were batches.
+    A round is one file while it is small; all rounds have equally many, so that a batch is a round.  Small versions are folded as they come, so fewer hold the rows than there were batches.
     """
     i = F.col("doc_id")
     docs = texts(spark, sf_dir, "documents", "doc_id", "text")
@@ -88,10 +95,11 @@ def streamed_in_small_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )).alias("value")), "lines")
     inbox, checkpoint = scratch_dir(spark, "inbox"), scratch_dir(spark, "stream")
     store = ChunkStore(spark, scratch_dir(spark, "store"))
+    files = files_of_a_round(lines)
     for n in range(_ROUNDS):
-        lines.where(F.col("round") == n).select("value").coalesce(1).write.mode("append").format("text").save(inbox)
+        lines.where(F.col("round") == n).select("value").repartition(files).write.mode("append").format("text").save(inbox)
         if n in (_ROUNDS // 2, _ROUNDS - 1):
-            ingest.start(store, inbox, checkpoint, glob="*.txt", files_per_batch=1, fold_above=2).awaitTermination()
+            ingest.start(store, inbox, checkpoint, glob="*.txt", files_per_batch=files, fold_above=2).awaitTermination()
     return store.read().select("source", F.col("chunk_index").cast("long").alias("chunk_index"), "content_hash")
 
 

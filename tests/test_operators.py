@@ -5,13 +5,14 @@ import os
 import random
 
 import numpy as np
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
 from clauseflow import vocab as V
 from clauseflow.functions import chunks, names, vectors
 from clauseflow.operators import answers, cells, chunking, history, ingest, mentions, readiness, retrieval as R, runs, selection
-from clauseflow.plans import jobs
+from clauseflow.plans import catalog, jobs, stream_checks
 from clauseflow.plans.retrieval_checks import letter_counts
 from clauseflow.session import scratch_dir, written
 from clauseflow.sources import crawl, faq, files, html, policies, requests
@@ -38,6 +39,16 @@ def test_python_sees_few_rows_and_bytes_at_once(spark):
             spark.conf.set(k, v)
 
 
+def test_a_round_of_several_files_is_one_batch(spark, monkeypatch):
+    lines = spark.createDataFrame([(n % 4, "x" * 99) for n in range(40)], "round long, value string")
+    assert stream_checks.files_of_a_round(lines) == 1
+    assert stream_checks.files_of_a_round(lines, 300) == 4
+    sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    monkeypatch.setattr(stream_checks, "files_of_a_round", lambda lines: 3)
+    name = "streamed_in_small_batches"
+    assert oracle.compare(spark, oracle.connect(sf_dir), name, catalog.QUERIES[name], catalog.ORACLES[name], sf_dir)[0] is None
+
+
 # ------------------------------------------------------------------- retrieval
 def brute_nearest(questions, chunks, pool):
     out = set()
