@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -27,8 +29,11 @@ def ended_runs(verdicts: DataFrame, max_retries: int = V.MAX_RETRIES) -> DataFra
         retrievals, verifications, path, ended = state.get if state.exists else (1, 0, "retrieve_context", False)
         out = []
         if not ended:
-            rows = pd.concat(batches).sort_values(["ts", "seq"])
-            for status, action in zip(rows["status"], rows["action"]):
+            parts = [[part[c].to_numpy() for c in ("ts", "seq", "status", "action")] for part in batches]
+            ts, seq, statuses, actions = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts))
+            # All that can count are the first few verdicts; no frame is built for them.
+            for n in np.lexsort((seq, ts))[:max_retries + 1]:
+                status, action = statuses[n], actions[n]
                 path += ",generate_answer,verify_answer"
                 verifications += 1
                 if status == "PASS" or verifications > max_retries:
@@ -44,7 +49,9 @@ def ended_runs(verdicts: DataFrame, max_retries: int = V.MAX_RETRIES) -> DataFra
         if out:
             yield pd.DataFrame(out, columns=["run_id", "final_node", "retrievals", "verifications", "path"])
 
-    return verdicts.groupBy("run_id").applyInPandasWithState(
+    # Whole microseconds: a time would be moved between zones once for every run.
+    timed = verdicts.select("run_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "seq", "status", "action")
+    return timed.groupBy("run_id").applyInPandasWithState(
         follow, ENDED, _STATE, "append", GroupStateTimeout.NoTimeout
     )
 
