@@ -782,3 +782,11 @@ def test_task_functions_need_no_installed_package(spark, tmp_path):
     assert "clauseflow" not in os.environ.get("PYTHONPATH", "")
     df = spark.createDataFrame([("x " * 900,)], "text string").withColumn("doc_type", F.lit("misc"))
     assert len(chunking.with_parts(df).first().parts) == 2
+
+
+def test_no_text_is_cleaned_twice_for_its_hash(spark):
+    """What the queries leave to their last job reads written hashes."""
+    registered = catalog.QUERIES
+    for name in ("unchanged_sources",):
+        plan = registered[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "{2,10}" not in plan, name  # the pattern of doubled labels
