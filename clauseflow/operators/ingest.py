@@ -104,6 +104,11 @@ def hashes(docs: DataFrame) -> DataFrame:
     return docs.select("source", "service_name", digest.alias("document_hash"), *order)
 
 
+def hashes_of_prepared(docs: DataFrame) -> DataFrame:
+    """The rows of ``hashes`` from documents that ``prepare`` has cleaned and hashed."""
+    return docs.select("source", "service_name", F.when(F.col("body") != "", F.col("document_hash")).alias("document_hash"))
+
+
 def chunk_rows(docs: DataFrame, mode: str = "recursive") -> DataFrame:
     """Chunk rows with all metadata for the prepared documents that go into the store."""
     parts = chunking.with_parts(docs, "body", "doc_type", mode).drop("body", "strategy")

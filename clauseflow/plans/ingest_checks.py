@@ -314,11 +314,15 @@ parts AS (SELECT id, unnest(chunks) AS part, generate_subscripts(chunks, 1) - 1
 SELECT source, service_name, h AS document_hash, n AS chunk_index, sha1(source || '::' || n || '::' || sha1(part)) AS chunk_id
 FROM parts JOIN fresh ON id = doc_id""")
 def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole batch: clean, hash, judge against the store, chunk what is new."""
+    """A whole batch: clean, hash, judge against the store, chunk what is new.
+
+    Most of the batch is new, so its cleaned texts are written once and not cleaned again.
+    """
     stored, batch = store_and_batch(spark, sf_dir)
-    new = _judged(stored, batch).where(F.col("outcome") == "new").select("source")
-    docs = ingest.prepare(batch.drop("doc_id").join(new, "source", "left_semi"))
-    return ingest.chunk_rows(docs).select(
+    docs = written(ingest.prepare(batch.drop("doc_id")).drop("scope"), "prepared")
+    narrow = written(ingest.hashes_of_prepared(docs), "hashes")
+    new = ingest.judge(narrow, stored).where(F.col("outcome") == "new").select("source")
+    return ingest.chunk_rows(docs.join(new, "source", "left_semi")).select(
         "source", "service_name", "document_hash", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id"
     )
 

@@ -785,8 +785,14 @@ def test_task_functions_need_no_installed_package(spark, tmp_path):
 
 
 def test_no_text_is_cleaned_twice_for_its_hash(spark):
-    """What the queries leave to their last job reads written hashes."""
+    """What the queries leave to their last job reads written hashes, and written cleaned texts."""
     registered = catalog.QUERIES
-    for name in ("unchanged_sources",):
+    for name in ("unchanged_sources", "ingested_chunks"):
         plan = registered[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "{2,10}" not in plan, name  # the pattern of doubled labels
+
+
+def test_hashes_of_prepared_equal_hashes(spark):
+    texts = [None, "", " \n ", "a  b", "haha x", "\u3000", "\x1c", "tick tick\n\n\ntock"]
+    docs = spark.createDataFrame([(str(i), "s", t) for i, t in enumerate(texts)], "source string, service_name string, text string")
+    assert sorted(ingest.hashes_of_prepared(ingest.prepare(docs)).collect()) == sorted(ingest.hashes(docs).collect())
