@@ -829,3 +829,15 @@ def test_empty_tables_give_no_rows(spark):
         personal.personal_data(none), quality.quality(none), ngram_join.keep_one(none),
     ):
         assert df.count() == 0
+
+
+def test_pairs_left_out_have_no_similar_paragraph(monkeypatch):
+    rng = np.random.default_rng(11)
+    one = rng.integers(0, 30, (400, 20)).astype(np.uint64)
+    change = rng.random(one.shape) < rng.random((400, 1))
+    two = np.where(change, rng.integers(0, 60, one.shape).astype(np.uint64), one)
+    two[:40] = one[:40]
+    for percent in (60, 75, 100):
+        fits = passage_dedup.similar(one, two, 8, percent)[0].any(1)
+        near = passage_dedup.may_be_similar(one, two, 8, percent)
+        assert fits.any() and not (fits & ~near).any() and not near.all()
