@@ -5,8 +5,10 @@ import math
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,6 +278,38 @@ def test_passages_behind_a_first_occurrence_that_differs(spark, monkeypatch):
         assert {r.doc_id: (r.kept_doc_id, r.members, r.start_word, r.n_words) for r in got} == want
 
 
+def test_equal_shingles_tell_which_paragraphs_are_similar():
+    rng = np.random.default_rng(3)
+    for n, size, values in ((114, 46, 200), (114, 46, 2), (20, 8, 4)):
+        one = rng.integers(0 if size < 10 else 1, values, (60, n)).astype(np.uint64)
+        two = np.roll(np.where(rng.random(one.shape) < 0.08, np.uint64(1), one), 1, axis=1)
+        for percent in (60, 75):
+            fits, held = passage_dedup.similar(one, two, size, percent)
+            found, row, here, there = passage_dedup.alike(one, two, size, percent)
+            assert (fits == found).all() and (one[row, here] == two[row, there]).all()
+            assert len(row) == ((one[:, :, None] == two[:, None, :]) & (one > 0)[:, :, None]).sum()
+
+
+def test_overlapping_surroundings_show_a_value_three_times_at_most():
+    """Places 4 words apart: before, each of some 17 surroundings gave every value it saw a row."""
+    class Every:
+        value = b"\xff" * (setjoin.SIEVE_BITS // 8)
+
+    before, kept = passage_dedup._reach(50)
+    words = np.random.default_rng(2).integers(1, 1 << 32, 600, np.uint32)
+    places = np.arange(before, 600 - kept, 4)
+    batch = pa.RecordBatch.from_pydict({
+        "name": pa.array([7] * len(places), pa.int64()), "place": pa.array(places, pa.int32()),
+        "around": [words[p - before : p - before + kept].tobytes() for p in places], "spot": pa.array(places, pa.int64()),
+    })
+    [out] = passage_dedup._deeper(50, 4, 2, Every)(iter([batch]))
+    rows = defaultdict(list)
+    for r in out.to_pylist():
+        rows[r["key"], r["place"] + r["off"]].append(r["off"])
+    inner = [offs for (_, at), offs in rows.items() if 2 * kept < at < 600 - 2 * kept]
+    assert inner and all(len(offs) <= 3 and any(0 <= o < passage_dedup.STRETCH for o in offs) for offs in inner)
+
+
 def test_passages_with_a_word_changed_in_the_middle(spark):
     rng = random.Random(32)
     rows = []
