@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from clauseflow.plans import jobs
+from clauseflow.session import bounded_batches
 from clauseflow.sources import crawl
 from clauseflow.sources.store import FOLD_ABOVE, ChunkStore
 
@@ -31,6 +32,7 @@ def start(
     below the folder ``clean``.  When more than ``fold_above`` versions hold the store's rows, the
     small ones are written together, so a long stream does not leave a folder for each batch.
     """
+    bounded_batches(store.spark)  # the stream keeps the settings it starts with, whatever was set since the store was made
     options = {} if files_per_batch is None else {"maxFilesPerTrigger": str(files_per_batch)}
     if clean == "delete":
         options["cleanSource"] = "delete"

@@ -569,6 +569,24 @@ def test_stream_skips_a_replayed_batch(spark, tmp_path):
     assert {r.source for r in store.read().select("source").distinct().collect()} == {"https://s.com/p", "https://s.com/q"}
 
 
+def test_a_stream_hands_few_rows_to_python_at_once(spark, tmp_path, monkeypatch):
+    """Also if larger batches were set after the store was made."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    was, held = [spark.conf.get(k) for k in keys], []
+    (tmp_path / "inbox").mkdir()
+    (tmp_path / "inbox" / "a.jsonl").write_text("{}\n", encoding="utf-8")
+    monkeypatch.setattr(stream.jobs, "ingest_crawl", lambda store, lines, *rest: held.append([int(lines.sparkSession.conf.get(k)) for k in keys]))
+    try:
+        store = ChunkStore(spark, scratch_dir(spark, "store"))
+        for k, v in zip(keys, ("10000", str(256 << 20))):
+            spark.conf.set(k, v)
+        stream.start(store, str(tmp_path / "inbox"), str(tmp_path / "one")).awaitTermination()
+    finally:
+        for k, v in zip(keys, was):
+            spark.conf.set(k, v)
+    assert held == [[1000, 4 << 20]]
+
+
 def test_a_second_writer_fails_until_the_store_is_unlocked(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
     none = spark.createDataFrame([], "source string")
