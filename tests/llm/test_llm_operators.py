@@ -875,3 +875,53 @@ def test_pairs_left_out_have_no_similar_paragraph(monkeypatch):
         fits = passage_dedup.similar(one, two, 8, percent)[0].any(1)
         near = passage_dedup.may_be_similar(one, two, 8, percent)
         assert fits.any() and not (fits & ~near).any() and not near.all()
+
+
+def test_runs_of_similar_paragraphs_also_in_text_that_repeats_itself():
+    """Before, places that hold equal shingles met each with each: 64 x 64 for one word said again and again."""
+    rng = np.random.default_rng(21)
+    size, n = 8, 20
+    for words in (4, 30, 2000):
+        one = rng.integers(0, words, (300, n)).astype(np.uint64)
+        change = rng.random(one.shape) < rng.random((300, 1)) / 3
+        two = np.where(change, rng.integers(1, 2 * words, one.shape).astype(np.uint64), one)
+        two[:100] = np.roll(two[:100], 2, axis=1)
+        for percent in (60, 75, 100):
+            fits, held = passage_dedup.similar(one, two, size, percent)
+            want = set()
+            for r in range(len(one)):
+                edge = np.diff(np.pad(fits[r], 1).astype(int))
+                for low, high in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+                    ends = []
+                    for a, b in ((one[r], two[r]), (two[r], one[r])):
+                        at = [i for s in range(low, high) for i in range(s, s + size) if a[i] in b[s : s + size]]
+                        ends += [min(at), max(at)]
+                    want.add((r, *ends))
+            got = [*zip(*(x.tolist() for x in passage_dedup.similar_runs(one, two, size, percent)))]
+            assert len(got) == len(set(got)) and set(got) == want and want
+            assert not (fits.any(1) & ~passage_dedup.may_share(shingling.mixed(one), shingling.mixed(two), size, percent)).any()
+    same = np.full((1, 64), 7, np.uint64)
+    order = np.arange(128, dtype=np.int32)[None]
+    pieces = passage_dedup._pieces(order, np.concatenate([same, same], axis=1), 64, size, False)
+    assert len(passage_dedup._piece_meetings(*pieces, 57)[0]) <= 128
+
+
+def test_pairs_that_share_little_are_told_apart_by_buckets():
+    rng = np.random.default_rng(3)
+    one, two = (rng.integers(1, 1 << 63, (200, 114), np.uint64) for _ in range(2))
+    two[:, 40:60] = one[:, 40:60]
+    two[:20, 30:90] = one[:20, 30:90]
+    near = passage_dedup.may_share(one, two, 46, 75)
+    assert near[:20].all() and near.sum() < 25
+
+
+def test_word_hashes_tell_words_of_all_lengths_apart():
+    """Words are read eight bytes at a time; what follows a word, and its case, must not matter."""
+    rng = random.Random(8)
+    words = ["a" * k for k in range(1, 200)] + ["".join(rng.choices("abé\0\x1fz", k=k)) for k in range(1, 150) for _ in range(4)]
+    words = sorted({w.lower() for w in words})
+    data = [" ".join(w for w in words).encode(), "\t\n".join(w.upper().replace("É", "é") for w in words).encode(), b"", b" ", words[3].encode()]
+    found, counts = shingling.word_hashes(data)
+    n = len(words)
+    assert counts.tolist() == [n, n, 0, 0, 1]
+    assert len(set(found[:n].tolist())) == n and (found[:n] == found[n : 2 * n]).all() and found[-1] == found[3]
