@@ -35,6 +35,9 @@ def shared_tokens(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 def prefix_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect all similar sets of a chunk; what is connected already is not compared."""
     sizes = [len(s) for s in sets]
+    if len(sets) == 2:  # as most chunks are
+        [both] = shared_tokens(sets[0], sets[1:]).tolist()
+        return [(0, 1)] if 100 * both >= percent * (sum(sizes) - both) else []
     index: dict[int, list[tuple[int, int]]] = defaultdict(list)
     group = list(range(len(sets)))  # grows together as links come, like what ``stars`` makes of them
     members = [[i] for i in group]

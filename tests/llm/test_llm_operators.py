@@ -915,6 +915,13 @@ def test_pairs_that_share_little_are_told_apart_by_buckets():
     assert near[:20].all() and near.sum() < 25
 
 
+def test_two_lines_are_compared_without_an_index():
+    one = np.arange(1, 21, dtype=np.uint64)
+    for gone in range(8):
+        two = np.concatenate([one[gone:], np.arange(100, 100 + gone, dtype=np.uint64)])
+        assert line_dedup.prefix_links([one, two], 75) == ([(0, 1)] if 100 * (20 - gone) >= 75 * (20 + gone) else [])
+
+
 def test_word_hashes_tell_words_of_all_lengths_apart():
     """Words are read eight bytes at a time; what follows a word, and its case, must not matter."""
     rng = random.Random(8)
