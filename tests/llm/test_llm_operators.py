@@ -932,3 +932,15 @@ def test_word_hashes_tell_words_of_all_lengths_apart():
     n = len(words)
     assert counts.tolist() == [n, n, 0, 0, 1]
     assert len(set(found[:n].tolist())) == n and (found[:n] == found[n : 2 * n]).all() and found[-1] == found[3]
+
+
+def test_chunks_link_components_once():
+    """Before, every chunk in which two large components met gave a link for each of its sets."""
+    tokens = np.arange(40, dtype=np.uint64).tobytes()
+    batch = pa.RecordBatch.from_pydict({
+        "chunk": pa.array([1] * 60, pa.int64()), "key": pa.array([b"%02d" % k for k in range(60)], pa.binary()),
+        "root": pa.array([b"00" if k < 30 else b"30" for k in range(60)], pa.binary()), "tokens": pa.array([tokens] * 60, pa.binary()),
+    })
+    for match in (ngram_join.tree_links, line_dedup.prefix_links):
+        found = [tuple(r.values()) for out in setjoin._chunk_links(match, 75)(iter([batch])) for r in out.to_pylist()]
+        assert found == [(b"00", b"30")]
